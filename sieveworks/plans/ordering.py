@@ -7,9 +7,9 @@ explicit:
 * ``with_source_order`` keys every row by (file, position in file) from the
   scan's hidden ``_metadata`` columns: exact file order, no shuffle.
 * ``with_global_position`` turns any unique sort key into a dense 1-based
-  position with one range shuffle plus a per-partition count (the
-  zipWithIndex idea, kept in the DataFrame API).  It never funnels rows
-  through a single partition.
+  position with one range shuffle, a checkpoint and a per-partition count
+  (the zipWithIndex idea, kept in the DataFrame API).  It never funnels
+  rows through a single partition.
 * Seeded shuffles and splits order by ``sha2(seed:id)``: the same hash is
   available in SQL engines, so results can be cross-checked.
 """
@@ -78,15 +78,22 @@ def with_global_position(df: DataFrame, keys: list[Column], name: str = "positio
     """Dense 1-based position of each row under the order ``keys``.
 
     ``keys`` must be unique per row (add an id as tie-breaker).  Rows are
-    range-partitioned and sorted per partition; the per-partition counts
-    (one number per partition) give each partition its offset.
+    range-partitioned and sorted per partition, then written once with a
+    reliable ``checkpoint()`` to the shared checkpoint directory: the range
+    bounds come from sampling, so a recomputed shuffle could place rows
+    differently, and the checkpoint pins one placement for both the
+    per-partition count (one number per partition) and the numbering.
     """
+    from ..session import ensure_checkpoint_dir
+
     spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     pid = "__sw_pid"
     ordered = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
                .withColumn(pid, F.spark_partition_id())
-               .withColumn("__sw_mono", F.monotonically_increasing_id()))
+               .withColumn("__sw_mono", F.monotonically_increasing_id())
+               .checkpoint(eager=True))
     counts = dict(ordered.groupBy(pid).count().collect())  # <= n rows
     offsets, total = [], 0
     for p in range(n):
@@ -132,9 +139,7 @@ def split_stratified(df: DataFrame, id_col: str, label_col: str, fraction: float
                      seed: int = 42) -> DataFrame:
     """Per-class test quota: ``n_test = min(n - C, max(C, round(n * f)))``
     spread over classes proportionally (largest remainder), at least one
-    test and one train row per class.  Window per label, no global sort."""
-    from pyspark.sql import Window
-
+    test and one train row per class."""
     counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("__sw_nc"))
     stats = counts.collect()  # one row per class
     n = sum(int(r["__sw_nc"]) for r in stats)
@@ -144,10 +149,15 @@ def split_stratified(df: DataFrame, id_col: str, label_col: str, fraction: float
     quota_df = df.sparkSession.createDataFrame(
         [(k, v) for k, v in quotas.items()],
         T.StructType([T.StructField(label_col, df.schema[label_col].dataType), T.StructField("__sw_q", T.LongType())]))
-    w = Window.partitionBy(label_col).orderBy(seeded_key(seed, F.col(id_col)), F.col(id_col))
-    ranked = df.join(F.broadcast(quota_df), label_col).withColumn("__sw_r", F.row_number().over(w))
+    # rank inside each class from one global range-partitioned order, so a
+    # dominant class is spread over all partitions instead of one window task
+    keyed = df.withColumn("__sw_key", seeded_key(seed, F.col(id_col)))
+    pos = with_global_position(keyed, [F.col(label_col), F.col("__sw_key"), F.col(id_col)], "__sw_pos")
+    first = pos.groupBy(label_col).agg(F.min("__sw_pos").alias("__sw_first"))
+    ranked = pos.join(first, label_col).join(F.broadcast(quota_df), label_col) \
+        .withColumn("__sw_r", F.col("__sw_pos") - F.col("__sw_first") + 1)
     return (ranked.withColumn("split", F.when(F.col("__sw_r") <= F.col("__sw_q"), "test").otherwise("train"))
-            .drop("__sw_r", "__sw_q"))
+            .drop("__sw_r", "__sw_q", "__sw_pos", "__sw_first", "__sw_key"))
 
 
 def _class_quotas(counts: dict, n_test: int) -> dict:

@@ -3,7 +3,7 @@ given tables, each with a DuckDB SQL twin where SQL can express it."""
 
 from __future__ import annotations
 
-from . import cleaning, profiling, versions  # noqa: F401  (registers queries)
+from . import catalog, cleaning, conversation, learning, profiling, versions  # noqa: F401  (registers queries)
 from .registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
