@@ -286,3 +286,15 @@ def fit_tabular(df: DataFrame, features: list[str], target: str, objective: str
         return out
     finally:
         split.unpersist()
+
+
+def save_predictor(model: dict[str, Any], directory: str, checkpoints: list[dict[str, Any]] | None = None) -> None:
+    """``predictor.json`` + ``metadata.json``; intermediate fits go below
+    ``checkpoint-N/`` (kept out of published artifacts by the allow-list)."""
+    from ..sinks.files import write_json
+
+    d = directory.rstrip("/")
+    write_json(f"{d}/predictor.json", {k: v for k, v in model.items() if k != "metrics"})
+    write_json(f"{d}/metadata.json", {"metrics": model.get("metrics"), "dimensions": model.get("dimensions")})
+    for i, ck in enumerate(checkpoints or [], 1):
+        write_json(f"{d}/checkpoint-{i}/predictor.json", ck)

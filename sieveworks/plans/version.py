@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.pyregex import SPACE_BODY
 from ..functions.text import token_estimate
+from ..sinks.files import write_json
 from ..operators.registry import apply_operations, wants_dedupe
 from . import ordering as O
 from .schemas import SCHEMA_REQUIRED_FIELDS, SchemaError, map_to_schema, missing_mappings, row_findings, status_of
@@ -168,8 +169,7 @@ def save_version(spark: SparkSession, source: DataFrame, root: str, dataset: str
         "validation": {"status": status, "valid_rows": valid_n, "invalid_rows": invalid_n, "codes": codes},
     }
     for name, payload in sidecars.items():
-        spark.createDataFrame([(json.dumps(payload, ensure_ascii=False),)], "value string") \
-            .coalesce(1).write.mode("errorifexists").text(f"{path}/{name}.json")
+        write_json(f"{path}/{name}.json", payload)
     spark.createDataFrame([(dataset, number, path, status, valid_n, invalid_n, sha)],
                           "dataset string, version long, path string, status string, rows long, invalid long, sha256 string") \
         .coalesce(1).write.mode("append").json(_catalog_path(root))

@@ -28,8 +28,7 @@ def _run(query_df: DataFrame, name: str, mode: str = "append", sink_fn=None) ->
 
     def write(batch: DataFrame, epoch: int) -> None:
         data = sink_fn(batch) if sink_fn else batch
-        data.write.mode("overwrite" if mode == "complete" else "append").parquet(out if mode != "complete"
-                                                                                else f"{out}")
+        data.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
 
     q = (query_df.writeStream.outputMode(mode).option("checkpointLocation", ckpt)
          .foreachBatch(write).trigger(availableNow=True).start())
@@ -94,15 +93,15 @@ def _toggle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
     yield pd.DataFrame({"user_id": [key[0]], "state": [current], "clicks": [clicks]})
 
 
-def stream_toggle_state(spark: SparkSession, clicks_glob: str, schema: str) -> DataFrame:
-    """Per-user toggle with ``applyInPandasWithState``; each micro-batch's
-    clicks are applied in (ts, event_id) order on top of the stored state."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(clicks_glob)
-    states = stream.groupBy("user_id").applyInPandasWithState(
+def stream_toggle(clicks) -> DataFrame:
+    """Per-user toggle with ``applyInPandasWithState`` over a click stream
+    ``(user_id, ts, event_id, v)``; each micro-batch's clicks are applied in
+    (ts, event_id) order on top of the stored state."""
+    spark = clicks.sparkSession
+    states = clicks.groupBy("user_id").applyInPandasWithState(
         _toggle, _TOGGLE_OUT, _TOGGLE_STATE, "update", GroupStateTimeout.NoTimeout)
-    out = _run(states, "toggle", mode="update")
-    hist = spark.read.parquet(out)
-    # the last update per user is the final state
+    hist = spark.read.parquet(_run(states, "toggle", mode="update"))
+    # the update with the most clicks is the final state of a user
     return hist.groupBy("user_id").agg(F.max_by("state", "clicks").alias("state")).filter(F.col("state").isNotNull())
 
 
@@ -112,7 +111,8 @@ def stream_ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..models.ngram import transitions
 
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/documents.parquet")
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+              .parquet(f"{sf_dir.rstrip('/')}/documents[.]parquet"))
     counts = transitions(stream, F.col("text"), F.col("doc_id"), 2).groupBy("state", "next") \
         .agg(F.count(F.lit(1)).alias("cnt"))
     return spark.read.parquet(_run(counts, "ngram", mode="complete"))

@@ -51,7 +51,7 @@ def q_ngram_generate(spark, sf):
     return N.ngram_generate(prompts, "text", "item_id", best, order=2, max_new_tokens=30)
 
 
-@register("stream_ngram_counts")
+@register("stream_ngram_counts", sql(_NGRAM_BASE + " SELECT state, nxt AS next, cnt FROM m"))
 def q_stream_ngram_counts(spark, sf):
     from ..streaming.streams import stream_ngram_counts
 
