@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pyregex as R
-from ..session import ensure_checkpoint_dir
 
 SEP = "\u001f"  # state tokens are joined with the unit separator
 
@@ -23,16 +22,20 @@ def tokens(text: Column, pattern: str = R.TOKEN_PY, lowercase: bool = True) -> C
 
 def transitions(df: DataFrame, text: Column, doc: Column, order: int = 2, pattern: str = R.TOKEN_PY,
                 lowercase: bool = True) -> DataFrame:
-    """One row per (doc, position, state, next) window."""
+    """One row per (doc, position, state, next) window.
+
+    The windows are ``order + 1`` shifted copies of the token array zipped
+    together (``arrays_zip`` + ``posexplode``), all native expressions."""
     if not 1 <= order <= 8:
         raise ValueError("order must be between 1 and 8")
     t = tokens(text, pattern, lowercase)
     with_t = df.select(doc.alias("doc"), t.alias("t")).filter(F.size("t") > order)
-    windows = F.transform(F.sequence(F.lit(0), F.size("t") - order - 1),
-                          lambda i: F.struct(i.alias("pos"),
-                                             F.array_join(F.slice("t", i + 1, order), SEP).alias("state"),
-                                             F.element_at("t", i + order + 1).alias("next")))
-    return with_t.select("doc", F.inline(windows))
+    n = F.size("t") - order
+    shifted = [F.slice("t", k + 1, n).alias(f"s{k}") for k in range(order + 1)]
+    zipped = F.arrays_zip(*shifted)
+    w = with_t.select("doc", F.posexplode(zipped).alias("pos", "z"))
+    state = F.concat_ws(SEP, *[F.col(f"z.s{k}") for k in range(order)])
+    return w.select("doc", "pos", state.alias("state"), F.col(f"z.s{order}").alias("next"))
 
 
 def ngram_fit(df: DataFrame, text: Column, doc: Column, order: int = 2, pattern: str = R.TOKEN_PY,
@@ -56,42 +59,42 @@ def prompt_state(prompt: Column, order: int, pattern: str = R.TOKEN_PY, lowercas
     return F.when(F.size(t) >= order, F.array_join(F.slice(t, -order, order), SEP))
 
 
+MAX_BROADCAST_STATES = 4_000_000  # best-next rows a broadcast may carry
+
+
 def ngram_generate(prompts: DataFrame, prompt: str, key: str, best: DataFrame, order: int = 2,
                    max_new_tokens: int = 30, pattern: str = R.TOKEN_PY, lowercase: bool = True,
-                   checkpoint_every: int = 8) -> DataFrame:
-    """Greedy generation for every prompt: ``(key, text)``.
-
-    Each step is an equi-join of the still-running prompts with the
-    best-next table.  The table is hash-partitioned on ``state`` once and
-    checkpointed, so later steps only shuffle the (small) prompt side; the
-    prompt side's lineage is cut with ``checkpoint()`` every few steps.
-    Prompts shorter than ``order`` tokens yield a null text (the reference
-    rejects them).
-    """
-    ensure_checkpoint_dir(prompts.sparkSession)
-    spark = prompts.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = best.select("state", F.col("next").alias("tok")).repartition(n, "state").checkpoint()
-    state = prompts.select(F.col(key).alias("k"), prompt_state(F.col(prompt), order, pattern, lowercase)
-                           .alias("state"), F.array().cast("array<string>").alias("out"),
-                           F.lit(True).alias("live"), F.size(tokens(F.col(prompt), pattern, lowercase))
-                           .alias("ntok"))
-    for step in range(max_new_tokens):
-        live = state.filter("live").drop("live").repartition(n, "state")
-        done = state.filter(~F.col("live"))
-        stepped = live.join(table, "state", "left")
-        advanced = stepped.select(
-            "k",
-            F.when(F.col("tok").isNotNull(),
-                   F.array_join(F.slice(F.concat(F.split("state", SEP, -1), F.array("tok")), 2, order), SEP))
-            .alias("state"),
-            F.when(F.col("tok").isNotNull(), F.concat("out", F.array("tok"))).otherwise(F.col("out")).alias("out"),
-            F.col("tok").isNotNull().alias("live"), "ntok")
-        state = done.unionByName(advanced)
-        if (step + 1) % checkpoint_every == 0:
-            state = state.checkpoint()
-    return state.select(F.col("k").alias(key),
-                        F.when(F.col("ntok") >= order, F.array_join("out", " ")).alias("text"))
+                   max_broadcast_states: int = MAX_BROADCAST_STATES) -> DataFrame:
+    """Greedy generation for every prompt: ``(key, text)``; prompts shorter
+    than ``order`` tokens give a null text (the reference rejects them).
+
+    The best-next table is written once as a table; then one query plan of
+    ``max_new_tokens`` chained left joins reads it, and adaptive execution
+    reuses the identical exchange so the table ships once.  It is
+    broadcast only after counting shows at most ``max_broadcast_states``
+    rows; otherwise it is hash-partitioned once and each step shuffles only
+    the prompts.  A prompt whose state has no successor keeps a null state
+    and stops growing."""
+    from ..session import materialize
+
+    # materialise the model once (cuts its lineage out of the 30-join plan)
+    table = materialize(best.select(F.col("state").alias("__sw_s"), F.col("next").alias("__sw_tok")), "ngram-best")
+    size = table.count()
+    if size <= max_broadcast_states:
+        table = F.broadcast(table)
+    cur = prompts.select(F.col(key).alias("__sw_k"), prompt_state(F.col(prompt), order, pattern, lowercase)
+                         .alias("__sw_state"), F.array().cast("array<string>").alias("__sw_out"),
+                         F.size(tokens(F.col(prompt), pattern, lowercase)).alias("__sw_ntok"))
+    for _ in range(max_new_tokens):
+        j = cur.join(table, cur["__sw_state"] == table["__sw_s"], "left")
+        hit = F.col("__sw_tok").isNotNull()
+        nxt_state = F.array_join(F.slice(F.concat(F.split("__sw_state", SEP, -1), F.array("__sw_tok")), 2, order),
+                                 SEP)
+        cur = j.select("__sw_k", F.when(hit, nxt_state).alias("__sw_state"),
+                       F.when(hit, F.concat("__sw_out", F.array("__sw_tok"))).otherwise(F.col("__sw_out"))
+                       .alias("__sw_out"), "__sw_ntok")
+    return cur.select(F.col("__sw_k").alias(key),
+                      F.when(F.col("__sw_ntok") >= order, F.array_join("__sw_out", " ")).alias("text"))
 
 
 def uniform(seed: int, key: Column, step: Column) -> Column:

@@ -2,10 +2,10 @@
 
 Centroids are per-(label, dimension) averages — a hash aggregate with
 partial aggregation, so a dominant label is pre-summed map-side.  Scoring
-compares every vector with every centroid inside one array expression; the
-centroid table is bounded by labels × dimensions and checked before it is
-inlined, and larger tables are scored in slices whose partial results are
-merged (log-sum-exp), so no cross join is ever planned.
+compares every vector with every centroid: the centroid table (labels ×
+dimensions) is size-checked, then broadcast to numpy scorers in Arrow
+batches; above the bound it is scored in slices of native expressions whose
+partial results merge exactly (log-sum-exp).  No cross join is planned.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_INLINE_VALUES = 2_000_000  # labels × dimensions inlined per pass
 
@@ -74,16 +75,47 @@ def softmax_top_k(scores: Column, k: int) -> Column:
     return top_k_ranked(items, k)
 
 
+PREDICTIONS = T.ArrayType(T.StructType([T.StructField("label", T.StringType()),
+                                         T.StructField("score", T.DoubleType())]))
+
+
+def _numpy_scorer(shared, vector: str, top_k: int):
+    def run(batches):
+        labels, cents = shared.value
+        for pdf in batches:
+            if len(pdf) == 0:
+                yield pdf.assign(predictions=[])
+                continue
+            x = np.stack(pdf[vector].to_numpy()).astype(np.float64)
+            s = np.empty((len(x), len(labels)))
+            for j in range(len(labels)):
+                s[:, j] = -np.mean((cents[j] - x) ** 2, axis=1)
+            e = np.exp(s - s.max(axis=1, keepdims=True))
+            p = e / e.sum(axis=1, keepdims=True)
+            order = np.argsort(-p, axis=1, kind="stable")[:, :top_k]
+            preds = [[{"label": labels[j], "score": float(p[i, j])} for j in order[i]] for i in range(len(x))]
+            yield pdf.assign(predictions=preds)
+    return run
+
+
 def centroid_classify(df: DataFrame, vector: str, centroids: list[tuple[object, list[float]]],
                       top_k: int = 3) -> DataFrame:
-    """Adds ``predictions`` (top-k ``{label, score}``).  Centroid tables above
-    the inline bound are scored slice by slice: each slice keeps its own
-    top-k and log-sum-exp, which merge exactly into the global softmax."""
+    """Adds ``predictions`` (top-k ``{label, score}``, softmax of
+    ``-mean((c − x)²)``).
+
+    Within the inline bound the centroid matrix is broadcast once and each
+    task scores its vectors with numpy in Arrow batches.  Larger tables are
+    scored in slices of native expressions: each slice keeps its own top-k
+    and log-sum-exp, which merge exactly into the global softmax."""
     dim = len(centroids[0][1]) if centroids else 0
+    if len(centroids) * max(dim, 1) <= MAX_INLINE_VALUES:
+        spark = df.sparkSession
+        labels = [str(lab) for lab, _ in centroids]
+        shared = spark.sparkContext.broadcast((labels, np.array([c for _, c in centroids], dtype=np.float64)))
+        schema = T.StructType(df.schema.fields + [T.StructField("predictions", PREDICTIONS)])
+        return df.mapInPandas(_numpy_scorer(shared, vector, top_k), schema)
     per_slice = max(1, MAX_INLINE_VALUES // max(dim, 1))
     slices = _slices(centroids, per_slice)
-    if len(slices) == 1:
-        return df.withColumn("predictions", softmax_top_k(centroid_scores(F.col(vector), slices[0]), top_k))
     out = df
     parts = []
     for i, sl in enumerate(slices):

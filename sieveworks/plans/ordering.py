@@ -7,7 +7,7 @@ explicit:
 * ``with_source_order`` keys every row by (file, position in file) from the
   scan's hidden ``_metadata`` columns: exact file order, no shuffle.
 * ``with_global_position`` turns any unique sort key into a dense 1-based
-  position with one range shuffle, a checkpoint and a per-partition count
+  position with one range shuffle, one stored table and a per-partition count
   (the zipWithIndex idea, kept in the DataFrame API).  It never funnels
   rows through a single partition.
 * Seeded shuffles and splits order by ``sha2(seed:id)``: the same hash is
@@ -78,22 +78,21 @@ def with_global_position(df: DataFrame, keys: list[Column], name: str = "positio
     """Dense 1-based position of each row under the order ``keys``.
 
     ``keys`` must be unique per row (add an id as tie-breaker).  Rows are
-    range-partitioned and sorted per partition, then written once with a
-    reliable ``checkpoint()`` to the shared checkpoint directory: the range
-    bounds come from sampling, so a recomputed shuffle could place rows
-    differently, and the checkpoint pins one placement for both the
-    per-partition count (one number per partition) and the numbering.
+    range-partitioned and sorted per partition, and each row's partition id
+    and ordinal are stored with it in a table written once under the shared
+    checkpoint directory: the range bounds come from sampling, so a
+    recomputed shuffle could place rows differently, while the stored
+    columns pin one placement for both the per-partition count (one number
+    per partition) and the numbering.
     """
-    from ..session import ensure_checkpoint_dir
+    from ..session import materialize
 
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     pid = "__sw_pid"
-    ordered = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-               .withColumn(pid, F.spark_partition_id())
-               .withColumn("__sw_mono", F.monotonically_increasing_id())
-               .checkpoint(eager=True))
+    ordered = materialize(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+                          .withColumn(pid, F.spark_partition_id())
+                          .withColumn("__sw_mono", F.monotonically_increasing_id()), "positions")
     counts = dict(ordered.groupBy(pid).count().collect())  # <= n rows
     offsets, total = [], 0
     for p in range(n):
