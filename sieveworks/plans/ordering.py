@@ -32,12 +32,17 @@ def user_columns(df: DataFrame) -> list[str]:
 def with_source_order(scan: DataFrame, name: str = ORDER) -> DataFrame:
     """Attach ``struct(file, block, row)`` in file order.
 
-    ``scan`` must be a plain file-source DataFrame (``spark.read...``).
+    For a plain file-source DataFrame (``spark.read...``) this is file order:
     Parquet exposes the row index inside the file; other formats use the
     split start plus the row's ordinal inside its task, which is ordered
-    because a task reads each split sequentially.
+    because a task reads each split sequentially.  Any other DataFrame is
+    ordered by partition, then by position inside the partition.
     """
-    meta = scan.select("_metadata").schema.fields[0].dataType
+    try:
+        meta = scan.select("_metadata").schema.fields[0].dataType
+    except Exception:  # not a file scan: partition order, then row order in it
+        return scan.withColumn(name, F.struct(F.lit("").alias("f"), F.spark_partition_id().cast("long").alias("b"),
+                                              F.monotonically_increasing_id().alias("r")))
     names = {f.name for f in meta.fields}
     if "row_index" in names:
         row = F.col("_metadata.row_index")
