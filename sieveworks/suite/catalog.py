@@ -176,8 +176,8 @@ def _tensors(spark, sf, reverse: bool = False):
                     F.array(F.size("embedding")).alias("shape"), values.alias("values"))
 
 
-@register("signature_compare", "SELECT count(*) AS tensors_a, count(*) AS tensors_b, 0 AS missing_in_b, "
-          "0 AS missing_in_a, 0 AS shape_mismatches, count(*) > 0 AS tensor_names, count(*) > 0 AS tensor_shapes, "
+@register("signature_compare", "SELECT count(*) AS tensors_a, count(*) AS tensors_b, CAST(0 AS BIGINT) AS "
+          "missing_in_b, CAST(0 AS BIGINT) AS missing_in_a, CAST(0 AS BIGINT) AS shape_mismatches, count(*) > 0 AS tensor_names, count(*) > 0 AS tensor_shapes, "
           "CASE WHEN count(*) > 0 THEN '' ELSE 'tensor_names,tensor_shapes' END AS blockers FROM embeddings")
 def q_signature_compare(spark, sf):
     return signature_compare(_tensors(spark, sf), _tensors(spark, sf, reverse=True))
@@ -185,7 +185,8 @@ def q_signature_compare(spark, sf):
 
 @register("weighted_merge", "SELECT 'vec.' || CAST(vec_id AS VARCHAR) AS name, CAST(i AS INTEGER) AS idx, "
           "round(CAST(CAST(CAST(embedding[i + 1] AS FLOAT) * CAST(0.25 AS FLOAT) AS FLOAT) + "
-          "CAST(CAST(embedding[len(embedding) - i] AS FLOAT) * CAST(0.75 AS FLOAT) AS FLOAT) AS FLOAT), 5) + 0.0 AS value "
+          "CAST(CAST(embedding[len(embedding) - i] AS FLOAT) * CAST(0.75 AS FLOAT) AS FLOAT) AS FLOAT), 5) "
+          "+ CAST(0.0 AS DOUBLE) AS value "
           "FROM (SELECT vec_id, embedding, unnest(range(0, len(embedding))) AS i FROM embeddings)")
 def q_weighted_merge(spark, sf):
     m = weighted_merge(_tensors(spark, sf), _tensors(spark, sf, reverse=True), 0.25, 0.75)

@@ -206,11 +206,11 @@ def q_stop_truncate(spark, sf):
 def q_tokenize_regex(spark, sf):
     df = table(spark, sf, "documents")
     toks = X.tokenize_regex(F.col("text"), lowercase=True)
-    return df.select("doc_id", F.size(toks).alias("n_tokens"), F.array_join(toks, " ").alias("tokens"))
+    return df.select("doc_id", F.size(toks).cast("long").alias("n_tokens"), F.array_join(toks, " ").alias("tokens"))
 
 
-@register("token_estimate", "SELECT lang, sum(greatest(1, (strlen(CAST(to_json({'text': text}) AS VARCHAR)) + 1)"
-                            " // 4)) AS tokens, count(*) AS rows FROM documents GROUP BY lang")
+@register("token_estimate", "SELECT lang, CAST(sum(greatest(1, (strlen(CAST(to_json({'text': text}) AS VARCHAR)) + 1)"
+                            " // 4)) AS BIGINT) AS tokens, count(*) AS rows FROM documents GROUP BY lang")
 def q_token_estimate(spark, sf):
     df = table(spark, sf, "documents")
     line = F.to_json(F.struct(F.col("text")))

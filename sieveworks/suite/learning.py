@@ -193,7 +193,7 @@ def q_regression_metrics(spark, sf):
 
 # --- vectors --------------------------------------------------------------------
 
-@register("vector_check", "SELECT sum(n) AS samples, count(*) AS classes, min(n) AS smallest_class, "
+@register("vector_check", "SELECT CAST(sum(n) AS BIGINT) AS samples, count(*) AS classes, min(n) AS smallest_class, "
           "sum(n) >= 4 AND count(*) >= 2 AND min(n) >= 2 AS ok FROM (SELECT label, count(*) AS n FROM embeddings "
           "GROUP BY label)")
 def q_vector_check(spark, sf):

@@ -71,6 +71,15 @@ def main():
             bad += 1
             continue
         ok_cols = sorted(cols) == sorted(ocols)
+        stypes = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+        otypes = {d[0]: str(d[1]) for d in res.description}
+        fam = {"bigint": "int64", "BIGINT": "int64", "int": "int32", "INTEGER": "int32", "double": "float64",
+               "DOUBLE": "float64", "string": "str", "VARCHAR": "str", "boolean": "bool", "BOOLEAN": "bool",
+               "HUGEINT": "int128", "float": "float32", "FLOAT": "float32", "smallint": "int16"}
+        tdiff = {c: (stypes.get(c), otypes.get(c)) for c in cols
+                 if fam.get(stypes.get(c), stypes.get(c)) != fam.get(otypes.get(c), otypes.get(c))}
+        if tdiff:
+            print(f"{name:32s} TYPES {tdiff}")
         a, b = sorted(canon(cols, rows)), sorted(canon(ocols, orows))
         ok = ok_cols and a == b
         if not ok:
