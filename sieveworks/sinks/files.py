@@ -13,12 +13,19 @@ from typing import Any
 from pyarrow import fs as pafs
 
 
-def _fs(path: str):
-    if "://" not in path:
-        path = "file://" + path if path.startswith("/") else path
+def filesystem_for(path: str):
+    """``(filesystem, inner_path)`` for local paths, ``file:`` URIs (one or
+    three slashes), HDFS and object-store URIs."""
+    if path.startswith("file:") and not path.startswith("file://"):
+        path = "file://" + path[len("file:"):]
+    elif "://" not in path:
+        path = "file://" + path
     return pafs.FileSystem.from_uri(path)
 
 
+_fs = filesystem_for
+
+
 def write_text(path: str, text: str, overwrite: bool = False) -> None:
     filesystem, inner = _fs(path)
     info = filesystem.get_file_info(inner)
