@@ -7,7 +7,6 @@ pushes filters down and compiles the chain into whole-stage code.
 
 from __future__ import annotations
 
-from functools import reduce
 from typing import Any, Callable
 
 from pyspark.sql import DataFrame
@@ -84,10 +83,33 @@ def apply_operation(df: DataFrame, operation: dict[str, Any]) -> DataFrame:
     return OPERATORS[kind](df, **(operation.get("config") or {}))
 
 
+FILTERS = {"remove_empty_records", "filter_length", "filter_numeric", "filter_regex"}
+
+
 def apply_operations(df: DataFrame, operations: list[dict[str, Any]]) -> DataFrame:
-    """Fold the ordered operation list over ``df`` (row order preserved)."""
+    """Fold the ordered operation list over ``df`` (row order preserved).
+
+    A filter that follows column-rewriting operators is anchored on a
+    ``spark_partition_id()`` column: Catalyst does not push predicates
+    through a projection with a non-deterministic column, so the rewritten
+    values (regex chains) are computed once instead of once in the pushed
+    filter and again in the projection.  Filters on untouched source columns
+    keep their normal push-down to the scan."""
+    from pyspark.sql import functions as F
+
     validate_operations(operations)
-    return reduce(apply_operation, operations, df)
+    rewritten = False
+    for op in operations:
+        kind = op.get("type")
+        if kind in FILTERS and rewritten:
+            df = df.withColumn("__sw_anchor", F.spark_partition_id())
+            df = apply_operation(df, op)
+            df = df.filter(F.col("__sw_anchor") >= 0).drop("__sw_anchor")
+            continue
+        df = apply_operation(df, op)
+        if kind not in FILTERS and kind not in DEFERRED:
+            rewritten = True
+    return df
 
 
 def wants_dedupe(operations: list[dict[str, Any]]) -> bool:

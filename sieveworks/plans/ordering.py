@@ -127,16 +127,36 @@ def head_examples(df: DataFrame, order: list[Column], n: int = 0) -> DataFrame:
     return df.orderBy(*order).limit(int(n))
 
 
+def kth_row(df: DataFrame, keys: list[str], k: int):
+    """The row of ``df.select(keys)`` at 1-based position ``k`` under ``keys``
+    (unique).  Only the narrow key projection is ranked and stored."""
+    narrow = df.select(*keys)
+    pos = with_global_position(narrow, [F.col(c) for c in keys], "__sw_pos")
+    return pos.filter(F.col("__sw_pos") == k).select(*keys).first()
+
+
+def at_or_before(keys: list[str], row) -> Column:
+    """Lexicographic ``(keys) <= row`` as a column predicate."""
+    cond = None
+    for i in range(len(keys) - 1, -1, -1):
+        c, v = F.col(keys[i]), F.lit(row[keys[i]])
+        here = (c <= v) if cond is None else ((c < v) | ((c == v) & cond))
+        cond = here
+    return cond
+
+
 def split_train_validation(df: DataFrame, id_col: str, fraction: float = 0.2, seed: int = 42,
                            total: int | None = None) -> DataFrame:
     """Adds ``split`` in {train, validation}:
-    ``n_val = max(1, min(n-2, round(n * fraction)))`` (half-even rounding)."""
+    ``n_val = max(1, min(n-2, round(n * fraction)))`` (half-even rounding).
+    The n_val-th smallest ``(sha2(seed:id), id)`` is found on the narrow key
+    projection; every row is then labelled by one comparison, no join."""
+    keyed = df.withColumn("__sw_key", seeded_key(seed, F.col(id_col)))
     n = total if total is not None else df.count()
     n_val = max(1, min(n - 2, int(round(n * fraction))))
-    ranked = with_global_position(df.withColumn("__sw_key", seeded_key(seed, F.col(id_col))),
-                                  [F.col("__sw_key"), F.col(id_col)], "__sw_pos")
-    return (ranked.withColumn("split", F.when(F.col("__sw_pos") <= n_val, "validation").otherwise("train"))
-            .drop("__sw_key", "__sw_pos"))
+    boundary = kth_row(keyed, ["__sw_key", id_col], n_val)
+    is_val = at_or_before(["__sw_key", id_col], boundary)
+    return keyed.withColumn("split", F.when(is_val, "validation").otherwise("train")).drop("__sw_key")
 
 
 def split_stratified(df: DataFrame, id_col: str, label_col: str, fraction: float = 0.2,

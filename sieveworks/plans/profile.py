@@ -103,17 +103,24 @@ def possible_fields(columns: list[str]) -> dict[str, list[str]]:
 
 
 def _evidence(df: DataFrame) -> DataFrame:
-    """One row of whole-table booleans and counts behind the rules."""
-    texts = [F.col(f.name) for f in df.schema.fields
-             if isinstance(f.dataType, T.StringType) and not f.name.startswith("__sw_")]
+    """One aggregate pass with every number behind the rules: empty/null
+    cells, longest text, rows, and the five whole-table text flags."""
+    fields = [f for f in df.schema.fields if not f.name.startswith("__sw_")]
+    texts = [F.col(f.name) for f in fields if isinstance(f.dataType, T.StringType)]
 
     def any_of(pred) -> F.Column:
         if not texts:
             return F.lit(False)
-        return F.max(F.greatest(*[F.coalesce(pred(c), F.lit(False)).cast("int") for c in texts])
-                     if len(texts) > 1 else F.coalesce(pred(texts[0]), F.lit(False)).cast("int")) > 0
+        hits = [F.coalesce(pred(c), F.lit(False)).cast("int") for c in texts]
+        return F.max(F.greatest(*hits) if len(hits) > 1 else hits[0]) > 0
 
+    empties = [F.when(F.col(f.name).isNull(), 1).otherwise(0) for f in fields] + \
+        [F.when(is_blank(c), 1).otherwise(0) for c in texts]
+    longest = F.greatest(*[F.length(c) for c in texts]) if len(texts) > 1 else (
+        F.length(texts[0]) if texts else F.lit(None).cast("int"))
     return df.agg(
+        F.sum(sum(empties[1:], empties[0]) if empties else F.lit(0)).alias("empty"),
+        F.max(longest).alias("longest"), F.count(F.lit(1)).alias("rows"),
         any_of(lambda c: (c != F.regexp_replace(c, f"^{R.SPACE}+|{R.SPACE}+$", "")) | c.contains("  "))
         .alias("spacing"),
         any_of(lambda c: c.rlike("<[^>]+>")).alias("html"),
@@ -142,19 +149,15 @@ RULES = [
 def recommend_cleanup(df: DataFrame) -> DataFrame:
     """``(operation, title, severity, affected)`` from whole-table evidence.
 
-    The rules are evaluated over every row (the reference looks at a
-    20-row sample for the text rules; scanning all rows finds a superset).
+    Two passes: one aggregate for every count and flag, one hash aggregate
+    for duplicates.  The text rules are evaluated over every row (the
+    reference looks at a 20-row sample; scanning all rows finds a superset).
     """
-    profile = profile_columns(df)
-    totals = profile.agg(F.sum(F.col("null_count") + F.col("empty_count")).alias("empty"),
-                         F.max("maximum_text_length").alias("longest"), F.max("row_count").alias("rows"))
     dup = duplicate_count(df).select("duplicate_count")
-    ev = _evidence(df)
     roles = possible_fields(user_columns(df))
     has_input = bool(roles["text"] or roles["prompt"] or roles["image"])
-    t = totals.first()
+    t = e = _evidence(df).first()
     d = dup.first()
-    e = ev.first()
     out: list[tuple[Any, ...]] = []
     if d["duplicate_count"]:
         out.append(RULES[0] + (int(d["duplicate_count"]),))

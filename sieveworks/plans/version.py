@@ -74,18 +74,17 @@ def prepare_rows(source: DataFrame, operations: list[dict[str, Any]], schema: st
 
 def apply_limit(rows: DataFrame, limit: int) -> DataFrame:
     """Stop after ``limit`` valid rows in processing order; invalid rows count
-    only up to that point.  Exact and distributed: valid rows get a global
-    position, the boundary key is one value."""
+    only up to that point.  Exact and distributed: the ``limit``-th valid
+    processing key is found by ranking the narrow key column, then both
+    valid and invalid rows are cut by comparison with it."""
     if not limit:
         return rows
     is_valid = F.size(F.filter(F.col(FINDINGS), lambda f: f["severity"] == "error")) == 0
-    valid = O.with_global_position(rows.filter(is_valid), [F.col(KEY)], "__sw_vpos")
-    kept_valid = valid.filter(F.col("__sw_vpos") <= limit).drop("__sw_vpos")
-    boundary = valid.filter(F.col("__sw_vpos") == limit).select(KEY).collect()
-    invalid = rows.filter(~is_valid)
-    if boundary:
-        invalid = invalid.filter(F.col(KEY) < F.lit(boundary[0][0]))
-    return kept_valid.unionByName(invalid)
+    valid = rows.filter(is_valid)
+    if valid.select(KEY).limit(limit).count() < limit:
+        return rows
+    boundary = O.kth_row(valid, [KEY], limit)[KEY]
+    return rows.filter((is_valid & (F.col(KEY) <= F.lit(boundary))) | (~is_valid & (F.col(KEY) < F.lit(boundary))))
 
 
 def line_of(df: DataFrame, cols: list[str]) -> Column:

@@ -38,13 +38,16 @@ def _run(query_df: DataFrame, name: str, mode: str = "append", sink_fn=None) ->
 
 def stream_pipeline(spark: SparkSession, source_glob: str, schema: str, operations: list[dict[str, Any]],
                     dedupe_on: list[str] | None = None, files_per_trigger: int = 1) -> DataFrame:
-    """Stateless operators on a file stream, exact de-duplication with
-    ``dropDuplicates`` (state grows with distinct keys)."""
+    """Stateless operators on a file stream and de-duplication with
+    ``dropDuplicates`` on a SHA-256 of the key columns (state grows with
+    distinct keys, 32 bytes each)."""
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
               .parquet(source_glob))
     out = apply_operations(stream, operations)
     if dedupe_on:
-        out = out.dropDuplicates(dedupe_on)
+        # state keyed by a 32-byte digest of the key columns, not the text itself
+        digest = F.sha2(F.to_json(F.struct(*[F.col(c) for c in dedupe_on])), 256)
+        out = out.withColumn("__sw_h", digest).dropDuplicates(["__sw_h"]).drop("__sw_h")
     path = _run(out, "pipeline")
     return spark.read.parquet(path)
 
