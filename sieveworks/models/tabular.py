@@ -49,24 +49,42 @@ def _category(df: DataFrame, name: str) -> Column:
 
 def exact_median(df: DataFrame, value: str) -> float:
     """Exact median with numpy's midpoint rule, without collecting values:
-    rank by a range-partitioned sort and read the one or two middle rows."""
-    from ..plans.ordering import with_global_position
+    the middle order statistics come from histogram narrowing."""
+    from ..plans.select import kth_value
 
     vals = df.select(F.col(value).alias("v")).filter(F.col("v").isNotNull())
     n = vals.count()
     if n == 0:
         return float("nan")
-    ranked = with_global_position(vals.withColumn("u", F.monotonically_increasing_id()),
-                                  [F.col("v"), F.col("u")], "pos")
-    lo, hi = (n + 1) // 2, n // 2 + 1
-    mids = [r["v"] for r in ranked.filter(F.col("pos").isin(lo, hi)).orderBy("pos").collect()]
-    return float(mids[0]) if n % 2 else float((mids[0] + mids[-1]) / 2.0)
+    lo = kth_value(vals, "v", (n + 1) // 2)
+    if n % 2:
+        return float(lo)
+    # the next order statistic: the same value when it repeats, else the
+    # smallest value above it (one aggregate)
+    stats = vals.agg(F.count_if(F.col("v") <= lo).alias("le"), F.min(F.when(F.col("v") > lo, F.col("v"))).alias("up"))
+    row = stats.first()
+    hi = lo if row["le"] >= n // 2 + 1 else row["up"]
+    return float((lo + hi) / 2.0)
 
 
 def feature_schema(train: DataFrame, features: list[str], maximum_categories: int = 50) -> list[Feature]:
     """Numeric when at least ``max(1, int(0.9 · non-empty))`` values parse to
     finite floats: median, mean, population std (0 → 1).  Otherwise the
-    ``maximum_categories`` most frequent values (ties: first seen)."""
+    ``maximum_categories`` most frequent values (ties: first seen).
+
+    The narrow feature projection is persisted (memory, spilling to disk)
+    because the schema needs several passes over it; it is deterministic,
+    so lost blocks are recomputed identically."""
+    from pyspark import StorageLevel
+
+    train = train.select(*features, "__sw_sn").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _feature_schema(train, features, maximum_categories)
+    finally:
+        train.unpersist()
+
+
+def _feature_schema(train: DataFrame, features: list[str], maximum_categories: int) -> list[Feature]:
     aggs = []
     for i, name in enumerate(features):
         dtype = dtype_of(train, name)

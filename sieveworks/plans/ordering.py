@@ -149,13 +149,18 @@ def split_train_validation(df: DataFrame, id_col: str, fraction: float = 0.2, se
                            total: int | None = None) -> DataFrame:
     """Adds ``split`` in {train, validation}:
     ``n_val = max(1, min(n-2, round(n * fraction)))`` (half-even rounding).
-    The n_val-th smallest ``(sha2(seed:id), id)`` is found on the narrow key
-    projection; every row is then labelled by one comparison, no join."""
+    The n_val-th smallest ``(sha2(seed:id), id)`` is found by histogram
+    narrowing (scans and small aggregates, no row shuffle); every row is
+    then labelled by one comparison, no join."""
+    from .select import kth_hex
+
     keyed = df.withColumn("__sw_key", seeded_key(seed, F.col(id_col)))
     n = total if total is not None else df.count()
     n_val = max(1, min(n - 2, int(round(n * fraction))))
-    boundary = kth_row(keyed, ["__sw_key", id_col], n_val)
-    is_val = at_or_before(["__sw_key", id_col], boundary)
+    boundary = kth_hex(keyed, "__sw_key", id_col, n_val)
+    # keys are fixed-width (64 hex), so (key, id) order is the order of key || id
+    joint = F.concat(F.col("__sw_key"), F.col(id_col).cast("string"))
+    is_val = joint <= F.lit(boundary["__sw_key"] + str(boundary[id_col]))
     return keyed.withColumn("split", F.when(is_val, "validation").otherwise("train")).drop("__sw_key")
 
 

@@ -72,18 +72,26 @@ def prepare_rows(source: DataFrame, operations: list[dict[str, Any]], schema: st
     return mapped.withColumn(FINDINGS, row_findings(mapped, schema, F.col(O.SN)))
 
 
-def apply_limit(rows: DataFrame, limit: int) -> DataFrame:
+def apply_limit(rows: DataFrame, limit: int, shuffled: bool = False) -> DataFrame:
     """Stop after ``limit`` valid rows in processing order; invalid rows count
     only up to that point.  Exact and distributed: the ``limit``-th valid
-    processing key is found by ranking the narrow key column, then both
-    valid and invalid rows are cut by comparison with it."""
+    processing key comes from histogram narrowing (no row shuffle), then
+    both valid and invalid rows are cut by comparison with it."""
     if not limit:
         return rows
     is_valid = F.size(F.filter(F.col(FINDINGS), lambda f: f["severity"] == "error")) == 0
     valid = rows.filter(is_valid)
     if valid.select(KEY).limit(limit).count() < limit:
         return rows
-    boundary = O.kth_row(valid, [KEY], limit)[KEY]
+    if shuffled:
+        from .select import kth_hex
+
+        boundary = kth_hex(valid, KEY, O.SN, limit)[KEY]
+    else:
+        from .select import kth_value
+
+        sn = int(kth_value(valid, O.SN, limit))
+        boundary = f"{sn:020d}"
     return rows.filter((is_valid & (F.col(KEY) <= F.lit(boundary))) | (~is_valid & (F.col(KEY) < F.lit(boundary))))
 
 
@@ -131,7 +139,7 @@ def save_version(spark: SparkSession, source: DataFrame, root: str, dataset: str
         number = 1
     path = f"{root.rstrip('/')}/{dataset}/v{number}"
     rows = prepare_rows(source, operations, schema, mapping, template, shuffle, shuffle_seed)
-    rows = apply_limit(rows, limit).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = apply_limit(rows, limit, shuffle).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         out_cols = O.user_columns(rows)
         errors = F.filter(F.col(FINDINGS), lambda f: f["severity"] == "error")
