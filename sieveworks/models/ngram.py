@@ -104,13 +104,44 @@ def uniform(seed: int, key: Column, step: Column) -> Column:
 
 
 def ngram_sample_table(model: DataFrame) -> DataFrame:
-    """Per state: options in first-seen order with cumulative counts
-    ``(state, next, lo, hi, total)``; a draw ``u·total`` picks the option whose
-    ``[lo, hi)`` interval holds it.  One window per state (bounded by the
-    number of distinct next tokens of that state)."""
+    """Per state: ``(state, nexts, ends, total)`` with the options in
+    first-seen order and their cumulative counts.  One row per state; its
+    arrays are bounded by that state's distinct successors."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("state").orderBy("first_doc", "first_pos")
-    cum = model.withColumn("hi", F.sum("cnt").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    tot = model.groupBy("state").agg(F.sum("cnt").alias("total"))
-    return cum.join(tot, "state").select("state", "next", (F.col("hi") - F.col("cnt")).alias("lo"), "hi", "total")
+    w = Window.partitionBy("state").orderBy("first_doc", "first_pos").rowsBetween(Window.unboundedPreceding, 0)
+    cum = model.withColumn("end", F.sum("cnt").over(w))
+    opts = F.array_sort(F.collect_list(F.struct("first_doc", "first_pos", "next", "end")))
+    per = cum.groupBy("state").agg(opts.alias("o"), F.sum("cnt").alias("total"))
+    return per.select("state", F.transform("o", lambda x: x["next"]).alias("nexts"),
+                      F.transform("o", lambda x: x["end"]).alias("ends"), "total")
+
+
+def ngram_sample(prompts: DataFrame, prompt: str, key: str, model: DataFrame, order: int = 2,
+                 max_new_tokens: int = 30, seed: int = 42, pattern: str = R.TOKEN_PY, lowercase: bool = True,
+                 max_broadcast_states: int = MAX_BROADCAST_STATES) -> DataFrame:
+    """Count-weighted sampling of the next token: draw ``r = floor(u·total)``
+    with ``u = uniform(seed, key, step)`` and take the first option whose
+    cumulative count exceeds ``r``.  Same single-plan chain of joins as
+    ``ngram_generate`` (deterministic, not bit-equal to Python's RNG)."""
+    from ..session import materialize
+
+    table = materialize(ngram_sample_table(model).select(F.col("state").alias("__sw_s"), F.col("nexts").alias("__sw_n"),
+                                                         F.col("ends").alias("__sw_e"), F.col("total").alias("__sw_t")),
+                        "ngram-sample")
+    if table.count() <= max_broadcast_states:
+        table = F.broadcast(table)
+    cur = prompts.select(F.col(key).alias("__sw_k"), prompt_state(F.col(prompt), order, pattern, lowercase)
+                         .alias("__sw_state"), F.array().cast("array<string>").alias("__sw_out"),
+                         F.size(tokens(F.col(prompt), pattern, lowercase)).alias("__sw_ntok"))
+    for step in range(max_new_tokens):
+        j = cur.join(table, cur["__sw_state"] == table["__sw_s"], "left")
+        r = F.floor(uniform(seed, F.col("__sw_k"), F.lit(step)) * F.col("__sw_t"))
+        idx = F.size(F.filter("__sw_e", lambda e: e <= r))
+        tok = F.when(F.col("__sw_s").isNotNull(), F.element_at("__sw_n", idx + 1))
+        nxt_state = F.array_join(F.slice(F.concat(F.split("__sw_state", SEP, -1), F.array(tok)), 2, order), SEP)
+        cur = j.select("__sw_k", F.when(tok.isNotNull(), nxt_state).alias("__sw_state"),
+                       F.when(tok.isNotNull(), F.concat("__sw_out", F.array(tok))).otherwise(F.col("__sw_out"))
+                       .alias("__sw_out"), "__sw_ntok")
+    return cur.select(F.col("__sw_k").alias(key),
+                      F.when(F.col("__sw_ntok") >= order, F.array_join("__sw_out", " ")).alias("text"))

@@ -51,6 +51,14 @@ def q_ngram_generate(spark, sf):
     return N.ngram_generate(prompts, "text", "item_id", best, order=2, max_new_tokens=30)
 
 
+@register("ngram_sample")
+def q_ngram_sample(spark, sf):
+    d = table(spark, sf, "documents")
+    model = N.ngram_fit(d, F.col("text"), F.col("doc_id"), order=2)
+    return N.ngram_sample(table(spark, sf, "benchmark"), "text", "item_id", model, order=2, max_new_tokens=30,
+                          seed=42)
+
+
 @register("stream_ngram_counts", sql(_NGRAM_BASE + " SELECT state, nxt AS next, cnt FROM m"))
 def q_stream_ngram_counts(spark, sf):
     from ..streaming.streams import stream_ngram_counts

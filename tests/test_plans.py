@@ -132,3 +132,34 @@ def test_stratified_split(spark):
     out = O.split_stratified(df, "id", "label", 0.2, 42)
     counts = Counter((r["label"], r["split"]) for r in out.collect())
     assert counts[("a", "test")] + counts[("b", "test")] == 20 and counts[("b", "test")] >= 1
+
+
+def test_ngram_sample_brute_force(spark):
+    import hashlib
+
+    texts = ["a b c a b d a b c", "a b e"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc long, text string")
+    model = N.ngram_fit(df, F.col("text"), F.col("doc"), order=2)
+    prompts = spark.createDataFrame([(7, "x a b")], "id long, p string")
+    got = N.ngram_sample(prompts, "p", "id", model, 2, 4, seed=3).first()["text"]
+    trans = {}
+    for d, t in enumerate(texts):
+        toks = t.split()
+        for i in range(len(toks) - 2):
+            opts = trans.setdefault((toks[i], toks[i + 1]), {})
+            opts[toks[i + 2]] = opts.get(toks[i + 2], 0) + 1  # dict order = first seen
+    state, out = ("a", "b"), []
+    for step in range(4):
+        opts = trans.get(state)
+        if not opts:
+            break
+        u = int(hashlib.sha256(f"3:7:{step}".encode()).hexdigest()[:13], 16) / 2 ** 52
+        r = int(u * sum(opts.values()))
+        acc = 0
+        for tok, cnt in opts.items():
+            acc += cnt
+            if acc > r:
+                break
+        out.append(tok)
+        state = (state[1], tok)
+    assert got == " ".join(out)
