@@ -29,10 +29,12 @@ def transitions(df: DataFrame, text: Column, doc: Column, order: int = 2, patter
     if not 1 <= order <= 8:
         raise ValueError("order must be between 1 and 8")
     t = tokens(text, pattern, lowercase)
-    with_t = df.select(doc.alias("doc"), t.alias("t")).filter(F.size("t") > order)
+    # no filter on size(t): a filter would be pushed below the projection and
+    # tokenise every text twice; a null array simply explodes to no rows
+    with_t = df.select(doc.alias("doc"), t.alias("t"))
     n = F.size("t") - order
     shifted = [F.slice("t", k + 1, n).alias(f"s{k}") for k in range(order + 1)]
-    zipped = F.arrays_zip(*shifted)
+    zipped = F.when(F.size("t") > order, F.arrays_zip(*shifted))
     w = with_t.select("doc", F.posexplode(zipped).alias("pos", "z"))
     state = F.concat_ws(SEP, *[F.col(f"z.s{k}") for k in range(order)])
     return w.select("doc", "pos", state.alias("state"), F.col(f"z.s{order}").alias("next"))

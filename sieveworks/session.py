@@ -25,6 +25,10 @@ def build_session(master: str | None = None, app: str = "sieveworks",
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+    if master and master.startswith("local") and not os.environ.get("SPARK_DRIVER_MEMORY"):
+        # local mode runs every task inside the driver JVM; on a cluster the
+        # executor sizes come from spark-submit instead
+        builder = builder.config("spark.driver.memory", os.environ.get("SIEVEWORKS_LOCAL_MEMORY", "12g"))
     cores = os.cpu_count() or 8
     parts = shuffle_partitions or max(8, 2 * cores)
     builder = (
