@@ -40,14 +40,23 @@ def transitions(df: DataFrame, text: Column, doc: Column, order: int = 2, patter
     return w.select("doc", "pos", state.alias("state"), F.col(f"z.s{order}").alias("next"))
 
 
+_POS_SPAN = 2 ** 32  # a Spark string holds < 2^31 characters, so positions fit
+
+
 def ngram_fit(df: DataFrame, text: Column, doc: Column, order: int = 2, pattern: str = R.TOKEN_PY,
               lowercase: bool = True) -> DataFrame:
-    """``(state, next, cnt, first_doc, first_pos)``."""
+    """``(state, next, cnt, first_doc, first_pos)``.
+
+    First occurrence is the minimum of the exact composite
+    ``doc · 2^32 + pos`` held as ``decimal(38,0)``: a fixed-width mutable
+    buffer, so the aggregate stays a hash aggregate with map-side partial
+    aggregation (a struct minimum would force a sort-based aggregate)."""
     w = transitions(df, text, doc, order, pattern, lowercase)
-    return (w.groupBy("state", "next")
-            .agg(F.count(F.lit(1)).alias("cnt"), F.min(F.struct("doc", "pos")).alias("first"))
-            .select("state", "next", "cnt", F.col("first.doc").alias("first_doc"),
-                    F.col("first.pos").alias("first_pos")))
+    composite = (F.col("doc").cast("decimal(38,0)") * F.lit(_POS_SPAN) + F.col("pos")).cast("decimal(38,0)")
+    agg = w.groupBy("state", "next").agg(F.count(F.lit(1)).alias("cnt"), F.min(composite).alias("first"))
+    return agg.select("state", "next", "cnt",
+                      F.floor(F.col("first") / F.lit(_POS_SPAN)).cast("long").alias("first_doc"),
+                      (F.col("first") % F.lit(_POS_SPAN)).cast("int").alias("first_pos"))
 
 
 def ngram_next(model: DataFrame) -> DataFrame:
