@@ -45,11 +45,19 @@ class VersionResult:
 
 def prepare_rows(source: DataFrame, operations: list[dict[str, Any]], schema: str, mapping: dict[str, Any],
                  template: str = "", shuffle: bool = False, shuffle_seed: int = 42,
-                 numbered: bool = False) -> DataFrame:
+                 numbered: bool = False, keep_source: bool = True) -> DataFrame:
     """Numbered, transformed, mapped, de-duplicated rows with findings.
 
     Output columns: the schema's columns plus ``__sw_sn`` (source number),
-    ``__sw_key`` (processing order), ``__sw_source`` and ``__sw_findings``.
+    ``__sw_key`` (processing order), ``__sw_findings`` and, with
+    ``keep_source``, ``__sw_source`` (the original row).
+
+    Keep-first de-duplication in source order is ``min(source_number)``
+    grouped by the mapped columns — a hash aggregate with map-side partial
+    aggregation; the original row of each survivor is attached afterwards by
+    an equi-join on the source number only when ``keep_source`` asks for it.
+    In a seeded shuffle the first row is the one with the smallest shuffle
+    key (a struct minimum, sort-based aggregate).
     """
     missing = missing_mappings(schema, mapping, template)
     if missing:
@@ -62,13 +70,26 @@ def prepare_rows(source: DataFrame, operations: list[dict[str, Any]], schema: st
     transformed = apply_operations(src, operations)
     mapped = map_to_schema(transformed, schema, mapping, template)
     out_cols = O.user_columns(mapped)
-    order_key = O.seeded_key(shuffle_seed, F.col(O.SN)) if shuffle else F.format_string("%020d", F.col(O.SN))
-    mapped = mapped.withColumn(KEY, order_key)
+
+    def key_of(sn: Column) -> Column:
+        return O.seeded_key(shuffle_seed, sn) if shuffle else F.format_string("%020d", sn)
+
     if wants_dedupe(operations):
-        first = F.min(F.struct(F.col(KEY), F.col(O.SN), F.col(SOURCE))).alias("__sw_first")
-        mapped = (mapped.groupBy(*out_cols).agg(first)
-                  .select(*out_cols, F.col(f"__sw_first.{KEY}").alias(KEY),
-                          F.col(f"__sw_first.{O.SN}").alias(O.SN), F.col(f"__sw_first.{SOURCE}").alias(SOURCE)))
+        if shuffle:
+            parts = [F.col(KEY), F.col(O.SN)] + ([F.col(SOURCE)] if keep_source else [])
+            first = F.min(F.struct(*parts)).alias("__sw_first")
+            mapped = (mapped.withColumn(KEY, key_of(F.col(O.SN))).groupBy(*out_cols).agg(first)
+                      .select(*out_cols, F.col(f"__sw_first.{KEY}").alias(KEY), F.col(f"__sw_first.{O.SN}").alias(O.SN),
+                              *([F.col(f"__sw_first.{SOURCE}").alias(SOURCE)] if keep_source else [])))
+        else:
+            mapped = mapped.groupBy(*out_cols).agg(F.min(O.SN).alias(O.SN))
+            if keep_source:
+                mapped = mapped.join(src.select(O.SN, SOURCE), O.SN, "inner")
+            mapped = mapped.withColumn(KEY, key_of(F.col(O.SN)))
+    else:
+        mapped = mapped.withColumn(KEY, key_of(F.col(O.SN)))
+        if not keep_source:
+            mapped = mapped.drop(SOURCE)
     return mapped.withColumn(FINDINGS, row_findings(mapped, schema, F.col(O.SN)))
 
 
@@ -138,7 +159,9 @@ def save_version(spark: SparkSession, source: DataFrame, root: str, dataset: str
     except Exception:  # no catalog yet
         number = 1
     path = f"{root.rstrip('/')}/{dataset}/v{number}"
-    rows = prepare_rows(source, operations, schema, mapping, template, shuffle, shuffle_seed)
+    numbered_src = O.with_source_number(source)
+    rows = prepare_rows(numbered_src, operations, schema, mapping, template, shuffle, shuffle_seed, numbered=True,
+                        keep_source=False)
     rows = apply_limit(rows, limit, shuffle).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         out_cols = O.user_columns(rows)
@@ -148,7 +171,9 @@ def save_version(spark: SparkSession, source: DataFrame, root: str, dataset: str
         line = line_of(valid, out_cols)
         (valid.orderBy(KEY).select(*out_cols).write.mode("errorifexists")
          .option("ignoreNullFields", "false").json(f"{path}/data"))
-        (invalid.orderBy(KEY).select(F.col(O.SN).alias("row"), errors.alias("findings"), F.col(SOURCE).alias("source"))
+        originals = numbered_src.select(O.SN, F.struct(*[F.col(c) for c in O.user_columns(source)]).alias(SOURCE))
+        (invalid.join(originals, O.SN).orderBy(KEY)
+         .select(F.col(O.SN).alias("row"), errors.alias("findings"), F.col(SOURCE).alias("source"))
          .write.mode("errorifexists").option("ignoreNullFields", "false").json(f"{path}/invalid_rows"))
         stats = rows.agg(
             F.count_if(F.size(errors) == 0).alias("valid"),

@@ -130,7 +130,8 @@ def q_write_invalid_rows(spark, sf):
 @register("export_csv", "SELECT text FROM (" + _FLAGSHIP_SQL + ")")
 def q_export_csv(spark, sf):
     path = scratch_path(spark, "export-csv")
-    rows = VS.prepare_rows(table(spark, sf, "documents"), _PRIVACY_OPS, "text_completion", {"text": "text"})
+    rows = VS.prepare_rows(table(spark, sf, "documents"), _PRIVACY_OPS, "text_completion", {"text": "text"},
+                           keep_source=False)
     W.export_csv(rows.select("text"), path)
     return RD.blank_cells_to_empty(RD.read_csv(spark, path))
 
@@ -138,7 +139,8 @@ def q_export_csv(spark, sf):
 @register("export_json", "SELECT text FROM (" + _FLAGSHIP_SQL + ")")
 def q_export_json(spark, sf):
     path = scratch_path(spark, "export-json")
-    rows = VS.prepare_rows(table(spark, sf, "documents"), _PRIVACY_OPS, "text_completion", {"text": "text"})
+    rows = VS.prepare_rows(table(spark, sf, "documents"), _PRIVACY_OPS, "text_completion", {"text": "text"},
+                           keep_source=False)
     W.export_json(rows.select("text"), path)
     return spark.read.json(path)
 
@@ -146,7 +148,8 @@ def q_export_json(spark, sf):
 @register("export_txt", "SELECT count(*) AS records FROM (" + _FLAGSHIP_SQL + ")")
 def q_export_txt(spark, sf):
     path = scratch_path(spark, "export-txt")
-    rows = VS.prepare_rows(table(spark, sf, "documents"), _PRIVACY_OPS, "text_completion", {"text": "text"})
+    rows = VS.prepare_rows(table(spark, sf, "documents"), _PRIVACY_OPS, "text_completion", {"text": "text"},
+                           keep_source=False)
     W.export_txt(rows.select(F.to_json(F.struct("text")).alias("record")), path)
     back = spark.read.option("lineSep", "\n\n").text(path)
     return back.agg(F.count_if(F.col("value") != "").alias("records"))

@@ -53,14 +53,15 @@ _FLAGSHIP_SQL = sql(
 
 @register("prepare_version", _FLAGSHIP_SQL)
 def q_prepare_version(spark, sf):
-    rows = prepare_rows(table(spark, sf, "documents"), _PRIVACY_OPS, "text_completion", {"text": "text"})
+    rows = prepare_rows(table(spark, sf, "documents"), _PRIVACY_OPS, "text_completion", {"text": "text"},
+                        keep_source=False)
     return rows.select(F.col(O.SN).alias("row"), "text", (F.size(_errors(rows)) == 0).alias("valid"))
 
 
 @register("remove_duplicates", "SELECT CAST(min(doc_id) + 1 AS BIGINT) AS row, text FROM documents GROUP BY text")
 def q_remove_duplicates(spark, sf):
     rows = prepare_rows(table(spark, sf, "documents"), [{"type": "remove_duplicates"}], "text_completion",
-                        {"text": "text"})
+                        {"text": "text"}, keep_source=False)
     return rows.select(F.col(O.SN).alias("row"), "text")
 
 
