@@ -80,3 +80,28 @@ def allowed_final_file(path: str) -> bool:
         return False
     name = parts[-1] if parts else ""
     return name in FINAL_ARTIFACT_NAMES or any(re.fullmatch(p, name) for p in FINAL_ARTIFACT_PATTERNS)
+
+
+def export_json_arrays(df: DataFrame, path: str) -> DataFrame:
+    """One JSON array file per task (``[{...}, ...]``), written by the tasks
+    through pyarrow's filesystem layer; returns the written file paths."""
+    import uuid
+
+    import pandas as pd
+
+    lines = df.select(F.to_json(F.struct(*[F.col(c) for c in df.columns]), {"ignoreNullFields": "false"})
+                      .alias("j"))
+
+    def run(batches):
+        from .files import filesystem_for
+
+        filesystem, base = filesystem_for(path)
+        parts = [j for pdf in batches for j in pdf["j"]]
+        if parts:
+            filesystem.create_dir(base, recursive=True)
+            target = f"{base}/part-{uuid.uuid4().hex}.json"
+            with filesystem.open_output_stream(target) as out:
+                out.write(("[" + ",\n".join(parts) + "]").encode("utf-8"))
+            yield pd.DataFrame({"path": [target]})
+
+    return lines.mapInPandas(run, "path string")

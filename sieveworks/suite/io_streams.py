@@ -41,6 +41,13 @@ def q_read_jsonl(spark, sf):
                                                     T.StructField("text", T.StringType())]))
 
 
+@register("read_json", "SELECT doc_id, lang, text FROM documents")
+def q_read_json(spark, sf):
+    path = scratch_path(spark, "json-arrays")
+    W.export_json_arrays(table(spark, sf, "documents").select("doc_id", "lang", "text"), path).count()
+    return RD.read_json(spark, path).select("doc_id", "lang", "text")
+
+
 @register("read_text_lines", sql("SELECT " + strip_sql("line") + " AS text FROM (SELECT unnest(string_split(text, "
                                  "chr(10))) AS line FROM documents) WHERE NOT regexp_full_match(line, '[%SP%]*')"))
 def q_read_text_lines(spark, sf):

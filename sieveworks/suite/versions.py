@@ -249,6 +249,13 @@ def q_split_train_validation(spark, sf):
     return O.split_train_validation(table(spark, sf, "documents").select("doc_id"), "doc_id", 0.2, 42)
 
 
+@register("split_stratified")
+def q_split_stratified(spark, sf):
+    """Per-quality test quota over the labelled documents."""
+    return O.split_stratified(table(spark, sf, "labels"), "doc_id", "quality", 0.2, 42).select("doc_id", "quality",
+                                                                                              "split")
+
+
 @register("top_n_recent", "SELECT event_id, value FROM events ORDER BY ts DESC, event_id DESC LIMIT 30")
 def q_top_n_recent(spark, sf):
     return O.top_n_recent(table(spark, sf, "events").select("event_id", "ts", "value"), "ts", 30,
