@@ -120,14 +120,15 @@ def line_of(df: DataFrame, cols: list[str]) -> Column:
     return F.to_json(F.struct(*[F.col(c) for c in cols]), {"ignoreNullFields": "false"})
 
 
-def merkle_fingerprint(df: DataFrame, position: Column, line: Column, fanout: int = 4096) -> str:
+def merkle_fingerprint(df: DataFrame, position: Column, line: Column, fanout: int = 4096,
+                       hashed: bool = False) -> str:
     """Order-aware SHA-256 tree over the output lines.
 
-    Leaves are ``sha2(line)``; each level hashes ``fanout`` consecutive
+    Leaves are ``sha2(line)`` (or given hashes); each level hashes ``fanout`` consecutive
     children (by position), so every group is bounded and the tree is
     built with ordinary aggregates.  The root hex digest is returned.
     """
-    level = df.select(position.cast("long").alias("p"), F.sha2(line, 256).alias("h"))
+    level = df.select(position.cast("long").alias("p"), (line if hashed else F.sha2(line, 256)).alias("h"))
     while True:
         grouped = (level.groupBy(F.floor(F.col("p") / fanout).cast("long").alias("p"))
                    .agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "h"))),
@@ -182,8 +183,9 @@ def save_version(spark: SparkSession, source: DataFrame, root: str, dataset: str
             F.sum(F.when(F.size(errors) == 0, F.octet_length(line_of(rows, out_cols)) + 1)).alias("bytes"),
         ).collect()[0]
         codes = dict(rows.select(F.explode(FINDINGS).alias("f")).groupBy("f.code").count().collect())
-        positioned = O.with_global_position(valid.select(KEY, line.alias("line")), [F.col(KEY)], "pos")
-        sha = merkle_fingerprint(positioned, F.col("pos"), F.col("line"))
+        # only the 64-character leaf hashes are ranked, never the lines
+        positioned = O.with_global_position(valid.select(KEY, F.sha2(line, 256).alias("leaf")), [F.col(KEY)], "pos")
+        sha = merkle_fingerprint(positioned, F.col("pos"), F.col("leaf"), hashed=True)
     finally:
         rows.unpersist()
     valid_n, invalid_n = int(stats["valid"]), int(stats["invalid"])
