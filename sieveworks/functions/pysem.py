@@ -7,6 +7,7 @@ These helpers keep that behaviour inside Catalyst expressions (no UDF).
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,43 +24,20 @@ def dtype_of(df: DataFrame, name: str) -> T.DataType | None:
     return None
 
 
+@F.pandas_udf(T.StringType())
+def _float_repr(s: pd.Series) -> pd.Series:
+    return s.map(lambda v: None if v is None else repr(float(v)))
+
+
 def py_float_repr(c: Column) -> Column:
-    """``repr(float)`` for a double column (shortest digits, Python layout).
-
-    Spark prints ``1.0E10`` / ``1.0E-4``; Python prints ``10000000000.0`` and
-    ``0.0001`` and switches to exponent form only below 1e-4 or from 1e16.
-    """
-    s = c.cast("string")
-    sign = F.when(s.startswith("-"), F.lit("-")).otherwise(F.lit(""))
-    body = F.regexp_replace(s, "^-", "")
-    has_exp = body.contains("E")
-    mant = F.substring_index(body, "E", 1)
-    exp = F.substring_index(body, "E", -1).cast("int")
-    digits = F.regexp_replace(F.regexp_replace(mant, "\\.", ""), "0+$", "")
-    digits = F.when(digits == "", F.lit("0")).otherwise(digits)
-    ndig = F.length(digits)
-    # positional for 0 <= exp < 16
-    pos_big = F.when(
-        ndig <= exp + 1,
-        F.concat(digits, F.repeat(F.lit("0"), exp + 1 - ndig), F.lit(".0")),
-    ).otherwise(F.concat(F.substring(digits, F.lit(1), exp + 1), F.lit("."),
-                         F.substring(digits, exp + 2, F.lit(1000))))
-    # positional for exp == -4 (Python keeps 1e-4 <= |x| < 1e-3 positional)
-    pos_small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exp - 1), digits)
-    frac = F.substring(digits, 2, 1000)
-    exp_abs = F.abs(exp)
-    sci = F.concat(
-        F.substring(digits, 1, 1),
-        F.when(frac == "", F.lit("")).otherwise(F.concat(F.lit("."), frac)),
-        F.lit("e"),
-        F.when(exp < 0, F.lit("-")).otherwise(F.lit("+")),
-        F.when(exp_abs < 10, F.concat(F.lit("0"), exp_abs.cast("string"))).otherwise(exp_abs.cast("string")),
-    )
-    converted = F.when((exp >= 0) & (exp < 16), pos_big).when((exp < 0) & (exp >= -4), pos_small).otherwise(sci)
-    special = (F.when(F.isnan(c), F.lit("nan"))
-               .when(c == float("inf"), F.lit("inf"))
-               .when(c == float("-inf"), F.lit("-inf")))
-    return F.coalesce(special, F.when(has_exp, F.concat(sign, converted)).otherwise(s))
+    """``repr(float)`` for a double column.
+
+    Python's shortest round-trip digits and layout are the definition, and
+    the JVM's ``toString`` is not always shortest (JDK 17), so this is a
+    small Arrow-batched pandas UDF; it only runs where a double is turned
+    into text (joins of columns, hashes, templates, string conversion)."""
+    x = c.cast("double")
+    return F.when(x.isNotNull(), _float_repr(x))
 
 
 def py_str(c: Column, dtype: T.DataType | None, null_text: str = NONE_TEXT) -> Column:

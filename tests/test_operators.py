@@ -124,7 +124,8 @@ def test_unknown_operation(spark):
 
 
 def test_py_float_repr_and_parse(spark):
-    vals = [1.0, 1e16, 1.5e16, 1e-5, 0.0001, 12345678.9, 1e22, -2.5e-7, 100.0, 3e15, 0.1 + 0.2]
+    vals = [1.0, 1e16, 1.5e16, 1e-5, 0.0001, 12345678.9, 1e22, -2.5e-7, 100.0, 3e15, 0.1 + 0.2, -0.0, 5e-324,
+            1.7976931348623157e308, 2e23, 5.989644334314955e+16]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in vals], "x double").select(py_float_repr(F.col("x"))).collect()]
     assert got == [repr(v) for v in vals]
     texts = [" 1_0 ", "1e3", "inf", "-Infinity", "nan", "1d", "abc", ".5", "5.", "1__0"]
@@ -149,3 +150,22 @@ def test_java_translation_classes():
     assert "\\x{3000}" in R.SPACE_BODY and "\\x{1C}-\\x{20}" in R.SPACE_BODY
     assert R.to_java(r"(?P<a>\w)(?P=a)") == "(?<a>[\\p{L}\\p{N}_])\\k<a>"
     assert R.replacement_to_java(r"\1-$") == "$1-\\$"
+
+
+def test_py_float_repr_property(spark):
+    """repr(float) parity on random doubles across magnitudes (hypothesis)."""
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    seen: list[float] = []
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.floats(allow_nan=False, allow_infinity=False, width=64))
+    def collect(v):
+        seen.append(v)
+
+    collect()
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in seen], "x double")
+           .select(py_float_repr(F.col("x"))).collect()]
+    bad = [(v, g) for v, g in zip(seen, got) if g != repr(v)]
+    assert not bad, bad[:5]
