@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import ann, bpe, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -39,3 +39,26 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                           F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+
+
+@_query("op2_exact_top_k", """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)) AS vec FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.vec, c.vec)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM s QUALIFY rank <= 10""")
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each hundredth vector's 10 largest integer inner products."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.exact_top_k(vectors, vectors.filter("vec_id % 100 = 0"), "vec_id", "embedding", k=10)
+
+
+@_query("op10_graph_neighbours")
+def op10_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each fiftieth vector's 5 nearest by cosine, from the graph index."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.filter("vec_id % 50 = 0"), "vec_id", "embedding", k=5)
