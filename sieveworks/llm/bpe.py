@@ -294,16 +294,15 @@ class Codec:
         return b"".join(map(self.vocabulary.bytes_of.__getitem__, ids))
 
 
-_CODECS: dict[tuple[int, str], Codec] = {}
+#: One codec per Python worker: what it remembers serves later tasks as well.
+_WORKER: dict[str, object] = {}
 
 
 def _codec(ranks: Broadcast, pattern: str) -> Codec:
-    """One codec per Python worker; its pieces stay remembered between tasks."""
-    key = (ranks._jbid if hasattr(ranks, "_jbid") else id(ranks.value), pattern)
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(Vocabulary(ranks.value), pattern)
-    return _CODECS[key]
+    table = ranks.value
+    if _WORKER.get("pattern") != pattern or _WORKER.get("ranks") != table:
+        _WORKER.update(pattern=pattern, ranks=table, codec=Codec(Vocabulary(table), pattern))
+    return _WORKER["codec"]
 
 
 def share_ranks(spark: SparkSession, path: str) -> Broadcast:
@@ -333,13 +332,12 @@ def encode(df: DataFrame, ranks: Broadcast, pattern: str, text_col: str = "text"
     return df.mapInArrow(run, spark_schema_with(df.select(*kept), [(ids_col, T.ArrayType(T.IntegerType()))]))
 
 
-def decode(df: DataFrame, ranks: Broadcast, pattern: str, ids_col: str = "ids",
-           out_col: str = "decoded") -> DataFrame:
+def decode(df: DataFrame, ranks: Broadcast, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Adds ``out_col`` (binary): the bytes that the ids stand for."""
     def run(batches):
-        codec = _codec(ranks, pattern)
+        bytes_of = {rank: token for token, rank in ranks.value.items()}.__getitem__
         for batch in slices(batches):
-            out = [codec.decode(ids) if ids else b"" for ids in batch.column(ids_col).to_pylist()]
+            out = [b"".join(map(bytes_of, ids)) if ids else b"" for ids in batch.column(ids_col).to_pylist()]
             yield arrow_append(batch, [(out_col, pa.array(out, pa.binary()))])
 
     return df.mapInArrow(run, spark_schema_with(df, [(out_col, T.BinaryType())]))

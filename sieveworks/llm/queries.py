@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, topk
+from . import ann, bpe, lines, mixing, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -35,7 +35,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.share_ranks(spark, public_tokenizers.path(TOKENIZER))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.encode(docs, ranks, public_tokenizers.PATTERN, keep=["doc_id"])
-    decoded = bpe.decode(coded, ranks, public_tokenizers.PATTERN)
+    decoded = bpe.decode(coded, ranks)
     ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                           F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
@@ -43,9 +43,9 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op2_exact_top_k", """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)) AS vec FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS vec FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.vec, c.vec)::BIGINT AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
@@ -62,3 +62,61 @@ def op10_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each fiftieth vector's 5 nearest by cosine, from the graph index."""
     vectors = table(spark, sf_dir, "embeddings")
     return ann.nearest(vectors, vectors.filter("vec_id % 50 = 0"), "vec_id", "embedding", k=5)
+
+
+@_query("op3_line_windows", """
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+i AS (SELECT doc_id, lines, unnest(range(0, len(lines) - 2)) AS pos FROM d),
+w AS (SELECT doc_id, pos, lines[pos + 1] AS a, lines[pos + 2] AS b, lines[pos + 3] AS c FROM i),
+r AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, pos) AS nth FROM w
+      WHERE NOT (trim(a) = '' AND trim(b) = '' AND trim(c) = '')),
+g AS (SELECT doc_id, list(DISTINCT pos + k) AS gone FROM r, (VALUES (0), (1), (2)) v(k) WHERE nth > 1 GROUP BY doc_id),
+k AS (SELECT doc_id, text, len(lines) AS n_lines, gone,
+        list_transform(list_filter(range(0, len(lines)), lambda x: NOT list_contains(gone, x)), lambda x: lines[x + 1]) AS kept
+      FROM d LEFT JOIN g USING (doc_id))
+SELECT doc_id, CASE WHEN gone IS NULL THEN text ELSE coalesce(array_to_string(kept, chr(10)), '') END AS text,
+  coalesce(n_lines, 0)::BIGINT AS n_lines,
+  CASE WHEN gone IS NULL THEN 0 ELSE n_lines - len(kept) END::BIGINT AS n_removed FROM k""")
+def op3_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the later occurrences of repeated three-line windows."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.remove_repeated_windows(docs)
+
+
+@_query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text; labels of one fold in five are held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held_out)
+    scored = toxicity.score(docs, labels, keep=["doc_id"])
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@_query("op6_source_mix", r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    len(regexp_extract_all(coalesce(text, ''), '[^\p{L}\p{N}\x20\x09-\x0D]')) AS marks,
+    md5(concat('11:', coalesce(doc_id::VARCHAR, ''), ':', coalesce(text, ''))) AS tie FROM documents),
+k AS (SELECT *, -ln((('0x' || tie[1:13])::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
+                / (greatest(size, 1) / (greatest(size, 1) + marks + 1.0)) AS key FROM d),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place
+      FROM k GROUP BY source),
+w AS (SELECT *, 2.0 * source_size AS cap, [5.0, 2.0, 1.0][((place - 1) % 3 + 1)::INT]::DOUBLE AS weight,
+        1.5 * sum(source_size) OVER () AS total FROM s),
+o AS (SELECT *, total - coalesce(sum(cap) OVER (f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+        sum(weight) OVER (f ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS heavy
+      FROM w WINDOW f AS (ORDER BY cap / weight, place)),
+l AS (SELECT rest, heavy FROM o WHERE NOT rest::DOUBLE * weight / heavy > cap ORDER BY cap / weight, place LIMIT 1),
+t AS (SELECT w.source, source_size, least(l.rest::DOUBLE * weight / l.heavy, cap)::DOUBLE AS target FROM w, l),
+p AS (SELECT doc_id, size, source_size, target,
+        CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs,
+        sum(size) OVER (PARTITION BY k.source ORDER BY key, tie) - size / 2.0 AS middle
+      FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size::BIGINT AS size, source_size, target,
+  (epochs + CASE WHEN middle <= target - epochs * source_size AND target - epochs * source_size > 0
+            THEN 1 ELSE 0 END)::INT AS copies, (size * copies)::BIGINT AS taken FROM p""")
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to their sources' targets."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs, columns=["doc_id"])

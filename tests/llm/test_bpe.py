@@ -65,7 +65,7 @@ def test_frames(session):
     ranks = bpe.share_ranks(session, public_tokenizers.path(TOKENIZER))
     rows = [(1, "a b", "x"), (None, None, "y"), (3, "", None), (3, "", None), (4, "long " * 30_000, "z")]
     df = session.createDataFrame(rows, "doc_id long, text string, ids string")
-    out = bpe.decode(bpe.encode(df, ranks, public_tokenizers.PATTERN), ranks, public_tokenizers.PATTERN).collect()
+    out = bpe.decode(bpe.encode(df, ranks, public_tokenizers.PATTERN), ranks).collect()
     assert [r["doc_id"] for r in out] == [1, None, 3, 3, 4]
     assert [bytes(r["decoded"]).decode() for r in out] == [r[1] or "" for r in rows]
     assert [r["ids"] for r in out] == [PEER.encode_ordinary(r[1] or "") for r in rows]
