@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, lines, mixing, topk, toxicity
+from . import ann, bpe, lines, mixing, near_dup, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -120,3 +120,10 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to their sources' targets."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs, columns=["doc_id"])
+
+
+@_query("op8_near_duplicates")
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document and the row each class keeps."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dup.classes(docs).select("doc_id", "class_id", "kept")
