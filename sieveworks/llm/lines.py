@@ -62,10 +62,10 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     gone = materialize(gone.select(F.col("k1").alias("__g1"), F.col("k2").alias("__g2"), F.col("starts")
                                    .alias("__starts")), "line-removals")
 
-    keyed = docs.withColumns(key).join(gone, F.expr("__k1 = __g1 AND __k2 = __g2"), "left")
+    # a sort-merge join at any size: the removals grow with the corpus
+    keyed = docs.withColumns(key).join(gone.hint("merge"), F.expr("__k1 = __g1 AND __k2 = __g2"), "left")
     covered = F.flatten(F.transform("__starts", lambda s: F.transform(F.lit(list(range(window))), lambda i: s + i)))
     left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), covered)
-    text = F.array_join(F.transform(left, lambda i: F.get("__lines", i)), "\n")
     out = keyed.withColumn("__lines", lines).withColumn("__left", F.when(F.col("__starts").isNotNull(), left))
     text = F.when(F.col("__starts").isNull(), F.col(text_col)).otherwise(
         F.array_join(F.transform("__left", lambda i: F.get("__lines", i)), "\n"))
