@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, lines, mixing, near_dup, topk, toxicity
+from . import ann, bpe, chunks, lines, mixing, near_dup, quality, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -127,3 +127,19 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document and the row each class keeps."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_dup.classes(docs).select("doc_id", "class_id", "kept")
+
+
+@_query("op7_quality")
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text; labels of one fold in four are held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").filter(~held_out)
+    scored = quality.score(docs, labels, keep=["doc_id"])
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@_query("op5_content_chunks")
+def op5_content_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the later occurrences of repeated chunks."""
+    return chunks.remove_repeated_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))

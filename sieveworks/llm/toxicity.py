@@ -34,14 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import arrow_append, materialize, slices, spark_schema_with
+from .frames import arrow_append, slices, spark_schema_with
+from .labelled import drawn, labelled_texts
 
 ALPHABET = 60
 FEATURES = 4096
 SAMPLE_ROWS = 12_000
 MIN_DOCS = 4             # documents of label 1 that a feature needs
 TOKENS_REMEMBERED = 200_000
-BROADCAST_LABELS = 2_000_000   # (id, label) rows sent to every executor at most
 COUNTS_HELD = 400_000    # distinct features a task counts before it passes them on
 LATTICE_LETTERS = 40     # longer suspicious tokens are decoded in pieces of this size
 
@@ -270,15 +270,7 @@ def score(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(fit_char_model(docs, text_col))
 
-    known = materialize(labelled.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label"))
-                        .filter("__id IS NOT NULL AND label IN (0, 1)"), "toxicity-labels")
-    totals = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n1, n0 = totals.get(1, 0), totals.get(0, 0)
-    if n1 + n0 <= BROADCAST_LABELS:   # else both sides are shuffled, with the same result
-        known = F.broadcast(known)
-    train = (docs.join(known, F.col(id_col) == F.col("__id"))
-             .select("label", F.col(text_col).alias("text"), F.xxhash64("__id", F.lit(5)).alias("draw")))
-
+    train, n1, n0 = labelled_texts(docs, labelled, id_col, text_col, label_col, "toxicity-labels")
     if n1 and n0:
         index = {f: i for i, f in enumerate(_evidence(train, model, n1, n0))}
         weights, bias = _fit(train, model, index, n1 + n0)
@@ -374,9 +366,7 @@ def _fit(train: DataFrame, model, index: dict[str, int], rows: int):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int32()))],
                                              names=["label", "draw", "f"])
 
-    chance = min(1.0, SAMPLE_ROWS / max(1, rows))
-    drawn = train.filter(F.pmod("draw", F.lit(1 << 20)) < int(chance * (1 << 20)))
-    got = (drawn.mapInArrow(run, "label int, draw long, f array<int>")
+    got = (drawn(train, SAMPLE_ROWS, rows).mapInArrow(run, "label int, draw long, f array<int>")
            .orderBy("draw", "label", F.col("f").cast("string")).limit(SAMPLE_ROWS).collect())
     return fit_logistic([np.array(r["f"], dtype=np.int64) for r in got], np.array([r["label"] for r in got], float),
                         len(index))
