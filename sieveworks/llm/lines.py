@@ -34,9 +34,9 @@ def _hash128(seed: int, *cols: Column) -> tuple[Column, Column]:
 
 
 def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                            window: int = WINDOW) -> DataFrame:
-    """``docs`` with repeated lines removed from ``text_col``, and ``n_lines``
-    and ``n_removed`` (lines before, lines removed)."""
+                            window: int = WINDOW, counts: bool = True) -> DataFrame:
+    """``docs`` with repeated lines removed from ``text_col``, and with
+    ``counts`` also ``n_lines`` and ``n_removed`` (lines before, removed)."""
     key = dict(zip(("__k1", "__k2"), _hash128(7, F.col(id_col), F.col(text_col)), strict=True))
     lines = F.split(F.col(text_col), "\n", -1)
 
@@ -71,6 +71,6 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
         F.array_join(F.transform("__left", lambda i: F.get("__lines", i)), "\n"))
     n_lines = F.coalesce(F.when(F.col(text_col).isNotNull(), F.size("__lines")), F.lit(0)).cast("long")
     n_removed = F.when(F.col("__starts").isNull(), F.lit(0)).otherwise(F.size("__lines") - F.size("__left"))
-    new = {"n_lines": n_lines, "n_removed": n_removed.cast("long")}
+    new = {"n_lines": n_lines, "n_removed": n_removed.cast("long")} if counts else {}
     kept = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns if c.lower() not in new]
     return out.select(*kept, *[v.alias(n) for n, v in new.items()])

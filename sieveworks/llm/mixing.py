@@ -102,11 +102,9 @@ def _ends_in(rows: DataFrame, need: DataFrame, slot: str) -> DataFrame:
                     F.col("before").alias("taken_before"), "need"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 11,
-        columns: list[str] | None = None) -> DataFrame:
-    """``columns`` of ``docs`` (all by default) and size, source_size, target,
-    copies (how often the mix takes the document) and taken (words)."""
+def _decided(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple, share: float, most: float,
+             seed: int) -> DataFrame:
+    """``docs`` with the decision in columns of their own."""
     text = F.col(text_col)
     size, key, tie = F.col("__mix_size"), F.col("__mix_key"), F.col("__mix_tie")
     if any(c.lower().startswith("__mix_") for c in docs.columns):
@@ -155,7 +153,26 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             AND (__mix_key < __mix_edge OR (__mix_key = __mix_edge AND __mix_tie <= __mix_edge_tie))))),
         __mix_end IS NULL AND __mix_target - __mix_epochs * __mix_total > 0)""")
     copies = F.col("__mix_epochs") + F.coalesce(inside, F.lit(False)).cast("int")
+    return decided.withColumn("__mix_copies", copies)
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+        weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 11,
+        columns: list[str] | None = None) -> DataFrame:
+    """``columns`` of ``docs`` (all by default) and size, source_size, target,
+    copies (how often the mix takes the document) and taken (words)."""
+    decided = _decided(docs, id_col, text_col, source_col, weights, share, most, seed)
+    size, copies = F.col("__mix_size"), F.col("__mix_copies")
     new = {"size": size, "source_size": F.col("__mix_total"), "target": F.col("__mix_target"),
            "copies": copies, "taken": size * copies}
     kept = [c for c in (columns or docs.columns) if c.lower() not in new]
     return decided.select(*[F.col(c) for c in kept], *[v.alias(n) for n, v in new.items()])
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+               weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 11) -> DataFrame:
+    """The mix itself: each document as often as the mix takes it, with the
+    columns of ``docs``."""
+    decided = _decided(docs, id_col, text_col, source_col, weights, share, most, seed).filter("__mix_copies > 0")
+    again = F.explode(F.array_repeat(F.lit(1), F.col("__mix_copies")))
+    return decided.select(*[F.col(c) for c in docs.columns], again.alias("__mix_again")).drop("__mix_again")

@@ -261,8 +261,10 @@ def fit_logistic(rows: list[np.ndarray], labels: np.ndarray, n: int, l2: float =
 
 
 def score(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          label_col: str = "toxic", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (its columns ``keep``) with ``score`` and ``predicted``.
+          label_col: str = "toxic", keep: list[str] | None = None,
+          names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``docs`` (its columns ``keep``) with the score and whether it reaches
+    0.5, under ``names``.
 
     ``labelled`` holds (id, label) of the rows to learn from; their texts come
     from ``docs``.
@@ -307,13 +309,13 @@ def score(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
                         seen.update(f for word in words for f in features_of(word) if f in value)
                 z.append(bias + sum(map(value.__getitem__, sorted(seen))))
             p = 1 / (1 + np.exp(-np.clip(np.array(z, dtype=float), -700, 700)))
-            yield arrow_append(batch.select(kept), [("score", pa.array(p)),
-                                                    ("predicted", pa.array((p >= 0.5).astype(np.int32)))])
+            yield arrow_append(batch.select(kept), [(names[0], pa.array(p)),
+                                                    (names[1], pa.array((p >= 0.5).astype(np.int32)))])
 
     columns = list(dict.fromkeys([*kept, text_col]))
     source = docs.select(*columns)
     return source.mapInArrow(run, spark_schema_with(
-        source.select(*kept), [("score", T.DoubleType()), ("predicted", T.IntegerType())]))
+        source.select(*kept), [(names[0], T.DoubleType()), (names[1], T.IntegerType())]))
 
 
 def _features(restorer: Restorer, text: str | None) -> set[str]:
