@@ -12,17 +12,17 @@ BROADCAST_LABELS = 2_000_000   # (id, label) rows sent to every executor at most
 
 def labelled_texts(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str, label_col: str,
                    name: str) -> tuple[DataFrame, int, int]:
-    """(label, text, draw) of the rows with label 0 or 1, and how many labels
-    of 1 and of 0 there are.  ``draw`` is a hash of the id, for samples."""
+    """(label, text, draw) of the documents with label 0 or 1, and how many of
+    label 1 and of label 0 there are.  ``draw`` is a hash of the id, for
+    samples."""
     known = materialize(labelled.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label"))
                         .filter("__id IS NOT NULL AND label IN (0, 1)"), name)
-    totals = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n1, n0 = totals.get(1, 0), totals.get(0, 0)
-    if n1 + n0 <= BROADCAST_LABELS:   # else both sides are shuffled, with the same result
+    if known.count() <= BROADCAST_LABELS:   # else both sides are shuffled, with the same result
         known = F.broadcast(known)
     train = (docs.join(known, F.col(id_col) == F.col("__id"))
              .select("label", F.col(text_col).alias("text"), F.xxhash64("__id", F.lit(5)).alias("draw")))
-    return train, n1, n0
+    totals = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return train, totals.get(1, 0), totals.get(0, 0)
 
 
 def drawn(train: DataFrame, sample: int, rows: int) -> DataFrame:

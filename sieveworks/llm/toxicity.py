@@ -241,7 +241,7 @@ def fit_char_model(docs: DataFrame, text_col: str, letters: int = ALPHABET) -> C
 def fit_logistic(rows: list[np.ndarray], labels: np.ndarray, n: int, l2: float = 0.1, steps: int = 600):
     """Weights and bias by gradient steps of adapted size on sparse 0/1 rows;
     the rarer label counts more, by the root of the classes' ratio."""
-    sizes = np.array([len(r) for r in rows])
+    sizes = np.array([len(r) for r in rows], dtype=np.int64)
     cols = np.concatenate(rows) if len(rows) else np.empty(0, int)
     owner = np.repeat(np.arange(len(rows)), sizes)
     ones = labels.sum()
