@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chunks, lines, mixing, near_dup, quality, topk, toxicity
+from . import ann, bpe, chunks, lines, mixing, near_dup, quality, substrings, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -143,3 +143,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_content_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the later occurrences of repeated chunks."""
     return chunks.remove_repeated_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@_query("op9_suffix_dedup")
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the bytes of repeated 400-byte strings."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = substrings.remove_repeated_substrings(docs, keep=["doc_id"])
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
