@@ -51,12 +51,14 @@ def to_java(pattern: str) -> str:
     """Rewrite a Python regular expression for java.util.regex.
 
     Handles the class escapes whose meaning differs (\\w \\W \\d \\D \\s \\S
-    \\b \\B), ``\\Z`` and the ``(?P<name>..)`` / ``(?P=name)`` group syntax.
-    Everything else is shared syntax and passes through unchanged.
+    \\b \\B), ``\\Z``, the ``(?P<name>..)`` / ``(?P=name)`` group syntax, ``&&``
+    inside a class (an intersection in Java) and ``(?i)`` (Unicode-aware in
+    Python).  A pattern with ``.``, ``^`` or ``$`` gets ``(?d)``, so that only
+    the line feed ends a line.  Other syntax is shared.
     """
     out: list[str] = []
     i = 0
-    in_class = False
+    in_class = lines = False
     n = len(pattern)
     boundary = f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
     non_boundary = f"(?:(?<={WORD})(?={WORD})|(?<!{WORD})(?!{WORD}))"
@@ -94,9 +96,18 @@ def to_java(pattern: str) -> str:
                 out.append("\\[")
                 i += 1
                 continue
-            out.append(ch)
+            out.append("\\&" if ch == "&" else ch)
             i += 1
             continue
+        if ch in ".^$":
+            lines = True
+        flags = re.match(r"\(\?([aimsux]+)(-[imsx]+)?([:)])", pattern[i:])
+        if flags:
+            on = flags.group(1)
+            on = on.replace("a", "") if "a" in on else on + ("u" if "i" in on and "u" not in on else "")
+            out.append(f"(?{on}{flags.group(2) or ''}{flags.group(3)}")
+            i += flags.end()
+            continue
         if ch == "[":
             in_class = True
             if pattern.startswith("[^", i):
@@ -120,7 +131,7 @@ def to_java(pattern: str) -> str:
             continue
         out.append(ch)
         i += 1
-    return "".join(out)
+    return ("(?d)" if lines else "") + "".join(out)
 
 
 _SIMPLE_ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "f": "\f", "v": "\v", "a": "\a", "b": "\b", "\\": "\\"}

@@ -100,11 +100,10 @@ def replace_text(c: Column, old: str, new: str) -> Column:
 
 
 MAX_REGEX_PATTERN = 300
-MAX_REGEX_INPUT = 200_000
 
 
 def regex_replace(c: Column, pattern: str, replacement: str = "", dialect: str = "java") -> Column:
-    """``re.sub(pattern, replacement, value[:200000])``.
+    """``re.sub(pattern, replacement, value)`` over the whole text.
 
     ``dialect="java"`` rewrites the Python pattern and template for the JVM
     engine (the fast path); ``dialect="python"`` evaluates with ``re`` in a
@@ -113,7 +112,6 @@ def regex_replace(c: Column, pattern: str, replacement: str = "", dialect: str =
     if len(pattern) > MAX_REGEX_PATTERN:
         raise ValueError("Regular-expression patterns are limited to 300 characters.")
     re.compile(pattern)
-    cut = F.substring(c, 1, MAX_REGEX_INPUT)
     if dialect == "python":
         compiled_pattern, repl = pattern, replacement
 
@@ -122,8 +120,8 @@ def regex_replace(c: Column, pattern: str, replacement: str = "", dialect: str =
             rx = re.compile(compiled_pattern)
             return s.map(lambda v: None if v is None else rx.sub(repl, v))
 
-        return _sub(cut)
-    return F.regexp_replace(cut, R.to_java(pattern), R.replacement_to_java(replacement))
+        return _sub(c)
+    return F.regexp_replace(c, R.to_java(pattern), R.replacement_to_java(replacement))
 
 
 def redact_emails(c: Column, replacement: str = "[EMAIL]") -> Column:
@@ -158,9 +156,13 @@ def stop_truncate(c: Column, stops: list[str]) -> Column:
 
 
 def tokenize_regex(c: Column, pattern: str = R.TOKEN_PY, lowercase: bool = False) -> Column:
-    """``re.findall(pattern, text)`` (patterns without capture groups)."""
+    """``re.findall(pattern, text)``: whole matches, or the group's text when
+    the pattern has one group."""
+    groups = re.compile(pattern).groups
+    if groups > 1:
+        raise ValueError("Token patterns may have one capture group at most.")
     text = F.lower(c) if lowercase else c
-    return F.regexp_extract_all(text, F.lit("(" + R.to_java(pattern) + ")"), 1)
+    return F.regexp_extract_all(text, F.lit(R.to_java(pattern)), groups)
 
 
 def token_estimate(json_line: Column) -> Column:

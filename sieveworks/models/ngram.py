@@ -11,13 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pyregex as R
+from ..functions.text import tokenize_regex
 
 SEP = "\u001f"  # state tokens are joined with the unit separator
 
 
 def tokens(text: Column, pattern: str = R.TOKEN_PY, lowercase: bool = True) -> Column:
-    value = F.lower(text) if lowercase else text
-    return F.regexp_extract_all(value, F.lit("(" + R.to_java(pattern) + ")"), 1)
+    return tokenize_regex(text, pattern, lowercase)
 
 
 def transitions(df: DataFrame, text: Column, doc: Column, order: int = 2, pattern: str = R.TOKEN_PY,

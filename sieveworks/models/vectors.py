@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_INLINE_VALUES = 2_000_000  # labels × dimensions inlined per pass
+MAX_CLASSES = 10_000  # of a linear classifier: its weights are held by the driver
 
 
 def vector_check(df: DataFrame, label: str) -> DataFrame:
@@ -137,18 +138,32 @@ def centroid_classify(df: DataFrame, vector: str, centroids: list[tuple[object,
     return out.drop(*[f"__sw_b{i}" for i in parts], *[f"__sw_l{i}" for i in parts])
 
 
-def linear_softmax_fit(df: DataFrame, vector: str, label: str, max_iter: int = 1000, reg: float = 0.0):
-    """Multinomial logistic regression with MLlib (distributed L-BFGS)."""
+def linear_softmax_fit(df: DataFrame, vector: str, label: str, max_iter: int = 1000, c: float = 1.0):
+    """Multinomial logistic regression with MLlib (distributed L-BFGS).
+
+    Labels of any type are numbered in their text order; rows without a label
+    or vector are left out.  ``c`` is the inverse strength of the L2 penalty
+    on the summed loss, with features as they are; ``c=0`` means none."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
-    data = df.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"),
-                     F.col(label).cast("double").alias("label"))
-    model = LogisticRegression(maxIter=max_iter, regParam=reg, family="multinomial").fit(data)
-    weights = model.coefficientMatrix.toArray()
-    intercept = model.interceptVector.toArray()
-    labels = [str(int(v)) if float(v).is_integer() else str(v) for v in range(weights.shape[0])]
-    return labels, weights, intercept
+    named = df.select(F.col(vector).cast("array<double>").alias("v"), F.col(label).cast("string").alias("name"))
+    named = named.filter("v IS NOT NULL AND name IS NOT NULL")
+    counts = named.groupBy("name").agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
+    if len(counts) > MAX_CLASSES:
+        raise ValueError(f"More than {MAX_CLASSES} classes.")
+    labels = sorted((r["name"] for r in counts), key=_label_order)
+    total = sum(r["n"] for r in counts)
+    place = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("name")) - 1
+    data = named.select(array_to_vector(F.col("v")).alias("features"), place.cast("double").alias("label"))
+    model = LogisticRegression(maxIter=max_iter, regParam=1.0 / (c * total) if c else 0.0, standardization=False,
+                               family="multinomial").fit(data)
+    return labels, model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+
+
+def _label_order(text: str):
+    """Numbers by value, then texts."""
+    return (0, int(text), "") if text.lstrip("-").isdigit() else (1, 0, text)
 
 
 def linear_scores(x: Column, labels: list[str], weights: np.ndarray, intercept: np.ndarray) -> Column:

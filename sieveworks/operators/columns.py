@@ -77,8 +77,13 @@ def fill_missing(df: DataFrame, fields: list[str] | None = None, value: object =
             continue
         c = F.col(f)
         dtype = dtype_of(df, f)
-        missing = c.isNull() | (c == "") if isinstance(dtype, T.StringType) else c.isNull()
-        df = df.withColumn(f, F.when(missing, F.lit(value)).otherwise(c))
+        text = isinstance(dtype, T.StringType)
+        missing = c.isNull() | (c == "") if text else c.isNull()
+        if text or not isinstance(value, str):
+            filler, kept = F.lit(str(value) if text and value is not None else value), c
+        else:  # a text among other values: the column becomes text
+            filler, kept = F.lit(value), py_str(c, dtype)
+        df = df.withColumn(f, F.when(missing, filler).otherwise(kept))
     return df
 
 
@@ -90,10 +95,11 @@ def map_labels(df: DataFrame, field: str | None = None, mapping: dict | None = N
     for k, v in mapping.items():
         pairs += [F.lit(str(k)), F.lit(v)]
     looked_up = F.create_map(*pairs)[key]
-    value_type = dtype_of(df.select(looked_up.alias("v")), "v")
+    value_type, own_type = dtype_of(df.select(looked_up.alias("v")), "v"), dtype_of(df, field)
     source = F.col(field)
-    if value_type is not None and value_type != dtype_of(df, field):
-        source = source.cast(value_type)
+    if value_type != own_type and not (isinstance(value_type, T.NumericType) and isinstance(own_type, T.NumericType)):
+        # unmatched rows keep their value, so a mixture becomes text
+        source, looked_up = py_str(source, own_type, null_text=None), py_str(looked_up, value_type, null_text=None)
     return df.withColumn(field, F.when(F.map_contains_key(F.create_map(*pairs), key), looked_up).otherwise(source))
 
 

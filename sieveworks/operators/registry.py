@@ -89,28 +89,54 @@ FILTERS = {"remove_empty_records", "filter_length", "filter_numeric", "filter_re
 def apply_operations(df: DataFrame, operations: list[dict[str, Any]]) -> DataFrame:
     """Fold the ordered operation list over ``df`` (row order preserved).
 
-    A filter that follows column-rewriting operators is anchored on a
+    A filter that reads a rewritten column is anchored on a
     ``spark_partition_id()`` column: Catalyst does not push predicates
     through a projection with a non-deterministic column, so the rewritten
     values (regex chains) are computed once instead of once in the pushed
-    filter and again in the projection.  Filters on untouched source columns
-    keep their normal push-down to the scan."""
+    filter and again in the projection.  A filter on columns that no operator
+    before it has changed is pushed down to the scan."""
     from pyspark.sql import functions as F
 
     validate_operations(operations)
-    rewritten = False
+    rewritten: set[str] = set()
     for op in operations:
         kind = op.get("type")
-        if kind in FILTERS and rewritten:
+        if kind in FILTERS and rewritten & _read_by(op, df):
             df = df.withColumn("__sw_anchor", F.spark_partition_id())
             df = apply_operation(df, op)
             df = df.filter(F.col("__sw_anchor") >= 0).drop("__sw_anchor")
             continue
+        before = df
         df = apply_operation(df, op)
         if kind not in FILTERS and kind not in DEFERRED:
-            rewritten = True
+            rewritten |= _changed_by(op, before, df)
     return df
 
 
+def _read_by(op: dict[str, Any], df: DataFrame) -> set[str]:
+    """Columns that a filter reads."""
+    config = op.get("config") or {}
+    if op.get("type") == "remove_empty_records":
+        return set(config.get("fields") or df.columns)
+    return {str(config.get("field"))}
+
+
+def _changed_by(op: dict[str, Any], before: DataFrame, after: DataFrame) -> set[str]:
+    """Columns that an operator may have changed: those it names or adds; all
+    when it names none."""
+    config = op.get("config") or {}
+    if op.get("type") in {"select_columns", "remove_columns"}:
+        return set()
+    if op.get("type") == "rename_columns":
+        return set(after.columns)
+    added = set(after.columns) - set(before.columns)
+    if op.get("type") in {"add_constant", "join_columns", "split_column"}:
+        named = [config.get("name"), config.get("target"), *(config.get("targets") or [])]
+        return added | {str(n) for n in named if n}
+    named = [*(config.get("fields") or []), config.get("field")]
+    named = {str(n) for n in named if n}
+    return added | (named or set(after.columns))
+
+
 def wants_dedupe(operations: list[dict[str, Any]]) -> bool:
     return any(op.get("type") == "remove_duplicates" for op in operations)

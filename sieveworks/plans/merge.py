@@ -29,9 +29,17 @@ def signature_compare(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def weighted_merge(a: DataFrame, b: DataFrame, weight_a: float, weight_b: float) -> DataFrame:
-    """``a·wa + b·wb`` per tensor in float32; weights ≥ 0 summing to 1 ± 1e-6."""
+    """``a·wa + b·wb`` per tensor in float32; weights ≥ 0 summing to 1 ± 1e-6.
+
+    Models that differ in tensor names, shapes or numbers of values are
+    refused, so no tensor is dropped and no value becomes null."""
     if weight_a < 0 or weight_b < 0 or abs(weight_a + weight_b - 1.0) > 1e-6:
         raise ValueError("Linear merge weights must be non-negative and sum to 1.0.")
+    blockers = signature_compare(a, b).first()["blockers"]
+    uneven = (a.select("name", F.size("values").alias("na")).join(b.select("name", F.size("values").alias("nb")), "name")
+              .filter("na <> nb"))
+    if blockers or not uneven.isEmpty():
+        raise ValueError(f"The models cannot be merged: {blockers or 'tensor_values'} differ.")
     wa, wb = F.lit(weight_a).cast("float"), F.lit(weight_b).cast("float")
     j = a.select("name", "shape", F.col("values").alias("va")).join(
         b.select("name", F.col("values").alias("vb")), "name")

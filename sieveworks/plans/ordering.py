@@ -16,7 +16,8 @@ explicit:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +26,18 @@ ORDER = "__sw_order"    # sortable key of the row's position
 RESERVED_PREFIX = "__sw_"
 
 
+BROADCAST_SPANS = 100_000  # input splits whose offsets are sent to every executor
+
+
+def is_file_scan(df: DataFrame) -> bool:
+    """Whether the frame still has its files' hidden metadata."""
+    try:
+        df.select("_metadata.file_path")
+    except AnalysisException:
+        return False
+    return True
+
+
 def user_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if not c.startswith(RESERVED_PREFIX)]
 
@@ -38,12 +51,10 @@ def with_source_order(scan: DataFrame, name: str = ORDER) -> DataFrame:
     because a task reads each split sequentially.  Any other DataFrame is
     ordered by partition, then by position inside the partition.
     """
-    try:
-        meta = scan.select("_metadata").schema.fields[0].dataType
-    except Exception:  # not a file scan: partition order, then row order in it
+    if not is_file_scan(scan):  # partition order, then row order in it
         return scan.withColumn(name, F.struct(F.lit("").alias("f"), F.spark_partition_id().cast("long").alias("b"),
                                               F.monotonically_increasing_id().alias("r")))
-    names = {f.name for f in meta.fields}
+    names = {f.name for f in scan.select("_metadata").schema.fields[0].dataType.fields}
     if "row_index" in names:
         row = F.col("_metadata.row_index")
         block = F.lit(0).cast("long")
@@ -57,25 +68,37 @@ def with_source_order(scan: DataFrame, name: str = ORDER) -> DataFrame:
 def with_source_number(scan: DataFrame, order: str = ORDER, name: str = SN) -> DataFrame:
     """Dense 1-based source number in file order (``enumerate(rows, 1)``).
 
-    Pass 1 counts rows per (file, block) — one row per input split, bounded
-    by the number of splits, not by the data.  Pass 2 adds the split's
-    offset through a broadcast of that small table.
+    Pass 1 counts rows per (file, block): one row per input split, kept as a
+    table.  A bare scan has every row of each split, so a row's number is its
+    split's offset plus its place in the split, one narrow join.  A scan that
+    was filtered before has gaps; its order keys are then ranked by one range
+    shuffle.  Anything that is not a file scan is written first, because
+    its order (partition, place) must not change between the passes.
     """
+    from ..session import materialize
+
     if order not in scan.columns:
-        scan = with_source_order(scan, order)
-    spans = (scan.groupBy(F.col(f"{order}.f").alias("f"), F.col(f"{order}.b").alias("b"))
-             .agg(F.count(F.lit(1)).alias("n"), F.min(F.col(f"{order}.r")).alias("r0")))
-    rows = spans.orderBy("f", "b").collect()  # one row per split
-    offsets, total = [], 0
-    for r in rows:
-        offsets.append((r["f"], int(r["b"]), total, int(r["r0"])))
-        total += int(r["n"])
-    spark = scan.sparkSession
-    table = spark.createDataFrame(offsets, "f string, b long, off long, r0 long")
-    joined = scan.join(F.broadcast(table),
-                       (F.col(f"{order}.f") == table["f"]) & (F.col(f"{order}.b") == table["b"]), "left")
-    number = F.col("off") + F.col(f"{order}.r") - F.col("r0") + 1
-    return joined.withColumn(name, number).drop("f", "b", "off", "r0")
+        if not is_file_scan(scan):
+            scan = materialize(with_source_order(scan, order), "ordered")
+        else:
+            scan = with_source_order(scan, order)
+    at = F.col(f"{order}.r")
+    spans = (scan.groupBy(F.col(f"{order}.f").alias("__sw_f"), F.col(f"{order}.b").alias("__sw_b"))
+             .agg(F.count(F.lit(1)).alias("__sw_n"), F.min(at).alias("__sw_r0"), F.max(at).alias("__sw_r1")))
+    spans = materialize(spans, "spans")
+    if not spans.filter("__sw_r1 - __sw_r0 + 1 <> __sw_n").isEmpty():
+        # rows are missing inside a split (a filtered scan): rank them
+        narrow = scan.select(F.col(order).alias("__sw_o"))
+        dense = with_global_position(narrow, [F.col("__sw_o")], "__sw_p")
+        return scan.join(dense, F.col(order) == F.col("__sw_o")).withColumn(name, F.col("__sw_p")).drop("__sw_o", "__sw_p")
+    running = Window.orderBy("__sw_f", "__sw_b").rowsBetween(Window.unboundedPreceding, -1)
+    table = materialize(spans.withColumn("__sw_off", F.coalesce(F.sum("__sw_n").over(running), F.lit(0)))
+                        .select("__sw_f", "__sw_b", "__sw_off", "__sw_r0"), "offsets")
+    if table.count() <= BROADCAST_SPANS:  # else shuffled, with the same result
+        table = F.broadcast(table)
+    joined = scan.join(table, (F.col(f"{order}.f") == F.col("__sw_f")) & (F.col(f"{order}.b") == F.col("__sw_b")))
+    number = F.col("__sw_off") + at - F.col("__sw_r0") + 1
+    return joined.withColumn(name, number).drop("__sw_f", "__sw_b", "__sw_off", "__sw_r0")
 
 
 def with_global_position(df: DataFrame, keys: list[Column], name: str = "position",
@@ -182,8 +205,11 @@ def split_stratified(df: DataFrame, id_col: str, label_col: str, fraction: float
     # dominant class is spread over all partitions instead of one window task
     keyed = df.withColumn("__sw_key", seeded_key(seed, F.col(id_col)))
     pos = with_global_position(keyed, [F.col(label_col), F.col("__sw_key"), F.col(id_col)], "__sw_pos")
-    first = pos.groupBy(label_col).agg(F.min("__sw_pos").alias("__sw_first"))
-    ranked = pos.join(first, label_col).join(F.broadcast(quota_df), label_col) \
+    first = pos.groupBy(F.col(label_col).alias("__sw_l")).agg(F.min("__sw_pos").alias("__sw_first"))
+    quota_df = quota_df.withColumnRenamed(label_col, "__sw_ql")
+    # null is a class of its own
+    ranked = pos.join(first, F.col(label_col).eqNullSafe(F.col("__sw_l"))) \
+        .join(F.broadcast(quota_df), F.col(label_col).eqNullSafe(F.col("__sw_ql"))).drop("__sw_l", "__sw_ql") \
         .withColumn("__sw_r", F.col("__sw_pos") - F.col("__sw_first") + 1)
     return (ranked.withColumn("split", F.when(F.col("__sw_r") <= F.col("__sw_q"), "test").otherwise("train"))
             .drop("__sw_r", "__sw_q", "__sw_pos", "__sw_first", "__sw_key"))

@@ -15,15 +15,16 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.pyregex import SPACE_BODY
 from ..functions.text import token_estimate
-from ..sinks.files import write_json
+from ..sinks.files import remove_tree, write_json
 from ..operators.registry import apply_operations, wants_dedupe
 from . import ordering as O
-from .schemas import SCHEMA_REQUIRED_FIELDS, SchemaError, map_to_schema, missing_mappings, row_findings, status_of
+from .schemas import SCHEMA_REQUIRED_FIELDS, SchemaError, map_to_schema, missing_mappings, row_findings, size_codes, status_of
 
 SOURCE = "__sw_source"
 KEY = "__sw_key"
@@ -154,11 +155,14 @@ def save_version(spark: SparkSession, source: DataFrame, root: str, dataset: str
                  limit: int = 0, shuffle: bool = False, shuffle_seed: int = 42) -> VersionResult:
     """Write ``root/<dataset>/v<N>/{data,invalid_rows,...}``; never overwrites."""
     try:
-        existing = spark.read.json(_catalog_path(root)).filter(F.col("dataset") == dataset)
-        nxt = next_version(existing).collect()
-        number = int(nxt[0]["next_version"]) if nxt else 1
-    except Exception:  # no catalog yet
-        number = 1
+        catalog = spark.read.json(_catalog_path(root))
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        nxt = []  # no catalog yet
+    else:
+        nxt = next_version(catalog.filter(F.col("dataset") == dataset)).collect()
+    number = int(nxt[0]["next_version"]) if nxt else 1
     path = f"{root.rstrip('/')}/{dataset}/v{number}"
     numbered_src = O.with_source_number(source)
     rows = prepare_rows(numbered_src, operations, schema, mapping, template, shuffle, shuffle_seed, numbered=True,
@@ -186,10 +190,14 @@ def save_version(spark: SparkSession, source: DataFrame, root: str, dataset: str
         # only the 64-character leaf hashes are ranked, never the lines
         positioned = O.with_global_position(valid.select(KEY, F.sha2(line, 256).alias("leaf")), [F.col(KEY)], "pos")
         sha = merkle_fingerprint(positioned, F.col("pos"), F.col("leaf"), hashed=True)
+    except BaseException:
+        remove_tree(path)  # a half-written version would block the next attempt
+        raise
     finally:
         rows.unpersist()
     valid_n, invalid_n = int(stats["valid"]), int(stats["invalid"])
     status = "invalid" if invalid_n or not valid_n else ("warning" if valid_n < 5 else "valid")
+    codes.update(size_codes(valid_n))
     result = VersionResult(path, number, status, valid_n, invalid_n, int(stats["tokens"] or 0),
                            int(stats["bytes"] or 0), sha, codes)
     sidecars = {

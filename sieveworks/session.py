@@ -3,12 +3,15 @@
 Every job that has to cut lineage or persist an intermediate result writes
 under the directory the cluster names in ``spark.checkpoint.dir``.  The
 setting is read from the running session; a private directory is only
-created when it is unset (local runs and tests).
+created when it is unset and the master is local (tests), and is removed when
+the process ends.
 """
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -55,8 +58,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not configured:
         configured = tempfile.mkdtemp(prefix="sieveworks-ckpt-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -8,6 +8,7 @@ local paths, HDFS and object stores alike.
 from __future__ import annotations
 
 import json
+import uuid
 from typing import Any
 
 from pyarrow import fs as pafs
@@ -38,6 +39,27 @@ def write_text(path: str, text: str, overwrite: bool = False) -> None:
         out.write(text.encode("utf-8"))
 
 
+def remove_tree(path: str) -> None:
+    """Delete a folder and all below it, if it is there."""
+    filesystem, inner = _fs(path)
+    if filesystem.get_file_info(inner).type == pafs.FileType.Directory:
+        filesystem.delete_dir(inner)
+
+
+def write_once(path: str, chunks) -> None:
+    """Stream ``chunks`` of bytes to ``path``: under a name of its own first, then
+    renamed, so that a repeated or parallel attempt of the same task replaces
+    the file and never adds a second one."""
+    filesystem, inner = _fs(path)
+    filesystem.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+    folder, name = inner.rsplit("/", 1)
+    partial = f"{folder}/_{name}.{uuid.uuid4().hex}"
+    with filesystem.open_output_stream(partial) as out:
+        for chunk in chunks:
+            out.write(chunk)
+    filesystem.move(partial, inner)
+
+
 def write_json(path: str, payload: Any, overwrite: bool = False) -> None:
     write_text(path, json.dumps(payload, ensure_ascii=False, indent=2, default=str), overwrite)
 

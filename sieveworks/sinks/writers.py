@@ -83,25 +83,31 @@ def allowed_final_file(path: str) -> bool:
 
 
 def export_json_arrays(df: DataFrame, path: str) -> DataFrame:
-    """One JSON array file per task (``[{...}, ...]``), written by the tasks
-    through pyarrow's filesystem layer; returns the written file paths."""
-    import uuid
-
+    """One JSON array file per task (``[{...}, ...]``), streamed by the tasks
+    through pyarrow's filesystem layer and named by partition, so a task that
+    runs again replaces its file; returns the written file paths."""
     import pandas as pd
+    from pyspark import TaskContext
 
     lines = df.select(F.to_json(F.struct(*[F.col(c) for c in df.columns]), {"ignoreNullFields": "false"})
                       .alias("j"))
 
     def run(batches):
-        from .files import filesystem_for
-
-        filesystem, base = filesystem_for(path)
-        parts = [j for pdf in batches for j in pdf["j"]]
-        if parts:
-            filesystem.create_dir(base, recursive=True)
-            target = f"{base}/part-{uuid.uuid4().hex}.json"
-            with filesystem.open_output_stream(target) as out:
-                out.write(("[" + ",\n".join(parts) + "]").encode("utf-8"))
-            yield pd.DataFrame({"path": [target]})
+        from .files import write_once
+
+        filled = (pdf["j"] for pdf in batches if len(pdf))
+        first = next(filled, None)
+        if first is None:
+            return
+
+        def chunks():
+            yield ("[" + ",\n".join(first)).encode("utf-8")
+            for more in filled:
+                yield (",\n" + ",\n".join(more)).encode("utf-8")
+            yield b"]"
+
+        target = f"{path.rstrip('/')}/part-{TaskContext.get().partitionId():05d}.json"
+        write_once(target, chunks())
+        yield pd.DataFrame({"path": [target]})
 
     return lines.mapInPandas(run, "path string")

@@ -8,9 +8,9 @@ the tasks and write through pyarrow's filesystem layer below a shared path.
 
 from __future__ import annotations
 
+import hashlib
 import io
 import struct
-import uuid
 import zipfile
 import zlib
 from typing import Iterator
@@ -72,7 +72,10 @@ def write_image_archives(df: DataFrame, out_dir: str, id_col: str, label_col: st
                          width: int, height: int) -> DataFrame:
     """One ZIP per task with members ``<label>/<id>.png``; returns archive paths."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        filesystem, base = _fs(out_dir)
+        from pyspark import TaskContext
+
+        from ..sinks.files import write_once
+
         buf = io.BytesIO()
         n = 0
         with zipfile.ZipFile(buf, "w", zipfile.ZIP_STORED) as zf:
@@ -81,10 +84,8 @@ def write_image_archives(df: DataFrame, out_dir: str, id_col: str, label_col: st
                     zf.writestr(f"{label}/{ident}.png", png_gray(np.asarray(px, dtype=np.uint8).reshape(height, width)))
                     n += 1
         if n:
-            filesystem.create_dir(base, recursive=True)
-            p = f"{base}/part-{uuid.uuid4().hex}.zip"
-            with filesystem.open_output_stream(p) as out:
-                out.write(buf.getvalue())
+            p = f"{out_dir.rstrip('/')}/part-{TaskContext.get().partitionId():05d}.zip"
+            write_once(p, [buf.getvalue()])
             yield pd.DataFrame({"path": [p]})
     return df.select(id_col, label_col, pixels_col).mapInPandas(run, "path string")
 
@@ -130,6 +131,34 @@ def decode_images(spark: SparkSession, path: str, width: int, height: int, mode:
                        F.col("image.width").alias("width"), F.col("image.height").alias("height"), vec.alias("vector"))
 
 
+def decode_archives(spark: SparkSession, path: str, width: int, height: int, mode: str = "l") -> DataFrame:
+    """``decode_images`` for the members of the ZIP archives below ``path``.
+
+    The JVM decoder reads files, so tasks unpack the members once below the
+    shared checkpoint directory, each under a name made from its archive and
+    member path (a task that runs again writes the same files)."""
+    from ..session import scratch_path
+    from .readers import read_image_archive
+
+    out_dir = scratch_path(spark, "members")
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from ..sinks.files import write_once
+
+        for pdf in batches:
+            paths = []
+            for archive, image, label, content in zip(pdf["archive"], pdf["image"], pdf["label"], pdf["content"]):
+                folder = hashlib.sha256(f"{archive}\0{image}".encode()).hexdigest()[:24]
+                paths.append(f"{out_dir}/{folder}/{label}/{image.replace(chr(92), '/').rsplit('/', 1)[-1]}")
+                write_once(paths[-1], [content])
+            yield pd.DataFrame({"path": paths})
+
+    members = read_image_archive(spark, path, with_bytes=True).filter("error IS NULL")
+    if members.mapInPandas(unpack, "path string").count() == 0:
+        raise ValueError(f"no images in the archives below {path}")
+    return decode_images(spark, out_dir, width, height, mode)
+
+
 def image_statistics(decoded: DataFrame) -> DataFrame:
     """Per image size: count; plus invalid images and distinct labels."""
     valid = F.col("height") > 0

@@ -36,28 +36,38 @@ class SourceError(ValueError):
 
 
 def detect_format(filename: str, content_type: str | None = None) -> str:
-    ext = posixpath.splitext(filename)[1].lower()
-    fmt = EXTENSION_FORMATS.get(ext)
-    if not fmt and content_type:
-        fmt = MIME_FORMATS.get(content_type.split(";", 1)[0].strip().lower())
-    if fmt is None:
-        raise SourceError("Supported dataset formats are CSV, JSON, JSONL, TXT, Parquet, and ZIP image folders.")
-    return fmt
+    """Format by file name, else by MIME type (parameters ignored)."""
+    media = (content_type or "").partition(";")[0].strip().lower()
+    known = (EXTENSION_FORMATS.get(posixpath.splitext(filename)[1].lower()), MIME_FORMATS.get(media))
+    for fmt in known:
+        if fmt:
+            return fmt
+    raise SourceError(f"No reader for {filename!r}; known formats: {', '.join(sorted(set(EXTENSION_FORMATS.values())))}.")
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header required, all columns strings, quoted multi-line cells, blank
-    cell → ''.  Spark's CSV reader drops surplus cells and pads short rows
-    with null, as the reference does; the BOM is stripped by the reader."""
-    df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-          .option("inferSchema", False).option("mode", "PERMISSIVE").option("encoding", "UTF-8").csv(path))
-    if not df.columns:
+    """Header required, all columns strings, quoted multi-line cells.
+
+    A blank cell is ``''``; a cell that a short row does not have is null;
+    surplus cells are dropped; the reader strips the BOM.  Spark reads both
+    blank and absent cells as null, but hands out the raw record of rows with
+    a wrong number of cells; the number of separators outside quotes tells the
+    two apart there."""
+    reader = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+              .option("inferSchema", False).option("mode", "PERMISSIVE").option("encoding", "UTF-8"))
+    columns = reader.csv(path).columns
+    if not columns:
         raise SourceError("The CSV has no header row.")
-    return df
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, CORRUPT]])
+    df = reader.option("columnNameOfCorruptRecord", CORRUPT).option("enforceSchema", True).schema(schema).csv(path)
+    cells = F.length(F.regexp_replace(F.regexp_replace(F.col(CORRUPT), '"(?:[^"]|"")*"', ""), "[^,]", "")) + 1
+    return df.select(*[F.when(F.col(f"`{c}`").isNull() & (F.col(CORRUPT).isNull() | (cells > i)), F.lit(""))
+                       .otherwise(F.col(f"`{c}`")).alias(c) for i, c in enumerate(columns)])
 
 
-def blank_cells_to_empty(df: DataFrame, raw: DataFrame | None = None) -> DataFrame:
-    """Unquoted empty cells arrive as null; the reference reads them as ''."""
+def blank_cells_to_empty(df: DataFrame) -> DataFrame:
+    """Every null text as ``''``, for callers that do not tell absent cells from
+    blank ones."""
     return df.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in df.columns])
 
 
@@ -100,41 +110,54 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFr
 
 
 _ARCHIVE_SCHEMA = T.StructType([T.StructField("archive", T.StringType()), T.StructField("image", T.StringType()),
-                                T.StructField("label", T.StringType()), T.StructField("error", T.StringType())])
-
-
-def _list_members(batches: Iterator[pd.DataFrame], max_members: int, max_expanded: int) -> Iterator[pd.DataFrame]:
+                                T.StructField("label", T.StringType()), T.StructField("content", T.BinaryType()),
+                                T.StructField("error", T.StringType())])
+
+
+def _member_label(name: str) -> str | None:
+    """Parent folder of an image member (``unlabeled`` at the top); None for
+    members that are not images; an error for paths that leave the archive."""
+    steps = name.replace("\\", "/").split("/")
+    if steps[0] == "" or ".." in steps:
+        raise SourceError(f"{name!r} points outside the archive.")
+    folders = [s for s in steps[:-1] if s not in ("", ".")]
+    if posixpath.splitext(steps[-1])[1].lower() not in IMAGE_SUFFIXES:
+        return None
+    return folders[-1] if folders else "unlabeled"
+
+
+def _archive_rows(path: str, content: bytes, with_bytes: bool) -> Iterator[tuple]:
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as archive:
+            labelled = [(m, _member_label(m.filename)) for m in archive.infolist() if not m.is_dir()]
+            for member, label in labelled:
+                if label is not None:
+                    yield path, member.filename, label, archive.read(member) if with_bytes else None, None
+    except (zipfile.BadZipFile, SourceError) as exc:
+        yield path, None, None, None, str(exc)
+
+
+def _list_members(batches: Iterator[pd.DataFrame], with_bytes: bool, rows: int = 64) -> Iterator[pd.DataFrame]:
+    columns = ["archive", "image", "label", "content", "error"]
     for pdf in batches:
-        out = []
-        for archive_path, content in zip(pdf["path"], pdf["content"]):
-            try:
-                with zipfile.ZipFile(io.BytesIO(content)) as zf:
-                    members = [m for m in zf.infolist() if not m.is_dir()]
-                    if len(members) > max_members:
-                        raise SourceError("Image archives are limited to 100,000 files.")
-                    if sum(m.file_size for m in members) > max_expanded:
-                        raise SourceError("The expanded image archive exceeds the safety limit.")
-                    for m in members:
-                        name = m.filename.replace("\\", "/")
-                        parts = [p for p in name.split("/") if p not in {".", ""}]
-                        if name.startswith("/") or ".." in name.split("/"):
-                            raise SourceError("The ZIP contains an unsafe path.")
-                        if posixpath.splitext(name)[1].lower() not in IMAGE_SUFFIXES:
-                            continue
-                        label = parts[-2] if len(parts) >= 2 else "unlabeled"
-                        out.append((archive_path, m.filename, label, None))
-            except (zipfile.BadZipFile, SourceError) as exc:
-                out.append((archive_path, None, None, str(exc)))
-        yield pd.DataFrame(out, columns=["archive", "image", "label", "error"])
-
-
-def read_image_archive(spark: SparkSession, path: str, max_members: int = 100_000,
-                       max_expanded: int = 10 * 1024 ** 3) -> DataFrame:
-    """ZIP members with an image suffix → ``(archive, image, label, error)``;
-    label = parent folder or ``unlabeled``.  One task per archive."""
+        for path, content in zip(pdf["path"], pdf["content"]):
+            out = []
+            for row in _archive_rows(path, content, with_bytes):
+                out.append(row)
+                if len(out) >= rows:   # members leave in small batches
+                    yield pd.DataFrame(out, columns=columns)
+                    out = []
+            yield pd.DataFrame(out, columns=columns)
+
+
+def read_image_archive(spark: SparkSession, path: str, with_bytes: bool = False) -> DataFrame:
+    """ZIP members with an image suffix → ``(archive, image, label, error)``,
+    with ``with_bytes`` also their ``content``; label = parent folder or
+    ``unlabeled``.  An archive that cannot be read is one row with its
+    ``error``.  One task per archive (the format limit); members stream out."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
-    return files.select("path", "content").mapInPandas(
-        lambda it: _list_members(it, max_members, max_expanded), _ARCHIVE_SCHEMA)
+    out = files.select("path", "content").mapInPandas(lambda it: _list_members(it, with_bytes), _ARCHIVE_SCHEMA)
+    return out if with_bytes else out.drop("content")
 
 
 def read_image_folders(spark: SparkSession, path: str) -> DataFrame:
@@ -162,11 +185,9 @@ def read_event_log(spark: SparkSession, path: str, schema: T.StructType, limit:
 
 
 def read_error_events(spark: SparkSession, path: str, schema: T.StructType, limit: int = 100) -> DataFrame:
-    """Last ``limit`` valid object lines, newest first (limit clamped to 1..1000)."""
-    limit = min(1000, max(1, int(limit)))
-    log = read_event_log(spark, path, schema)
-    valid = log.filter(F.col("message").isNull()).drop("message")
-    return valid.orderBy(F.col("line").desc()).limit(limit)
+    """The valid object lines among the last ``limit`` lines, newest first."""
+    log = read_event_log(spark, path, schema, limit=max(1, int(limit)))
+    return log.filter(F.col("message").isNull()).drop("message").orderBy(F.col("line").desc())
 
 
 def file_manifest(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:

@@ -2,9 +2,12 @@
 toggle state and n-gram counts.
 
 Every stream reads files (the file source keeps its offsets in the
-checkpoint), runs with ``trigger(availableNow=True)`` and writes through
-``foreachBatch`` into a table under the shared checkpoint directory, so a
-restarted query resumes where it stopped and nothing is held in the driver.
+checkpoint) and runs with ``trigger(availableNow=True)``.  Given a ``state``
+folder, a later call resumes where the last one stopped and its output adds
+to the earlier one; without it the run starts fresh below the shared
+checkpoint directory.  Each micro-batch is written to a folder named by its
+batch number, so a batch that is run again after a failure replaces its own
+output and no row appears twice.  Nothing is held in the driver.
 """
 
 from __future__ import annotations
@@ -20,42 +23,50 @@ from ..operators.registry import apply_operations
 from ..session import scratch_path
 
 
-def _run(query_df: DataFrame, name: str, mode: str = "append", sink_fn=None) -> str:
-    """Run a streaming DataFrame to completion; returns the output path."""
+def _run(query_df: DataFrame, name: str, mode: str = "append", state: str | None = None) -> DataFrame:
+    """Run a streaming DataFrame over all there is; returns its output so far
+    (in complete mode: the last result)."""
     spark = query_df.sparkSession
-    out = scratch_path(spark, f"{name}-out")
-    ckpt = scratch_path(spark, f"{name}-ckpt")
+    base = (state or scratch_path(spark, name)).rstrip("/")
+    out = f"{base}/out"
 
     def write(batch: DataFrame, epoch: int) -> None:
-        data = sink_fn(batch) if sink_fn else batch
-        data.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+        place = "last" if mode == "complete" else f"batch={epoch}"
+        batch.write.mode("overwrite").parquet(f"{out}/{place}")
 
-    q = (query_df.writeStream.outputMode(mode).option("checkpointLocation", ckpt)
+    q = (query_df.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint")
          .foreachBatch(write).trigger(availableNow=True).start())
     q.awaitTermination()
-    return out
+    if mode == "complete":
+        return spark.read.schema(query_df.schema).parquet(f"{out}/last")
+    return spark.read.schema(query_df.schema).parquet(f"{out}/*")
+
+
+def _files(spark: SparkSession, schema, files_per_trigger: int | None):
+    """A file stream; all new files form one batch unless a number is given."""
+    reader = spark.readStream.schema(schema)
+    return reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader
 
 
 def stream_pipeline(spark: SparkSession, source_glob: str, schema: str, operations: list[dict[str, Any]],
-                    dedupe_on: list[str] | None = None, files_per_trigger: int = 1) -> DataFrame:
+                    dedupe_on: list[str] | None = None, files_per_trigger: int | None = None,
+                    state: str | None = None) -> DataFrame:
     """Stateless operators on a file stream and de-duplication with
     ``dropDuplicates`` on a SHA-256 of the key columns (state grows with
     distinct keys, 32 bytes each)."""
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-              .parquet(source_glob))
+    stream = _files(spark, schema, files_per_trigger).parquet(source_glob)
     out = apply_operations(stream, operations)
     if dedupe_on:
         # state keyed by a 32-byte digest of the key columns, not the text itself
         digest = F.sha2(F.to_json(F.struct(*[F.col(c) for c in dedupe_on])), 256)
         out = out.withColumn("__sw_h", digest).dropDuplicates(["__sw_h"]).drop("__sw_h")
-    path = _run(out, "pipeline")
-    return spark.read.parquet(path)
+    return _run(out, "pipeline", state=state)
 
 
-def stream_event_tail(spark: SparkSession, log_dir: str, schema: str) -> DataFrame:
+def stream_event_tail(spark: SparkSession, log_dir: str, schema: str, files_per_trigger: int | None = None,
+                      state: str | None = None) -> DataFrame:
     """Forward each JSONL log line once (file-source offsets in the checkpoint)."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(log_dir)
-    return spark.read.parquet(_run(stream, "tail"))
+    return _run(_files(spark, schema, files_per_trigger).json(log_dir), "tail", state=state)
 
 
 TERMINAL = ["completed", "failed", "cancelled"]
@@ -68,8 +79,9 @@ def job_state_aggregate(updates: DataFrame) -> DataFrame:
     order = F.struct("ts", "seq")
     progress = F.least(F.lit(100), F.greatest(F.lit(0), F.col("progress").cast("int")))
     return updates.groupBy("job").agg(
-        F.max_by("status", order).alias("status"),
-        F.max_by("stage", order).alias("stage"),
+        # a report without a status or stage leaves the last known one
+        F.max_by("status", F.when(F.col("status").isNotNull(), order)).alias("status"),
+        F.max_by("stage", F.when(F.col("stage").isNotNull(), order)).alias("stage"),
         F.max_by(progress, F.when(F.col("progress").isNotNull(), order)).alias("progress"),
         F.max("ts").alias("heartbeat"),
         F.min(F.when(F.col("status") == "running", F.col("ts"))).alias("started_at"),
@@ -77,9 +89,9 @@ def job_state_aggregate(updates: DataFrame) -> DataFrame:
     )
 
 
-def stream_job_state(spark: SparkSession, updates_glob: str, schema: str) -> DataFrame:
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(updates_glob)
-    return spark.read.parquet(_run(job_state_aggregate(stream), "jobs", mode="complete"))
+def stream_job_state(updates: DataFrame, state: str | None = None) -> DataFrame:
+    """Job states of a stream of ``(job, status, stage, progress, ts, seq)``."""
+    return _run(job_state_aggregate(updates), "jobs", mode="complete", state=state)
 
 
 _TOGGLE_OUT = "user_id long, state string, clicks long"
@@ -87,35 +99,65 @@ _TOGGLE_STATE = "state string, clicks long"
 
 
 def _toggle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Rows of a user: the final run of a micro-batch, how many clicks the batch
+    had, and whether the run is all of it."""
     current, clicks = (state.get if state.exists else (None, 0))
-    pdf = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    for v in pdf["v"]:
-        current = None if current == v else v
-        clicks += 1
+    # one row per earlier micro-batch, applied in their order
+    for row in pd.concat(list(batches)).sort_values("epoch").itertuples():
+        clicks += int(row.clicks)
+        # a run that nothing else precedes goes on from the stored state
+        odd = (row.run + (1 if row.whole and current == row.v else 0)) % 2 == 1
+        current = row.v if odd else None
     state.update((current, clicks))
     yield pd.DataFrame({"user_id": [key[0]], "state": [current], "clicks": [clicks]})
 
 
-def stream_toggle(clicks) -> DataFrame:
-    """Per-user toggle with ``applyInPandasWithState`` over a click stream
-    ``(user_id, ts, event_id, v)``; each micro-batch's clicks are applied in
-    (ts, event_id) order on top of the stored state."""
+def _final_runs(clicks: DataFrame) -> DataFrame:
+    """One row per user of a batch: the last value, the length of its final run
+    of equal clicks, whether that run is the whole batch, and all clicks.
+    Aggregates only, so a user with most of a batch's clicks is summed per
+    task first."""
+    o = F.struct("ts", "event_id")
+    ends = clicks.groupBy("user_id", "v").agg(F.max(o).alias("o"), F.count(F.lit(1)).alias("n"))
+    ranked = F.reverse(F.array_sort(F.collect_list(F.struct("o", "v"))))
+    last = (ends.groupBy("user_id").agg(ranked.alias("e"), F.sum("n").alias("clicks"))
+            .select("user_id", "clicks", F.col("e")[0]["v"].alias("last"), F.get("e", F.lit(1))["o"].alias("border")))
+    j = clicks.join(last, "user_id").filter(F.col("border").isNull() | (o > F.col("border")))
+    return j.groupBy("user_id").agg(F.first("last").alias("v"), F.count(F.lit(1)).alias("run"),
+                                    F.first("border").isNull().alias("whole"), F.first("clicks").alias("clicks"))
+
+
+def stream_toggle(clicks: DataFrame, state: str | None = None) -> DataFrame:
+    """Per-user toggle over a click stream ``(user_id, ts, event_id, v)``; each
+    micro-batch's clicks are applied in (ts, event_id) order on top of the
+    stored state.  A batch is first reduced to one row per user (its final
+    run), so the state function never sees a user's clicks one by one."""
     spark = clicks.sparkSession
-    states = clicks.groupBy("user_id").applyInPandasWithState(
+    base = (state or scratch_path(spark, "toggle")).rstrip("/")
+    reduced = f"{base}/reduced"
+
+    def reduce_batch(batch: DataFrame, epoch: int) -> None:
+        (_final_runs(batch).withColumn("epoch", F.lit(epoch).cast("long"))
+         .write.mode("overwrite").parquet(f"{reduced}/batch-{epoch:012d}"))
+
+    q = (clicks.writeStream.option("checkpointLocation", f"{base}/clicks").foreachBatch(reduce_batch)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    runs = (spark.readStream.schema("user_id long, v string, run long, whole boolean, clicks long, epoch long")
+            .option("maxFilesPerTrigger", 1_000_000).parquet(f"{reduced}/*"))
+    states = runs.groupBy("user_id").applyInPandasWithState(
         _toggle, _TOGGLE_OUT, _TOGGLE_STATE, "update", GroupStateTimeout.NoTimeout)
-    hist = spark.read.parquet(_run(states, "toggle", mode="update"))
+    hist = _run(states, "toggle", mode="update", state=f"{base}/states")
     # the update with the most clicks is the final state of a user
     return hist.groupBy("user_id").agg(F.max_by("state", "clicks").alias("state")).filter(F.col("state").isNotNull())
 
 
-def stream_ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transition counts maintained by a streaming aggregation over the
-    documents file."""
+def stream_ngram_counts(stream: DataFrame, text: str, doc: str, order: int = 2,
+                        state: str | None = None) -> DataFrame:
+    """Transition counts maintained by a streaming aggregation over a stream
+    of documents."""
     from ..models.ngram import transitions
 
-    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-              .parquet(f"{sf_dir.rstrip('/')}/documents[.]parquet"))
-    counts = transitions(stream, F.col("text"), F.col("doc_id"), 2).groupBy("state", "next") \
+    counts = transitions(stream, F.col(text), F.col(doc), order).groupBy("state", "next") \
         .agg(F.count(F.lit(1)).alias("cnt"))
-    return spark.read.parquet(_run(counts, "ngram", mode="complete"))
+    return _run(counts, "ngram", mode="complete", state=state)

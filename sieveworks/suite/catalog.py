@@ -79,6 +79,34 @@ def q_latest_with_fallback(spark, sf):
                                   value=["l_orderkey", "l_linenumber"])
 
 
+@register("validate_inputs", "WITH e AS (SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS k, event_type, "
+          "CAST(value AS VARCHAR) AS value FROM events) SELECT event_id, TRY_CAST(k AS BIGINT) AS k, "
+          "CASE WHEN event_type IN ('click', 'view', 'purchase') THEN event_type END AS event_type, "
+          "CASE WHEN event_type IN ('click', 'view', 'purchase') THEN NULL ELSE "
+          "'must be one of: click, view, purchase' END AS event_error, "
+          "CASE WHEN event_id % 3 = 0 THEN 'is required' END AS note_error, "
+          "CASE WHEN event_id % 5 = 0 THEN 'not part of the contract: extra' END AS unknown, "
+          "CASE WHEN event_type = 'click' THEN CAST(0.5 AS DOUBLE) END AS rate FROM e")
+def q_validate_inputs(spark, sf):
+    """Events as submitted inputs: typed members, choices, a required field,
+    an unknown name and a field that depends on another."""
+    from ..plans.contracts import Field, validate_inputs
+
+    ev = table(spark, sf, "events")
+    submitted = F.map_concat(
+        F.from_json("props", "map<string,string>"), F.create_map(F.lit("event_type"), F.col("event_type")),
+        F.when(F.col("event_id") % 3 != 0, F.create_map(F.lit("note"), F.lit("x")))
+        .otherwise(F.create_map(F.lit("note"), F.lit(""))),
+        F.when(F.col("event_id") % 5 == 0, F.create_map(F.lit("extra"), F.lit("1")))
+        .otherwise(F.create_map().cast("map<string,string>")))
+    contract = [Field("k", "integer"), Field("event_type", choices=["click", "view", "purchase"]),
+                Field("note", required=True), Field("rate", "number", default=0.5, depends_on={"event_type": "click"})]
+    out = validate_inputs(ev.withColumn("submitted", submitted), "submitted", contract)
+    return out.select("event_id", "values.k", "values.event_type", F.col("errors")["event_type"].alias("event_error"),
+                      F.col("errors")["note"].alias("note_error"), F.col("errors")["_unknown"].alias("unknown"),
+                      "values.rate")
+
+
 @register("resolve_precedence", "WITH w AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS v FROM events "
           "GROUP BY user_id) SELECT c.c_custkey, coalesce(nullif(w.v, ''), nullif(n.n_name, ''), "
           "nullif(c.c_mktsegment, ''), 'default') AS value, CASE WHEN nullif(w.v, '') IS NOT NULL THEN 'workspace' "

@@ -50,6 +50,19 @@ def q_decode_images(spark, sf):
                     total.alias("pixel_sum"))
 
 
+@register("decode_archives", "SELECT CAST(label AS VARCHAR) AS label, vec_id, CAST(sum(" + _Q + ") AS BIGINT) AS "
+                             "pixel_sum FROM (SELECT label, vec_id, unnest(embedding) AS x FROM embeddings) "
+                             "GROUP BY label, vec_id")
+def q_decode_archives(spark, sf):
+    out = scratch_path(spark, "zips")
+    IM.write_image_archives(_pixels(spark, sf), out, "vec_id", "label", "px", 8, 8).count()
+    d = IM.decode_archives(spark, out, 8, 8)
+    total = F.aggregate(F.transform("vector", lambda v: F.round(v * 255).cast("long")), F.lit(0).cast("long"),
+                        lambda a, v: a + v)
+    return d.select("label", F.regexp_extract("image", "/([0-9]+)\\.png$", 1).cast("long").alias("vec_id"),
+                    total.alias("pixel_sum"))
+
+
 @register("image_statistics", "SELECT count(*) AS images, CAST(0 AS BIGINT) AS invalid, count(DISTINCT label) AS "
                               "labels, 8 AS min_width, 8 AS max_width, 8 AS min_height, 8 AS max_height FROM embeddings")
 def q_image_statistics(spark, sf):

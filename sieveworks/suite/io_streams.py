@@ -162,16 +162,20 @@ def q_export_txt(spark, sf):
     return back.agg(F.count_if(F.col("value") != "").alias("records"))
 
 
-@register("filter_manifest")
-def q_filter_manifest(spark, sf):
-    """A fitted predictor's output folder: final files pass, checkpoints do not."""
-    from ..models import tabular as TB
-    from .learning import _FEATURES, _lineitem_rows
+_PART_FILES = ("CASE p_size % 6 WHEN 0 THEN 'predictor.json' WHEN 1 THEN 'notes.txt' WHEN 2 THEN "
+               "'model-' || p_partkey || '.safetensors' WHEN 3 THEN 'sub/metadata.json' WHEN 4 THEN "
+               "'Checkpoint-' || p_size || '/predictor.json' ELSE 'words.tiktoken' END")
+
 
-    model = TB.fit_tabular(_lineitem_rows(spark, sf), _FEATURES, "l_extendedprice", "regression", id_col="rid")
-    out = scratch_path(spark, "model")
-    TB.save_predictor(model, out, checkpoints=[{"weights": model["weights"]}])
-    return W.filter_manifest(RD.file_manifest(spark, out)).select("relative")
+@register("filter_manifest", f"WITH m AS (SELECT p_partkey, p_brand || '/' || {_PART_FILES} AS relative FROM part) "
+          "SELECT p_partkey, relative FROM m WHERE NOT regexp_matches(relative, '(^|/)[Cc]heckpoint') "
+          "AND NOT relative LIKE '%notes.txt'")
+def q_filter_manifest(spark, sf):
+    """A manifest with one artifact per part: final files pass, files of
+    checkpoint folders and other names do not."""
+    name = F.expr(_PART_FILES)
+    manifest = table(spark, sf, "part").select("p_partkey", F.concat("p_brand", F.lit("/"), name).alias("relative"))
+    return W.filter_manifest(manifest).select("p_partkey", "relative")
 
 
 # --- streams ----------------------------------------------------------------------
@@ -222,10 +226,10 @@ def q_stream_job_state(spark, sf):
 
 def _job_state(spark, sf):
     schema = table(spark, sf, "events").schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(_glob(sf, "events"))
+    stream = spark.readStream.schema(schema).parquet(_glob(sf, "events"))
     updates = stream.select(F.col("user_id").alias("job"), _status().alias("status"), F.col("event_type").alias("stage"),
                             F.col("value").alias("progress"), "ts", F.col("event_id").alias("seq"))
-    return spark.read.parquet(ST._run(ST.job_state_aggregate(updates), "jobs", mode="complete"))
+    return ST.stream_job_state(updates)
 
 
 @register("stream_toggle_state", "WITH c AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'click' THEN 'up' "
@@ -237,7 +241,7 @@ def _job_state(spark, sf):
           "WHERE (coalesce(brk.first_other - 1, last.n)) % 2 = 1")
 def q_stream_toggle_state(spark, sf):
     schema = table(spark, sf, "events").schema
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(_glob(sf, "events"))
+    stream = (spark.readStream.schema(schema).parquet(_glob(sf, "events"))
               .filter(F.col("event_type").isin("click", "view"))
               .select("user_id", "ts", "event_id", F.when(F.col("event_type") == "click", "up").otherwise("down")
                       .alias("v")))

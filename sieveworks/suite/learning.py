@@ -63,7 +63,9 @@ def q_ngram_sample(spark, sf):
 def q_stream_ngram_counts(spark, sf):
     from ..streaming.streams import stream_ngram_counts
 
-    return stream_ngram_counts(spark, sf)
+    schema = table(spark, sf, "documents").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf.rstrip('/')}/documents[.]parquet")
+    return stream_ngram_counts(stream, "text", "doc_id")
 
 
 # --- tabular ------------------------------------------------------------------
@@ -165,7 +167,7 @@ def q_tabular_predict(spark, sf):
 def q_softmax_fit(spark, sf):
     rows = _lineitem_rows(spark, sf)
     model = TB.fit_tabular(rows, ["l_quantity", "l_discount", "l_tax", "l_linestatus"], "l_returnflag",
-                           "classification", id_col="rid", iterations=60)
+                           "classification", id_col="rid")
     return spark.createDataFrame([(lab, float(model["metrics"]["accuracy"])) for lab in model["labels"]],
                                  "label string, validation_accuracy double")
 
@@ -176,7 +178,7 @@ def q_tabular_classify(spark, sf):
 
     rows = _lineitem_rows(spark, sf)
     feats = ["l_quantity", "l_discount", "l_tax", "l_linestatus"]
-    model = TB.fit_tabular(rows, feats, "l_returnflag", "classification", id_col="rid", iterations=60)
+    model = TB.fit_tabular(rows, feats, "l_returnflag", "classification", id_col="rid")
     schema = [TB.Feature(**f) for f in model["features"]]
     ranked = TB.classify(TB.encode(rows, schema), np.array(model["weights"]), model["labels"])
     return rows.select("l_orderkey", "l_linenumber", ranked[0]["label"].alias("label"),
@@ -260,7 +262,7 @@ def q_top_k_ranked(spark, sf):
 @register("linear_softmax_fit")
 def q_linear_softmax_fit(spark, sf):
     emb = table(spark, sf, "embeddings")
-    labels, w, b = V.linear_softmax_fit(emb, "embedding", "label", max_iter=100)
+    labels, w, b = V.linear_softmax_fit(emb, "embedding", "label")
     return spark.createDataFrame([(lab, float(b[i]), float(abs(w[i]).sum())) for i, lab in enumerate(labels)],
                                  "label string, intercept double, weight_l1 double")
 
@@ -268,7 +270,7 @@ def q_linear_softmax_fit(spark, sf):
 @register("linear_softmax_classify")
 def q_linear_softmax_classify(spark, sf):
     emb = table(spark, sf, "embeddings")
-    labels, w, b = V.linear_softmax_fit(emb, "embedding", "label", max_iter=100)
+    labels, w, b = V.linear_softmax_fit(emb, "embedding", "label")
     scores = V.linear_scores(F.col("embedding").cast("array<double>"), labels, w, b)
     top = V.softmax_top_k(scores, 3)
     return emb.select("vec_id", top[0]["label"].alias("predicted"), F.round(top[0]["score"], 4).alias("score"))

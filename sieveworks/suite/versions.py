@@ -204,6 +204,25 @@ def q_limit_examples(spark, sf):
     return limited.select(F.col(O.SN).alias("row"), "text")
 
 
+@register("number_filtered_scan", "SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS source_number "
+          "FROM documents WHERE n_chars >= 1000")
+def q_number_filtered_scan(spark, sf):
+    """Source numbers stay dense and unique on a scan that was filtered first."""
+    long = table(spark, sf, "documents").filter("n_chars >= 1000")
+    return O.with_source_number(long).select("doc_id", F.col(O.SN).alias("source_number"))
+
+
+@register("preview_removed_duplicates", "WITH d AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) "
+          "AS nth FROM documents) SELECT count(*) AS removed FROM d WHERE nth > 1")
+def q_preview_removed_duplicates(spark, sf):
+    """Languages only: all but the first row of each are duplicates, and fewer
+    than the preview's rows survive."""
+    from ..plans.prepare import preview_removed
+
+    return preview_removed(table(spark, sf, "documents"), [
+        {"type": "select_columns", "config": {"columns": ["lang"]}}, {"type": "remove_duplicates"}], limit=20)
+
+
 @register("shuffle", "SELECT doc_id, sha256('42:' || CAST(doc_id AS VARCHAR)) AS shuffle_key FROM documents")
 def q_shuffle(spark, sf):
     return O.shuffle(table(spark, sf, "documents").select("doc_id"), "doc_id", seed=42)
@@ -249,7 +268,18 @@ def q_split_train_validation(spark, sf):
     return O.split_train_validation(table(spark, sf, "documents").select("doc_id"), "doc_id", 0.2, 42)
 
 
-@register("split_stratified")
+@register("split_stratified", "WITH c AS (SELECT quality, count(*) AS n FROM labels GROUP BY quality), "
+          "t AS (SELECT sum(n) AS n, count(*) AS c, least(sum(n) - count(*), greatest(count(*), "
+          "round_even(sum(n) * 0.2, 0))) AS n_test FROM c), "
+          "q AS (SELECT c.quality, c.n, t.n_test * c.n / t.n AS raw, t.n_test, "
+          "least(greatest(1, floor(t.n_test * c.n / t.n)), c.n - 1) AS base FROM c, t), "
+          "f AS (SELECT *, n_test - sum(base) OVER () AS spare, row_number() OVER (ORDER BY raw - floor(raw) DESC, "
+          "CAST(quality AS VARCHAR)) AS turn FROM q), "
+          "p AS (SELECT quality, base + CASE WHEN turn <= spare AND base < n - 1 THEN 1 ELSE 0 END AS quota FROM f), "
+          "r AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY sha256('42:' || "
+          "CAST(doc_id AS VARCHAR)), doc_id) AS nth FROM labels) "
+          "SELECT doc_id, r.quality, CASE WHEN nth <= quota THEN 'test' ELSE 'train' END AS split FROM r JOIN p "
+          "ON r.quality IS NOT DISTINCT FROM p.quality")
 def q_split_stratified(spark, sf):
     """Per-quality test quota over the labelled documents."""
     return O.split_stratified(table(spark, sf, "labels"), "doc_id", "quality", 0.2, 42).select("doc_id", "quality",
