@@ -121,12 +121,12 @@ def _evidence(df: DataFrame) -> DataFrame:
     return df.agg(
         F.sum(sum(empties[1:], empties[0]) if empties else F.lit(0)).alias("empty"),
         F.max(longest).alias("longest"), F.count(F.lit(1)).alias("rows"),
-        any_of(lambda c: (c != F.regexp_replace(c, f"^{R.SPACE}+|{R.SPACE}+$", "")) | c.contains("  "))
-        .alias("spacing"),
-        any_of(lambda c: c.rlike("<[^>]+>")).alias("html"),
-        any_of(lambda c: c.rlike("(?i)https?://|www\\.")).alias("urls"),
+        # a plain search first: most texts hold none of these and skip the pattern
+        any_of(lambda c: c.contains("  ") | c.rlike(f"^{R.SPACE}|{R.SPACE}\\z")).alias("spacing"),
+        any_of(lambda c: c.contains("<") & c.rlike("<[^>]+>")).alias("html"),
+        any_of(lambda c: c.contains("://") & c.rlike("(?i)https?://") | c.rlike("(?i)www\\.")).alias("urls"),
         any_of(lambda c: c.rlike("[\\x{0}-\\x{8}\\x{B}\\x{C}\\x{E}-\\x{1F}]")).alias("control"),
-        any_of(lambda c: c.rlike(R.to_java(r"[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}"))).alias("emails"),
+        any_of(lambda c: c.contains("@") & c.rlike(R.to_java(r"[\w.+-]@[\w.-]+\.[A-Za-z]{2,}"))).alias("emails"),
     )
 
 

@@ -72,23 +72,54 @@ def q_read_event_log(spark, sf):
 
 
 @register("read_error_events", "SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_id + 1 AS line "
-                               "FROM events ORDER BY event_id DESC LIMIT 1000")
+                               "FROM events ORDER BY event_id DESC LIMIT 5000")
 def q_read_error_events(spark, sf):
     return RD.read_error_events(spark, _props_log(spark, sf), _K, limit=5000).select("k", "line")
 
 
-@register("file_manifest")
+def _name_files(names, folder: str) -> None:
+    """One small text file per row (relative, content), written by the tasks."""
+    def run(batches):
+        from ..sinks.files import write_once
+
+        for pdf in batches:
+            for relative, content in zip(pdf["relative"], pdf["content"]):
+                write_once(f"{folder}/{relative}", [content.encode("utf-8")])
+            yield pdf[["relative"]]
+
+    names.select("relative", "content").mapInPandas(run, "relative string").count()
+
+
+def _supplier_files(spark, sf):
+    place = F.format_string("n%d/s%d.txt", F.col("s_nationkey"), F.col("s_suppkey"))
+    return table(spark, sf, "supplier").select("s_suppkey", place.alias("relative"), F.col("s_name").alias("content"))
+
+
+_SUPPLIER_FILE = "'n' || s_nationkey || '/s' || s_suppkey || '.txt'"
+
+
+@register("file_manifest", f"SELECT {_SUPPLIER_FILE} AS relative, octet_length(encode(s_name)) AS size, "
+          "sha256(s_name) AS sha256 FROM supplier")
 def q_file_manifest(spark, sf):
-    return RD.file_manifest(spark, sf, "*.parquet").select("relative", "size", "sha256")
+    """A folder tree with one file per supplier."""
+    folder = scratch_path(spark, "supplier-files")
+    _name_files(_supplier_files(spark, sf), folder)
+    return RD.file_manifest(spark, folder, "*.txt").select("relative", "size", "sha256")
 
 
-@register("verify_manifest")
+@register("verify_manifest", f"WITH f AS (SELECT s_suppkey, {_SUPPLIER_FILE} AS relative FROM supplier) "
+          "SELECT relative, CASE s_suppkey % 10 WHEN 0 THEN 'changed' WHEN 1 THEN 'missing' ELSE 'ok' END AS status "
+          "FROM f UNION ALL SELECT relative || '.new', 'extra' FROM f WHERE s_suppkey % 10 = 2")
 def q_verify_manifest(spark, sf):
-    """The table folder against itself with one entry dropped: all ``ok``
-    and one ``missing``."""
-    expected = RD.file_manifest(spark, sf, "*.parquet")
-    actual = RD.file_manifest(spark, sf, "*.parquet").filter(F.col("relative") != "region.parquet")
-    return RD.verify_manifest(expected, actual).select("relative", "status")
+    """The tree against an earlier manifest: files changed, missing and added."""
+    before, after = scratch_path(spark, "files-before"), scratch_path(spark, "files-after")
+    files = _supplier_files(spark, sf)
+    _name_files(files, before)
+    changed = files.withColumn("content", F.when(F.col("s_suppkey") % 10 == 0, F.concat("content", F.lit("!")))
+                               .otherwise(F.col("content"))).filter("s_suppkey % 10 <> 1")
+    added = files.filter("s_suppkey % 10 = 2").withColumn("relative", F.concat("relative", F.lit(".new")))
+    _name_files(changed.unionAll(added), after)
+    return RD.verify_manifest(RD.file_manifest(spark, before), RD.file_manifest(spark, after)).select("relative", "status")
 
 
 def _saved_version(spark, sf):

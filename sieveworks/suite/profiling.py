@@ -30,7 +30,37 @@ def q_infer_types(spark, sf):
     return infer_types(table(spark, sf, "conversations"))
 
 
-@register("recommend_cleanup")
+def _rule(operation: str | None, title: str, severity: str, found: str, affected: str = "CAST(NULL AS BIGINT)") -> str:
+    name = "CAST(NULL AS VARCHAR)" if operation is None else f"'{operation}'"
+    return (f"SELECT * FROM (SELECT {name} AS operation, '{title}' AS title, '{severity}' AS severity, "
+            f"CAST({affected} AS BIGINT) AS affected, {found} AS found FROM pages) WHERE found")
+
+
+def _any(pattern: str) -> str:
+    return f"bool_or(regexp_matches(url, '{pattern}') OR regexp_matches(html, '{pattern}'))"
+
+
+_EMPTY = "sum(" + " + ".join(
+    ["CASE WHEN page_id IS NULL THEN 1 ELSE 0 END"] + [
+        f"CASE WHEN {c} IS NULL OR regexp_full_match({c}, '[%SP%]*') THEN 1 ELSE 0 END" for c in ("url", "html")]) + ")"
+_DUPLICATES = "count(*) - count(DISTINCT (page_id, url, html))"
+_LONGEST = "max(greatest(length(url), length(html)))"
+
+
+@register("recommend_cleanup", sql("SELECT operation, title, severity, affected FROM (" + " UNION ALL ".join([
+    _rule("remove_duplicates", "Remove duplicate examples", "warning", f"{_DUPLICATES} > 0", _DUPLICATES),
+    _rule("remove_empty_records", "Remove incomplete examples", "warning", f"{_EMPTY} > 0", _EMPTY),
+    _rule("trim_whitespace", "Normalize whitespace", "suggestion", _any("^[%SP%]|[%SP%]$|  ")),
+    _rule("remove_html", "Remove HTML markup", "suggestion", _any("<[^>]+>")),
+    _rule("remove_urls", "Review web addresses", "suggestion", _any("(?i)https?://|www\\.")),
+    _rule("remove_control_characters", "Remove control characters", "warning",
+          _any("[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]")),
+    _rule("redact_emails", "Review personal email addresses", "privacy",
+          _any("[%W%.+\\-]+@[%W%.\\-]+\\.[A-Za-z]{2,}")),
+    _rule(None, "Very long text detected", "warning", f"{_LONGEST} > 16000", _LONGEST),
+    _rule(None, "Small training set", "warning", "count(*) BETWEEN 1 AND 19", "count(*)"),
+    _rule(None, "Choose input fields manually", "warning", "count(*) >= 0"),
+]) + ")"))
 def q_recommend_cleanup(spark, sf):
     return recommend_cleanup(table(spark, sf, "pages"))
 
