@@ -16,15 +16,20 @@ empty slot get a longer one, so the horizon never changes a signature.
 **Candidates.**  Signatures are cut into bands; equal bands share a bucket.
 Equal texts are one node.  First every node of a bucket is compared with the
 bucket's smallest node (a star, never all pairs) and verified links are
-merged to components.  Then the buckets that still hold several components are
-looked at again: within blocks of bounded size, whole signatures are compared
-in memory and only cross-component pairs that agree in enough slots to reach
-the similarity (within five standard deviations) go on.  Buckets larger than a
-block are first split by a second and third band, which similar nodes share as
-well, and what is still larger is compared block against block.  Nothing is
-capped: every cross-component pair of a bucket is examined.
-
-**Verification.**  Candidates are verified on the shingle counts of the whole
+merged to components.  Large buckets that still hold several components get
+further stars around other centres, which soon merges a large group of near
+copies.  What is left are buckets with some nodes outside their largest
+component: those nodes are compared with all nodes of the bucket, block
+against block of bounded size, by whole signatures in memory; pairs that agree
+in enough slots to reach the similarity (within five standard deviations) are
+verified on the spot, best first, until their components are joined, so a
+block hands on at most one link for each component it joins.  A pair is
+examined in the first bucket that it shares.  Buckets with very many outside
+nodes (texts that share a passage) are first split by a second and third band,
+which similar nodes share as well.  Nothing is capped: every pair of a bucket
+that could join two components is examined.
+
+**Verification.**  Links are verified on the shingle counts of the whole
 texts.  Classes are the connected components of verified links.
 
 Defined cases: null counts as the empty text; texts of one to four words
@@ -53,7 +58,9 @@ SIMILARITY = (4, 5)        # as a fraction
 BAND_ROWS, BANDS = 4, 24
 SLOTS = BAND_ROWS * BANDS
 BLOCK = 2048               # nodes compared in memory at once
-SPLITS = 2                 # further bands that split larger buckets
+SPLITS = 2                 # further bands that split buckets with many components
+STARS = 4                  # further centres tried for large buckets
+LARGE = 256                # nodes of a bucket from which they are
 BROADCAST_NODES = 2_000_000
 WORDS_REMEMBERED = 500_000
 
@@ -100,10 +107,16 @@ class Shingler:
 
 def similarity_reached(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> bool:
     """Whether the weighted Jaccard similarity is at least SIMILARITY."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    both = int(np.minimum(a[1][i], b[1][j]).sum())
-    either = int(a[1].sum() + b[1].sum()) - both
-    return SIMILARITY[1] * both >= SIMILARITY[0] * either if either else True
+    sums = int(a[1].sum()), int(b[1].sum())
+    if SIMILARITY[1] * min(sums) < SIMILARITY[0] * max(sums):
+        return False   # too different in length
+    if not len(a[0]):
+        return True
+    at = np.searchsorted(a[0], b[0])
+    at[at == len(a[0])] = 0
+    same = a[0][at] == b[0]
+    both = int(np.minimum(a[1][at[same]], b[1][same]).sum())
+    return SIMILARITY[1] * both >= SIMILARITY[0] * (sum(sums) - both)
 
 
 def signatures(bags: list[tuple[np.ndarray, np.ndarray]], slots: int = SLOTS) -> np.ndarray:
@@ -223,17 +236,21 @@ def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         run, "a string, b string")
 
 
+def _texts_of(names: DataFrame, texts: DataFrame, text_col: str) -> DataFrame:
+    """(node, text) of the nodes in ``names``."""
+    names = materialize(names.select(F.col("node").alias("__node")).distinct(), "near-needed")
+    if names.count() <= BROADCAST_NODES:   # else shuffled, with the same result
+        names = F.broadcast(names)
+    held = texts.select("__node", F.col(text_col).alias("text")).join(names, "__node", "left_semi")
+    return materialize(held.dropDuplicates(["__node"]).withColumnRenamed("__node", "node"), "near-texts")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, text_col: str) -> DataFrame:
     """Pairs (a, b) whose texts reach the similarity."""
     pairs = materialize(pairs.distinct(), "near-pairs")
-    needed = pairs.select(F.col("a").alias("__node")).unionAll(pairs.select("b")).distinct()
-    needed = materialize(needed, "near-needed")
-    if needed.count() <= BROADCAST_NODES:   # else shuffled, with the same result
-        needed = F.broadcast(needed)
-    held = materialize(texts.select("__node", F.col(text_col).alias("text")).join(needed, "__node", "left_semi")
-                       .dropDuplicates(["__node"]), "near-texts")
-    left = held.select(F.col("__node").alias("a"), F.col("text").alias("text_a"))
-    right = held.select(F.col("__node").alias("b"), F.col("text").alias("text_b"))
+    held = _texts_of(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")), texts, text_col)
+    left = held.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    right = held.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
 
     def run(batches):
         shingler, last, bag = Shingler(), None, None
@@ -249,55 +266,118 @@ def _verified(pairs: DataFrame, texts: DataFrame, text_col: str) -> DataFrame:
         run, "a string, b string")
 
 
-def _cross_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one cell in different components that agree in enough slots."""
-    pdf = pdf.drop_duplicates("node")
-    sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint32).reshape(-1, SLOTS)
-    label = pd.factorize(pdf["label"])[0]
-    node = pdf["node"].to_numpy()
-    enough, found = _enough(), []
-    for at in range(0, len(sig), 64):
-        agree = np.zeros((len(sig[at:at + 64]), len(sig)), dtype=np.int16)
+def _cell_links(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Verified links of one cell that join components: between its outside
+    nodes and any node of another component."""
+    out, every = (pdf[pdf["outside"] == side].drop_duplicates("node") for side in (True, False))
+    sig, all_sig = (np.frombuffer(b"".join(x["sig"]), dtype=np.uint32).reshape(-1, SLOTS) for x in (out, every))
+    name, label, text = (out[c].to_numpy() for c in ("node", "label", "text"))
+    all_name, all_label, all_text = (every[c].to_numpy() for c in ("node", "label", "text"))
+    key = pdf["first"].iloc[0]
+    columns, enough = np.ascontiguousarray(all_sig.T), _enough()
+    shingler, bags, above = Shingler(), {}, {}
+
+    def bag(node, text):
+        if node not in bags:
+            bags[node] = shingler.bag(text)
+        return bags[node]
+
+    def top(x):
+        while x in above:
+            x = above[x]
+        return x
+
+    found = []
+    for at in range(0, len(name), 64):
+        some = sig[at:at + 64]
+        agree = np.zeros((len(some), len(all_name)), dtype=np.uint8)
         for slot in range(SLOTS):
-            agree += sig[at:at + 64, slot][:, None] == sig[None, :, slot]
-        i, j = np.nonzero((agree >= enough) & (label[at:at + 64][:, None] < label[None, :]))
-        found.extend(zip(node[at + i], node[j], strict=True))
-    return pd.DataFrame([(max(p), min(p)) for p in found], columns=["a", "b"], dtype=str)
+            agree += some[:, slot][:, None] == columns[slot][None, :]
+        i, j = np.nonzero(agree >= enough)
+        across = label[at + i] != all_label[j]
+        i, j = i[across], j[across]
+        if not pd.isna(key):   # other buckets that the pair shares leave it to its first
+            shared = (some[i] == all_sig[j]).reshape(-1, BANDS, BAND_ROWS).all(axis=2).argmax(axis=1)
+            here = band_keys(some)[i, shared] == int(key)
+            i, j = i[here], j[here]
+        for k in np.argsort(-agree[i, j].astype(np.int16), kind="stable").tolist():
+            a, b = at + i[k], j[k]
+            x, y = top(label[a]), top(all_label[b])
+            if x != y and similarity_reached(bag(name[a], text[a]), bag(all_name[b], all_text[b])):
+                above[max(x, y)] = min(x, y)
+                found.append((max(name[a], all_name[b]), min(name[a], all_name[b])))
+    return pd.DataFrame(found, columns=["a", "b"], dtype=str)
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
-    """(key, n) of the buckets that hold several components."""
-    return (rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"),
-                                    F.max("label").alias("high"))
-            .filter("low <> high").select("key", "n"))
+    """(key, n, outside, main) of the buckets that hold several components: their
+    nodes, those outside the largest component, and its label."""
+    sizes = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
+    return (sizes.groupBy("key").agg(F.sum("m").alias("n"), F.max(F.struct("m", "label")).alias("top"))
+            .filter("n > top.m").select("key", "n", (F.col("n") - F.col("top.m")).alias("outside"),
+                                        F.col("top.label").alias("main")))
+
+
+def _labelled(placed: DataFrame, links: DataFrame) -> DataFrame:
+    """(key, node, label) under the components of the links so far."""
+    first = materialize(components(links), "near-components")
+    return (placed.select("key", "node").join(first, "node", "left")
+            .select("key", "node", F.coalesce("label", "node").alias("label")))
 
 
-def _left_over(placed: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Likely pairs across the components of a bucket; ``placed``: (key, node,
-    label)."""
+def _further_stars(placed: DataFrame, nodes: DataFrame, links: DataFrame, texts: DataFrame,
+                   text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Links and labels after stars around other centres of large buckets."""
+    rows = _labelled(placed, links)
+    for turn in range(STARS):
+        mixed = materialize(_mixed(rows).filter(F.col("n") > LARGE).select("key"), "near-large")
+        if mixed.isEmpty():
+            break
+        large = materialize(rows.join(mixed, "key"), "near-large-rows")
+        centre = large.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "key", "node").alias("o"),
+                                                         "node", "label")).alias("c"))
+        star = (large.join(centre, "key").filter(F.col("label") != F.col("c.label"))
+                .select(F.greatest("node", "c.node").alias("a"), F.least("node", "c.node").alias("b")).distinct())
+        more = materialize(_verified(_likely(star, nodes), texts, text_col), "near-links")
+        if more.isEmpty():
+            break
+        links = materialize(links.unionAll(more), "near-links")
+        rows = _labelled(placed, links)
+    return links, rows
+
+
+def _left_over(placed: DataFrame, nodes: DataFrame, texts: DataFrame, text_col: str) -> DataFrame:
+    """Verified links across the components of a bucket; ``placed``: (key,
+    node, label)."""
     cells, rows = [], placed
     for split in range(SPLITS + 1):
         rows = materialize(rows.join(_mixed(rows), "key"), "near-mixed")
         last = split == SPLITS
-        fit = rows if last else rows.filter(F.col("n") <= BLOCK)
-        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        fit = fit.withColumn("mine", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-        other = F.explode(F.sequence(F.lit(0), blocks - 1))
-        fit = fit.withColumn("other", other)
-        cells.append(fit.select(F.concat_ws(":", F.lit(split), "key", F.least("mine", "other"),
-                                            F.greatest("mine", "other")).alias("cell"), "node", "label"))
-        large = rows.filter(F.col("n") > BLOCK).select("key", "node", "label")
+        many = F.col("outside") > BLOCK
+        fit = rows if last else rows.filter(~many)
+        blocks, strips = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("n", "outside"))
+        mine = F.xxhash64("node")
+        every = fit.withColumn("block", F.pmod(mine, blocks)).withColumn(
+            "strip", F.explode(F.sequence(F.lit(0), strips - 1))).withColumn("outside", F.lit(False))
+        out = fit.filter("label <> main").withColumn("strip", F.pmod(mine, strips).cast("int")).withColumn(
+            "block", F.explode(F.sequence(F.lit(0).cast("long"), (blocks - 1).cast("long")))).withColumn(
+            "outside", F.lit(True))
+        name = F.concat_ws(":", F.lit(split), "key", "block", "strip").alias("cell")
+        first = (F.col("key") if split == 0 else F.lit(None).cast("long")).alias("first")
+        cells += [df.select(name, first, "node", "label", "outside") for df in (every, out)]
+        large = rows.filter(many).select("key", "node", "label")
         if last or large.isEmpty():
             break
-        # similar nodes share further bands: large buckets fall apart by those
+        # similar nodes share further bands: such buckets fall apart by those
         rows = (large.join(nodes.select("node", F.explode("bands").alias("band")), "node")
                 .filter("band <> key").select(F.xxhash64(F.least("key", "band"), F.greatest("key", "band"))
                                               .alias("key"), "node", "label").distinct())
     union = cells[0]
     for more in cells[1:]:
         union = union.unionAll(more)
-    return (union.join(nodes.select("node", "sig"), "node").groupBy("cell")
-            .applyInPandas(_cross_pairs, "a string, b string"))
+    union = materialize(union, "near-cells")
+    held = nodes.select("node", "sig").join(_texts_of(union, texts, text_col), "node")
+    return union.join(held, "node").groupBy("cell").applyInPandas(_cell_links, "a string, b string")
 
 
 def _classified(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -314,10 +394,8 @@ def _classified(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     placed = materialize(bands.join(shared, "key"), "near-buckets")
     star = placed.filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     links = materialize(_verified(_likely(star, nodes), keyed, text_col), "near-links")
-    first = materialize(components(links), "near-components")
-    labelled = (placed.select("key", "node").join(first, "node", "left")
-                .select("key", "node", F.coalesce("label", "node").alias("label")))
-    more = _verified(_left_over(labelled, nodes), keyed, text_col)
+    links, labelled = _further_stars(placed, nodes, links, keyed, text_col)
+    more = materialize(_left_over(labelled, nodes, keyed, text_col), "near-links")
     joined = components(links.unionAll(more))
 
     # class of a node: its component, or itself; texts without words are one class

@@ -75,6 +75,7 @@ def corpus(seed, n=60):
 @pytest.mark.parametrize("block", [2048, 8])
 def test_classes_equal_brute_force(session, monkeypatch, block):
     monkeypatch.setattr(near_dup, "BLOCK", block)
+    monkeypatch.setattr(near_dup, "LARGE", block // 2)
     rows = corpus(3)
     df = session.createDataFrame([(i, t, "a", "b", "c") for i, t in rows], SCHEMA)
     groups, out = grouped(near_dup.classes(df))
