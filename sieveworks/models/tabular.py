@@ -154,57 +154,92 @@ def ridge_fit(encoded: DataFrame, d: int, regularization: float = 0.001) -> np.n
     return np.linalg.pinv(g + penalty) @ b
 
 
-def _grad_partials(w: np.ndarray, k: int):
-    d = w.shape[0]
+BLOCK_ROWS = 8192  # encoded rows stored together
+
+
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows stacked once into matrices, so that no iteration unpacks arrays."""
+    for pdf in batches:
+        for at in range(0, len(pdf), BLOCK_ROWS):
+            part = pdf.iloc[at:at + BLOCK_ROWS]
+            x = np.stack(part["x"].to_numpy()).astype(np.float64)
+            yield pd.DataFrame({"n": [len(part)], "x": [x.tobytes()],
+                                "y": [part["y"].to_numpy(dtype=np.int64).tobytes()],
+                                "fit": [part["fit"].to_numpy(dtype=np.bool_).tobytes()]})
+
+
+def _gradients(weights: list[np.ndarray], k: int):
+    """Gradient, loss and row count of each weight matrix; all but the last see
+    only the rows marked ``fit``."""
+    d = weights[0].shape[0]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grad = np.zeros((d, k))
-        loss = 0.0
-        n = 0
+        total = np.zeros((len(weights), d * k + 2))
         for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            x = np.stack(pdf["x"].to_numpy()).astype(np.float64)
-            y = pdf["y"].to_numpy(dtype=np.int64)
-            s = x @ w
-            s -= s.max(axis=1, keepdims=True)
-            p = np.exp(s)
-            p /= p.sum(axis=1, keepdims=True)
-            onehot = np.eye(k)[y]
-            grad += x.T @ (p - onehot)
-            loss += float(-np.log(np.clip(p[np.arange(len(y)), y], 1e-12, 1.0)).sum())
-            n += len(pdf)
-        yield pd.DataFrame({"i": np.arange(d * k + 2),
-                            "v": np.concatenate([grad.ravel(), [loss, float(n)]])})
+            for row in pdf.itertuples():
+                x = np.frombuffer(row.x).reshape(row.n, d)
+                y = np.frombuffer(row.y, dtype=np.int64)
+                fit = np.frombuffer(row.fit, dtype=np.bool_)
+                for j, w in enumerate(weights):
+                    xs, ys = (x, y) if j == len(weights) - 1 else (x[fit], y[fit])
+                    s = xs @ w
+                    s -= s.max(axis=1, keepdims=True)
+                    p = np.exp(s)
+                    p /= p.sum(axis=1, keepdims=True)
+                    loss = -np.log(np.clip(p[np.arange(len(ys)), ys], 1e-12, 1.0)).sum()
+                    p[np.arange(len(ys)), ys] -= 1.0
+                    total[j] += np.concatenate([(xs.T @ p).ravel(), [loss, len(ys)]])
+        yield pd.DataFrame({"i": np.arange(total.size), "v": total.ravel()})
     return run
 
 
-def softmax_fit(encoded: DataFrame, d: int, k: int, learning_rate: float = 0.05, iterations: int = 500,
-                regularization: float = 0.001) -> np.ndarray:
-    """Full-batch gradient descent from zero weights, L2 off the intercept,
-    stop when the loss changes by less than 1e-9.  Each iteration is one
-    distributed pass (per-partition numpy partials, summed by index); the
-    input is persisted so iterations re-read cached partitions."""
+def _descend(encoded: DataFrame, d: int, k: int, fits: int, learning_rate: float, iterations: int,
+             regularization: float) -> list[np.ndarray]:
+    """Full-batch gradient descent of ``fits`` models side by side, one
+    distributed pass per iteration for all of them; a model stops when its
+    loss changes by less than 1e-9."""
     from pyspark import StorageLevel
 
-    data = encoded.select("x", "y").persist(StorageLevel.MEMORY_AND_DISK)
-    w = np.zeros((d, k))
-    previous = float("inf")
+    data = (encoded.select("x", "y", "fit").mapInPandas(_blocks, "n long, x binary, y binary, fit binary")
+            .persist(StorageLevel.MEMORY_AND_DISK))
+    weights = [np.zeros((d, k)) for _ in range(fits)]
+    previous, active = [float("inf")] * fits, set(range(fits))
     try:
         for _ in range(iterations):
-            partial = data.mapInPandas(_grad_partials(w, k), "i long, v double")
-            sums = dict(partial.groupBy("i").agg(F.sum("v").alias("v")).collect())
-            n = sums.get(d * k + 1, 0.0) or 1.0
-            grad = np.array([sums.get(i, 0.0) for i in range(d * k)]).reshape(d, k) / n
-            grad[1:] += regularization * w[1:]
-            w = w - learning_rate * grad
-            loss = sums.get(d * k, 0.0) / n
-            if abs(previous - loss) < 1e-9:
+            if not active:
                 break
-            previous = loss
+            partial = data.mapInPandas(_gradients(weights, k), "i long, v double")
+            sums = dict(partial.groupBy("i").agg(F.sum("v").alias("v")).collect())
+            got = np.array([sums.get(i, 0.0) for i in range(fits * (d * k + 2))]).reshape(fits, -1)
+            for j in sorted(active):
+                n = got[j, -1] or 1.0
+                grad = got[j, :d * k].reshape(d, k) / n
+                grad[1:] += regularization * weights[j][1:]
+                weights[j] = weights[j] - learning_rate * grad
+                loss = got[j, -2] / n
+                if abs(previous[j] - loss) < 1e-9:
+                    active.discard(j)
+                previous[j] = loss
     finally:
         data.unpersist()
-    return w
+    return weights
+
+
+def softmax_fit(encoded: DataFrame, d: int, k: int, learning_rate: float = 0.05, iterations: int = 500,
+                regularization: float = 0.001) -> np.ndarray:
+    """Full-batch gradient descent from zero weights, L2 off the intercept.
+    Rows are stored once as matrices; each iteration reads them, sums
+    per-partition numpy partials by index and moves the weights."""
+    return _descend(encoded.withColumn("fit", F.lit(True)), d, k, 1, learning_rate, iterations, regularization)[0]
+
+
+def softmax_fit_with_validation(encoded: DataFrame, d: int, k: int, learning_rate: float = 0.05,
+                                iterations: int = 500, regularization: float = 0.001) -> tuple[np.ndarray, np.ndarray]:
+    """Weights fitted on the rows whose ``split`` is train, and on all rows, in
+    the same passes."""
+    marked = encoded.withColumn("fit", F.col("split") == "train")
+    train, every = _descend(marked, d, k, 2, learning_rate, iterations, regularization)
+    return train, every
 
 
 def predict_regression(x: Column, weights: np.ndarray, log1p: bool = False) -> Column:
@@ -293,13 +328,12 @@ def fit_tabular(df: DataFrame, features: list[str], target: str, objective: str
                                      py_str(F.col(target), dtype_of(df, target))) - 1
             enc = split.select(x.alias("x"), index.cast("long").alias("y"), "split")
             k = len(labels)
-            w_val = softmax_fit(enc.filter(F.col("split") == "train"), d, k, learning_rate, iterations,
-                                regularization)
+            w_val, w_all = softmax_fit_with_validation(enc, d, k, learning_rate, iterations, regularization)
             ranked = enc.filter(F.col("split") == "validation").withColumn("r", classify(F.col("x"), w_val, labels))
             acc = ranked.select((F.array_position(F.array(*[F.lit(lb) for lb in labels]), F.col("r")[0]["label"]) - 1)
                                 .alias("p"), "y")
             out["metrics"] = {"accuracy": accuracy(acc, "p", "y").first()["accuracy"]}
-            out["weights"] = softmax_fit(enc, d, k, learning_rate, iterations, regularization).tolist()
+            out["weights"] = w_all.tolist()
             out["labels"] = labels
         return out
     finally:

@@ -143,6 +143,35 @@ def q_ridge_fit(spark, sf):
     return spark.createDataFrame([(i, round(w, 6)) for i, w in enumerate(model["weights"])], "idx int, weight double")
 
 
+_ONE_FEATURE = ("WITH " + _SPLIT_CTE + ", s AS (SELECT avg(l_quantity) AS m, CASE WHEN stddev_pop(l_quantity) = 0 THEN 1 "
+                "ELSE stddev_pop(l_quantity) END AS s FROM tr), z AS (SELECT (l_quantity - m) / s AS z, l_extendedprice "
+                "AS y, lineitem.* FROM lineitem, s), g AS (SELECT count(*)::DOUBLE AS n, sum(z) AS sz, sum(z * z) + 0.001 "
+                "AS szz, sum(y) AS sy, sum(z * y) AS szy FROM z), w AS (SELECT (sy * szz - sz * szy) / (n * szz - sz * sz) "
+                "AS w0, (n * szy - sz * sy) / (n * szz - sz * sz) AS w1 FROM g) ")
+
+
+def _one_feature(spark, sf):
+    return TB.fit_tabular(_lineitem_rows(spark, sf), ["l_quantity"], "l_extendedprice", "regression", id_col="rid")
+
+
+@register("ridge_fit_one_feature", _ONE_FEATURE + "SELECT CAST(0 AS INTEGER) AS idx, round(w0, 4) AS weight FROM w "
+          "UNION ALL SELECT 1, round(w1, 4) FROM w")
+def q_ridge_fit_one_feature(spark, sf):
+    """The ridge system of one standardised feature, solved in SQL as well."""
+    weights = _one_feature(spark, sf)["weights"]
+    return spark.createDataFrame([(i, round(w, 4)) for i, w in enumerate(weights)], "idx int, weight double")
+
+
+@register("tabular_predict_one_feature", _ONE_FEATURE + "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, "
+          "round(w0 + w1 * z, 3) AS prediction FROM z, w")
+def q_tabular_predict_one_feature(spark, sf):
+    model = _one_feature(spark, sf)
+    rows = _lineitem_rows(spark, sf)
+    x = TB.encode(rows, [TB.Feature(**f) for f in model["features"]])
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(
+        TB.predict_regression(x, __import__("numpy").array(model["weights"])), 3).alias("prediction"))
+
+
 @register("tabular_fit")
 def q_tabular_fit(spark, sf):
     rows = _lineitem_rows(spark, sf)
@@ -267,6 +296,19 @@ def q_linear_softmax_fit(spark, sf):
                                  "label string, intercept double, weight_l1 double")
 
 
+@register("linear_softmax_calibration", "SELECT CAST(label AS VARCHAR) AS label, round(count(*) / sum(count(*)) OVER (), 3) "
+          "AS mean_probability FROM embeddings GROUP BY label")
+def q_linear_softmax_calibration(spark, sf):
+    """At the optimum the mean predicted probability of a class is its share of
+    the rows, whatever the penalty, because intercepts are not penalised."""
+    emb = table(spark, sf, "embeddings")
+    labels, w, b = V.linear_softmax_fit(emb, "embedding", "label")
+    scores = V.linear_scores(F.col("embedding").cast("array<double>"), labels, w, b)
+    every = emb.select(F.explode(V.softmax_top_k(scores, len(labels))).alias("p"))
+    return every.groupBy(F.col("p.label").alias("label")).agg(F.round(
+        F.sum("p.score") / F.lit(emb.count()), 3).alias("mean_probability"))
+
+
 @register("linear_softmax_classify")
 def q_linear_softmax_classify(spark, sf):
     emb = table(spark, sf, "embeddings")
