@@ -22,6 +22,7 @@ bytes, null ids to no bytes; columns named like a result column are replaced.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterable
 
 import numpy as np
@@ -206,6 +207,49 @@ class PrefixTable:
         return out
 
 
+_CLASSES = (r"\p{L}", r"\p{N}", r"\s", r"\S")
+_BEYOND = re.compile("[\U00010000-\U0010ffff]")
+
+
+def _members(escape: str) -> str:
+    """A class escape of the ``regex`` module spelled out as code point ranges
+    below U+10000."""
+    matches = regex.compile(escape).match
+    hits = [c for c in range(0x10000) if not 0xD800 <= c < 0xE000 and matches(chr(c))]
+    out, start = [], 0
+    for i, c in enumerate(hits):
+        if i + 1 == len(hits) or hits[i + 1] != c + 1:
+            out.append(f"\\u{hits[start]:04x}-\\u{c:04x}")
+            start = i + 1
+    return "".join(out)
+
+
+def splitter(pattern: str):
+    """``findall`` of a splitting pattern.  Patterns of plain syntax and the
+    classes above also get a form for the ``re`` module, which is much quicker
+    on texts without characters beyond U+FFFF; the matches are the same."""
+    exact = regex.compile(pattern).findall
+    parts = re.split(r"(\\p\{[LN]\}|\\[sS]|\[\^?|\])", pattern)
+    out, inside = [], False
+    for part in parts:
+        if part in _CLASSES:
+            if inside and part == r"\S":
+                return exact
+            members = _members(part.replace("S", "s") if part == r"\S" else part)
+            out.append(members if inside else f"[{'^' * (part == r'\S')}{members}]")
+            continue
+        if "\\" in part or "(?" in part.replace("(?!", "").replace("(?=", ""):
+            return exact   # syntax that the two modules may read differently
+        if part in ("[", "[^", "]"):
+            inside = part != "]"
+        out.append(part)
+    quick = re.compile("".join(out)).findall
+
+    def split(text: str) -> list[str]:
+        return exact(text) if _BEYOND.search(text) else quick(text)
+    return split
+
+
 class SharedPrefixes:
     """The prefix table of many short pieces at once: pieces that begin alike
     share the entries of their common prefixes.  An entry holds the ids of its
@@ -263,7 +307,7 @@ class Codec:
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary = vocabulary
-        self.split = regex.compile(pattern).findall
+        self.split = splitter(pattern)
         self.prefixes = SharedPrefixes(vocabulary)
         self._remembered: dict[str, bytes] = {}
 

@@ -4,6 +4,7 @@ import hashlib
 
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -56,6 +57,16 @@ def test_long_runs_and_unreachable_tokens():
         assert codec.encode(text).tolist() == peer.encode_ordinary(text)
 
 
+def test_every_character_splits_alike():
+    assert bpe.splitter(public_tokenizers.PATTERN).__name__ == "split"
+    exact = regex.compile(public_tokenizers.PATTERN).findall
+    for start in range(0, 0x10000, 64):
+        chars = [chr(c) for c in range(start, start + 64) if not 0xD800 <= c < 0xE000]
+        text = "".join(f"a{c} b{c}{c}1{c} {c}\n" for c in chars)
+        assert CODEC.split(text) == exact(text)
+    assert bpe.splitter(r"(?i)\w+")("Ab c") == ["Ab", "c"]
+
+
 def test_missing_byte_is_an_error():
     with pytest.raises(ValueError):
         bpe.Vocabulary({b"a": 0})
