@@ -35,8 +35,6 @@ other like any other rows; columns named like a result column are replaced.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -261,19 +259,19 @@ def _sorted_groups(groups: DataFrame, length: int) -> DataFrame:
 
 
 _HALVES = ("key long, s1 long, s2 long, key2 long, t1 long, t2 long, copies long, most int, least int, "
-           "left binary, right binary")
-
+           "left binary, right binary, low int, high int")
 
-def _halves(groups: DataFrame, length: int, low: int, high: int) -> DataFrame:
-    """Each context's windows in [low, mid) and [mid, high), as contexts of a
-    group that shares the bytes common to that half."""
-    mid = (low + high) // 2
 
+def _halves(groups: DataFrame, length: int) -> DataFrame:
+    """Each context's windows in the lower and the upper half of its group's
+    distances [low, high), as contexts of a group that shares the bytes common
+    to that half."""
     def run(batches):
         for batch in slices(batches, 1024):
             out = []
-            for key, s1, s2, copies, most, least, left, right in zip(*[c.to_pylist() for c in batch.columns],
-                                                                      strict=True):
+            for key, s1, s2, copies, most, least, left, right, low, high in zip(
+                    *[c.to_pylist() for c in batch.columns], strict=True):
+                mid = (low + high) // 2
                 for a, b in ((low, mid), (mid, high)):   # distances from start to anchor
                     far, close = min(most, b - 1), max(least, a)
                     if far < close:
@@ -284,40 +282,46 @@ def _halves(groups: DataFrame, length: int, low: int, high: int) -> DataFrame:
                     sub = xxhash.xxh3_128_digest(before + after, seed=far)
                     out.append((key, s1, s2, int.from_bytes(name, "little", signed=True) ^ key,
                                 int.from_bytes(sub[:8], "little", signed=True),
-                                int.from_bytes(sub[8:], "little", signed=True), copies, far, close, before, after))
+                                int.from_bytes(sub[8:], "little", signed=True), copies, far, close, before, after, a, b))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), _HALF_TYPES, strict=True)]
                 if out else [pa.array([], t) for t in _HALF_TYPES], names=_HALF_NAMES)
 
-    return groups.select("key", "s1", "s2", "copies", "most", "least", "left", "right").mapInArrow(run, _HALVES)
+    return groups.select("key", "s1", "s2", "copies", "most", "least", "left", "right", "low", "high").mapInArrow(
+        run, _HALVES)
 
 
 _HALF_NAMES = [x.strip().split(" ")[0] for x in _HALVES.split(",")]
-_HALF_TYPES = [pa.int64()] * 7 + [pa.int32()] * 2 + [pa.binary()] * 2
-
-
-def _solve(groups: DataFrame, length: int, low: int, high: int) -> DataFrame:
-    """(key, s1, s2, spans) of different contexts; distances in [low, high)."""
-    counts = groups.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("all"))
-    counted = materialize(groups.join(counts, "key").filter("all > 1"), "substring-groups")
-    small = _sorted_groups(counted.filter(F.col("n") <= GROUP), length)
-    large = counted.filter(F.col("n") > GROUP)
-    if high - low <= 1 or large.isEmpty():
-        return small
-    halves = materialize(_halves(large, length, low, high), "substring-halves")
-    parts = [small]
-    mid = (low + high) // 2
-    for a, b in ((low, mid), (mid, high)):
-        mine = halves.filter((F.col("least") >= a) & (F.col("most") < b))
-        different = (mine.groupBy("key2", "t1", "t2").agg(
-            F.sum("copies").alias("copies"), F.first(F.struct("most", "least", "left", "right")).alias("c"))
-            .select(F.col("key2").alias("key"), F.col("t1").alias("s1"), F.col("t2").alias("s2"), "copies", "c.*"))
-        solved = _solve(different, length, a, b)
-        parts.append(mine.select("key", "s1", "s2", "key2", "t1", "t2").join(
-            solved.select(F.col("key").alias("key2"), F.col("s1").alias("t1"), F.col("s2").alias("t2"), "spans"),
-            ["key2", "t1", "t2"]).select("key", "s1", "s2", "spans"))
-    every = reduce(DataFrame.unionAll, parts)
-    return every.groupBy("key", "s1", "s2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+_HALF_TYPES = [pa.int64()] * 7 + [pa.int32()] * 2 + [pa.binary()] * 2 + [pa.int32()] * 2
+
+
+def _solve(groups: DataFrame, length: int) -> DataFrame:
+    """(key, s1, s2, spans) of different contexts.
+
+    One round for each halving, for all groups together: small groups are
+    sorted, large ones halved.  Then the rounds are taken back, so that a
+    context has the spans of its halves."""
+    level = groups.withColumn("low", F.lit(0)).withColumn("high", F.lit(length - SEED + 1))
+    solved, steps = [], []
+    while True:
+        counts = level.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("all"))
+        counted = materialize(level.join(counts, "key").filter("all > 1"), "substring-groups")
+        solved.append(materialize(_sorted_groups(counted.filter(F.col("n") <= GROUP), length), "substring-sorted"))
+        large = counted.filter(F.col("n") > GROUP)
+        if large.isEmpty():
+            break
+        halves = materialize(_halves(large, length), "substring-halves")
+        steps.append(halves.select("key", "s1", "s2", "key2", "t1", "t2"))
+        context = F.first(F.struct("most", "least", "left", "right", "low", "high")).alias("c")
+        level = (halves.groupBy("key2", "t1", "t2").agg(F.sum("copies").alias("copies"), context)
+                 .select(F.col("key2").alias("key"), F.col("t1").alias("s1"), F.col("t2").alias("s2"), "copies", "c.*"))
+    spans = solved.pop()
+    while steps:
+        below = spans.select(F.col("key").alias("key2"), F.col("s1").alias("t1"), F.col("s2").alias("t2"), "spans")
+        back = steps.pop().join(below, ["key2", "t1", "t2"]).select("key", "s1", "s2", "spans")
+        spans = materialize(solved.pop().unionAll(back).groupBy("key", "s1", "s2")
+                            .agg(F.flatten(F.collect_list("spans")).alias("spans")), "substring-spans")
+    return spans
 
 
 def _with_bytes(contexts: DataFrame, docs: DataFrame, length: int) -> DataFrame:
@@ -377,7 +381,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     several = materialize(sized.filter("n > 1").drop("n"), "substring-several")
     holders = _only(docs, materialize(several.select("id", "k").distinct(), "substring-holders"), "left_semi")
     groups = alone.unionAll(_with_bytes(several, holders, length))
-    spans = materialize(_solve(groups, length, 0, length - SEED + 1), "substring-spans")
+    spans = _solve(groups, length)
     found = again.join(spans.select(F.col("key").alias("h"), F.col("s1").alias("d1"), F.col("s2").alias("d2"),
                                     "spans"), ["h", "d1", "d2"])
     placed = F.flatten(F.transform("ats", lambda a: F.transform("spans", lambda x: F.struct(
