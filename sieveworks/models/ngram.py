@@ -70,34 +70,40 @@ def prompt_state(prompt: Column, order: int, pattern: str = R.TOKEN_PY, lowercas
     return F.when(F.size(t) >= order, F.array_join(F.slice(t, -order, order), SEP))
 
 
-MAX_BROADCAST_STATES = 4_000_000  # best-next rows a broadcast may carry
+MAX_BROADCAST_BYTES = 256 * 1024 ** 2  # of states and tokens that a broadcast may carry
+
+
+def _sent_whole(table: DataFrame, size: Column, most: int) -> DataFrame:
+    """``table`` marked for broadcast when its counted bytes stay within the
+    bound; beyond it both sides of a join are shuffled, with the same result."""
+    total = table.agg(F.sum(size)).first()[0] or 0
+    return F.broadcast(table) if total <= most else table
 
 
 def ngram_generate(prompts: DataFrame, prompt: str, key: str, best: DataFrame, order: int = 2,
                    max_new_tokens: int = 30, pattern: str = R.TOKEN_PY, lowercase: bool = True,
-                   max_broadcast_states: int = MAX_BROADCAST_STATES) -> DataFrame:
+                   max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Greedy generation for every prompt: ``(key, text)``; prompts shorter
     than ``order`` tokens give a null text (the reference rejects them).
 
     The best-next table is written once as a table; then one query plan of
     ``max_new_tokens`` chained left joins reads it, and adaptive execution
     reuses the identical exchange so the table ships once.  It is
-    broadcast only after counting shows at most ``max_broadcast_states``
-    rows; otherwise it is hash-partitioned once and each step shuffles only
-    the prompts.  A prompt whose state has no successor keeps a null state
-    and stops growing."""
+    broadcast only when its counted bytes are at most ``max_broadcast_bytes``;
+    otherwise it is hash-partitioned once and each step shuffles only the
+    prompts.  A prompt whose state has no successor keeps a null state and
+    stops growing; null states are spread by the prompt's key, so that finished
+    prompts do not meet in one partition."""
     from ..session import materialize
 
     # materialise the model once (cuts its lineage out of the 30-join plan)
     table = materialize(best.select(F.col("state").alias("__sw_s"), F.col("next").alias("__sw_tok")), "ngram-best")
-    size = table.count()
-    if size <= max_broadcast_states:
-        table = F.broadcast(table)
+    table = _sent_whole(table, F.octet_length("__sw_s") + F.octet_length("__sw_tok"), max_broadcast_bytes)
     cur = prompts.select(F.col(key).alias("__sw_k"), prompt_state(F.col(prompt), order, pattern, lowercase)
                          .alias("__sw_state"), F.array().cast("array<string>").alias("__sw_out"),
                          F.size(tokens(F.col(prompt), pattern, lowercase)).alias("__sw_ntok"))
     for _ in range(max_new_tokens):
-        j = cur.join(table, cur["__sw_state"] == table["__sw_s"], "left")
+        j = cur.join(table, _spread_null(cur) == table["__sw_s"], "left")
         hit = F.col("__sw_tok").isNotNull()
         nxt_state = F.array_join(F.slice(F.concat(F.split("__sw_state", SEP, -1), F.array("__sw_tok")), 2, order),
                                  SEP)
@@ -108,6 +114,12 @@ def ngram_generate(prompts: DataFrame, prompt: str, key: str, best: DataFrame, o
                       F.when(F.col("__sw_ntok") >= order, F.array_join("__sw_out", " ")).alias("text"))
 
 
+def _spread_null(cur: DataFrame) -> Column:
+    """The state, or for finished prompts a text that no state equals (states
+    never start with the separator)."""
+    return F.coalesce(cur["__sw_state"], F.concat(F.lit(SEP), F.xxhash64(cur["__sw_k"]).cast("string")))
+
+
 def uniform(seed: int, key: Column, step: Column) -> Column:
     """Deterministic uniform [0, 1) from ``sha2(seed:key:step)`` (52 bits)."""
     h = F.sha2(F.concat_ws(":", F.lit(str(seed)), key.cast("string"), step.cast("string")), 256)
@@ -130,7 +142,7 @@ def ngram_sample_table(model: DataFrame) -> DataFrame:
 
 def ngram_sample(prompts: DataFrame, prompt: str, key: str, model: DataFrame, order: int = 2,
                  max_new_tokens: int = 30, seed: int = 42, pattern: str = R.TOKEN_PY, lowercase: bool = True,
-                 max_broadcast_states: int = MAX_BROADCAST_STATES) -> DataFrame:
+                 max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Count-weighted sampling of the next token: draw ``r = floor(u·total)``
     with ``u = uniform(seed, key, step)`` and take the first option whose
     cumulative count exceeds ``r``.  Same single-plan chain of joins as
@@ -140,13 +152,13 @@ def ngram_sample(prompts: DataFrame, prompt: str, key: str, model: DataFrame, or
     table = materialize(ngram_sample_table(model).select(F.col("state").alias("__sw_s"), F.col("nexts").alias("__sw_n"),
                                                          F.col("ends").alias("__sw_e"), F.col("total").alias("__sw_t")),
                         "ngram-sample")
-    if table.count() <= max_broadcast_states:
-        table = F.broadcast(table)
+    table = _sent_whole(table, F.octet_length("__sw_s") + F.octet_length(F.array_join("__sw_n", "")) + 12 * F.size("__sw_n"),
+                        max_broadcast_bytes)
     cur = prompts.select(F.col(key).alias("__sw_k"), prompt_state(F.col(prompt), order, pattern, lowercase)
                          .alias("__sw_state"), F.array().cast("array<string>").alias("__sw_out"),
                          F.size(tokens(F.col(prompt), pattern, lowercase)).alias("__sw_ntok"))
     for step in range(max_new_tokens):
-        j = cur.join(table, cur["__sw_state"] == table["__sw_s"], "left")
+        j = cur.join(table, _spread_null(cur) == table["__sw_s"], "left")
         r = F.floor(uniform(seed, F.col("__sw_k"), F.lit(step)) * F.col("__sw_t"))
         idx = F.size(F.filter("__sw_e", lambda e: e <= r))
         tok = F.when(F.col("__sw_s").isNotNull(), F.element_at("__sw_n", idx + 1))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FINAL_ROWS = 100_000
+FINAL_ROWS = 100_000  # (key, id) pairs that the last step brings to the driver
 
 
 def kth_hex(df: DataFrame, key: str, tie: str, k: int, width: int = 3, final_rows: int = FINAL_ROWS):
