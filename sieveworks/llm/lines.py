@@ -40,17 +40,23 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     key = dict(zip(("__k1", "__k2"), _hash128(7, F.col(id_col), F.col(text_col)), strict=True))
     lines = F.split(F.col(text_col), "\n", -1)
 
-    starts = F.when(F.size("lines") >= window, F.sequence(F.lit(0), F.size("lines") - window))
-    rows = (docs.select(F.col(id_col).alias("id"), key["__k1"].alias("k1"), key["__k2"].alias("k2"),
-                        lines.alias("lines"))
-            .withColumn("at", F.explode(starts)))
-    held = [F.get("lines", F.col("at") + i) for i in range(window)]
-    h1, h2 = _hash128(3, *held)
-    blank = F.lit(True)
-    for line in held:
-        blank = blank & (F.trim(line) == "")
-    windows = materialize(rows.filter(~blank).select("id", "k1", "k2", "at", h1.alias("h1"), h2.alias("h2")),
-                          "line-windows")
+    # windows are hashed inside the row and only the hashes are unnested: a line
+    # is never copied for the windows it is part of
+    rows = docs.select(F.col(id_col).alias("id"), key["__k1"].alias("k1"), key["__k2"].alias("k2"), lines.alias("lines"))
+    n = F.greatest(F.size("lines") - (window - 1), F.lit(0))
+    names = [f"l{i}" for i in range(window)]
+    zipped = F.arrays_zip(*[F.slice("lines", i + 1, n).alias(c) for i, c in enumerate(names)])
+
+    def digest(z):
+        held = [z[c] for c in names]
+        blank = F.lit(True)
+        for line in held:
+            blank = blank & (F.trim(line) == "")
+        h1, h2 = _hash128(3, *held)
+        return F.struct(blank.alias("blank"), h1.alias("h1"), h2.alias("h2"))
+
+    windows = rows.select("id", "k1", "k2", F.posexplode(F.transform(zipped, digest)).alias("at", "w"))
+    windows = materialize(windows.filter("NOT w.blank").select("id", "k1", "k2", "at", "w.h1", "w.h2"), "line-windows")
 
     repeated = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2")
     again = windows.join(repeated, ["h1", "h2"])
@@ -67,7 +73,9 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     covered = F.flatten(F.transform("__starts", lambda s: F.transform(F.lit(list(range(window))), lambda i: s + i)))
     left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), covered)
     out = keyed.withColumn("__lines", lines).withColumn("__left", F.when(F.col("__starts").isNotNull(), left))
-    text = F.when(F.col("__starts").isNull(), F.col(text_col)).otherwise(
+    # (the size keeps the lines a column of their own: inside the lambda alone
+    # the text would be split again for every line)
+    text = F.when(F.col("__starts").isNull() | (F.size("__lines") == 0), F.col(text_col)).otherwise(
         F.array_join(F.transform("__left", lambda i: F.get("__lines", i)), "\n"))
     n_lines = F.coalesce(F.when(F.col(text_col).isNotNull(), F.size("__lines")), F.lit(0)).cast("long")
     n_removed = F.when(F.col("__starts").isNull(), F.lit(0)).otherwise(F.size("__lines") - F.size("__left"))
