@@ -4,8 +4,8 @@ Centroids are per-(label, dimension) averages — a hash aggregate with
 partial aggregation, so a dominant label is pre-summed map-side.  Scoring
 compares every vector with every centroid: the centroid table (labels ×
 dimensions) is size-checked, then broadcast to numpy scorers in Arrow
-batches; above the bound it is scored in slices of native expressions whose
-partial results merge exactly (log-sum-exp).  No cross join is planned.
+batches; above the bound it goes out in slices whose partial results merge
+exactly (log-sum-exp).  No cross join is planned.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_INLINE_VALUES = 2_000_000  # labels × dimensions inlined per pass
+MAX_INLINE_VALUES = 2_000_000  # labels × dimensions broadcast at once
+MAX_CENTROID_VALUES = 10_000_000  # labels × dimensions that the driver holds
 MAX_CLASSES = 10_000  # of a linear classifier: its weights are held by the driver
 
 
@@ -37,8 +38,8 @@ def centroid_fit(df: DataFrame, vector: str, label: str) -> DataFrame:
 def centroids_as_arrays(long: DataFrame) -> list[tuple[object, list[float]]]:
     """Collect the (bounded, size-checked) centroid table to the driver."""
     n = long.count()
-    if n > 50 * MAX_INLINE_VALUES:
-        raise ValueError("centroid table too large to score by inlining; reduce labels or dimensions")
+    if n > MAX_CENTROID_VALUES:
+        raise ValueError(f"more than {MAX_CENTROID_VALUES} centroid values; reduce labels or dimensions")
     rows = long.collect()
     by: dict[object, dict[int, float]] = {}
     for r in rows:
@@ -50,21 +51,10 @@ def centroids_as_arrays(long: DataFrame) -> list[tuple[object, list[float]]]:
     return out
 
 
-def _neg_mse(x: Column, c: list[float]) -> Column:
-    arr = F.array(*[F.lit(v) for v in c])
-    sq = F.aggregate(F.zip_with(arr, x, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, v: acc + v)
-    return -sq / F.lit(float(len(c)))
-
-
 def _slices(items: list, size: int) -> list[list]:
     return [items[i:i + size] for i in range(0, len(items), size)] or [[]]
 
 
-def centroid_scores(x: Column, centroids: list[tuple[object, list[float]]]) -> Column:
-    """``array<struct<label, s>>`` of ``-mean((c − x)²)`` for all centroids."""
-    return F.array(*[F.struct(F.lit(str(lab)).alias("label"), _neg_mse(x, c).alias("s")) for lab, c in centroids])
-
-
 def softmax_top_k(scores: Column, k: int) -> Column:
     """Softmax over ``s`` then the ``k`` best ``{label, score}``."""
     from ..plans.ordering import top_k_ranked
@@ -99,6 +89,25 @@ def _numpy_scorer(shared, vector: str, top_k: int):
     return run
 
 
+def _numpy_partial(shared, vector: str, top_k: int, best: str, log_sum: str):
+    """Scores of one slice of the centroids: its best ``top_k`` and the
+    logarithm of the sum of all its exponentials."""
+    def run(batches):
+        labels, cents = shared.value
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            x = np.stack(pdf[vector].to_numpy()).astype(np.float64)
+            s = np.empty((len(x), len(labels)))
+            for j in range(len(labels)):
+                s[:, j] = -np.mean((cents[j] - x) ** 2, axis=1)
+            m = s.max(axis=1)
+            order = np.argsort(-s, axis=1, kind="stable")[:, :top_k]
+            rows = [[{"label": labels[j], "score": float(s[i, j])} for j in order[i]] for i in range(len(x))]
+            yield pdf.assign(**{best: rows, log_sum: m + np.log(np.exp(s - m[:, None]).sum(axis=1))})
+    return run
+
+
 def centroid_classify(df: DataFrame, vector: str, centroids: list[tuple[object, list[float]]],
                       top_k: int = 3) -> DataFrame:
     """Adds ``predictions`` (top-k ``{label, score}``, softmax of
@@ -106,8 +115,8 @@ def centroid_classify(df: DataFrame, vector: str, centroids: list[tuple[object,
 
     Within the inline bound the centroid matrix is broadcast once and each
     task scores its vectors with numpy in Arrow batches.  Larger tables are
-    scored in slices of native expressions: each slice keeps its own top-k
-    and log-sum-exp, which merge exactly into the global softmax."""
+    broadcast and scored slice by slice: each slice keeps its own top-k and
+    log-sum-exp, which merge exactly into the global softmax."""
     dim = len(centroids[0][1]) if centroids else 0
     if len(centroids) * max(dim, 1) <= MAX_INLINE_VALUES:
         spark = df.sparkSession
@@ -115,27 +124,22 @@ def centroid_classify(df: DataFrame, vector: str, centroids: list[tuple[object,
         shared = spark.sparkContext.broadcast((labels, np.array([c for _, c in centroids], dtype=np.float64)))
         schema = T.StructType(df.schema.fields + [T.StructField("predictions", PREDICTIONS)])
         return df.mapInPandas(_numpy_scorer(shared, vector, top_k), schema)
-    per_slice = max(1, MAX_INLINE_VALUES // max(dim, 1))
-    slices = _slices(centroids, per_slice)
-    out = df
-    parts = []
-    for i, sl in enumerate(slices):
-        sc = centroid_scores(F.col(vector), sl)
-        m = F.array_max(F.transform(sc, lambda e: e["s"]))
-        lse = m + F.log(F.aggregate(sc, F.lit(0.0), lambda acc, e: acc + F.exp(e["s"] - m)))
-        best = F.slice(F.array_sort(sc, lambda a, b: F.when(a["s"] > b["s"], -1).when(a["s"] < b["s"], 1)
-                                    .otherwise(0)), 1, top_k)
-        out = out.withColumn(f"__sw_b{i}", best).withColumn(f"__sw_l{i}", lse)
-        parts.append(i)
-    lses = F.array(*[F.col(f"__sw_l{i}") for i in parts])
-    mm = F.array_max(lses)
-    log_total = mm + F.log(F.aggregate(lses, F.lit(0.0), lambda acc, v: acc + F.exp(v - mm)))
-    merged = F.flatten(F.array(*[F.col(f"__sw_b{i}") for i in parts]))
+    out, n = df, 0
+    for n, part in enumerate(_slices(centroids, max(1, MAX_INLINE_VALUES // max(dim, 1))), 1):
+        shared = df.sparkSession.sparkContext.broadcast(
+            ([str(lab) for lab, _ in part], np.array([c for _, c in part], dtype=np.float64)))
+        schema = T.StructType([*out.schema.fields, T.StructField(f"__sw_b{n}", PREDICTIONS),
+                               T.StructField(f"__sw_l{n}", T.DoubleType())])
+        out = out.mapInPandas(_numpy_partial(shared, vector, top_k, f"__sw_b{n}", f"__sw_l{n}"), schema)
+    sums = F.array(*[F.col(f"__sw_l{i}") for i in range(1, n + 1)])
+    most = F.array_max(sums)
+    log_total = most + F.log(F.aggregate(sums, F.lit(0.0), lambda acc, v: acc + F.exp(v - most)))
+    best = F.flatten(F.array(*[F.col(f"__sw_b{i}") for i in range(1, n + 1)]))
     from ..plans.ordering import top_k_ranked
 
-    items = F.transform(merged, lambda e: F.struct(e["label"].alias("label"), F.exp(e["s"] - log_total).alias("score")))
+    items = F.transform(best, lambda e: F.struct(e["label"].alias("label"), F.exp(e["score"] - log_total).alias("score")))
     out = out.withColumn("predictions", top_k_ranked(items, top_k))
-    return out.drop(*[f"__sw_b{i}" for i in parts], *[f"__sw_l{i}" for i in parts])
+    return out.drop(*[f"__sw_{x}{i}" for i in range(1, n + 1) for x in "bl"])
 
 
 def linear_softmax_fit(df: DataFrame, vector: str, label: str, max_iter: int = 1000, c: float = 1.0):

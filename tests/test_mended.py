@@ -153,6 +153,17 @@ def test_text_labels_and_penalty(spark):
     assert labels == ["3", "7"] and abs(w).max() < 3
 
 
+def test_centroid_slices_equal_one_pass(spark, monkeypatch):
+    vectors = spark.createDataFrame([(i, [float(i % 5), float(i % 3), 1.0]) for i in range(30)], "i int, v array<double>")
+    centroids = [(chr(97 + j), [float(j), 1.0, 0.5 * j]) for j in range(7)]
+    whole = V.centroid_classify(vectors, "v", centroids).orderBy("i").collect()
+    monkeypatch.setattr(V, "MAX_INLINE_VALUES", 6)
+    sliced = V.centroid_classify(vectors, "v", centroids).orderBy("i").collect()
+    for a, b in zip(whole, sliced, strict=True):
+        assert [p["label"] for p in a["predictions"]] == [p["label"] for p in b["predictions"]]
+        assert [p["score"] for p in a["predictions"]] == pytest.approx([p["score"] for p in b["predictions"]])
+
+
 def test_job_report_without_stage(spark):
     rows = [("j", "running", "load", 10, 1, 1), ("j", None, None, 120, 2, 2)]
     got = ST.job_state_aggregate(spark.createDataFrame(
