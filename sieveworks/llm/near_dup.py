@@ -105,6 +105,10 @@ class Shingler:
         return np.unique(mix(out), return_counts=True)
 
 
+#: Of a Python worker: the words it has hashed serve the next cells as well.
+_SHINGLER = Shingler()
+
+
 def similarity_reached(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> bool:
     """Whether the weighted Jaccard similarity is at least SIMILARITY."""
     sums = int(a[1].sum()), int(b[1].sum())
@@ -275,11 +279,11 @@ def _cell_links(pdf: pd.DataFrame) -> pd.DataFrame:
     all_name, all_label, all_text = (every[c].to_numpy() for c in ("node", "label", "text"))
     key = pdf["first"].iloc[0]
     columns, enough = np.ascontiguousarray(all_sig.T), _enough()
-    shingler, bags, above = Shingler(), {}, {}
+    bags, above = {}, {}
 
     def bag(node, text):
         if node not in bags:
-            bags[node] = shingler.bag(text)
+            bags[node] = _SHINGLER.bag(text)
         return bags[node]
 
     def top(x):
