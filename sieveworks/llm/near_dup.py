@@ -59,7 +59,7 @@ BAND_ROWS, BANDS = 4, 24
 SLOTS = BAND_ROWS * BANDS
 BLOCK = 2048               # nodes compared in memory at once
 SPLITS = 2                 # further bands that split buckets with many components
-STARS = 4                  # further centres tried for large buckets
+STARS = 2                  # further centres tried for large buckets
 LARGE = 256                # nodes of a bucket from which they are
 BROADCAST_NODES = 2_000_000
 WORDS_REMEMBERED = 500_000
@@ -331,23 +331,25 @@ def _labelled(placed: DataFrame, links: DataFrame) -> DataFrame:
 
 def _further_stars(placed: DataFrame, nodes: DataFrame, links: DataFrame, texts: DataFrame,
                    text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Links and labels after stars around other centres of large buckets."""
-    rows = _labelled(placed, links)
+    """Links and labels after stars around other centres of large buckets.
+    The rounds move the rows of large buckets only."""
+    large_keys = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LARGE).select("key")
+    held = materialize(placed.select("key", "node").join(large_keys, "key"), "near-large")
     for turn in range(STARS):
-        mixed = materialize(_mixed(rows).filter(F.col("n") > LARGE).select("key"), "near-large")
-        if mixed.isEmpty():
-            break
-        large = materialize(rows.join(mixed, "key"), "near-large-rows")
+        rows = materialize(_labelled(held, links), "near-large-rows")
+        large = rows.join(_mixed(rows).filter(F.col("n") > LARGE).select("key"), "key")
         centre = large.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "key", "node").alias("o"),
                                                          "node", "label")).alias("c"))
         star = (large.join(centre, "key").filter(F.col("label") != F.col("c.label"))
                 .select(F.greatest("node", "c.node").alias("a"), F.least("node", "c.node").alias("b")).distinct())
+        star = materialize(star, "near-stars")
+        if star.isEmpty():
+            break
         more = materialize(_verified(_likely(star, nodes), texts, text_col), "near-links")
         if more.isEmpty():
             break
         links = materialize(links.unionAll(more), "near-links")
-        rows = _labelled(placed, links)
-    return links, rows
+    return links, materialize(_labelled(placed, links), "near-labelled")
 
 
 def _left_over(placed: DataFrame, nodes: DataFrame, texts: DataFrame, text_col: str) -> DataFrame:
