@@ -5,7 +5,9 @@ and repetition (``idiiiiot``).  Such spans become character lattices: every
 observed character may stand for itself or for the letters it imitates, a run
 of one letter may stand for one or two, a separator may be a blank or
 nothing.  A Viterbi pass under a character trigram model picks the likeliest
-letters, and the restored words are what the score sees.
+letters, and the restored words are what the score sees.  Look-alikes at the
+ends of a token may be punctuation or letters (``$tupid``, ``a$$``): it is read
+both ways, without them and with them as letters.
 
 * Language model: trigram counts over every text of the corpus, gathered per
   task and summed.  Letters rarer than the ``ALPHABET`` most frequent ones
@@ -50,10 +52,12 @@ LOOKS_LIKE = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "¢": "c",
 }
+END_FORMS = 16           # forms of a token with marks kept at its ends; where there are more, one lattice holds all
 SUBSTITUTE, REPEAT, JOIN = -2.0, -1.0, -0.5   # log costs of the channel
 EDGE = " "
 
 _MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’…–—¿·"
+_PLAIN_MARKS = "".join(c for c in _MARKS if c not in LOOKS_LIKE)
 _DOTTED = re.compile(r"(?:[^\W_]|[@$!|+€])(?:[._*\-]{1,2}(?:[^\W_]|[@$!|+€])){2,}")
 _RUN = re.compile(r"(.)\1{2,}", re.DOTALL)
 
@@ -97,7 +101,10 @@ def viterbi(model: CharModel, lattice: list[list[tuple[str, float]]]) -> str:
     return max(paths.values())[1].strip()
 
 
-def _lattice(token: str, spaced: bool) -> list[list[tuple[str, float]]]:
+def _lattice(token: str, spaced: bool, front: int = 0, back: int = 0,
+             drop: bool = False) -> list[list[tuple[str, float]]]:
+    """Look-alikes among the first ``front`` and last ``back`` characters are
+    letters, with ``drop`` letters or nothing."""
     out, i = [], 0
     while i < len(token):
         c = token[i]
@@ -105,15 +112,18 @@ def _lattice(token: str, spaced: bool) -> list[list[tuple[str, float]]]:
         while j < len(token) and token[j] == c:
             j += 1
         n = j - i
+        sure = c in LOOKS_LIKE and (i < front or i >= len(token) - back)
         if c.isalpha():
             options = [(c, 0.0)]
+        elif sure:
+            options = [(x, SUBSTITUTE) for x in LOOKS_LIKE[c]] + [("", 0.0)] * drop
         elif c in LOOKS_LIKE:
             options = [(x, SUBSTITUTE) for x in LOOKS_LIKE[c]] + [(c, 0.0)]
         elif spaced and not c.isalnum():
             options = [("", JOIN), (EDGE, JOIN)]
         else:
             options = [(c, 0.0)]
-        if n >= 3 and c.isalpha():
+        if n >= 3 and (sure or c.isalpha()):
             out.append([(x, s + REPEAT) for x, s in options] + [(x * 2, s + REPEAT) for x, s in options])
         elif spaced and not c.isalnum() and c not in LOOKS_LIKE:
             out.append(options)
@@ -123,6 +133,31 @@ def _lattice(token: str, spaced: bool) -> list[list[tuple[str, float]]]:
     return out
 
 
+def _dotted(span: str) -> bool:
+    return _DOTTED.fullmatch(span) is not None   # i.d.i.o.t
+
+
+def _cuts(marks: str) -> list[int]:
+    """How many of the ``marks`` after a word may belong to it: none, or up to
+    the end of a run that holds a look-alike."""
+    ends = [0]
+    for run in re.finditer(r"(.)\1*", marks, re.DOTALL):
+        if run.group(1) in LOOKS_LIKE:
+            ends.append(run.end())
+    return ends
+
+
+def _open_ends(raw: str, bare: str) -> list[tuple[str, int, int, bool]]:
+    """Forms of ``raw`` with look-alikes kept before or after ``bare``, how many
+    characters are kept on both sides, and whether the model may drop them."""
+    at = raw.index(bare)
+    before, after = raw[:at], raw[at + len(bare):]
+    fronts, backs = _cuts(before[::-1]), _cuts(after)
+    many = len(fronts) * len(backs) > END_FORMS
+    ends = [(fronts[-1], backs[-1])] if many else [(f, b) for f in fronts for b in backs if f or b]
+    return [(before[len(before) - f:] + bare + after[:b], f, b, many) for f, b in ends]
+
+
 class Restorer:
     """Texts to the set of their restored words, in lower case."""
 
@@ -130,9 +165,10 @@ class Restorer:
         self.model = model
         self.known: dict[str, tuple[str, ...]] = {}
 
-    def _decode(self, span: str, spaced: bool) -> tuple[str, ...]:
+    def _decode(self, span: str, spaced: bool, front: int = 0, back: int = 0,
+                drop: bool = False) -> tuple[str, ...]:
         words: list[str] = []
-        lattice = _lattice(span, spaced)
+        lattice = _lattice(span, spaced, front, back, drop)
         for at in range(0, len(lattice), LATTICE_LETTERS):
             words.extend(viterbi(self.model, lattice[at:at + LATTICE_LETTERS]).split())
         return tuple(words)
@@ -141,17 +177,16 @@ class Restorer:
         found = self.known.get(raw)
         if found is None:
             bare = raw.strip(_MARKS)
-            plain = bare.isalpha()
-            if plain and not _RUN.search(bare):
-                found = (bare,)
-            elif not any(c.isalpha() for c in bare):
+            if not any(c.isalpha() for c in bare):
                 found = ()
             else:
-                # marks at the ends may be letters too: $tupid
-                open_end = raw if raw[0] in LOOKS_LIKE and not plain else bare
-                dotted = _DOTTED.fullmatch(bare) is not None   # i.d.i.o.t
-                found = tuple(dict.fromkeys((*self._decode(bare, dotted), *self._decode(open_end, dotted),
-                                             *re.findall(r"[^\W\d_]+", bare))))
+                if bare.isalpha() and not _RUN.search(bare):
+                    words = [bare]
+                else:
+                    words = [*self._decode(bare, _dotted(bare)), *re.findall(r"[^\W\d_]+", bare)]
+                for form, front, back, drop in _open_ends(raw, bare):
+                    words.extend(self._decode(form, _dotted(form), front, back, drop))
+                found = tuple(dict.fromkeys(words))
             if len(self.known) >= TOKENS_REMEMBERED:
                 self.known.clear()
             self.known[raw] = found
@@ -173,7 +208,11 @@ class Restorer:
             if j < n and sizes[j] == 2 and tokens[j][1] in _MARKS:
                 j += 1   # the last letter and a full stop
             if j - i >= 3:
-                out.append(self._decode(" ".join(tokens[i:j]).rstrip(_MARKS), True))
+                span = " ".join(tokens[i:j])
+                bare = span.rstrip(_MARKS + EDGE)
+                out.append(self._decode(bare, True))
+                if bare:
+                    out.extend(self._decode(form, True, *kept) for form, *kept in _open_ends(span, bare))
             i = j
         return out
 

@@ -47,6 +47,20 @@ def test_restored_words(session, frames):
     assert restorer.words("") == set()
 
 
+def test_look_alikes_at_the_ends_are_letters(session, frames):
+    docs = frames[0].select("text").union(session.createDataFrame(
+        [("ner asshole tolan loser mires idiot calven ass dorple " * 20,)], "text string"))
+    restorer = toxicity.Restorer(toxicity.fit_char_model(docs, "text"))
+    forms = {"stupid": ["$tupid", '"$tupid!"', "$$$tupid", "$.t.u.p.i.d"], "asshole": ["@sshole", "(@sshole)"],
+             "loser": ["|oser"], "idiot": ["idio+", "idio+!", "!d!o+", "i d i o +", "i.d.i.o.+"],
+             "ass": ["a$$", "a$$!", "(a$$)", "a $ $"]}
+    for word, some in forms.items():
+        for form in some:
+            assert word in restorer.words(f"ner tolan {form}"), form
+    assert {"mires", "calven", "dorple"} <= restorer.words("(mires) calven! |dorple|")
+    assert "stupid" in restorer.words("!+!+!+!+$tupid!+!+!+!+") and restorer.words("$!" * 20_000 + "ner") >= {"ner"}
+
+
 def test_hidden_words_are_scored(session, frames):
     docs, labels = frames
     forms = [f for x in HIDDEN.values() for f in x]
