@@ -45,7 +45,6 @@ SAMPLE_ROWS = 12_000
 MIN_DOCS = 4             # documents of label 1 that a feature needs
 TOKENS_REMEMBERED = 200_000
 COUNTS_HELD = 400_000    # distinct features a task counts before it passes them on
-LATTICE_LETTERS = 40     # longer suspicious tokens are decoded in pieces of this size
 
 # Letters that a character is written for.
 LOOKS_LIKE = {
@@ -82,12 +81,13 @@ class CharModel:
 
 def viterbi(model: CharModel, lattice: list[list[tuple[str, float]]]) -> str:
     """The likeliest reading of a lattice: per position (text, log cost)
-    options, each of no, one or two letters.  Starts and ends at a blank."""
+    options, each of no, one or two letters.  Starts and ends at a blank.
+    One pass over the whole lattice; a path points back to the one it extends."""
     logp, of = model.logp, model.of
-    paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for options in [*lattice, [(EDGE, 0.0)]]:
-        reached: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, text) in paths.items():
+        reached: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (score, path) in paths.items():
             for letters, cost in options:
                 x, y, s = a, b, score + cost
                 for c in letters:
@@ -96,9 +96,13 @@ def viterbi(model: CharModel, lattice: list[list[tuple[str, float]]]) -> str:
                     x, y = y, z
                 known = reached.get((x, y))
                 if known is None or s > known[0]:
-                    reached[(x, y)] = (s, text + letters)
+                    reached[(x, y)] = (s, (path, letters) if letters else path)
         paths = reached
-    return max(paths.values())[1].strip()
+    path, read = max(paths.values(), key=lambda found: found[0])[1], []
+    while path is not None:
+        path, letters = path
+        read.append(letters)
+    return "".join(reversed(read)).strip()
 
 
 def _lattice(token: str, spaced: bool, front: int = 0, back: int = 0,
@@ -167,11 +171,7 @@ class Restorer:
 
     def _decode(self, span: str, spaced: bool, front: int = 0, back: int = 0,
                 drop: bool = False) -> tuple[str, ...]:
-        words: list[str] = []
-        lattice = _lattice(span, spaced, front, back, drop)
-        for at in range(0, len(lattice), LATTICE_LETTERS):
-            words.extend(viterbi(self.model, lattice[at:at + LATTICE_LETTERS]).split())
-        return tuple(words)
+        return tuple(viterbi(self.model, _lattice(span, spaced, front, back, drop)).split())
 
     def token(self, raw: str) -> tuple[str, ...]:
         found = self.known.get(raw)

@@ -61,6 +61,14 @@ def test_look_alikes_at_the_ends_are_letters(session, frames):
     assert "stupid" in restorer.words("!+!+!+!+$tupid!+!+!+!+") and restorer.words("$!" * 20_000 + "ner") >= {"ner"}
 
 
+def test_long_spans_are_read_in_one_piece(frames):
+    restorer = toxicity.Restorer(toxicity.fit_char_model(frames[0], "text"))
+    for n in range(30):   # every place of the word in the span
+        assert "worthless" in restorer.words(" ".join("m" * n + "worthless")), n
+        assert "worthless" in restorer.words(".".join("stupid" * 5 + "m" * n) + ".w.o.r.t.h.l.e.s.s"), n
+    assert "idiot" in restorer.words("s t u p i d " * 30_000 + "i d i o t")
+
+
 def test_hidden_words_are_scored(session, frames):
     docs, labels = frames
     forms = [f for x in HIDDEN.values() for f in x]
