@@ -144,11 +144,7 @@ def _dotted(span: str) -> bool:
 def _cuts(marks: str) -> list[int]:
     """How many of the ``marks`` after a word may belong to it: none, or up to
     the end of a run that holds a look-alike."""
-    ends = [0]
-    for run in re.finditer(r"(.)\1*", marks, re.DOTALL):
-        if run.group(1) in LOOKS_LIKE:
-            ends.append(run.end())
-    return ends
+    return [0, *(i + 1 for i, c in enumerate(marks) if c in LOOKS_LIKE and marks[i + 1:i + 2] != c)]
 
 
 def _open_ends(raw: str, bare: str) -> list[tuple[str, int, int, bool]]:
@@ -171,21 +167,25 @@ class Restorer:
 
     def _decode(self, span: str, spaced: bool, front: int = 0, back: int = 0,
                 drop: bool = False) -> tuple[str, ...]:
-        return tuple(viterbi(self.model, _lattice(span, spaced, front, back, drop)).split())
+        lattice = _lattice(span, spaced, front, back, drop)
+        if all(len(options) == 1 for options in lattice):   # nothing to choose
+            return tuple("".join(options[0][0] for options in lattice).split())
+        return tuple(viterbi(self.model, lattice).split())
 
     def token(self, raw: str) -> tuple[str, ...]:
         found = self.known.get(raw)
         if found is None:
-            bare = raw.strip(_MARKS)
-            if not any(c.isalpha() for c in bare):
+            bare = raw if raw.isalpha() else raw.strip(_MARKS)
+            if not bare.isalpha() and not any(map(str.isalpha, bare)):
                 found = ()
             else:
                 if bare.isalpha() and not _RUN.search(bare):
                     words = [bare]
                 else:
                     words = [*self._decode(bare, _dotted(bare)), *re.findall(r"[^\W\d_]+", bare)]
-                for form, front, back, drop in _open_ends(raw, bare):
-                    words.extend(self._decode(form, _dotted(form), front, back, drop))
+                if bare is not raw and len(raw.strip(_PLAIN_MARKS)) != len(bare):   # look-alikes at an end
+                    for form, *kept in _open_ends(raw, bare):
+                        words.extend(self._decode(form, _dotted(form), *kept))
                 found = tuple(dict.fromkeys(words))
             if len(self.known) >= TOKENS_REMEMBERED:
                 self.known.clear()
