@@ -79,10 +79,11 @@ class CharModel:
         return self.code.get(char, 1)
 
 
-def viterbi(model: CharModel, lattice: list[list[tuple[str, float]]]) -> str:
+def viterbi(model: CharModel, lattice: list[list[tuple[str, float]]]) -> tuple[str, float]:
     """The likeliest reading of a lattice: per position (text, log cost)
     options, each of no, one or two letters.  Starts and ends at a blank.
-    One pass over the whole lattice; a path points back to the one it extends."""
+    One pass over the whole lattice; a path points back to the one it extends.
+    The reading and its log probability."""
     logp, of = model.logp, model.of
     paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for options in [*lattice, [(EDGE, 0.0)]]:
@@ -98,11 +99,11 @@ def viterbi(model: CharModel, lattice: list[list[tuple[str, float]]]) -> str:
                 if known is None or s > known[0]:
                     reached[(x, y)] = (s, (path, letters) if letters else path)
         paths = reached
-    path, read = max(paths.values(), key=lambda found: found[0])[1], []
+    (score, path), read = max(paths.values(), key=lambda found: found[0]), []
     while path is not None:
         path, letters = path
         read.append(letters)
-    return "".join(reversed(read)).strip()
+    return "".join(reversed(read)).strip(), score
 
 
 def _lattice(token: str, spaced: bool, front: int = 0, back: int = 0,
@@ -170,14 +171,26 @@ class Restorer:
         lattice = _lattice(span, spaced, front, back, drop)
         if all(len(options) == 1 for options in lattice):   # nothing to choose
             return tuple("".join(options[0][0] for options in lattice).split())
-        return tuple(viterbi(self.model, lattice).split())
+        return tuple(viterbi(self.model, lattice)[0].split())
+
+    def _unlettered(self, raw: str, bare: str) -> tuple[str, ...]:
+        """Readings of a token without letters, where all is look-alikes and
+        the model finds letters likelier than the token as it stands."""
+        forms = [bare, *(form for form, *_ in _open_ends(raw, bare))] if bare else [raw.strip(_PLAIN_MARKS)]
+        words = []
+        for form in forms:
+            if form and all(c in LOOKS_LIKE for c in form):
+                word, score = viterbi(self.model, _lattice(form, False, len(form)))
+                if score > viterbi(self.model, [[(c, 0.0)] for c in form])[1]:
+                    words.append(word)
+        return tuple(dict.fromkeys(words))
 
     def token(self, raw: str) -> tuple[str, ...]:
         found = self.known.get(raw)
         if found is None:
             bare = raw if raw.isalpha() else raw.strip(_MARKS)
             if not bare.isalpha() and not any(map(str.isalpha, bare)):
-                found = ()
+                found = self._unlettered(raw, bare)
             else:
                 if bare.isalpha() and not _RUN.search(bare):
                     words = [bare]
@@ -209,10 +222,9 @@ class Restorer:
                 j += 1   # the last letter and a full stop
             if j - i >= 3:
                 span = " ".join(tokens[i:j])
-                bare = span.rstrip(_MARKS + EDGE)
+                bare = span.rstrip(_MARKS + EDGE) or span
                 out.append(self._decode(bare, True))
-                if bare:
-                    out.extend(self._decode(form, True, *kept) for form, *kept in _open_ends(span, bare))
+                out.extend(self._decode(form, True, *kept) for form, *kept in _open_ends(span, bare))
             i = j
         return out
 

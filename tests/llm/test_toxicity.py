@@ -69,6 +69,16 @@ def test_long_spans_are_read_in_one_piece(frames):
     assert "idiot" in restorer.words("s t u p i d " * 30_000 + "i d i o t")
 
 
+def test_tokens_of_look_alikes_only(session):
+    words = session.createDataFrame([("ner ass tolan losto mires ass calven " * 50,)], "text string")
+    restorer = toxicity.Restorer(toxicity.fit_char_model(words, "text"))
+    for form, word in {"455": "ass", "@$$": "ass", '"@55!"': "ass", "10570": "losto", "@ $ $": "ass"}.items():
+        assert word in restorer.words(f"ner {form}"), form
+    assert restorer.words("--- 34,5 ...") == set()
+    numbers = words.union(session.createDataFrame([("ner 455 1234 77 2024 tolan 90 3 " * 200,)], "text string"))
+    assert "ass" not in toxicity.Restorer(toxicity.fit_char_model(numbers, "text")).words("ner 455")
+
+
 def test_hidden_words_are_scored(session, frames):
     docs, labels = frames
     forms = [f for x in HIDDEN.values() for f in x]
