@@ -12,7 +12,8 @@ both ways, without them and with them as letters.
 * Language model: trigram counts over every text of the corpus, gathered per
   task and summed.  Letters rarer than the ``ALPHABET`` most frequent ones
   share one class.
-* Evidence: words and their first letters, counted over all labelled training
+* Evidence: words, their first letters and the n-grams of long letter runs
+  (in scripts without blanks, of every run), counted over all labelled training
   rows (once per document), ranked by the likelihood ratio with the label.
 * Weights: logistic regression over the ``FEATURES`` best ranked, fitted on at
   most ``SAMPLE_ROWS`` labelled rows chosen by a hash of their id.
@@ -32,6 +33,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,6 +45,8 @@ ALPHABET = 60
 FEATURES = 4096
 SAMPLE_ROWS = 12_000
 MIN_DOCS = 4             # documents of label 1 that a feature needs
+LONG = 16                # longer words are named by a digest and also give n-grams
+GRAMS = (2, 3, 4)        # sizes of the n-grams of long letter runs
 TOKENS_REMEMBERED = 200_000
 COUNTS_HELD = 400_000    # distinct features a task counts before it passes them on
 
@@ -58,6 +62,9 @@ EDGE = " "
 _MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’…–—¿·"
 _PLAIN_MARKS = "".join(c for c in _MARKS if c not in LOOKS_LIKE)
 _DOTTED = re.compile(r"(?:[^\W_]|[@$!|+€])(?:[._*\-]{1,2}(?:[^\W_]|[@$!|+€])){2,}")
+_GRAMMED = re.compile(   # Thai, Lao, Burmese, Khmer, kana and Han; other letters in long runs
+    r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]{2,}"
+    rf"|[^\W\d_]{{{LONG + 1},}}")
 _RUN = re.compile(r"(.)\1{2,}", re.DOTALL)
 
 
@@ -239,9 +246,16 @@ class Restorer:
 
 
 def features_of(word: str) -> tuple[str, ...]:
-    if len(word) < 3:
+    """The word (its digest, if long), its first letters, and the n-grams of
+    long letter runs and of scripts without blanks."""
+    if len(word) < 3 and not _GRAMMED.fullmatch(word):
         return ()
-    return (word[:16], *[f"{word[:n]}~" for n in (4, 5) if len(word) > n])
+    whole = word if len(word) <= LONG else "#" + xxhash.xxh3_128_hexdigest(word.encode("utf-8", "surrogatepass"))
+    found = [whole, *[f"{word[:n]}~" for n in (4, 5) if len(word) > n]]
+    if len(word) > LONG or not word.isascii():
+        for run in _GRAMMED.findall(word):
+            found.extend(f"~{run[i:i + n]}~" for n in GRAMS for i in range(len(run) - n + 1))
+    return tuple(found)
 
 
 def fit_alphabet(docs: DataFrame, text_col: str, letters: int = ALPHABET) -> str:

@@ -79,6 +79,22 @@ def test_tokens_of_look_alikes_only(session):
     assert "ass" not in toxicity.Restorer(toxicity.fit_char_model(numbers, "text")).words("ner 455")
 
 
+def test_every_part_of_a_long_run_is_evidence(session):
+    assert not set(toxicity.features_of("x" * 5 + "a" * 20)) <= set(toxicity.features_of("x" * 5 + "a" * 11 + "b" * 9))
+    assert toxicity.features_of("idiot") == ("idiot", "idio~")
+    rng = random.Random(4)
+    signs = [chr(c) for c in range(0x4e00, 0x4e40)]
+
+    def sentence(*inside):
+        return "".join([*rng.choices(signs, k=24), *inside, *rng.choices(signs, k=rng.randint(0, 9))])
+
+    rows = [(i, sentence("白痴") if i % 4 == 0 else sentence()) for i in range(400)]
+    docs = session.createDataFrame(rows, "doc_id long, text string")
+    labels = session.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)], "doc_id long, toxic int")
+    got = [r for r in toxicity.score(docs, labels).collect() if r["doc_id"] >= 300]
+    assert sum(r["predicted"] == int(r["doc_id"] % 4 == 0) for r in got) >= 95
+
+
 def test_hidden_words_are_scored(session, frames):
     docs, labels = frames
     forms = [f for x in HIDDEN.values() for f in x]
