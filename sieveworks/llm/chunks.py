@@ -114,9 +114,13 @@ def _chunked(docs: DataFrame) -> DataFrame:
 
 
 def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                           min_run: int = MIN_RUN) -> DataFrame:
+                           min_run: int = MIN_RUN, whole_documents: bool = False) -> DataFrame:
     """``docs`` with repeated chunks cut out of ``text_col``, and ``n_bytes``
-    (before), ``n_removed`` (bytes) and ``n_spans`` (removed runs)."""
+    (before), ``n_removed`` (bytes) and ``n_spans`` (removed runs).
+
+    With ``whole_documents`` a run that covers a whole document goes at any
+    size, and ``n_left`` tells the bytes of later chunks that stay because
+    their run is shorter than ``min_run``."""
     k = F.xxhash64(F.col(id_col), F.col(text_col))
     chunks = materialize(_chunked(docs.select(F.col(id_col).cast("long").alias("id"), k.alias("k"), text_col)),
                          "chunk-rows")
@@ -129,37 +133,42 @@ def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: st
             .agg(F.sort_array(F.collect_set(F.struct("off", "len"))).alias("__gone")))
 
     new = [("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType())]
+    if whole_documents:
+        new.append(("n_left", T.LongType()))
     plain = [c for c in docs.columns if c.lower() not in {n for n, _ in new}]
 
     def run(batches):
         for batch in slices(batches):
-            texts, n_bytes, n_removed, n_spans = [], [], [], []
+            texts, n_bytes, n_removed, n_spans, n_left = [], [], [], [], []
             for text, gone in zip(batch.column(text_col).to_pylist(), batch.column("__gone").to_pylist(), strict=True):
                 data = text.encode("utf-8", "surrogatepass") if text else b""
-                kept, spans, at = [], _runs(gone or [], min_run), 0
+                gone = gone or []
+                kept, spans, at = [], _runs(gone, min_run, len(data) if whole_documents else None), 0
                 for start, end in spans:
                     kept.append(data[at:start])
                     at = end
                 n_bytes.append(len(data))
                 n_removed.append(sum(e - s for s, e in spans))
                 n_spans.append(len(spans))
+                n_left.append(sum(c["len"] for c in gone) - n_removed[-1])
                 texts.append(b"".join([*kept, data[at:]]).decode("utf-8", "surrogatepass") if spans else text)
             out = batch.select(plain)
             out = out.set_column(plain.index(text_col), text_col, pa.array(texts, pa.string()))
             yield arrow_append(out, [(n, pa.array(v, pa.int64())) for (n, _), v in
-                                     zip(new, (n_bytes, n_removed, n_spans), strict=True)])
+                                     zip(new, (n_bytes, n_removed, n_spans, n_left), strict=False)])
 
     keyed = docs.withColumn("__k", k).withColumn("__id", F.col(id_col).cast("long"))
     joined = keyed.join(gone.hint("merge"), F.expr("__id <=> __gid AND __k = __gk"), "left").select(*plain, "__gone")
     return joined.mapInArrow(run, spark_schema_with(docs.select(*plain), new))
 
 
-def _runs(gone: list[dict], min_run: int) -> list[tuple[int, int]]:
-    """Adjoining chunks merged; runs of at least ``min_run`` bytes."""
+def _runs(gone: list[dict], min_run: int, whole: int | None = None) -> list[tuple[int, int]]:
+    """Adjoining chunks merged; runs of at least ``min_run`` bytes, or of
+    ``whole``."""
     out: list[list[int]] = []
     for c in gone:
         if out and out[-1][1] == c["off"]:
             out[-1][1] += c["len"]
         else:
             out.append([c["off"], c["off"] + c["len"]])
-    return [(s, e) for s, e in out if e - s >= min_run]
+    return [(s, e) for s, e in out if e - s >= min_run or e - s == whole]

@@ -142,7 +142,8 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op5_content_chunks")
 def op5_content_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the later occurrences of repeated chunks."""
-    return chunks.remove_repeated_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return chunks.remove_repeated_chunks(docs, whole_documents=True)
 
 
 @_query("op9_suffix_dedup")

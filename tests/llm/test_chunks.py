@@ -102,3 +102,19 @@ def test_odd_rows(session):
     got = run(session, rows)
     assert got == brute(rows)
     assert [r for r in got if r[0] is None][0][3] == len(long.encode()) and run(session, []) == []
+
+
+def test_short_copies_of_whole_documents_go(session):
+    rng = random.Random(3)
+    repeated, short = sentence(rng, 8)[:40], "a short text"
+    rows = [(1, short), (2, short), (3, short), (4, ""), (5, None), (6, repeated), (7, repeated), (8, short + "s")]
+    df = session.createDataFrame([(i, t, "x", 1) for i, t in rows], SCHEMA)
+    got = {r["doc_id"]: r for r in chunks.remove_repeated_chunks(df, whole_documents=True).collect()}
+    assert {i: r["text"] for i, r in got.items()} == {
+        1: short, 2: "", 3: "", 4: "", 5: None, 6: repeated, 7: "", 8: short + "s"}
+    assert all(r["n_left"] == 0 for r in got.values())
+    long = sentence(rng, 60)
+    chunk = long.encode()[:chunks.chunk_ends(long.encode())[0]]
+    df = session.createDataFrame([(1, chunk.decode(), "x", 1), (2, long, "x", 1)], SCHEMA)
+    left = {r["doc_id"]: r for r in chunks.remove_repeated_chunks(df, min_run=400, whole_documents=True).collect()}
+    assert (left[2]["n_removed"], left[2]["n_left"]) == (0, len(chunk)) and left[1]["n_left"] == 0
