@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chunks, lines, mixing, near_dup, quality, substrings, topk, toxicity
+from . import ann, bpe, chunks, lines, merkle, mixing, near_dup, quality, substrings, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -152,3 +152,69 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cut = substrings.remove_repeated_substrings(docs, keep=["doc_id"])
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def _h(*parts: str) -> str:
+    """SQL of a leaf digest."""
+    each = [f"coalesce(octet_length(encode({p}::VARCHAR))::VARCHAR || ':' || {p}::VARCHAR, '-')" for p in parts]
+    return f"sha256({' || '.join(each)})"
+
+
+def _tree(name: str, leaves: str) -> str:
+    """SQL of all nodes (grp, level, rank, h, n) over ``leaves``."""
+    return f"""{name} AS (
+  SELECT grp, 0 AS level, rank, h, n FROM {leaves}
+  UNION ALL
+  SELECT grp, level + 1, rank // 2, sha256(string_agg(h, '' ORDER BY rank)), any_value((n + 1) // 2)
+  FROM {name} WHERE n > 1 GROUP BY grp, level, rank // 2)"""
+
+
+def _walk(name: str, start: str, nodes: str) -> str:
+    """SQL of the walk from each row of ``start`` (id, grp, rank, h, proof) to
+    the top of its tree; the last row of an id has n = 1."""
+    return f"""{name} AS (
+  SELECT s.id, s.grp, 0 AS level, s.rank, s.h, s.proof, t.n FROM {start} s
+  JOIN {nodes} t ON t.grp IS NOT DISTINCT FROM s.grp AND t.level = 0 AND t.rank = s.rank
+  UNION ALL
+  SELECT w.id, w.grp, w.level + 1, w.rank // 2,
+    sha256(CASE WHEN w.rank % 2 = 1 THEN b.h || w.h ELSE w.h || coalesce(b.h, '') END),
+    w.proof || coalesce(b.h, ''), (w.n + 1) // 2
+  FROM {name} w LEFT JOIN {nodes} b ON b.grp IS NOT DISTINCT FROM w.grp AND b.level = w.level
+    AND b.rank = xor(w.rank, 1) WHERE w.n > 1)"""
+
+
+_TAMPERED = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
+    lambda a, c: list_reduce(list_prepend(xor(a, c), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+      lambda x, _: xor(x >> 1, 3988292384 * (x & 1)))) """
+
+
+@_query("op11_merkle_manifest", f"""
+WITH RECURSIVE docs AS (SELECT *, xor({_TAMPERED}, 4294967295) % 7 = 0 AS hit FROM documents),
+leaves AS (
+  SELECT row_number() OVER () AS id, doc_id, lang AS grp, {_h('doc_id', 'source', 'lang', 'n_chars', 'text')} AS h,
+    {_h('doc_id', 'source', 'lang', '(CASE WHEN hit THEN n_chars::HUGEINT + 1 ELSE n_chars END)', 'text')} AS seen
+  FROM docs),
+placed AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, h) - 1 AS rank,
+             count(*) OVER (PARTITION BY grp) AS n FROM leaves),
+{_tree('low', 'placed')},
+subs AS (SELECT NULL::INT AS grp, grp AS lang, h, row_number() OVER (ORDER BY grp NULLS FIRST) - 1 AS rank,
+           count(*) OVER () AS n FROM low WHERE n = 1),
+{_tree('high', 'subs')},
+below AS (SELECT id, grp, rank, seen AS h, '' AS proof FROM placed),
+{_walk('up', 'below', 'low')},
+above AS (SELECT u.id, NULL::INT AS grp, s.rank, u.h, u.proof FROM up u JOIN subs s ON s.lang IS NOT DISTINCT FROM u.grp
+          WHERE u.n = 1),
+{_walk('over', 'above', 'high')}
+SELECT p.doc_id, p.h AS leaf, s.h AS subroot, r.h AS root, sha256(o.proof) AS proof_sha256, o.h AS folded_root,
+  o.h = r.h AS verified
+FROM placed p JOIN subs s ON s.lang IS NOT DISTINCT FROM p.grp JOIN over o ON o.id = p.id AND o.n = 1
+JOIN high r ON r.n = 1""")
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document; rows whose id's CRC-32 is a
+    multiple of 7 are verified with one character too many."""
+    docs = table(spark, sf_dir, "documents")
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    n_chars = F.col("n_chars").cast("decimal(20,0)")
+    found = merkle.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], "lang", "doc_id",
+                            tampered={"n_chars": F.when(hit, n_chars + 1).otherwise(n_chars)})
+    return found.withColumn("proof", merkle.proof_digest(F.col("proof"))).withColumnRenamed("proof", "proof_sha256")
