@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chunks, lines, merkle, mixing, near_dup, quality, substrings, topk, toxicity
+from . import ann, bpe, chunks, lines, merkle, mixing, near_dup, packing, quality, repair, substrings, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -183,13 +183,15 @@ def _walk(name: str, start: str, nodes: str) -> str:
     AND b.rank = xor(w.rank, 1) WHERE w.n > 1)"""
 
 
-_TAMPERED = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
+def _crc32(text: str) -> str:
+    """SQL of the unsigned CRC-32 of an ASCII text."""
+    return f"""xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda c: ord(c)::BIGINT)),
     lambda a, c: list_reduce(list_prepend(xor(a, c), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
-      lambda x, _: xor(x >> 1, 3988292384 * (x & 1)))) """
+      lambda x, _: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
 
 
 @_query("op11_merkle_manifest", f"""
-WITH RECURSIVE docs AS (SELECT *, xor({_TAMPERED}, 4294967295) % 7 = 0 AS hit FROM documents),
+WITH RECURSIVE docs AS (SELECT *, {_crc32('doc_id::VARCHAR')} % 7 = 0 AS hit FROM documents),
 leaves AS (
   SELECT row_number() OVER () AS id, doc_id, lang AS grp, {_h('doc_id', 'source', 'lang', 'n_chars', 'text')} AS h,
     {_h('doc_id', 'source', 'lang', '(CASE WHEN hit THEN n_chars::HUGEINT + 1 ELSE n_chars END)', 'text')} AS seen
@@ -218,3 +220,73 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = merkle.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], "lang", "doc_id",
                             tampered={"n_chars": F.when(hit, n_chars + 1).otherwise(n_chars)})
     return found.withColumn("proof", merkle.proof_digest(F.col("proof"))).withColumnRenamed("proof", "proof_sha256")
+
+
+@_query("op12_bfd_packing")
+def op12_bfd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens; a digest of
+    the ids of every piece."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    tokenizer = packing.share_tokenizer(spark, public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = packing.pack(docs, tokenizer, keep=["doc_id"])
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
+                         "offset")
+
+
+@_query("op13_conversation_repair", rf"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS fault FROM conversations),
+rows AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+    CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM raw, range(CASE WHEN fault = 3 THEN 2 ELSE 1 END) WHERE fault <> 0),
+nth AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth FROM rows),
+kinds AS (
+  SELECT conv_id, turn, role, text, substring(role, 1, 1) AS initial,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, nth) AS i,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'B' WHEN nth > 1 THEN 'D'
+         WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'T' ELSE '' END AS kind FROM nth),
+ins(state, more, spot, cost, lines) AS (VALUES
+  ('-', '', '-', 0, []), ('-', 'I', 'u', 5, ['user:']), ('-', 'II', 'a', 10, ['user:', 'assistant:']),
+  ('s', '', 's', 0, []), ('s', 'I', 'u', 5, ['user:']), ('s', 'II', 'a', 10, ['user:', 'assistant:']),
+  ('u', '', 'u', 0, []), ('u', 'I', 'a', 5, ['assistant:']), ('a', '', 'a', 0, []), ('a', 'I', 'u', 5, ['user:'])),
+edits(spot, edit, initial, new, cost, role) AS (VALUES
+  ('-', 'D', NULL, '-', 2, NULL), ('s', 'D', NULL, 's', 2, NULL), ('u', 'D', NULL, 'u', 2, NULL),
+  ('a', 'D', NULL, 'a', 2, NULL), ('-', 'K', 's', 's', 0, NULL), ('-', 'K', 'u', 'u', 0, NULL),
+  ('s', 'K', 'u', 'u', 0, NULL), ('a', 'K', 'u', 'u', 0, NULL), ('u', 'K', 'a', 'a', 0, NULL),
+  ('-', 'R', NULL, 'u', 1, 'user'), ('s', 'R', NULL, 'u', 1, 'user'), ('a', 'R', NULL, 'u', 1, 'user'),
+  ('u', 'R', NULL, 'a', 1, 'assistant')),
+moves AS (SELECT i.state, e.new, i.more || e.edit AS audit, i.lines, i.cost + e.cost AS cost, e.edit, e.initial, e.role
+          FROM ins i JOIN edits e ON e.spot = i.spot),
+dp AS (
+  SELECT conv_id, 0::BIGINT AS i, '-' AS state, {{'cost': 0::BIGINT, 'audit': '', 'lines': []::VARCHAR[]}} AS best
+  FROM raw GROUP BY conv_id
+  UNION ALL
+  SELECT d.conv_id, d.i + 1, m.new, min({{
+      'cost': (d.best.cost + m.cost + CASE WHEN k.kind = 'T' AND m.edit <> 'D' THEN 5 ELSE 0 END)::BIGINT,
+      'audit': d.best.audit || m.audit,
+      'lines': list_concat(list_concat(d.best.lines, m.lines),
+                           CASE WHEN m.edit = 'D' THEN [] ELSE [coalesce(m.role, k.role) || ':' || k.text] END)}})
+  FROM dp d JOIN kinds k ON k.conv_id IS NOT DISTINCT FROM d.conv_id AND k.i = d.i + 1
+  JOIN moves m ON m.state = d.state AND (m.edit = 'D' OR k.kind IN ('', 'T'))
+    AND (m.initial IS NULL OR m.initial = k.initial)
+  GROUP BY d.conv_id, d.i, m.new),
+ends AS (
+  SELECT d.conv_id, min({{'cost': d.best.cost + i.cost, 'audit': d.best.audit || i.more,
+                          'lines': list_concat(d.best.lines, i.lines)}}) AS best
+  FROM dp d JOIN ins i ON i.state = d.state AND (i.spot = 'a' OR (i.spot = '-' AND i.more = ''))
+  WHERE d.i = (SELECT count(*) FROM kinds k WHERE k.conv_id IS NOT DISTINCT FROM d.conv_id) GROUP BY d.conv_id),
+pairs AS (SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS prior FROM kinds),
+counts AS (
+  SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (kind = 'B') AS blank,
+    count(*) FILTER (kind = 'D') AS duplicate, count(*) FILTER (kind = 'T') AS truncated,
+    count(*) FILTER (prior || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM pairs GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+  coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, e.best.cost::BIGINT AS cost, e.best.audit AS audit,
+  sha256(coalesce(array_to_string(e.best.lines, chr(10)), '')) AS repaired_sha256
+FROM ends e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id""")
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations: their faults, the cheapest repair and its digest."""
+    return repair.summary(repair.damaged(table(spark, sf_dir, "conversations")))
