@@ -31,7 +31,10 @@ like a result column are replaced.
 from __future__ import annotations
 
 import json
+import os
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,7 +51,7 @@ CAPACITY = 2048
 LEAST_CUT = 16              # smaller gaps stay padded rather than cut a document for them
 BLOCK_TOKENS = 1 << 22      # a block's ids take four bytes each
 BLOCK_DOCUMENTS = 1 << 16   # a block of tiny documents ends here
-MEMORY_BYTES = 32 << 20     # of pieces that a task remembers; results don't depend on it
+MEMORY_BYTES = 64 << 20     # of pieces that a task remembers; results don't depend on it
 PIECE_TO_REMEMBER = 64
 SEQUENCES_PER_TASK = 1 << 36
 
@@ -60,6 +63,21 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _ELSEWHERE = re.compile("[^\x00-\u0557\u2000-\u208e\u20a0-\ua7cd\uac00-\ud7a3]")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level files write for each byte: visible Latin-1
+    characters stand for themselves, the others for those from U+0100 on."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in visible]
+    return {b: chr(0x100 + i) for i, b in enumerate(others)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
+def _packed_ids(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
+
+
 class OpenWindows:
     """Windows by remaining capacity, with a segment tree over the capacities."""
 
@@ -157,59 +175,73 @@ def closed(windows: list[list[tuple[int, int, int]]], capacity: int, least_cut:
     return [w for w in windows if w]
 
 
+class Pieces(dict):
+    """Ids of pieces that a task has met, worked out at the first meeting."""
+
+    def __init__(self, tokens_of):
+        super().__init__()
+        self.tokens_of, self.held, self.passing = tokens_of, 0, []
+
+    def __missing__(self, piece: str) -> bytes:
+        letters = piece.encode().decode("latin-1").translate(BYTE_LETTERS)
+        code = self[piece] = _packed_ids([token.id for token in self.tokens_of(letters)])
+        if len(piece) > PIECE_TO_REMEMBER:
+            self.passing.append(piece)
+        self.held += 160 + 2 * len(piece)   # two objects and an entry
+        return code
+
+    def trim(self) -> None:
+        """Forget long pieces, and all beyond the bound."""
+        if self.held > MEMORY_BYTES:
+            self.clear()
+            self.held = 0
+        else:
+            for piece in self.passing:
+                del self[piece]
+                self.held -= 160 + 2 * len(piece)
+        self.passing = []
+
+
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit numbers."""
 
-    def __init__(self, definition: str, end_id: int):
+    def __init__(self, definition: str, end_id: int, plain: bool):
+        # one thread a task: the cluster has the cores, and threads that wait for work burn them
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True   # their strings in a text are ordinary text
-        parts = json.loads(definition)
-        split = parts.get("pre_tokenizer") or {}
-        plain = (split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
-                 and not parts.get("normalizer") and not parts.get("truncation"))
         self.split = splitter(PATTERN) if plain else None
         self.end = np.array([end_id], "<u4").tobytes()
-        self.known: dict[str, bytes] = {}
-        self.held = 0
-
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        self.known = Pieces(self.tokenizer.model.tokenize)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        texts = [t or "" for t in texts]
-        pieces = [self.split(t) if self.split and not _ELSEWHERE.search(t) else None for t in texts]
-        new = list(set().union(*[p for p in pieces if p]) - self.known.keys())
-        codes = self._encoded(new)
-        known = self.known
-        passing = {}
-        for piece, code in zip(new, codes):
-            if len(piece) <= PIECE_TO_REMEMBER:
-                known[piece] = code
-                self.held += 150 + 2 * len(piece) + len(code)   # two objects and an entry
-            else:
-                passing[piece] = code
-        whole = iter(self._encoded([t for t, p in zip(texts, pieces) if p is None]))
-        find = {**passing}.get
-        out = []
-        for p in pieces:
-            if p is None:
-                out.append(next(whole) + self.end)
+        ids_of, out = self.known.__getitem__, []
+        for text in texts:
+            text = text or ""
+            if self.split and not _ELSEWHERE.search(text):
+                out.append(b"".join(map(ids_of, self.split(text))) + self.end)
             else:
-                out.append(b"".join([known.get(x) or find(x) for x in p]) + self.end)
-        if self.held > MEMORY_BYTES:
-            known.clear()
-            self.held = 0
+                out.append(_packed_ids(self.tokenizer.encode(text, add_special_tokens=False).ids) + self.end)
+        self.known.trim()
         return out
 
 
+def splits_plainly(definition: str) -> bool:
+    """Whether a tokenizer file splits texts by ``PATTERN`` and nothing else."""
+    parts = json.loads(definition)
+    split = parts.get("pre_tokenizer") or {}
+    return (split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+            and not parts.get("normalizer") and not parts.get("truncation"))
+
+
 def share_tokenizer(spark: SparkSession, path: str) -> Broadcast:
     """The text of a tokenizer file for the executors (a few megabytes, whatever
     the data)."""
     with open(path, encoding="utf-8") as f:
-        return spark.sparkContext.broadcast(f.read())
+        definition = f.read()
+    return spark.sparkContext.broadcast((definition, splits_plainly(definition)))
 
 
 def pack(df: DataFrame, tokenizer: Broadcast, text_col: str = "text", keep: list[str] | None = None, end_id: int = 1,
@@ -226,7 +258,8 @@ def pack(df: DataFrame, tokenizer: Broadcast, text_col: str = "text", keep: list
     schema = T.StructType(rows.schema.fields[:-1] + [T.StructField(n, t) for n, t in RESULTS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer.value, end_id)
+        definition, plain = tokenizer.value
+        encoder = Encoder(definition, end_id, plain)
         sequence = TaskContext.get().partitionId() * SEQUENCES_PER_TASK
         held, ids, tokens = [], [], 0
         for batch in slices(batches):

@@ -119,7 +119,7 @@ def test_ties_empty_table_and_other_files(session):
 
 
 def test_pieces_split_as_the_library_splits(library):
-    encoder = packing.Encoder(open(FILE, encoding="utf-8").read(), 1)
+    encoder = packing.Encoder(open(FILE, encoding="utf-8").read(), 1, True)
     for c in range(0x10000):
         text = f"A{chr(c)}1{chr(c)} {chr(c)}" if not 0xD800 <= c < 0xE000 else ""
         if not packing._ELSEWHERE.search(text):
@@ -128,7 +128,7 @@ def test_pieces_split_as_the_library_splits(library):
 
 
 def test_memory_is_bounded(monkeypatch):
-    encoder = packing.Encoder(open(FILE, encoding="utf-8").read(), 1)
+    encoder = packing.Encoder(open(FILE, encoding="utf-8").read(), 1, True)
     want = encoder.encode(["one two three", "four five"])
     monkeypatch.setattr(packing, "MEMORY_BYTES", 200)
     assert encoder.encode(["one two three", "four five"]) == want and not encoder.known
