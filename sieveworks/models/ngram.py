@@ -80,38 +80,59 @@ def _sent_whole(table: DataFrame, size: Column, most: int) -> DataFrame:
     return F.broadcast(table) if total <= most else table
 
 
+def jump_tables(best: DataFrame, order: int, steps: int) -> dict[int, DataFrame]:
+    """Pointer doubling over the best-next table, which is a function on
+    states: for each power of two that ``steps`` is made of, a stored table
+    ``(__sw_s, __sw_to, __sw_words)`` of the state reached by so many steps and
+    the tokens on the way.
+
+    A jump of 2n steps is a jump of n steps followed by the jump of n steps
+    from where it ended; a jump that meets a state without successor ends there
+    with a null target.  The tables are built with one self-join per doubling
+    and written, so that no plan holds more than one of them."""
+    from ..session import materialize
+
+    shifted = F.array_join(F.slice(F.concat(F.split("state", SEP, -1), F.array("next")), 2, order), SEP)
+    table = materialize(best.select(F.col("state").alias("__sw_s"), shifted.alias("__sw_to"),
+                                    F.col("next").alias("__sw_words")), "ngram-jump-1")
+    out, size = {}, 1
+    while True:
+        if steps & size:
+            out[size] = table
+        size *= 2
+        if size > steps:
+            return out
+        onward = table.select(F.col("__sw_s").alias("__sw_s2"), F.col("__sw_to").alias("__sw_to2"),
+                              F.col("__sw_words").alias("__sw_words2"))
+        ended = F.concat(F.lit(SEP), F.col("__sw_s"))   # no state starts with the separator
+        both = table.join(onward, F.coalesce("__sw_to", ended) == F.col("__sw_s2"), "left")
+        table = materialize(both.select("__sw_s", F.col("__sw_to2").alias("__sw_to"),
+                                        F.concat_ws(" ", "__sw_words", "__sw_words2").alias("__sw_words")),
+                            f"ngram-jump-{size}")
+
+
 def ngram_generate(prompts: DataFrame, prompt: str, key: str, best: DataFrame, order: int = 2,
                    max_new_tokens: int = 30, pattern: str = R.TOKEN_PY, lowercase: bool = True,
                    max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Greedy generation for every prompt: ``(key, text)``; prompts shorter
     than ``order`` tokens give a null text (the reference rejects them).
 
-    The best-next table is written once as a table; then one query plan of
-    ``max_new_tokens`` chained left joins reads it, and adaptive execution
-    reuses the identical exchange so the table ships once.  It is
-    broadcast only when its counted bytes are at most ``max_broadcast_bytes``;
-    otherwise it is hash-partitioned once and each step shuffles only the
-    prompts.  A prompt whose state has no successor keeps a null state and
-    stops growing; null states are spread by the prompt's key, so that finished
-    prompts do not meet in one partition."""
-    from ..session import materialize
-
-    # materialise the model once (cuts its lineage out of the 30-join plan)
-    table = materialize(best.select(F.col("state").alias("__sw_s"), F.col("next").alias("__sw_tok")), "ngram-best")
-    table = _sent_whole(table, F.octet_length("__sw_s") + F.octet_length("__sw_tok"), max_broadcast_bytes)
+    Prompts take the jumps of ``jump_tables``, the longest first: one join per
+    binary digit of ``max_new_tokens``.  A jump table is broadcast only when
+    its counted bytes are at most ``max_broadcast_bytes``; otherwise both
+    sides are hash-partitioned.  A prompt whose state has no successor keeps a
+    null state and stops growing; null states are spread by the prompt's key,
+    so that finished prompts do not meet in one partition."""
     cur = prompts.select(F.col(key).alias("__sw_k"), prompt_state(F.col(prompt), order, pattern, lowercase)
-                         .alias("__sw_state"), F.array().cast("array<string>").alias("__sw_out"),
+                         .alias("__sw_state"), F.lit("").alias("__sw_out"),
                          F.size(tokens(F.col(prompt), pattern, lowercase)).alias("__sw_ntok"))
-    for _ in range(max_new_tokens):
+    for _, table in sorted(jump_tables(best, order, max_new_tokens).items(), reverse=True):
+        size = F.octet_length("__sw_s") + F.octet_length("__sw_words") + F.coalesce(F.octet_length("__sw_to"), F.lit(0))
+        table = _sent_whole(table, size, max_broadcast_bytes)
         j = cur.join(table, _spread_null(cur) == table["__sw_s"], "left")
-        hit = F.col("__sw_tok").isNotNull()
-        nxt_state = F.array_join(F.slice(F.concat(F.split("__sw_state", SEP, -1), F.array("__sw_tok")), 2, order),
-                                 SEP)
-        cur = j.select("__sw_k", F.when(hit, nxt_state).alias("__sw_state"),
-                       F.when(hit, F.concat("__sw_out", F.array("__sw_tok"))).otherwise(F.col("__sw_out"))
-                       .alias("__sw_out"), "__sw_ntok")
-    return cur.select(F.col("__sw_k").alias(key),
-                      F.when(F.col("__sw_ntok") >= order, F.array_join("__sw_out", " ")).alias("text"))
+        words = F.concat_ws(" ", F.nullif("__sw_out", F.lit("")), "__sw_words")
+        cur = j.select("__sw_k", F.col("__sw_to").alias("__sw_state"), words.alias("__sw_out"), "__sw_ntok")
+    return cur.select(F.col("__sw_k").alias(key), F.when(F.col("__sw_ntok") >= order, F.col("__sw_out")).alias("text"))
 
 
 def _spread_null(cur: DataFrame) -> Column:
@@ -126,45 +147,102 @@ def uniform(seed: int, key: Column, step: Column) -> Column:
     return F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / float(2 ** 52)
 
 
-def ngram_sample_table(model: DataFrame) -> DataFrame:
-    """Per state: ``(state, nexts, ends, total)`` with the options in
-    first-seen order and their cumulative counts.  One row per state; its
-    arrays are bounded by that state's distinct successors."""
+INLINE_SUCCESSORS = 1024   # a state with more is split into buckets
+BUCKET_DIGITS = 3          # hex digits of a token's digest: up to 4096 buckets a state
+
+
+def ngram_sample_tables(model: DataFrame, inline: int = INLINE_SUCCESSORS) -> tuple[DataFrame, DataFrame]:
+    """``(states, buckets)`` for weighted draws.
+
+    A state's successors stand in the order of their SHA-256 and fall into
+    buckets by the digest's first digits.  ``states`` has one row per state:
+    the total and the (next, cnt) options of a state with at most ``inline``
+    successors, or the (bucket, cnt) totals of one with more.  ``buckets`` has
+    the options of the latter, one row per (state, bucket).  So a row never
+    holds more than ``inline`` options, 4096 totals, or one bucket's options
+    (a 4096th of a state's distinct successors)."""
+    digest = F.sha2(F.col("next"), 256)
+    per = (model.select("state", "next", "cnt", digest.alias("h"))
+           .withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS))
+           .groupBy("state", "bucket").agg(F.array_sort(F.collect_list(F.struct("h", "next", "cnt"))).alias("o"),
+                                           F.sum("cnt").alias("cnt"), F.count(F.lit(1)).alias("n")))
     from pyspark.sql import Window
 
-    w = Window.partitionBy("state").orderBy("first_doc", "first_pos").rowsBetween(Window.unboundedPreceding, 0)
-    cum = model.withColumn("end", F.sum("cnt").over(w))
-    opts = F.array_sort(F.collect_list(F.struct("first_doc", "first_pos", "next", "end")))
-    per = cum.groupBy("state").agg(opts.alias("o"), F.sum("cnt").alias("total"))
-    return per.select("state", F.transform("o", lambda x: x["next"]).alias("nexts"),
-                      F.transform("o", lambda x: x["end"]).alias("ends"), "total")
+    from ..session import materialize
+
+    # at most 4096 rows to a state here
+    per = materialize(per.withColumn("successors", F.sum("n").over(Window.partitionBy("state"))), "ngram-buckets")
+    small = F.col("successors") <= inline
+    ordered = F.array_sort(F.collect_list(F.struct("bucket", "cnt", F.when(small, F.col("o")).alias("o"))))
+    states = per.groupBy("state").agg(F.sum("cnt").alias("total"), F.first("successors").alias("successors"),
+                                      ordered.alias("b"))
+    options = F.transform(F.flatten(F.transform("b", lambda x: x["o"])), lambda x: F.struct(x["next"], x["cnt"]))
+    totals = F.transform("b", lambda x: F.struct(x["bucket"].alias("next"), x["cnt"]))
+    states = states.select("state", "total", small.alias("whole"),
+                           F.when(small, options).otherwise(totals).alias("options"))
+    buckets = per.filter(~small).select("state", "bucket", F.transform(
+        "o", lambda x: F.struct(x["next"], x["cnt"])).alias("options"))
+    return states, buckets
+
+
+def _drawn(options: Column, r: Column) -> Column:
+    """The option in whose share ``r`` falls, and what of ``r`` lies in it:
+    ``struct(next, rest)``; null when ``r`` lies beyond all of them."""
+    start = F.struct(F.lit(None).cast("string").alias("next"), r.cast("long").alias("rest"))
+
+    def step(acc: Column, o: Column) -> Column:
+        return (F.when(acc["next"].isNotNull(), acc)
+                .when(acc["rest"] < o["cnt"], F.struct(o["next"].alias("next"), acc["rest"].alias("rest")))
+                .otherwise(F.struct(F.lit(None).cast("string").alias("next"), (acc["rest"] - o["cnt"]).alias("rest"))))
+    return F.aggregate(options, start, step)
+
+
+STEPS_A_PLAN = 10   # sampling steps before the prompts are written and read again
 
 
 def ngram_sample(prompts: DataFrame, prompt: str, key: str, model: DataFrame, order: int = 2,
                  max_new_tokens: int = 30, seed: int = 42, pattern: str = R.TOKEN_PY, lowercase: bool = True,
-                 max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+                 max_broadcast_bytes: int = MAX_BROADCAST_BYTES, inline: int = INLINE_SUCCESSORS) -> DataFrame:
     """Count-weighted sampling of the next token: draw ``r = floor(u·total)``
-    with ``u = uniform(seed, key, step)`` and take the first option whose
-    cumulative count exceeds ``r``.  Same single-plan chain of joins as
-    ``ngram_generate`` (deterministic, not bit-equal to Python's RNG)."""
+    with ``u = uniform(seed, key, step)`` and take the option whose cumulative
+    count exceeds ``r``, first among a state's buckets and then in the bucket
+    (see ``ngram_sample_tables``).  Each step joins the prompts to their states
+    and, only where some state has buckets, to those."""
     from ..session import materialize
 
-    table = materialize(ngram_sample_table(model).select(F.col("state").alias("__sw_s"), F.col("nexts").alias("__sw_n"),
-                                                         F.col("ends").alias("__sw_e"), F.col("total").alias("__sw_t")),
-                        "ngram-sample")
-    table = _sent_whole(table, F.octet_length("__sw_s") + F.octet_length(F.array_join("__sw_n", "")) + 12 * F.size("__sw_n"),
-                        max_broadcast_bytes)
+    states, buckets = ngram_sample_tables(model, inline)
+    states = materialize(states.select(F.col("state").alias("__sw_s"), F.col("total").alias("__sw_t"),
+                                       F.col("whole").alias("__sw_w"), F.col("options").alias("__sw_o")), "ngram-states")
+    buckets = materialize(buckets.select(F.col("state").alias("__sw_s2"), F.col("bucket").alias("__sw_b"),
+                                         F.col("options").alias("__sw_o2")), "ngram-large")
+    split = not buckets.isEmpty()
+    held = F.aggregate(F.transform("__sw_o", lambda x: F.octet_length(x["next"]) + 12), F.lit(0), lambda a, v: a + v)
+    states = _sent_whole(states, F.octet_length("__sw_s") + held, max_broadcast_bytes)
+    if split:
+        held = F.aggregate(F.transform("__sw_o2", lambda x: F.octet_length(x["next"]) + 12), F.lit(0),
+                           lambda a, v: a + v)
+        buckets = _sent_whole(buckets, F.octet_length("__sw_s2") + held, max_broadcast_bytes)
     cur = prompts.select(F.col(key).alias("__sw_k"), prompt_state(F.col(prompt), order, pattern, lowercase)
                          .alias("__sw_state"), F.array().cast("array<string>").alias("__sw_out"),
                          F.size(tokens(F.col(prompt), pattern, lowercase)).alias("__sw_ntok"))
     for step in range(max_new_tokens):
-        j = cur.join(table, _spread_null(cur) == table["__sw_s"], "left")
+        j = cur.join(states, _spread_null(cur) == states["__sw_s"], "left")
         r = F.floor(uniform(seed, F.col("__sw_k"), F.lit(step)) * F.col("__sw_t"))
-        idx = F.size(F.filter("__sw_e", lambda e: e <= r))
-        tok = F.when(F.col("__sw_s").isNotNull(), F.element_at("__sw_n", idx + 1))
-        nxt_state = F.array_join(F.slice(F.concat(F.split("__sw_state", SEP, -1), F.array(tok)), 2, order), SEP)
-        cur = j.select("__sw_k", F.when(tok.isNotNull(), nxt_state).alias("__sw_state"),
-                       F.when(tok.isNotNull(), F.concat("__sw_out", F.array(tok))).otherwise(F.col("__sw_out"))
+        j = j.withColumn("__sw_d", F.when(F.col("__sw_s").isNotNull(), _drawn(F.col("__sw_o"), r)))
+        tok = F.col("__sw_d.next")
+        if split:
+            # a prompt at a state without buckets looks for none
+            place = F.when(~F.col("__sw_w"), F.col("__sw_s"))
+            j = j.join(buckets, (F.coalesce(place, F.concat(F.lit(SEP), F.xxhash64("__sw_k").cast("string")))
+                                 == buckets["__sw_s2"]) & (F.col("__sw_d.next") == buckets["__sw_b"]), "left")
+            tok = F.when(F.col("__sw_w"), tok).otherwise(_drawn(F.col("__sw_o2"), F.col("__sw_d.rest"))["next"])
+        j = j.withColumn("__sw_tok", tok)
+        nxt_state = F.array_join(F.slice(F.concat(F.split("__sw_state", SEP, -1), F.array("__sw_tok")), 2, order), SEP)
+        hit = F.col("__sw_tok").isNotNull()
+        cur = j.select("__sw_k", F.when(hit, nxt_state).alias("__sw_state"),
+                       F.when(hit, F.concat("__sw_out", F.array("__sw_tok"))).otherwise(F.col("__sw_out"))
                        .alias("__sw_out"), "__sw_ntok")
+        if (step + 1) % STEPS_A_PLAN == 0 and step + 1 < max_new_tokens:
+            cur = materialize(cur, "ngram-drawn")
     return cur.select(F.col("__sw_k").alias(key),
                       F.when(F.col("__sw_ntok") >= order, F.array_join("__sw_out", " ")).alias("text"))

@@ -3,9 +3,9 @@ scoring and metrics.
 
 Only d-sized objects reach the driver: the feature schema (bounded by
 columns × maximum_categories), the d×d Gram matrix and the d×k weights.
-Rows are encoded with column expressions, Gram matrices and gradients are
-partial sums computed per partition with numpy (``mapInPandas``) and
-reduced with an ordinary aggregate.
+Rows are encoded with column expressions; Gram matrices and gradients are
+packed partial sums, one per partition, computed with numpy (``mapInPandas``)
+and added up in a tree.
 """
 
 from __future__ import annotations
@@ -15,13 +15,14 @@ from typing import Any, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.pysem import dtype_of, py_float, py_str
 
 MISSING = "[MISSING]"
+MAXIMUM_CLASSES = 10_000  # a weight column for each is held by the driver and every task
 
 
 @dataclass
@@ -47,34 +48,16 @@ def _category(df: DataFrame, name: str) -> Column:
     return F.when(empty, F.lit(MISSING)).otherwise(text)
 
 
-def exact_median(df: DataFrame, value: str) -> float:
-    """Exact median with numpy's midpoint rule, without collecting values:
-    the middle order statistics come from histogram narrowing."""
-    from ..plans.select import kth_value
-
-    vals = df.select(F.col(value).alias("v")).filter(F.col("v").isNotNull())
-    n = vals.count()
-    if n == 0:
-        return float("nan")
-    lo = kth_value(vals, "v", (n + 1) // 2)
-    if n % 2:
-        return float(lo)
-    # the next order statistic: the same value when it repeats, else the
-    # smallest value above it (one aggregate)
-    stats = vals.agg(F.count_if(F.col("v") <= lo).alias("le"), F.min(F.when(F.col("v") > lo, F.col("v"))).alias("up"))
-    row = stats.first()
-    hi = lo if row["le"] >= n // 2 + 1 else row["up"]
-    return float((lo + hi) / 2.0)
-
-
 def feature_schema(train: DataFrame, features: list[str], maximum_categories: int = 50) -> list[Feature]:
     """Numeric when at least ``max(1, int(0.9 · non-empty))`` values parse to
     finite floats: median, mean, population std (0 → 1).  Otherwise the
     ``maximum_categories`` most frequent values (ties: first seen).
 
-    The narrow feature projection is persisted (memory, spilling to disk)
-    because the schema needs several passes over it; it is deterministic,
-    so lost blocks are recomputed identically."""
+    One aggregate decides the kinds, one counts the values of all categorical
+    columns, and the medians of all numeric columns come from shared narrowing
+    passes, so the number of jobs does not grow with the number of columns.
+    The narrow feature projection is persisted (memory, spilling to disk); it
+    is deterministic, so lost blocks are recomputed identically."""
     from pyspark import StorageLevel
 
     train = train.select(*features, "__sw_sn").persist(StorageLevel.MEMORY_AND_DISK)
@@ -85,6 +68,8 @@ def feature_schema(train: DataFrame, features: list[str], maximum_categories: in
 
 
 def _feature_schema(train: DataFrame, features: list[str], maximum_categories: int) -> list[Feature]:
+    from ..plans.select import order_statistics
+
     aggs = []
     for i, name in enumerate(features):
         dtype = dtype_of(train, name)
@@ -92,20 +77,40 @@ def _feature_schema(train: DataFrame, features: list[str], maximum_categories: i
         nonempty = c.isNotNull() & (c.cast("string") != "") if isinstance(dtype, T.StringType) else c.isNotNull()
         num = _numeric(train, name)
         aggs += [F.count_if(num.isNotNull()).alias(f"f{i}"), F.count_if(nonempty).alias(f"e{i}"),
-                 F.avg(num).alias(f"m{i}"), F.stddev_pop(num).alias(f"s{i}")]
+                 F.avg(num).alias(f"m{i}"), F.stddev_pop(num).alias(f"s{i}"), F.min(num).cast("double").alias(f"lo{i}"),
+                 F.max(num).cast("double").alias(f"hi{i}")]
     stats = train.agg(*aggs).first()
+    numeric = [i for i in range(len(features)) if stats[f"f{i}"] and
+               stats[f"f{i}"] >= max(1, int(stats[f"e{i}"] * 0.9))]
+    middle = {f"v{i}": [(stats[f"f{i}"] + 1) // 2, stats[f"f{i}"] // 2 + 1] for i in numeric}
+    values = train.select(*[_numeric(train, features[i]).cast("double").alias(f"v{i}") for i in numeric])
+    middle = order_statistics(values, middle, {f"v{i}": (stats[f"lo{i}"], stats[f"hi{i}"]) for i in numeric})
+    categories = _top_categories(train, {i: n for i, n in enumerate(features) if i not in numeric}, maximum_categories)
     out: list[Feature] = []
     for i, name in enumerate(features):
-        finite, nonempty = int(stats[f"f{i}"]), int(stats[f"e{i}"])
-        if finite and finite >= max(1, int(nonempty * 0.9)):
-            med = exact_median(train.select(_numeric(train, name).alias("x")), "x")
-            scale = float(stats[f"s{i}"] or 0.0) or 1.0
-            out.append(Feature(name, "numeric", med, float(stats[f"m{i}"]), scale))
+        if i in numeric:
+            low, high = middle[f"v{i}"]
+            out.append(Feature(name, "numeric", low / 2 + high / 2 if low != high else low, float(stats[f"m{i}"]),
+                               float(stats[f"s{i}"] or 0.0) or 1.0))
         else:
-            cats = (train.select(_category(train, name).alias("v"), F.col("__sw_sn"))
-                    .groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("__sw_sn").alias("first"))
-                    .orderBy(F.col("n").desc(), F.col("first")).limit(maximum_categories).collect())
-            out.append(Feature(name, "categorical", categories=[r["v"] for r in cats]))
+            out.append(Feature(name, "categorical", categories=categories[i]))
+    return out
+
+
+def _top_categories(train: DataFrame, names: dict[int, str], most: int) -> dict[int, list[str]]:
+    """The ``most`` frequent values of each column, ties in order of
+    appearance: one aggregate over the values of all columns, of which only
+    the chosen ones reach the driver."""
+    out: dict[int, list[str]] = {i: [] for i in names}
+    if not names:
+        return out
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), _category(train, n).alias("v")) for i, n in names.items()]))
+    counts = (train.select(each.alias("e"), "__sw_sn").groupBy("e.i", "e.v")
+              .agg(F.count(F.lit(1)).alias("n"), F.min("__sw_sn").alias("first")))
+    place = F.row_number().over(Window.partitionBy("i").orderBy(F.col("n").desc(), "first"))
+    for row in sorted(counts.withColumn("place", place).filter(F.col("place") <= most).collect(),
+                      key=lambda r: (r["i"], r["place"])):
+        out[row["i"]].append(row["v"])
     return out
 
 
@@ -124,73 +129,132 @@ def encode(df: DataFrame, schema: list[Feature]) -> Column:
     return F.array(*[p.cast("double") for p in parts])
 
 
-def _gram_partials(d: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g = np.zeros((d, d))
-        b = np.zeros(d)
-        n = 0
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            x = np.stack(pdf["x"].to_numpy()).astype(np.float64)
-            y = pdf["y"].to_numpy(dtype=np.float64)
-            g += x.T @ x
-            b += x.T @ y
-            n += len(pdf)
-        yield pd.DataFrame({"i": np.arange(d * d + d), "v": np.concatenate([g.ravel(), b]), "n": n})
-    return run
-
-
-def ridge_fit(encoded: DataFrame, d: int, regularization: float = 0.001) -> np.ndarray:
-    """``pinv(XᵀX + λI₀) Xᵀy`` with the intercept unpenalised.  ``encoded`` has
-    ``x array<double>`` and ``y double``; one Gram partial per partition is
-    reduced by index, then the d×d system is solved on the driver."""
-    partial = encoded.select("x", "y").mapInPandas(_gram_partials(d), "i long, v double, n long")
-    sums = dict(partial.groupBy("i").agg(F.sum("v").alias("v")).collect())
-    g = np.array([sums.get(i, 0.0) for i in range(d * d)]).reshape(d, d)
-    b = np.array([sums.get(d * d + i, 0.0) for i in range(d)])
-    penalty = np.eye(d) * regularization
-    penalty[0, 0] = 0.0
-    return np.linalg.pinv(g + penalty) @ b
-
-
 BLOCK_ROWS = 8192  # encoded rows stored together
+FAN_IN = 32        # partial results that one task, or the driver, adds up
 
 
 def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows stacked once into matrices, so that no iteration unpacks arrays."""
+    """Rows stacked once into matrices, so that no pass unpacks arrays."""
     for pdf in batches:
         for at in range(0, len(pdf), BLOCK_ROWS):
             part = pdf.iloc[at:at + BLOCK_ROWS]
             x = np.stack(part["x"].to_numpy()).astype(np.float64)
             yield pd.DataFrame({"n": [len(part)], "x": [x.tobytes()],
-                                "y": [part["y"].to_numpy(dtype=np.int64).tobytes()],
+                                "y": [part["y"].to_numpy(dtype=np.float64).tobytes()],
                                 "fit": [part["fit"].to_numpy(dtype=np.bool_).tobytes()]})
 
 
-def _gradients(weights: list[np.ndarray], k: int):
-    """Gradient, loss and row count of each weight matrix; all but the last see
-    only the rows marked ``fit``."""
-    d = weights[0].shape[0]
+class StoredBlocks:
+    """Encoded rows ``(x, y, fit)`` stored as matrices (memory, spilling to
+    disk) for passes that sum one packed array over all of them.
+
+    Each partition gives one row with its whole partial array.  Beyond
+    ``FAN_IN`` partitions the rows are added in levels of that fan-in, so a
+    pass shuffles as many rows as there are partitions and the driver adds at
+    most ``FAN_IN``; with fewer partitions nothing is shuffled."""
+
+    def __init__(self, encoded: DataFrame, d: int):
+        from pyspark import StorageLevel
+
+        self.d = d
+        self.rows = (encoded.select("x", "y", "fit").mapInPandas(_blocks, "n long, x binary, y binary, fit binary")
+                     .persist(StorageLevel.MEMORY_AND_DISK))
+        try:
+            self.parts = self.rows.select(F.spark_partition_id().alias("p")).distinct().count()
+        except BaseException:
+            self.rows.unpersist()
+            raise
+
+    def __enter__(self) -> StoredBlocks:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.rows.unpersist()
+
+    def total(self, size: int, partial) -> np.ndarray:
+        """Sum over all blocks of ``partial(x, y, fit)``, arrays of ``size``."""
+        d = self.d
 
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            out = np.zeros(size)
+            for pdf in batches:
+                for row in pdf.itertuples():
+                    out += partial(np.frombuffer(row.x).reshape(row.n, d), np.frombuffer(row.y),
+                                   np.frombuffer(row.fit, dtype=np.bool_))
+            yield pd.DataFrame({"sums": [out.tobytes()]})
+
+        return tree_sum(self.rows.mapInPandas(run, "sums binary"), size, self.parts)
+
+
+def tree_sum(partials: DataFrame, size: int, parts: int, fan_in: int = FAN_IN) -> np.ndarray:
+    """Sum of the packed arrays in the one column of ``partials``, about
+    ``parts`` rows, added ``fan_in`` at a time."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((len(weights), d * k + 2))
+        out = np.zeros(size)
         for pdf in batches:
-            for row in pdf.itertuples():
-                x = np.frombuffer(row.x).reshape(row.n, d)
-                y = np.frombuffer(row.y, dtype=np.int64)
-                fit = np.frombuffer(row.fit, dtype=np.bool_)
-                for j, w in enumerate(weights):
-                    xs, ys = (x, y) if j == len(weights) - 1 else (x[fit], y[fit])
-                    s = xs @ w
-                    s -= s.max(axis=1, keepdims=True)
-                    p = np.exp(s)
-                    p /= p.sum(axis=1, keepdims=True)
-                    loss = -np.log(np.clip(p[np.arange(len(ys)), ys], 1e-12, 1.0)).sum()
-                    p[np.arange(len(ys)), ys] -= 1.0
-                    total[j] += np.concatenate([(xs.T @ p).ravel(), [loss, len(ys)]])
-        yield pd.DataFrame({"i": np.arange(total.size), "v": total.ravel()})
-    return run
+            for block in pdf.iloc[:, 0]:
+                out += np.frombuffer(block)
+        yield pd.DataFrame({"sums": [out.tobytes()]})
+
+    while parts > fan_in:
+        parts = -(-parts // fan_in)
+        partials = partials.repartition(parts).mapInPandas(run, "sums binary")
+    out = np.zeros(size)
+    for row in partials.collect():
+        out += np.frombuffer(row[0])
+    return out
+
+
+def _ridge(sums: np.ndarray, d: int, regularization: float) -> np.ndarray:
+    penalty = np.eye(d) * regularization
+    penalty[0, 0] = 0.0
+    gram, moments = sums[:d * d].reshape(d, d) + penalty, sums[d * d:]
+    inverse = np.linalg.pinv(gram)
+    weights = inverse @ moments
+    for _ in range(2):  # the flags of a column leave the matrix badly conditioned
+        weights = weights + inverse @ (moments - gram @ weights)
+    return weights
+
+
+def ridge_fit(encoded: DataFrame, d: int, regularization: float = 0.001) -> np.ndarray:
+    """``pinv(XᵀX + λI₀) Xᵀy`` with the intercept unpenalised.  ``encoded`` has
+    ``x array<double>`` and ``y double``; the d×d system is solved on the
+    driver."""
+    return ridge_fit_with_validation(encoded.withColumn("split", F.lit("train")), d, regularization)[1]
+
+
+def ridge_fit_with_validation(encoded: DataFrame, d: int, regularization: float = 0.001) -> tuple[np.ndarray, np.ndarray]:
+    """Weights fitted on the rows whose ``split`` is train, and on all rows:
+    one pass gathers both Gram matrices."""
+    size = d * d + d
+
+    def partial(x: np.ndarray, y: np.ndarray, fit: np.ndarray) -> np.ndarray:
+        parts = [(x[mask], y[mask]) for mask in (fit, ~fit)]
+        return np.concatenate([np.concatenate([(a.T @ a).ravel(), a.T @ b]) for a, b in parts])
+
+    with StoredBlocks(encoded.withColumn("fit", F.col("split") == "train"), d) as blocks:
+        sums = blocks.total(2 * size, partial)
+    return _ridge(sums[:size], d, regularization), _ridge(sums[:size] + sums[size:], d, regularization)
+
+
+def _gradients(weights: list[np.ndarray], k: int):
+    """Gradient, loss and row count of each weight matrix; all but the last see
+    only the rows marked ``fit``."""
+    def partial(x: np.ndarray, y: np.ndarray, fit: np.ndarray) -> np.ndarray:
+        out = []
+        for j, w in enumerate(weights):
+            xs, ys = (x, y) if j == len(weights) - 1 else (x[fit], y[fit])
+            ys = ys.astype(np.int64)
+            s = xs @ w
+            s -= s.max(axis=1, keepdims=True)
+            p = np.exp(s)
+            p /= p.sum(axis=1, keepdims=True)
+            at = np.arange(len(ys)), ys
+            loss = -np.log(np.clip(p[at], 1e-12, 1.0)).sum()
+            p[at] -= 1.0
+            out.append(np.concatenate([(xs.T @ p).ravel(), [loss, len(ys)]]))
+        return np.concatenate(out)
+    return partial
 
 
 def _descend(encoded: DataFrame, d: int, k: int, fits: int, learning_rate: float, iterations: int,
@@ -198,19 +262,13 @@ def _descend(encoded: DataFrame, d: int, k: int, fits: int, learning_rate: float
     """Full-batch gradient descent of ``fits`` models side by side, one
     distributed pass per iteration for all of them; a model stops when its
     loss changes by less than 1e-9."""
-    from pyspark import StorageLevel
-
-    data = (encoded.select("x", "y", "fit").mapInPandas(_blocks, "n long, x binary, y binary, fit binary")
-            .persist(StorageLevel.MEMORY_AND_DISK))
     weights = [np.zeros((d, k)) for _ in range(fits)]
     previous, active = [float("inf")] * fits, set(range(fits))
-    try:
+    with StoredBlocks(encoded, d) as blocks:
         for _ in range(iterations):
             if not active:
                 break
-            partial = data.mapInPandas(_gradients(weights, k), "i long, v double")
-            sums = dict(partial.groupBy("i").agg(F.sum("v").alias("v")).collect())
-            got = np.array([sums.get(i, 0.0) for i in range(fits * (d * k + 2))]).reshape(fits, -1)
+            got = blocks.total(fits * (d * k + 2), _gradients(weights, k)).reshape(fits, -1)
             for j in sorted(active):
                 n = got[j, -1] or 1.0
                 grad = got[j, :d * k].reshape(d, k) / n
@@ -220,16 +278,12 @@ def _descend(encoded: DataFrame, d: int, k: int, fits: int, learning_rate: float
                 if abs(previous[j] - loss) < 1e-9:
                     active.discard(j)
                 previous[j] = loss
-    finally:
-        data.unpersist()
     return weights
 
 
 def softmax_fit(encoded: DataFrame, d: int, k: int, learning_rate: float = 0.05, iterations: int = 500,
                 regularization: float = 0.001) -> np.ndarray:
-    """Full-batch gradient descent from zero weights, L2 off the intercept.
-    Rows are stored once as matrices; each iteration reads them, sums
-    per-partition numpy partials by index and moves the weights."""
+    """Full-batch gradient descent from zero weights, L2 off the intercept."""
     return _descend(encoded.withColumn("fit", F.lit(True)), d, k, 1, learning_rate, iterations, regularization)[0]
 
 
@@ -288,6 +342,8 @@ def fit_tabular(df: DataFrame, features: list[str], target: str, objective: str
     metric → refit on all rows.  Returns the predictor as a dict."""
     from ..plans.ordering import split_train_validation
 
+    names = {c.lower() for c in (*features, target, id_col, "__sw_sn")}
+    df = df.select(*[c for c in df.columns if c.lower() in names])
     n = df.count()
     if n < 5:
         raise ValueError("Use at least five valid tabular records.")
@@ -312,16 +368,19 @@ def fit_tabular(df: DataFrame, features: list[str], target: str, objective: str
             else:
                 yf = y
             enc = split.select(x.alias("x"), yf.alias("y"), y.alias("truth"), "split")
-            w_val = ridge_fit(enc.filter(F.col("split") == "train"), d, regularization)
+            w_val, w_all = ridge_fit_with_validation(enc, d, regularization)
             scored = enc.filter(F.col("split") == "validation").withColumn(
                 "pred", predict_regression(F.col("x"), w_val, target_transform == "log1p"))
             metrics = regression_metrics(scored, "pred", "truth").first().asDict()
-            out["weights"] = ridge_fit(enc, d, regularization).tolist()
+            out["weights"] = w_all.tolist()
             out["metrics"] = metrics
             out["target_transform"] = target_transform
         else:
-            labels = sorted(r[0] for r in split.select(py_str(F.col(target), dtype_of(df, target)).alias("t"))
-                            .distinct().collect())
+            found = (split.select(py_str(F.col(target), dtype_of(df, target)).alias("t")).distinct()
+                     .limit(MAXIMUM_CLASSES + 1).collect())
+            if len(found) > MAXIMUM_CLASSES:
+                raise ValueError(f"Classification takes at most {MAXIMUM_CLASSES} target classes.")
+            labels = sorted(r[0] for r in found)
             if len(labels) < 2:
                 raise ValueError("Classification requires at least two target classes.")
             index = F.array_position(F.array(*[F.lit(lb) for lb in labels]),

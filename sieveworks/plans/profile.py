@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,17 +35,74 @@ def value_type(dtype: T.DataType) -> str:
     return "string"
 
 
+# The reference's names of value kinds.
+KINDS = ("array", "boolean", "float", "integer", "null", "object", "string")
+
+
+def kind_of(value: Column) -> Column:
+    """The kind of each variant value, as the reference names it; JSON null and
+    a missing value are ``null``.  Whole numbers beyond 64 bits, which variants
+    hold as decimals without digits behind the point, are integers."""
+    kind = F.schema_of_variant(value)
+    digits = F.regexp_extract(kind, r"^DECIMAL\((\d+),0\)$", 1)
+    return (F.when(value.isNull() | (kind == "VOID"), "null").when(kind == "BOOLEAN", "boolean")
+            .when((kind == "BIGINT") | (F.nullif(digits, F.lit("")).cast("int") >= 19), "integer")
+            .when(kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), "float")
+            .when(kind.startswith("ARRAY"), "array").when(kind.startswith("OBJECT"), "object").otherwise("string"))
+
+
+def text_of(value: Column) -> Column:
+    """The text of a variant that holds one, else null."""
+    return F.when(kind_of(value) == "string", F.try_variant_get(value, "$", "string"))
+
+
+def profile_records(records: DataFrame, record: str = "record") -> DataFrame:
+    """The profile of open records, one variant object per row (``read_records``
+    reads JSON lines as such): ``(column, types, null_count, empty_count,
+    minimum_text_length, maximum_text_length, average_text_length, row_count)``
+    for every key that occurs.
+
+    A key's values may be of several kinds; ``types`` is the set of them.  A
+    row without the key counts as null from the key's first row on.  Every key
+    of a row is one small row of the scan, summed per task before the shuffle;
+    nothing is collected per key."""
+    from .ordering import SN, with_source_number
+
+    numbered = records if SN in records.columns else with_source_number(records)
+    total = numbered.agg(F.count(F.lit(1))).first()[0]
+    cells = (numbered.select(SN, record).lateralJoin(records.sparkSession.tvf.variant_explode(F.col(record).outer()))
+             .select(SN, "key", kind_of(F.col("value")).alias("kind"), text_of(F.col("value")).alias("text"))
+             .filter(F.col("key").isNotNull()))
+    length = F.length("text")
+    found = cells.groupBy("key").agg(
+        F.min(SN).alias("first"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") == "null").alias("nulls"),
+        *[F.max(F.col("kind") == kind).alias(f"is_{kind}") for kind in KINDS if kind != "null"],
+        F.count_if(is_blank(F.col("text"))).alias("empty_count"), F.min(length).cast("long").alias("low"),
+        F.max(length).cast("long").alias("high"), F.round(F.avg(length), 2).alias("mean"))
+    nulls = (F.lit(total) - F.col("first") + 1 - F.col("n") + F.col("nulls")).cast("long")
+    flags = [F.when(nulls > 0 if kind == "null" else F.col(f"is_{kind}"), F.lit(kind)) for kind in KINDS]
+    return found.select(F.col("key").alias("column"), F.filter(F.array(*flags), lambda x: x.isNotNull()).alias("types"),
+                        nulls.alias("null_count"), "empty_count", F.col("low").alias("minimum_text_length"),
+                        F.col("high").alias("maximum_text_length"), F.col("mean").alias("average_text_length"),
+                        F.lit(total).cast("long").alias("row_count"), F.col("first").alias("first_row"))
+
+
 def profile_columns(df: DataFrame) -> DataFrame:
     """``(column, position, types, null_count, empty_count, minimum_text_length,
-    maximum_text_length, average_text_length, row_count)``, one row per column."""
+    maximum_text_length, average_text_length, row_count)``, one row per column.
+    A variant column has the kinds of its values as types."""
     cols = user_columns(df)
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for i, name in enumerate(cols):
         c = F.col(name)
         dtype = df.schema[name].dataType
-        aggs.append(F.count_if(c.isNull()).alias(f"n{i}"))
-        aggs.append(F.count_if(c.isNotNull()).alias(f"v{i}"))
-        if isinstance(dtype, T.StringType):
+        absent = kind_of(c) == "null" if isinstance(dtype, T.VariantType) else c.isNull()
+        aggs.append(F.count_if(absent).alias(f"n{i}"))
+        aggs.append(F.count_if(~absent).alias(f"v{i}"))
+        if isinstance(dtype, T.VariantType):
+            aggs += [F.max(kind_of(c) == kind).alias(f"k{i}_{kind}") for kind in KINDS]
+            c = text_of(c)
+        if isinstance(dtype, (T.StringType, T.VariantType)):
             ln = F.length(c)
             aggs += [F.count_if(is_blank(c)).alias(f"e{i}"), F.min(ln).alias(f"lo{i}"), F.max(ln).alias(f"hi{i}"),
                      F.avg(ln).alias(f"av{i}")]
@@ -56,8 +113,10 @@ def profile_columns(df: DataFrame) -> DataFrame:
     entries = []
     for i, name in enumerate(cols):
         t = value_type(df.schema[name].dataType)
-        types = F.array_sort(F.filter(F.array(F.when(F.col(f"n{i}") > 0, F.lit("null")),
-                                              F.when(F.col(f"v{i}") > 0, F.lit(t))), lambda x: x.isNotNull()))
+        seen = [F.when(F.col(f"n{i}") > 0, F.lit("null")), F.when(F.col(f"v{i}") > 0, F.lit(t))]
+        if isinstance(df.schema[name].dataType, T.VariantType):
+            seen = [F.when(F.col(f"k{i}_{kind}"), F.lit(kind)) for kind in KINDS]
+        types = F.array_sort(F.filter(F.array(*seen), lambda x: x.isNotNull()))
         entries.append(F.struct(F.lit(name).alias("column"), F.lit(i).alias("position"), types.alias("types"),
                                 F.col(f"n{i}").cast("long").alias("null_count"),
                                 F.col(f"e{i}").cast("long").alias("empty_count"),
@@ -70,7 +129,10 @@ def profile_columns(df: DataFrame) -> DataFrame:
 
 
 def infer_types(df: DataFrame) -> DataFrame:
-    """``(column, types)`` — the set of value types seen per column."""
+    """``(column, types)`` — the set of value types seen per column; for records
+    (a single variant column ``record``) per key."""
+    if user_columns(df) == ["record"] and isinstance(df.schema["record"].dataType, T.VariantType):
+        return profile_records(df).select("column", F.array_join("types", ",").alias("types"))
     return profile_columns(df).select("column", F.array_join("types", ",").alias("types"))
 
 

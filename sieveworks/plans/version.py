@@ -24,6 +24,7 @@ from ..functions.text import token_estimate
 from ..sinks.files import remove_tree, write_json
 from ..operators.registry import apply_operations, wants_dedupe
 from . import ordering as O
+from .fingerprint import content_fingerprint
 from .schemas import SCHEMA_REQUIRED_FIELDS, SchemaError, map_to_schema, missing_mappings, row_findings, size_codes, status_of
 
 SOURCE = "__sw_source"
@@ -174,7 +175,8 @@ def save_version(spark: SparkSession, source: DataFrame, root: str, dataset: str
         valid = rows.filter(F.size(errors) == 0)
         invalid = rows.filter(F.size(errors) > 0)
         line = line_of(valid, out_cols)
-        (valid.orderBy(KEY).select(*out_cols).write.mode("errorifexists")
+        # the shuffle key is a digest; else the order is that of the long number
+        (valid.orderBy(KEY if shuffle else O.SN).select(*out_cols).write.mode("errorifexists")
          .option("ignoreNullFields", "false").json(f"{path}/data"))
         originals = numbered_src.select(O.SN, F.struct(*[F.col(c) for c in O.user_columns(source)]).alias(SOURCE))
         (invalid.join(originals, O.SN).orderBy(KEY)
@@ -187,9 +189,7 @@ def save_version(spark: SparkSession, source: DataFrame, root: str, dataset: str
             F.sum(F.when(F.size(errors) == 0, F.octet_length(line_of(rows, out_cols)) + 1)).alias("bytes"),
         ).collect()[0]
         codes = dict(rows.select(F.explode(FINDINGS).alias("f")).groupBy("f.code").count().collect())
-        # only the 64-character leaf hashes are ranked, never the lines
-        positioned = O.with_global_position(valid.select(KEY, F.sha2(line, 256).alias("leaf")), [F.col(KEY)], "pos")
-        sha = merkle_fingerprint(positioned, F.col("pos"), F.col("leaf"), hashed=True)
+        sha = content_fingerprint(valid, line)
     except BaseException:
         remove_tree(path)  # a half-written version would block the next attempt
         raise

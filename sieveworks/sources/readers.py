@@ -83,6 +83,19 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return reader.json(path)
 
 
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """JSON lines as variant objects in the one column ``record``: keys may hold
+    values of different kinds from row to row, where ``read_jsonl`` would widen
+    a column to text.  Blank lines are left out; a line that is not a JSON
+    object raises when it is read."""
+    line = F.regexp_replace("value", "^\uFEFF", "")
+    parsed = F.try_parse_json(line)
+    bad = parsed.isNull() | ~F.schema_of_variant(parsed).startswith("OBJECT")
+    record = F.when(bad, F.raise_error(F.concat(F.lit("Not a JSON object: "), F.substring(line, 1, 200)))
+                    .cast("variant")).otherwise(parsed)
+    return spark.read.text(path).filter(F.col("value").rlike(r"\S")).select(record.alias("record"))
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """An array of objects, ``{"data": [...]}`` or one object."""
     df = spark.read.option("multiLine", True).json(path)

@@ -141,7 +141,19 @@ def q_validate_version(spark, sf):
     return spark.createDataFrame([(report["status"], report["row_count"])], "status string, row_count long")
 
 
-@register("content_fingerprint")
+_FINGERPRINT_SQL = (
+    "WITH l AS (SELECT to_json({'text': text})::VARCHAR AS line FROM (" + _FLAGSHIP_SQL + ")), "
+    "c AS (SELECT sha256(line) AS h, count(*) AS n FROM l GROUP BY 1), "
+    "d AS (SELECT CASE WHEN count(*) <= 256 THEN 0 WHEN count(*) <= 65536 THEN 2 END AS digits FROM c), "
+    "b AS (SELECT substring(h, 1, digits) AS bucket, sha256(string_agg(h || ':' || n, ',' ORDER BY h)) AS digest "
+    "FROM c, d GROUP BY 1), "
+    "r AS (SELECT CASE WHEN any_value(digits) = 0 THEN any_value(digest) ELSE "
+    "sha256(string_agg(bucket || ':' || digest, ',' ORDER BY bucket)) END AS sha256 FROM b, d) "
+    "SELECT any_value(sha256) AS sha256, count(*) AS rows, sum(greatest(1, (octet_length(encode(line)) + 1) // 4))::BIGINT "
+    "AS token_estimate, sum(octet_length(encode(line)) + 1)::BIGINT AS output_bytes, 'valid' AS status FROM l, r")
+
+
+@register("content_fingerprint", _FINGERPRINT_SQL)
 def q_content_fingerprint(spark, sf):
     r = _saved_version(spark, sf)
     return spark.createDataFrame([(r.sha256, r.valid_rows, r.token_estimate, r.output_bytes, r.status)],

@@ -51,7 +51,24 @@ def q_ngram_generate(spark, sf):
     return N.ngram_generate(prompts, "text", "item_id", best, order=2, max_new_tokens=30)
 
 
-@register("ngram_sample")
+_SAMPLE_SQL = sql(
+    "WITH RECURSIVE " + _NGRAM_BASE[len("WITH "):] + ", "
+    "c AS (SELECT state, nxt, cnt, sum(cnt) OVER (PARTITION BY state ORDER BY sha256(nxt)) AS upto, "
+    "sum(cnt) OVER (PARTITION BY state) AS total FROM m), "
+    "p AS (SELECT item_id, regexp_extract_all(lower(text), " + _TOK + ") AS tk FROM benchmark), "
+    "u AS (SELECT item_id, step, ('0x' || substring(sha256('42:' || item_id || ':' || step), 1, 13))::BIGINT::DOUBLE "
+    "/ 4503599627370496.0 AS u FROM p, range(30) t(step)), "
+    "gen AS (SELECT item_id, 0 AS step, tk[len(tk) - 1] || chr(31) || tk[len(tk)] AS state, "
+    "CAST([] AS VARCHAR[]) AS out FROM p WHERE len(tk) >= 2 "
+    "UNION ALL SELECT g.item_id, g.step + 1, split_part(g.state, chr(31), 2) || chr(31) || c.nxt, "
+    "list_append(g.out, c.nxt) FROM gen g JOIN u ON u.item_id = g.item_id AND u.step = g.step "
+    "JOIN c ON c.state = g.state AND floor(u.u * c.total) < c.upto AND floor(u.u * c.total) >= c.upto - c.cnt "
+    "WHERE g.step < 30), "
+    "fin AS (SELECT item_id, arg_max(out, step) AS out FROM gen GROUP BY item_id) "
+    "SELECT p.item_id, array_to_string(fin.out, ' ') AS text FROM p LEFT JOIN fin USING (item_id)")
+
+
+@register("ngram_sample", _SAMPLE_SQL)
 def q_ngram_sample(spark, sf):
     d = table(spark, sf, "documents")
     model = N.ngram_fit(d, F.col("text"), F.col("doc_id"), order=2)
@@ -72,7 +89,7 @@ def q_stream_ngram_counts(spark, sf):
 
 _SPLIT_CTE = (
     "b AS (SELECT *, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS rid, "
-    "((l_orderkey * 100 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS ord FROM lineitem), "
+    "row_number() OVER () AS ord FROM lineitem), "
     "r AS (SELECT *, row_number() OVER (ORDER BY sha256('42:' || rid), rid) AS rn, count(*) OVER () AS n FROM b), "
     "tr AS (SELECT * FROM r WHERE rn > greatest(1, least(n - 2, CAST(round_even(n * 0.2, 0) AS BIGINT))))")
 
@@ -80,11 +97,11 @@ _FEATURES = ["l_quantity", "l_discount", "l_returnflag", "l_linestatus"]
 
 
 def _lineitem_rows(spark, sf):
-    li = table(spark, sf, "lineitem")
+    from ..plans.ordering import ORDER, with_source_number
+
+    li = with_source_number(table(spark, sf, "lineitem")).drop(ORDER)
     rid = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
-    ordinal = ((F.col("l_orderkey") * 100 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 10000 \
-        + F.col("l_suppkey")
-    return li.withColumn("rid", rid).withColumn("__sw_sn", ordinal)
+    return li.withColumn("rid", rid)
 
 
 def _num_sql(c: str) -> str:
@@ -136,11 +153,54 @@ def q_tabular_encode(spark, sf):
                        F.round(x[2], 6).alias("e_discount"), hot.alias("hot_returnflag"))
 
 
-@register("ridge_fit")
+def _encoded_sql(features: list[str], numeric: set[str], target: str) -> str:
+    """CTEs up to ``xs`` (lineitem rows, x, y, train): the feature schema of the
+    training rows and the encoded rows."""
+    ctes, parts = [], ["[1.0]"]
+    for i, c in enumerate(features):
+        if c in numeric:
+            ctes.append(f"f{i} AS (SELECT avg({c}) AS m, CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END "
+                        f"AS s FROM tr)")
+            parts.append(f"[({c} - f{i}.m) / f{i}.s]")
+        else:
+            ctes.append(f"f{i} AS (SELECT list(v ORDER BY n DESC, f) AS cats FROM (SELECT {c} AS v, count(*) AS n, "
+                        f"min(ord) AS f FROM tr GROUP BY 1 ORDER BY n DESC, f LIMIT 50))")
+            parts.append(f"list_transform(f{i}.cats, lambda q: (q = {c})::INT::DOUBLE)")
+            parts.append(f"[(NOT list_contains(f{i}.cats, {c}))::INT::DOUBLE]")
+    x = parts[0]
+    for part in parts[1:]:
+        x = f"list_concat({x}, {part})"
+    return (_SPLIT_CTE + ", " + ", ".join(ctes) + f", xs AS (SELECT r.*, {x}::DOUBLE[] AS x, {target} AS y, "
+            "rn > greatest(1, least(n - 2, CAST(round_even(n * 0.2, 0) AS BIGINT))) AS train FROM r, "
+            + ", ".join(f"f{i}" for i in range(len(features))) + ")")
+
+
+def _ridge_sql(name: str, rows: str) -> str:
+    """CTEs up to ``name`` (w DOUBLE[]): the normal equations of ``rows``,
+    solved by elimination."""
+    return (f"{name}_d AS (SELECT max(len(x)) AS d FROM xs), "
+            f"{name}_g AS (SELECT i, j, sum(x[i] * x[j]) + CASE WHEN i = j AND i > 1 THEN 0.001 ELSE 0 END AS v "
+            f"FROM {rows}, {name}_d, range(1, d + 1) a(i), range(1, d + 1) b(j) GROUP BY i, j), "
+            f"{name}_b AS (SELECT i, sum(x[i] * y) AS v FROM {rows}, {name}_d, range(1, d + 1) a(i) GROUP BY i), "
+            f"{name}_r AS (SELECT g.i, list_append(list(g.v ORDER BY j), any_value(b.v)) AS r "
+            f"FROM {name}_g g JOIN {name}_b b ON b.i = g.i GROUP BY g.i), "
+            f"{name}_e AS (SELECT 1 AS k, list(r ORDER BY i) AS m FROM {name}_r UNION ALL SELECT k + 1, "
+            f"list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda v: v / r[k]) "
+            f"ELSE list_transform(r, lambda v, j: v - r[k] * m[k][j] / m[k][k]) END) FROM {name}_e WHERE k <= len(m)), "
+            f"{name} AS (SELECT list_transform(m, lambda r: r[len(r)]) AS w FROM {name}_e ORDER BY k DESC LIMIT 1)")
+
+
+_NUMERIC = {"l_quantity", "l_discount", "l_tax"}
+_RIDGE = "WITH RECURSIVE " + _encoded_sql(_FEATURES, _NUMERIC, "l_extendedprice") + ", " + _ridge_sql("w", "xs")
+
+
+@register("ridge_fit", _RIDGE + " SELECT (i - 1)::INT AS idx, round(w[i], 1) AS weight FROM w, "
+                                "range(1, len(w) + 1) t(i)")
 def q_ridge_fit(spark, sf):
     rows = _lineitem_rows(spark, sf)
     model = TB.fit_tabular(rows, _FEATURES, "l_extendedprice", "regression", id_col="rid")
-    return spark.createDataFrame([(i, round(w, 6)) for i, w in enumerate(model["weights"])], "idx int, weight double")
+    # the flags of a column add up to the intercept: only the penalty fixes their level, to a few digits
+    return spark.createDataFrame([(i, round(w, 1)) for i, w in enumerate(model["weights"])], "idx int, weight double")
 
 
 _ONE_FEATURE = ("WITH " + _SPLIT_CTE + ", s AS (SELECT avg(l_quantity) AS m, CASE WHEN stddev_pop(l_quantity) = 0 THEN 1 "
@@ -172,26 +232,88 @@ def q_tabular_predict_one_feature(spark, sf):
         TB.predict_regression(x, __import__("numpy").array(model["weights"])), 3).alias("prediction"))
 
 
-@register("tabular_fit")
+_LOG_FIT = ("WITH RECURSIVE " + _encoded_sql(_FEATURES, _NUMERIC, "ln(1 + l_extendedprice)") + ", " +
+            _ridge_sql("w", "(SELECT * FROM xs WHERE train)") +
+            ", p AS (SELECT len(w) AS d, l_extendedprice AS truth, exp(list_inner_product(x, w)) - 1 AS pred FROM xs, w "
+            "WHERE NOT train)")
+
+
+@register("tabular_fit", _LOG_FIT + " SELECT max(d)::INT AS dimensions, round(avg(abs(pred - truth)), 3) AS mae, "
+          "round(sqrt(avg((pred - truth) ^ 2)), 3) AS rmse, "
+          "round(1 - sum((pred - truth) ^ 2) / (var_pop(truth) * count(*)), 6) AS r2 FROM p")
 def q_tabular_fit(spark, sf):
     rows = _lineitem_rows(spark, sf)
     model = TB.fit_tabular(rows, _FEATURES, "l_extendedprice", "regression", id_col="rid",
                            target_transform="log1p")
     m = model["metrics"]
-    return spark.createDataFrame([(model["dimensions"], float(m["mae"]), float(m["rmse"]), float(m["r2"]))],
+    return spark.createDataFrame([(model["dimensions"], round(m["mae"], 3), round(m["rmse"], 3), round(m["r2"], 6))],
                                  "dimensions int, mae double, rmse double, r2 double")
 
 
-@register("tabular_predict")
+@register("tabular_predict", _RIDGE + " SELECT l_orderkey, l_linenumber, round(list_inner_product(x, w), 3) AS prediction "
+                                      "FROM xs, w")
 def q_tabular_predict(spark, sf):
-    rows, schema = _fitted_schema(spark, sf)
+    rows = _lineitem_rows(spark, sf)
     model = TB.fit_tabular(rows, _FEATURES, "l_extendedprice", "regression", id_col="rid")
-    x = TB.encode(rows, schema)
+    x = TB.encode(rows, [TB.Feature(**f) for f in model["features"]])
     return rows.select("l_orderkey", "l_linenumber",
-                       F.round(TB.predict_regression(x, __import__("numpy").array(model["weights"])), 4)
+                       F.round(TB.predict_regression(x, __import__("numpy").array(model["weights"])), 3)
                        .alias("prediction"))
 
 
+_CLASS_FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linestatus"]
+
+
+def _descent_sql(name: str, rows: str, steps: int, rate: float = 0.05, penalty: float = 0.001) -> str:
+    """CTEs up to ``name`` (w DOUBLE[][], one list per class): the first steps of
+    full-batch softmax descent from zero weights."""
+    ctes = [f"{name}_l AS (SELECT list(DISTINCT y ORDER BY y) AS labels, max(len(x)) AS d FROM xs)",
+            f"{name}_0 AS (SELECT list_transform(labels, lambda q: list_resize([]::DOUBLE[], d, 0.0)) AS w FROM {name}_l)"]
+    for t in range(steps):
+        old, new = f"{name}_{t}", f"{name}_{t + 1}"
+        ctes.append(f"{new}_s AS (SELECT x, y, list_transform(w, lambda v: list_inner_product(v, x)) AS s "
+                    f"FROM {rows}, {old})")
+        ctes.append(f"{new}_p AS (SELECT x, y, list_transform(s, lambda v: exp(v - list_max(s))) AS e FROM {new}_s)")
+        ctes.append(f"{new}_g AS (SELECT c, i, avg(x[i] * (e[c] / list_sum(e) - (labels[c] = y)::INT)) AS g "
+                    f"FROM {new}_p, {name}_l, range(1, len(labels) + 1) a(c), range(1, d + 1) b(i) GROUP BY c, i)")
+        ctes.append(f"{new} AS (SELECT list(v ORDER BY c) AS w FROM (SELECT c, list(w[c][i] - {rate} * (g + "
+                    f"CASE WHEN i > 1 THEN {penalty} * w[c][i] ELSE 0 END) ORDER BY i) AS v FROM {new}_g, {old} GROUP BY c))")
+    return ", ".join(ctes) + f", {name} AS (SELECT w, labels FROM {name}_{steps}, {name}_l)"
+
+
+_FIRST_STEPS = ("WITH " + _encoded_sql(_CLASS_FEATURES, _NUMERIC, "l_returnflag") + ", " +
+                _descent_sql("w", "xs", 3))
+
+
+def _first_steps(spark, sf):
+    return TB.fit_tabular(_lineitem_rows(spark, sf), _CLASS_FEATURES, "l_returnflag", "classification", id_col="rid",
+                          iterations=3)
+
+
+@register("softmax_first_steps", _FIRST_STEPS + " SELECT labels[c] AS label, (i - 1)::INT AS idx, round(w[c][i], 9) AS "
+          "weight FROM w, range(1, len(labels) + 1) a(c), range(1, len(w[1]) + 1) b(i)")
+def q_softmax_first_steps(spark, sf):
+    """The weights after three steps of the descent that ``softmax_fit`` runs to
+    its end."""
+    model = _first_steps(spark, sf)
+    rows = [(label, i, round(float(row[c]), 9)) for c, label in enumerate(model["labels"])
+            for i, row in enumerate(model["weights"])]
+    return spark.createDataFrame(rows, "label string, idx int, weight double")
+
+
+@register("tabular_classify_first_steps", _FIRST_STEPS + ", s AS (SELECT l_orderkey, l_linenumber, labels, "
+          "list_transform(w, lambda v: list_inner_product(v, x)) AS s FROM xs, w), p AS (SELECT *, "
+          "list_transform(s, lambda v: exp(v - list_max(s))) AS e FROM s) SELECT l_orderkey, l_linenumber, "
+          "labels[list_position(e, list_max(e))] AS label, round(list_max(e) / list_sum(e), 6) AS score FROM p")
+def q_tabular_classify_first_steps(spark, sf):
+    model = _first_steps(spark, sf)
+    rows = _lineitem_rows(spark, sf)
+    x = TB.encode(rows, [TB.Feature(**f) for f in model["features"]])
+    ranked = TB.classify(x, __import__("numpy").array(model["weights"]), model["labels"])
+    return rows.select("l_orderkey", "l_linenumber", ranked[0]["label"].alias("label"),
+                       F.round(ranked[0]["score"], 6).alias("score"))
+
+
 @register("softmax_fit")
 def q_softmax_fit(spark, sf):
     rows = _lineitem_rows(spark, sf)

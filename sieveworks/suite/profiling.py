@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..plans.profile import infer_types, profile_columns, recommend_cleanup
+from ..plans.profile import infer_types, profile_columns, profile_records, recommend_cleanup
 from .common import sql, table
 from .registry import register
 
@@ -23,11 +23,56 @@ def q_profile_columns(spark, sf):
     return profile_columns(table(spark, sf, "conversations")).drop("types")
 
 
-@register("infer_types", "SELECT 'conv_id' AS \"column\", 'integer' AS types UNION ALL SELECT 'turn', 'integer' "
-                         "UNION ALL SELECT 'role', 'string' UNION ALL SELECT 'text', 'string' "
-                         "FROM (SELECT count(*) FROM conversations)")
+def _types_sql(column: str) -> str:
+    kind = (f"CASE WHEN {column} IS NULL THEN 'null' WHEN typeof({column}) IN ('BIGINT', 'INTEGER') THEN 'integer' "
+            f"WHEN typeof({column}) IN ('DOUBLE', 'FLOAT') THEN 'float' ELSE 'string' END")
+    return f"SELECT '{column}' AS \"column\", string_agg(DISTINCT {kind}, ',' ORDER BY {kind}) AS types FROM events"
+
+
+@register("infer_types", " UNION ALL ".join(_types_sql(c) for c in (
+    "event_id", "ts", "user_id", "event_type", "value", "props")))
 def q_infer_types(spark, sf):
-    return infer_types(table(spark, sf, "conversations"))
+    return infer_types(table(spark, sf, "events"))
+
+
+# records whose fields change their kind from row to row; some lack ``late``
+_RECORD = ("'{\"k\": ' || (props::JSON->>'k') || ', \"v\": ' || CASE event_id % 5 WHEN 0 THEN event_id::VARCHAR "
+           "WHEN 1 THEN '\"' || event_type || '\"' WHEN 2 THEN 'true' WHEN 3 THEN '[1]' ELSE props END || "
+           "CASE WHEN event_id % 3 = 0 AND event_id > 10 THEN ', \"late\": ' || "
+           "CASE WHEN event_id % 2 = 0 THEN 'null' ELSE '0.5' END ELSE '' END || '}'")
+_RECORDS_SQL = (
+    f"WITH r AS (SELECT event_id, {_RECORD} AS line, row_number() OVER (ORDER BY event_id) AS sn FROM events), "
+    "f AS (SELECT sn, unnest(json_keys(line)) AS key, line FROM r), "
+    "t AS (SELECT sn, key, json_type(json_extract(line, '$.' || key)) AS t, "
+    "json_extract_string(line, '$.' || key) AS s FROM f), "
+    "k AS (SELECT sn, key, CASE WHEN t IN ('UBIGINT', 'BIGINT') THEN 'integer' WHEN t = 'DOUBLE' THEN 'float' "
+    "WHEN t = 'VARCHAR' THEN 'string' ELSE lower(t) END AS kind, CASE WHEN t = 'VARCHAR' THEN s END AS s FROM t), "
+    "firsts AS (SELECT key, min(sn) AS first_row, (SELECT count(*) FROM r) - min(sn) + 1 - count(*) AS missing FROM k "
+    "GROUP BY key), "
+    "every AS (SELECT key, kind, s FROM k UNION ALL SELECT key, 'null', NULL FROM firsts, range(missing)) "
+    "SELECT key AS \"column\", string_agg(DISTINCT kind, ',' ORDER BY kind) AS types, "
+    "count(*) FILTER (kind = 'null') AS null_count, min(length(s)) AS minimum_text_length, "
+    "max(length(s)) AS maximum_text_length, round(avg(length(s)), 2) AS average_text_length, any_value(first_row) AS "
+    "first_row FROM every JOIN firsts USING (key) GROUP BY key")
+
+
+@register("profile_records", _RECORDS_SQL)
+def q_profile_records(spark, sf):
+    """Fields of mixed kinds, read back from JSON lines."""
+    from ..session import scratch_path
+    from ..sources.readers import read_records
+
+    kind = F.col("event_id") % 5
+    value = (F.when(kind == 0, F.col("event_id").cast("string")).when(kind == 1, F.concat(F.lit('"'), "event_type", F.lit('"')))
+             .when(kind == 2, "true").when(kind == 3, "[1]").otherwise(F.col("props")))
+    late = F.when((F.col("event_id") % 3 == 0) & (F.col("event_id") > 10), F.concat(
+        F.lit(', "late": '), F.when(F.col("event_id") % 2 == 0, "null").otherwise("0.5"))).otherwise("")
+    line = F.concat(F.lit('{"k": '), F.get_json_object("props", "$.k"), F.lit(', "v": '), value, late, F.lit("}"))
+    path = scratch_path(spark, "records")
+    table(spark, sf, "events").orderBy("event_id").select(line.alias("value")).write.text(path)
+    found = profile_records(read_records(spark, path))
+    return found.select("column", F.array_join("types", ",").alias("types"), "null_count", "minimum_text_length",
+                        "maximum_text_length", "average_text_length", "first_row")
 
 
 def _rule(operation: str | None, title: str, severity: str, found: str, affected: str = "CAST(NULL AS BIGINT)") -> str:
