@@ -34,12 +34,13 @@ from pyspark.sql import types as T
 
 from .frames import arrow_append, slices, spark_schema_with
 
-#: What a Python worker remembers between texts: pieces, byte prefixes and
-#: token pairs.  These bound memory only; a full table is emptied and results
-#: do not depend on it.
-PIECES_REMEMBERED = 500_000
-PREFIXES_REMEMBERED = 700_000
-PAIRS_REMEMBERED = 1_500_000
+#: What a task remembers between texts, in bytes: pieces, byte prefixes and token
+#: pairs (a pair is always the same size).  These bound memory only; a full table
+#: is emptied and results do not depend on it.  The tables end with the task.
+PIECES_BYTES = 32 << 20
+PREFIXES_BYTES = 32 << 20
+PAIRS_REMEMBERED = 200_000
+ENTRY_BYTES = 160   # of a dictionary entry and its two objects, besides their contents
 #: Longer pieces get a table of their own each time they occur.
 PIECE_TO_REMEMBER = 48
 
@@ -125,6 +126,10 @@ class Vocabulary:
                 # so would a merge of the border at the same rank
                 until, y = y + 1, py[0]
 
+    def forget(self) -> None:
+        """Drop what was learned from texts."""
+        self._pairs.clear()
+
     def pair(self, left: int, right: int) -> bool:
         key = left << 32 | right
         known = self._pairs.get(key)
@@ -263,6 +268,7 @@ class SharedPrefixes:
                       if token not in vocabulary.usable}
         self.known: dict[bytes, bytes] = {}
         self.pairs: dict[bytes, bool] = {}
+        self.held = 0
 
     def _pair(self, key: bytes) -> bool:
         if len(self.pairs) >= PAIRS_REMEMBERED:
@@ -275,8 +281,9 @@ class SharedPrefixes:
         if piece in self.whole:
             return self.whole[piece]
         known, tokens, sizes, pairs = self.known, self.code_of.get, self.vocabulary.sizes_by_end, self.pairs.get
-        if len(known) >= PREFIXES_REMEMBERED:
+        if self.held > PREFIXES_BYTES:
             known.clear()
+            self.held = 0
         at = len(piece)
         while at and piece[:at] not in known:
             at -= 1
@@ -299,6 +306,7 @@ class SharedPrefixes:
                     token = before + token
                     break
             known[piece[:i]] = token
+            self.held += ENTRY_BYTES + i + len(token)
         return known[piece]
 
 
@@ -310,6 +318,7 @@ class Codec:
         self.split = splitter(pattern)
         self.prefixes = SharedPrefixes(vocabulary)
         self._remembered: dict[str, bytes] = {}
+        self._held = 0
 
     def _long(self, piece: bytes) -> bytes:
         whole = self.vocabulary.ranks.get(piece)
@@ -328,9 +337,11 @@ class Codec:
                     if len(data) > PIECE_TO_REMEMBER:
                         code = self._long(data)
                     else:
-                        if len(known) >= PIECES_REMEMBERED:
+                        if self._held > PIECES_BYTES:
                             known.clear()
+                            self._held = 0
                         code = known[piece] = self.prefixes.code(data)
+                        self._held += ENTRY_BYTES + 2 * len(piece) + len(code)
                 out[at] = code
         return np.frombuffer(b"".join(out), dtype="<i4")
 
@@ -338,15 +349,23 @@ class Codec:
         return b"".join(map(self.vocabulary.bytes_of.__getitem__, ids))
 
 
-#: One codec per Python worker: what it remembers serves later tasks as well.
+#: Of a Python worker: the vocabulary, whose size is that of the rank file.  What
+#: is remembered of texts belongs to the task's codec.
 _WORKER: dict[str, object] = {}
 
 
-def _codec(ranks: Broadcast, pattern: str) -> Codec:
+def _vocabulary(ranks: Broadcast) -> Vocabulary:
+    table = ranks.value
+    if _WORKER.get("ranks") != table:
+        _WORKER.update(ranks=table, vocabulary=Vocabulary(table))
+    return _WORKER["vocabulary"]
+
+
+def _bytes_of(ranks: Broadcast) -> dict[int, bytes]:
     table = ranks.value
-    if _WORKER.get("pattern") != pattern or _WORKER.get("ranks") != table:
-        _WORKER.update(pattern=pattern, ranks=table, codec=Codec(Vocabulary(table), pattern))
-    return _WORKER["codec"]
+    if _WORKER.get("decoded") != table:
+        _WORKER.update(decoded=table, bytes_of={rank: token for token, rank in table.items()})
+    return _WORKER["bytes_of"]
 
 
 def share_ranks(spark: SparkSession, path: str) -> Broadcast:
@@ -365,13 +384,15 @@ def encode(df: DataFrame, ranks: Broadcast, pattern: str, text_col: str = "text"
     kept = df.columns if keep is None else keep
 
     def run(batches):
-        codec = _codec(ranks, pattern)
+        vocabulary = _vocabulary(ranks)
+        codec = Codec(vocabulary, pattern)
         for batch in slices(batches):
             codes = [codec.encode(t) if t else np.empty(0, "<i4") for t in batch.column(text_col).to_pylist()]
             offsets = np.zeros(len(codes) + 1, dtype=np.int32)
             np.cumsum([len(c) for c in codes], out=offsets[1:])
             values = pa.array(np.concatenate(codes) if codes else np.empty(0, "<i4"))
             yield arrow_append(batch.select(kept), [(ids_col, pa.ListArray.from_arrays(pa.array(offsets), values))])
+        vocabulary.forget()
 
     return df.mapInArrow(run, spark_schema_with(df.select(*kept), [(ids_col, T.ArrayType(T.IntegerType()))]))
 
@@ -379,7 +400,7 @@ def encode(df: DataFrame, ranks: Broadcast, pattern: str, text_col: str = "text"
 def decode(df: DataFrame, ranks: Broadcast, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Adds ``out_col`` (binary): the bytes that the ids stand for."""
     def run(batches):
-        bytes_of = {rank: token for token, rank in ranks.value.items()}.__getitem__
+        bytes_of = _bytes_of(ranks).__getitem__
         for batch in slices(batches):
             out = [b"".join(map(bytes_of, ids)) if ids else b"" for ids in batch.column(ids_col).to_pylist()]
             yield arrow_append(batch, [(out_col, pa.array(out, pa.binary()))])

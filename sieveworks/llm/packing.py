@@ -183,7 +183,10 @@ class Pieces(dict):
         self.tokens_of, self.held, self.passing = tokens_of, 0, []
 
     def __missing__(self, piece: str) -> bytes:
-        letters = piece.encode().decode("latin-1").translate(BYTE_LETTERS)
+        if piece.isascii() and piece.isprintable():   # a blank is the only one of these that is written otherwise
+            letters = piece.replace(" ", BYTE_LETTERS[0x20])
+        else:
+            letters = piece.encode().decode("latin-1").translate(BYTE_LETTERS)
         code = self[piece] = _packed_ids([token.id for token in self.tokens_of(letters)])
         if len(piece) > PIECE_TO_REMEMBER:
             self.passing.append(piece)

@@ -335,19 +335,17 @@ def score(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
     from ``docs``.
     """
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(fit_char_model(docs, text_col))
-
+    kept = docs.columns if keep is None else keep
     train, n1, n0 = labelled_texts(docs, labelled, id_col, text_col, label_col, "toxicity-labels")
-    if n1 and n0:
-        index = {f: i for i, f in enumerate(_evidence(train, model, n1, n0))}
-        weights, bias = _fit(train, model, index, n1 + n0)
-    else:
+    if not (n1 and n0):   # nothing to tell apart: the share of the one label there is
         share = n1 / (n1 + n0) if n1 + n0 else 0.0
-        index, weights, bias = {}, [], (np.inf if share == 1 else -np.inf)
+        others = [c for c in kept if c.lower() not in {n.lower() for n in names}]
+        return docs.select(*others, F.lit(share).alias(names[0]), F.lit(int(share >= 0.5)).alias(names[1]))
+    model = spark.sparkContext.broadcast(fit_char_model(docs, text_col))
+    index = {f: i for i, f in enumerate(_evidence(train, model, n1, n0))}
+    weights, bias = _fit(train, model, index, n1 + n0)
     table = spark.sparkContext.broadcast({f: float(weights[i]) for f, i in index.items()})   # FEATURES entries
 
-    kept = docs.columns if keep is None else keep
-
     def run(batches):
         restorer = Restorer(model.value)
         value = table.value
