@@ -238,6 +238,16 @@ def q_stream_pipeline(spark, sf):
     return ST.stream_pipeline(spark, _glob(sf, "documents"), schema, ops, dedupe_on=["text"])
 
 
+@register("stream_pipeline_watermark", "SELECT DISTINCT user_id, event_type FROM events WHERE event_type <> 'error'")
+def q_stream_pipeline_watermark(spark, sf):
+    """Kinds of events by user, each once within the watermark's span: the
+    given table is one micro-batch, which has no watermark before it."""
+    schema = table(spark, sf, "events").schema
+    ops = [{"type": "filter_regex", "config": {"field": "event_type", "pattern": "^error$", "exclude": True}}]
+    return ST.stream_pipeline(spark, _glob(sf, "events"), schema, ops, dedupe_on=["user_id", "event_type"],
+                              within=("ts", "1 day")).select("user_id", "event_type")
+
+
 @register("stream_event_tail", "SELECT event_id, event_type, value FROM events")
 def q_stream_event_tail(spark, sf):
     path = scratch_path(spark, "events-log")
@@ -275,13 +285,16 @@ def _job_state(spark, sf):
     return ST.stream_job_state(updates)
 
 
-@register("stream_toggle_state", "WITH c AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'click' THEN 'up' "
+_TOGGLE_SQL = ("WITH c AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'click' THEN 'up' "
           "ELSE 'down' END AS v FROM events WHERE event_type IN ('click', 'view')), r AS (SELECT *, row_number() "
           "OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn, count(*) OVER (PARTITION BY user_id) "
           "AS n FROM c), last AS (SELECT user_id, v AS lv, n FROM r WHERE rn = 1), brk AS (SELECT r.user_id, "
           "min(r.rn) AS first_other FROM r JOIN last USING (user_id) WHERE r.v <> last.lv GROUP BY r.user_id) "
           "SELECT last.user_id, last.lv AS state FROM last LEFT JOIN brk USING (user_id) "
           "WHERE (coalesce(brk.first_other - 1, last.n)) % 2 = 1")
+
+
+@register("stream_toggle_state", _TOGGLE_SQL)
 def q_stream_toggle_state(spark, sf):
     schema = table(spark, sf, "events").schema
     stream = (spark.readStream.schema(schema).parquet(_glob(sf, "events"))
@@ -289,3 +302,14 @@ def q_stream_toggle_state(spark, sf):
               .select("user_id", "ts", "event_id", F.when(F.col("event_type") == "click", "up").otherwise("down")
                       .alias("v")))
     return ST.stream_toggle(stream)
+
+
+@register("stream_toggle_ordered", _TOGGLE_SQL)
+def q_stream_toggle_ordered(spark, sf):
+    """The toggles with clicks put into time order across micro-batches."""
+    schema = table(spark, sf, "events").schema
+    stream = (spark.readStream.schema(schema).parquet(_glob(sf, "events"))
+              .filter(F.col("event_type").isin("click", "view"))
+              .select("user_id", "ts", "event_id", F.when(F.col("event_type") == "click", "up").otherwise("down")
+                      .alias("v")))
+    return ST.stream_toggle_ordered(stream, "1 hour")
