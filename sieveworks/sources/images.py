@@ -1,102 +1,61 @@
-"""Image folders and archives: writing (from vectors), decoding, statistics.
+"""Image folders and archives: decoding, resampling, statistics.
 
 Decoding uses Spark's JVM ``image`` data source (ImageIO; BGR byte order,
-``height = -1`` for undecodable files); pixels are converted, resized and
-scaled to ``[0, 1]`` by a pandas UDF in Arrow batches.  Writers run inside
-the tasks and write through pyarrow's filesystem layer below a shared path.
+``height = -1`` for undecodable files); pixels are converted, resized
+bicubically and scaled to ``[0, 1]`` by a pandas UDF in Arrow batches.
 """
 
 from __future__ import annotations
 
 import hashlib
-import io
-import struct
-import zipfile
-import zlib
+from functools import lru_cache
 from typing import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def png_gray(pixels: np.ndarray) -> bytes:
-    """Encode a 2-D uint8 array as an 8-bit grayscale PNG."""
-    h, w = pixels.shape
-    raw = b"".join(b"\x00" + pixels[r].astype(np.uint8).tobytes() for r in range(h))
+FIXED_BITS = 22   # digits behind the point of the resampling weights, as 8-bit images are resampled
 
-    def chunk(kind: bytes, data: bytes) -> bytes:
-        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data) & 0xFFFFFFFF)
 
-    return (b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0))
-            + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
+def bicubic(x: np.ndarray) -> np.ndarray:
+    """The cubic convolution kernel with a = -1/2, of support 2."""
+    x = np.abs(x)
+    near = 1.5 * x ** 3 - 2.5 * x ** 2 + 1
+    far = -0.5 * x ** 3 + 2.5 * x ** 2 - 4 * x + 2
+    return np.where(x < 1, near, np.where(x < 2, far, 0.0))
 
 
-def quantize(vector: Column, lo: float, hi: float) -> Column:
-    """``floor(clamp((x - lo) / (hi - lo), 0, 1) · 255 + 0.5)`` per element."""
-    span = float(hi - lo)
-    return F.transform(vector, lambda x: F.floor(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (x - lo) / span)) * 255
-                                                 + 0.5).cast("int"))
+@lru_cache(maxsize=256)
+def resampling_weights(size: int, target: int) -> np.ndarray:
+    """(target x size) fixed-point weights of one axis.  When the axis shrinks,
+    the kernel widens by as much, so every source pixel counts."""
+    scale = size / target
+    wide = max(scale, 1.0)
+    center = (np.arange(target)[:, None] + 0.5) * scale
+    first = np.maximum(0, np.trunc(center - 2 * wide + 0.5))
+    last = np.minimum(size, np.trunc(center + 2 * wide + 0.5))
+    at = np.arange(size)[None, :]
+    weights = np.where((at >= first) & (at < last), bicubic((at - center + 0.5) / wide), 0.0)
+    weights /= weights.sum(axis=1, keepdims=True)
+    return np.trunc(weights * (1 << FIXED_BITS) + np.copysign(0.5, weights)).astype(np.int64)
 
 
-def _fs(path: str):
-    from ..sinks.files import filesystem_for
+def resize_bicubic(img: np.ndarray, width: int, height: int) -> np.ndarray:
+    """(h, w, channels) of 8 bits to (height, width, channels): one matrix
+    product per axis, across and then down, each rounded to 8 bits."""
+    def rounded(sums: np.ndarray) -> np.ndarray:
+        return np.clip((sums + (1 << FIXED_BITS - 1)) >> FIXED_BITS, 0, 255)
 
-    return filesystem_for(path)
-
-
-def write_image_folders(df: DataFrame, out_dir: str, id_col: str, label_col: str, pixels_col: str,
-                        width: int, height: int) -> DataFrame:
-    """One PNG per row at ``out_dir/<label>/<id>.png``; returns the written paths."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        filesystem, base = _fs(out_dir)
-        made: set[str] = set()
-        for pdf in batches:
-            paths = []
-            for ident, label, px in zip(pdf[id_col], pdf[label_col], pdf[pixels_col]):
-                folder = f"{base}/{label}"
-                if folder not in made:
-                    filesystem.create_dir(folder, recursive=True)
-                    made.add(folder)
-                p = f"{folder}/{ident}.png"
-                with filesystem.open_output_stream(p) as out:
-                    out.write(png_gray(np.asarray(px, dtype=np.uint8).reshape(height, width)))
-                paths.append(p)
-            yield pd.DataFrame({"path": paths})
-    return df.select(id_col, label_col, pixels_col).mapInPandas(run, "path string")
-
-
-def write_image_archives(df: DataFrame, out_dir: str, id_col: str, label_col: str, pixels_col: str,
-                         width: int, height: int) -> DataFrame:
-    """One ZIP per task with members ``<label>/<id>.png``; returns archive paths."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        from ..sinks.files import write_once
-
-        buf = io.BytesIO()
-        n = 0
-        with zipfile.ZipFile(buf, "w", zipfile.ZIP_STORED) as zf:
-            for pdf in batches:
-                for ident, label, px in zip(pdf[id_col], pdf[label_col], pdf[pixels_col]):
-                    zf.writestr(f"{label}/{ident}.png", png_gray(np.asarray(px, dtype=np.uint8).reshape(height, width)))
-                    n += 1
-        if n:
-            p = f"{out_dir.rstrip('/')}/part-{TaskContext.get().partitionId():05d}.zip"
-            write_once(p, [buf.getvalue()])
-            yield pd.DataFrame({"path": [p]})
-    return df.select(id_col, label_col, pixels_col).mapInPandas(run, "path string")
-
-
-def _resize_nearest(img: np.ndarray, width: int, height: int) -> np.ndarray:
-    h, w = img.shape[:2]
-    if (h, w) == (height, width):
-        return img
-    rows = np.minimum((np.arange(height) + 0.5) * h / height, h - 1).astype(int)
-    cols = np.minimum((np.arange(width) + 0.5) * w / width, w - 1).astype(int)
-    return img[rows][:, cols]
+    img = img.astype(np.int64)
+    if img.shape[1] != width:
+        img = rounded(np.einsum("ow,hwc->hoc", resampling_weights(img.shape[1], width), img, optimize=True))
+    if img.shape[0] != height:
+        img = rounded(np.einsum("oh,hwc->owc", resampling_weights(img.shape[0], height), img, optimize=True))
+    return img
 
 
 def _pixels_udf(width: int, height: int, mode: str):
@@ -107,15 +66,16 @@ def _pixels_udf(width: int, height: int, mode: str):
             if hh is None or hh <= 0 or buf is None:
                 out.append(None)
                 continue
-            img = np.frombuffer(buf, dtype=np.uint8).reshape(int(hh), int(ww), int(cc)).astype(np.float64)
+            img = np.frombuffer(buf, dtype=np.uint8).reshape(int(hh), int(ww), int(cc)).astype(np.int64)
             if cc >= 3:  # BGR(A) from the JVM decoder
                 b, g, r = img[..., 0], img[..., 1], img[..., 2]
+                # luma of ITU-R 601 in 16-bit fixed point
                 img = (np.stack([r, g, b], axis=-1) if mode == "rgb"
-                       else (r * 299 + g * 587 + b * 114)[..., None] / 1000.0)
+                       else ((r * 19595 + g * 38470 + b * 7471 + 0x8000) >> 16)[..., None])
             elif mode == "rgb":
                 img = np.repeat(img, 3, axis=-1)
-            img = _resize_nearest(np.floor(img + 0.0), width, height)
-            out.append((img.reshape(-1) / 255.0).astype(np.float32))
+            img = resize_bicubic(img, width, height)
+            out.append(img.reshape(-1).astype(np.float32) / np.float32(255))
         return pd.Series(out)
     return to_vector
 

@@ -145,3 +145,38 @@ def test_fingerprint_follows_updates_by_bucket(spark):
     after = FP.update_buckets(buckets, counts, change, 2)
     assert FP.fingerprint_root(after, 2) == FP.content_fingerprint(now, F.col("line"), 2)
     assert after.agg(F.sum("lines")).first()[0] == 509
+
+
+def looped_resize(img, width, height):
+    """Bicubic resampling pixel by pixel, across and then down."""
+    def kernel(x):
+        x = abs(x)
+        return 1.5 * x ** 3 - 2.5 * x ** 2 + 1 if x < 1 else -0.5 * x ** 3 + 2.5 * x ** 2 - 4 * x + 2 if x < 2 else 0
+
+    def axis(line, target):
+        out, scale = [], len(line) / target
+        wide = max(scale, 1.0)
+        for o in range(target):
+            center = (o + 0.5) * scale
+            at = range(max(0, int(center - 2 * wide + 0.5)), min(len(line), int(center + 2 * wide + 0.5)))
+            w = [kernel((i - center + 0.5) / wide) for i in at]
+            k = [int(x / sum(w) * 2 ** 22 + (0.5 if x >= 0 else -0.5)) for x in w]
+            out.append(min(255, max(0, (sum(a * line[i] for a, i in zip(k, at)) + 2 ** 21) >> 22)))
+        return out
+    rows = [axis(r, width) for r in img] if len(img[0]) != width else img
+    columns = [axis(c, height) for c in zip(*rows)] if len(rows) != height else list(zip(*rows))
+    return [list(r) for r in zip(*columns)]
+
+
+@pytest.mark.parametrize("size", [(7, 5, 3, 9), (13, 4, 4, 4), (1, 1, 6, 5), (9, 17, 2, 1), (16, 16, 16, 16), (3, 31, 31, 3)])
+def test_bicubic_equals_a_double_loop(size):
+    import numpy as np
+
+    from sieveworks.sources.images import resize_bicubic
+
+    h, w, width, height = size
+    img = np.random.default_rng(h * w).integers(0, 256, (h, w, 3))
+    img[0, 0] = [0, 255, 255]
+    got = resize_bicubic(img.astype(np.uint8), width, height)
+    for c in range(3):
+        assert got[..., c].tolist() == looped_resize(img[..., c].tolist(), width, height)
