@@ -24,6 +24,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,8 @@ from .frames import arrow_append, slices, spark_schema_with
 #: What a task remembers between texts, in bytes: pieces, byte prefixes and token
 #: pairs (a pair is always the same size).  These bound memory only; a full table
 #: is emptied and results do not depend on it.  The tables end with the task.
-PIECES_BYTES = 32 << 20
-PREFIXES_BYTES = 32 << 20
+PIECES_BYTES = 64 << 20
+PREFIXES_BYTES = 64 << 20
 PAIRS_REMEMBERED = 200_000
 ENTRY_BYTES = 160   # of a dictionary entry and its two objects, besides their contents
 #: Longer pieces get a table of their own each time they occur.
@@ -87,6 +88,9 @@ class Vocabulary:
             self.sizes_by_end[end] = tuple(sorted(found, reverse=True))
         self.longest = max(map(len, self.usable))
         self._pairs.clear()
+        # ids as little-endian bytes: of the tokens that encode to themselves, and of the others
+        self.code_of = {token: rank.to_bytes(4, "little") for token, rank in self.usable.items()}
+        self.whole = {token: rank.to_bytes(4, "little") for token, rank in ranks.items() if token not in self.usable}
 
     def _halves(self, token: bytes, rank: int) -> tuple[int, int] | None:
         """The pair that merges into ``token`` last, if its own bytes do."""
@@ -229,6 +233,7 @@ def _members(escape: str) -> str:
     return "".join(out)
 
 
+@lru_cache(maxsize=8)
 def splitter(pattern: str):
     """``findall`` of a splitting pattern.  Patterns of plain syntax and the
     classes above also get a form for the ``re`` module, which is much quicker
@@ -263,9 +268,7 @@ class SharedPrefixes:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.code_of = {token: rank.to_bytes(4, "little") for token, rank in vocabulary.usable.items()}
-        self.whole = {token: rank.to_bytes(4, "little") for token, rank in vocabulary.ranks.items()
-                      if token not in vocabulary.usable}
+        self.code_of, self.whole = vocabulary.code_of, vocabulary.whole
         self.known: dict[bytes, bytes] = {}
         self.pairs: dict[bytes, bool] = {}
         self.held = 0
