@@ -122,7 +122,9 @@ def stream_pipeline(spark: SparkSession, source_glob: str, schema: str, operatio
         digest = F.sha2(F.to_json(F.struct(*[F.col(c) for c in dedupe_on])), 256)
         out = out.withColumn("__sw_h", digest)
         if within:
-            out = out.withWatermark(*within).dropDuplicatesWithinWatermark(["__sw_h"])
+            # the event time may be a timestamp without zone, which has no watermark
+            out = (out.withColumn("__sw_time", F.col(within[0]).cast("timestamp")).withWatermark("__sw_time", within[1])
+                   .dropDuplicatesWithinWatermark(["__sw_h"]).drop("__sw_time"))
         else:
             out = out.dropDuplicates(["__sw_h"])
         out = out.drop("__sw_h")
@@ -279,7 +281,9 @@ def stream_toggle_ordered(clicks: DataFrame, lateness: str, state: str | None =
     clicks = clicks.filter("ts IS NOT NULL")   # a click without a time has no place in the order
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        timed = clicks.select("user_id", "ts", "event_id", "v", F.unix_micros("ts").alias("us")).withWatermark("ts", lateness)
+        time = F.col("ts").cast("timestamp")
+        timed = (clicks.select("user_id", time.alias("ts"), "event_id", "v", F.unix_micros(time).alias("us"))
+                 .withWatermark("ts", lateness))
         folds = timed.groupBy("user_id").transformWithStateInPandas(ToggleFold(), _FOLD_OUT, "Update", "EventTime")
         latest = _run_updates(folds, "toggle-ordered", ["user_id"], state)
     finally:
