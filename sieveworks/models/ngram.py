@@ -60,9 +60,11 @@ def ngram_fit(df: DataFrame, text: Column, doc: Column, order: int = 2, pattern:
 
 
 def ngram_next(model: DataFrame) -> DataFrame:
-    """Most frequent next token per state; ties go to the transition seen first."""
-    key = F.struct(F.col("cnt"), (-F.col("first_doc")).alias("d"), (-F.col("first_pos")).alias("p"))
-    return model.groupBy("state").agg(F.max_by("next", key).alias("next"), F.max("cnt").alias("cnt"))
+    """Most frequent next token per state; ties go to the transition seen first.
+    One maximum over a struct that carries the token: half the time of a
+    ``max_by`` beside a maximum."""
+    best = F.struct("cnt", (-F.col("first_doc")).alias("d"), (-F.col("first_pos")).alias("p"), "next")
+    return model.groupBy("state").agg(F.max(best).alias("b")).select("state", "b.next", "b.cnt")
 
 
 def prompt_state(prompt: Column, order: int, pattern: str = R.TOKEN_PY, lowercase: bool = True) -> Column:
@@ -80,35 +82,37 @@ def _sent_whole(table: DataFrame, size: Column, most: int) -> DataFrame:
     return F.broadcast(table) if total <= most else table
 
 
-def jump_tables(best: DataFrame, order: int, steps: int) -> dict[int, DataFrame]:
-    """Pointer doubling over the best-next table, which is a function on
-    states: for each power of two that ``steps`` is made of, a stored table
-    ``(__sw_s, __sw_to, __sw_words)`` of the state reached by so many steps and
-    the tokens on the way.
-
-    A jump of 2n steps is a jump of n steps followed by the jump of n steps
-    from where it ended; a jump that meets a state without successor ends there
-    with a null target.  The tables are built with one self-join per doubling
-    and written, so that no plan holds more than one of them."""
+def single_jumps(best: DataFrame, order: int) -> DataFrame:
+    """The best-next table as a function on states, ``(__sw_s, __sw_to,
+    __sw_words)``: the state that a step leads to and its token."""
     from ..session import materialize
 
     shifted = F.array_join(F.slice(F.concat(F.split("state", SEP, -1), F.array("next")), 2, order), SEP)
-    table = materialize(best.select(F.col("state").alias("__sw_s"), shifted.alias("__sw_to"),
-                                    F.col("next").alias("__sw_words")), "ngram-jump-1")
-    out, size = {}, 1
-    while True:
-        if steps & size:
-            out[size] = table
-        size *= 2
-        if size > steps:
-            return out
-        onward = table.select(F.col("__sw_s").alias("__sw_s2"), F.col("__sw_to").alias("__sw_to2"),
-                              F.col("__sw_words").alias("__sw_words2"))
-        ended = F.concat(F.lit(SEP), F.col("__sw_s"))   # no state starts with the separator
-        both = table.join(onward, F.coalesce("__sw_to", ended) == F.col("__sw_s2"), "left")
-        table = materialize(both.select("__sw_s", F.col("__sw_to2").alias("__sw_to"),
-                                        F.concat_ws(" ", "__sw_words", "__sw_words2").alias("__sw_words")),
-                            f"ngram-jump-{size}")
+    return materialize(best.select(F.col("state").alias("__sw_s"), shifted.alias("__sw_to"),
+                                   F.col("next").alias("__sw_words")), "ngram-jumps")
+
+
+def doubled_jumps(table: DataFrame) -> DataFrame:
+    """Jumps twice as long: each one followed by the jump from where it ended.
+    One that meets a state without successor ends there, with a null target."""
+    from ..session import materialize
+
+    onward = table.select(F.col("__sw_s").alias("__sw_s2"), F.col("__sw_to").alias("__sw_to2"),
+                          F.col("__sw_words").alias("__sw_words2"))
+    ended = F.concat(F.lit(SEP), F.col("__sw_s"))   # no state starts with the separator
+    both = table.join(onward, F.coalesce("__sw_to", ended) == F.col("__sw_s2"), "left")
+    return materialize(both.select("__sw_s", F.col("__sw_to2").alias("__sw_to"),
+                                   F.concat_ws(" ", "__sw_words", "__sw_words2").alias("__sw_words")), "ngram-jumps")
+
+
+def reached_jumps(table: DataFrame) -> DataFrame:
+    """The jumps from states that some jump leads to.  Whoever has taken a jump
+    needs no others, and their targets are among them, so the table shrinks
+    towards the cycles that all walks end in."""
+    from ..session import materialize
+
+    reached = table.select(F.col("__sw_to").alias("__sw_at")).filter("__sw_at IS NOT NULL").distinct()
+    return materialize(table.join(reached, F.col("__sw_s") == F.col("__sw_at"), "left_semi"), "ngram-jumps")
 
 
 def ngram_generate(prompts: DataFrame, prompt: str, key: str, best: DataFrame, order: int = 2,
@@ -117,21 +121,34 @@ def ngram_generate(prompts: DataFrame, prompt: str, key: str, best: DataFrame, o
     """Greedy generation for every prompt: ``(key, text)``; prompts shorter
     than ``order`` tokens give a null text (the reference rejects them).
 
-    Prompts take the jumps of ``jump_tables``, the longest first: one join per
-    binary digit of ``max_new_tokens``.  A jump table is broadcast only when
-    its counted bytes are at most ``max_broadcast_bytes``; otherwise both
-    sides are hash-partitioned.  A prompt whose state has no successor keeps a
-    null state and stops growing; null states are spread by the prompt's key,
-    so that finished prompts do not meet in one partition."""
+    Pointer doubling: the prompts take one step, and then, for each binary
+    digit of the steps that are left, one jump of that many.  Jump tables are
+    doubled by a self-join, kept to the states that the prompts can stand at,
+    and written, so that the plan holds one join per jump that the prompts take.
+    A table is broadcast only when its counted bytes are at most
+    ``max_broadcast_bytes``; otherwise both sides are hash-partitioned.  A
+    prompt whose state has no successor keeps a null state and stops growing;
+    null states are spread by the prompt's key, so that finished prompts do
+    not meet in one partition."""
     cur = prompts.select(F.col(key).alias("__sw_k"), prompt_state(F.col(prompt), order, pattern, lowercase)
                          .alias("__sw_state"), F.lit("").alias("__sw_out"),
                          F.size(tokens(F.col(prompt), pattern, lowercase)).alias("__sw_ntok"))
-    for _, table in sorted(jump_tables(best, order, max_new_tokens).items(), reverse=True):
+
+    def moved(cur: DataFrame, table: DataFrame) -> DataFrame:
         size = F.octet_length("__sw_s") + F.octet_length("__sw_words") + F.coalesce(F.octet_length("__sw_to"), F.lit(0))
         table = _sent_whole(table, size, max_broadcast_bytes)
         j = cur.join(table, _spread_null(cur) == table["__sw_s"], "left")
         words = F.concat_ws(" ", F.nullif("__sw_out", F.lit("")), "__sw_words")
-        cur = j.select("__sw_k", F.col("__sw_to").alias("__sw_state"), words.alias("__sw_out"), "__sw_ntok")
+        return j.select("__sw_k", F.col("__sw_to").alias("__sw_state"), words.alias("__sw_out"), "__sw_ntok")
+
+    if max_new_tokens > 0:
+        table = single_jumps(best, order)
+        cur, left = moved(cur, table), max_new_tokens - 1
+        while left:
+            table = reached_jumps(table)
+            while not left & 1:
+                table, left = doubled_jumps(table), left >> 1
+            cur, left = moved(cur, table), left - 1
     return cur.select(F.col("__sw_k").alias(key), F.when(F.col("__sw_ntok") >= order, F.col("__sw_out")).alias("text"))
 
 
@@ -148,41 +165,44 @@ def uniform(seed: int, key: Column, step: Column) -> Column:
 
 
 INLINE_SUCCESSORS = 1024   # a state with more is split into buckets
-BUCKET_DIGITS = 3          # hex digits of a token's digest: up to 4096 buckets a state
+BUCKETS = 4096             # of a state at most
 
 
 def ngram_sample_tables(model: DataFrame, inline: int = INLINE_SUCCESSORS) -> tuple[DataFrame, DataFrame]:
-    """``(states, buckets)`` for weighted draws.
-
-    A state's successors stand in the order of their SHA-256 and fall into
-    buckets by the digest's first digits.  ``states`` has one row per state:
-    the total and the (next, cnt) options of a state with at most ``inline``
-    successors, or the (bucket, cnt) totals of one with more.  ``buckets`` has
-    the options of the latter, one row per (state, bucket).  So a row never
-    holds more than ``inline`` options, 4096 totals, or one bucket's options
-    (a 4096th of a state's distinct successors)."""
-    digest = F.sha2(F.col("next"), 256)
-    per = (model.select("state", "next", "cnt", digest.alias("h"))
-           .withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS))
-           .groupBy("state", "bucket").agg(F.array_sort(F.collect_list(F.struct("h", "next", "cnt"))).alias("o"),
-                                           F.sum("cnt").alias("cnt"), F.count(F.lit(1)).alias("n")))
-    from pyspark.sql import Window
-
+    """``(states, buckets)`` for weighted draws; options stand in the order in
+    which they were first seen.
+
+    ``states`` has one row per state: the total and the (next, cnt) options of a
+    state with at most ``inline`` successors, or the (bucket, cnt) totals of one
+    with more.  ``buckets`` has the options of the latter, one row per (state,
+    bucket): consecutive successors, ``inline`` of them or a 4096th of all.
+    Only successors of such states are ranked, by one range shuffle of them
+    all, so a hot state is never in one row, one window or one task."""
+    from ..plans.ordering import with_global_position
     from ..session import materialize
 
-    # at most 4096 rows to a state here
-    per = materialize(per.withColumn("successors", F.sum("n").over(Window.partitionBy("state"))), "ngram-buckets")
-    small = F.col("successors") <= inline
-    ordered = F.array_sort(F.collect_list(F.struct("bucket", "cnt", F.when(small, F.col("o")).alias("o"))))
-    states = per.groupBy("state").agg(F.sum("cnt").alias("total"), F.first("successors").alias("successors"),
-                                      ordered.alias("b"))
-    options = F.transform(F.flatten(F.transform("b", lambda x: x["o"])), lambda x: F.struct(x["next"], x["cnt"]))
-    totals = F.transform("b", lambda x: F.struct(x["bucket"].alias("next"), x["cnt"]))
-    states = states.select("state", "total", small.alias("whole"),
-                           F.when(small, options).otherwise(totals).alias("options"))
-    buckets = per.filter(~small).select("state", "bucket", F.transform(
-        "o", lambda x: F.struct(x["next"], x["cnt"])).alias("options"))
-    return states, buckets
+    per = materialize(model.groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.sum("cnt").alias("total")), "ngram-totals")
+    hot = per.filter(F.col("n") > inline).select(F.col("state").alias("hot"), "n", "total")
+    known = model.select("state", "next", "cnt", "first_doc", "first_pos")
+    option = F.struct("first_doc", "first_pos", "next", "cnt")
+    options = F.transform(F.array_sort(F.collect_list(option)), lambda x: F.struct(x["next"], x["cnt"]))
+    whole = (known.join(hot, F.col("state") == F.col("hot"), "left_anti").groupBy("state")
+             .agg(F.sum("cnt").alias("total"), options.alias("options")).withColumn("whole", F.lit(True)))
+
+    large = known.join(hot, F.col("state") == F.col("hot"), "left_semi")
+    placed = with_global_position(large, [F.col(c) for c in ("state", "first_doc", "first_pos")], "place")
+    first = placed.groupBy(F.col("state").alias("hot")).agg(F.min("place").alias("start"))
+    spans = hot.withColumnRenamed("hot", "state").join(first, F.col("state") == F.col("hot")).drop("hot")
+    size = F.greatest(F.lit(inline), F.ceil(F.col("n") / BUCKETS)).alias("size")
+    spans = materialize(spans.select(F.col("state").alias("hot"), "start", "total", size), "ngram-spans")
+    bucket = F.floor((F.col("place") - F.col("start")) / F.col("size")).cast("string")
+    buckets = materialize(placed.join(spans, F.col("state") == F.col("hot")).withColumn("bucket", bucket)
+                          .groupBy("state", "bucket").agg(F.sum("cnt").alias("cnt"), options.alias("options")), "ngram-buckets")
+    order = F.struct(F.col("bucket").cast("long").alias("at"), F.col("bucket").alias("next"), "cnt")
+    totals = F.transform(F.array_sort(F.collect_list(order)), lambda x: F.struct(x["next"], x["cnt"]))
+    split = (buckets.groupBy("state").agg(F.sum("cnt").alias("total"), totals.alias("options"))
+             .withColumn("whole", F.lit(False)))
+    return whole.unionByName(split), buckets.select("state", "bucket", "options")
 
 
 def _drawn(options: Column, r: Column) -> Column:

@@ -2,7 +2,8 @@
 
 A model is a table ``(name, shape array<int>, values array<float>)``.  The
 compatibility report is a full outer join on ``name`` reduced by one
-aggregate; the merge is an inner join plus ``zip_with`` in float32.
+aggregate; the merge is one full outer join, stored once, plus ``zip_with`` in
+float32.
 """
 
 from __future__ import annotations
@@ -35,14 +36,20 @@ def weighted_merge(a: DataFrame, b: DataFrame, weight_a: float, weight_b: float)
     refused, so no tensor is dropped and no value becomes null."""
     if weight_a < 0 or weight_b < 0 or abs(weight_a + weight_b - 1.0) > 1e-6:
         raise ValueError("Linear merge weights must be non-negative and sum to 1.0.")
-    blockers = signature_compare(a, b).first()["blockers"]
-    uneven = (a.select("name", F.size("values").alias("na")).join(b.select("name", F.size("values").alias("nb")), "name")
-              .filter("na <> nb"))
-    if blockers or not uneven.isEmpty():
-        raise ValueError(f"The models cannot be merged: {blockers or 'tensor_values'} differ.")
+    # one join checks and merges: rows that can't be merged carry the reason
+    from ..session import materialize
+
     wa, wb = F.lit(weight_a).cast("float"), F.lit(weight_b).cast("float")
-    j = a.select("name", "shape", F.col("values").alias("va")).join(
-        b.select("name", F.col("values").alias("vb")), "name")
-    merged = F.zip_with("va", "vb", lambda x, y: (x.cast("float") * wa).cast("float") + (y.cast("float") * wb)
-                        .cast("float"))
-    return j.select("name", "shape", F.transform(merged, lambda v: v.cast("float")).alias("values"))
+    j = a.select("name", F.col("shape").alias("sa"), F.col("values").alias("va")).join(
+        b.select("name", F.col("shape").alias("sb"), F.col("values").alias("vb")), "name", "full_outer")
+    reason = (F.when(F.col("sa").isNull() | F.col("sb").isNull(), "tensor_names")
+              .when(F.col("sa") != F.col("sb"), "tensor_shapes")
+              .when(F.size("va") != F.size("vb"), "tensor_values"))
+    merged = F.zip_with("va", "vb", lambda x, y: ((x.cast("float") * wa).cast("float") + (y.cast("float") * wb)
+                                                  .cast("float")).cast("float"))
+    rows = materialize(j.select("name", F.col("sa").alias("shape"), F.when(reason.isNull(), merged).alias("values"),
+                                reason.alias("reason")), "merged")
+    reasons = rows.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("reason")).alias("reasons")).first()
+    if reasons["reasons"] or not reasons["n"]:
+        raise ValueError(f"The models cannot be merged: {', '.join(reasons['reasons'] or ['tensor_names'])} differ.")
+    return rows.drop("reason")

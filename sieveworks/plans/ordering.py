@@ -26,6 +26,7 @@ ORDER = "__sw_order"    # sortable key of the row's position
 RESERVED_PREFIX = "__sw_"
 
 
+MAXIMUM_CLASSES = 100_000  # of a stratified split: one count each comes to the driver
 BROADCAST_SPANS = 100_000  # input splits whose offsets are sent to every executor
 
 
@@ -193,7 +194,9 @@ def split_stratified(df: DataFrame, id_col: str, label_col: str, fraction: float
     spread over classes proportionally (largest remainder), at least one
     test and one train row per class."""
     counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("__sw_nc"))
-    stats = counts.collect()  # one row per class
+    stats = counts.limit(MAXIMUM_CLASSES + 1).collect()
+    if len(stats) > MAXIMUM_CLASSES:
+        raise ValueError(f"a stratified split takes at most {MAXIMUM_CLASSES} classes")
     n = sum(int(r["__sw_nc"]) for r in stats)
     c = len(stats)
     n_test = min(n - c, max(c, int(round(n * fraction))))

@@ -192,48 +192,53 @@ def _evidence(df: DataFrame) -> DataFrame:
     )
 
 
-# Recommendation rules (operation, title, severity).
-RULES = [
-    ("remove_duplicates", "Remove duplicate examples", "warning"),
-    ("remove_empty_records", "Remove incomplete examples", "warning"),
-    ("trim_whitespace", "Normalize whitespace", "suggestion"),
-    ("remove_html", "Remove HTML markup", "suggestion"),
-    ("remove_urls", "Review web addresses", "suggestion"),
-    ("remove_control_characters", "Remove control characters", "warning"),
-    ("redact_emails", "Review personal email addresses", "privacy"),
-    (None, "Very long text detected", "warning"),
-    (None, "Small training set", "warning"),
-    (None, "Choose input fields manually", "warning"),
-    (None, "No obvious cleanup required", "ready"),
-]
-
-
-def recommend_cleanup(df: DataFrame) -> DataFrame:
-    """``(operation, title, severity, affected)`` from whole-table evidence.
+# Recommendations: operation, title, severity and detail ({n}: what is counted).
+RULES = {
+    "duplicates": ("remove_duplicates", "Remove duplicate examples", "warning", "{n} rows repeat an earlier one."),
+    "empty": ("remove_empty_records", "Remove incomplete examples", "warning", "{n} cells are null or blank."),
+    "spacing": ("trim_whitespace", "Tidy white space", "suggestion", "Texts begin, end or go on with surplus blanks."),
+    "html": ("remove_html", "Strip markup", "suggestion", "Tags would be learned as if they were language."),
+    "urls": ("remove_urls", "Check links", "suggestion", "Links stay useful only where links are the task."),
+    "control": ("remove_control_characters", "Drop control characters", "warning", "Invisible characters upset parsers."),
+    "emails": ("redact_emails", "Check e-mail addresses", "privacy", "Addresses name people: hide those not needed."),
+    "long": (None, "Long texts", "warning", "The longest text has {n} characters: filter by length or cut."),
+    "small": (None, "Few rows", "warning", "{n} rows are little to learn from."),
+    "fields": (None, "Name the input columns", "warning", "No column is named like a text, a prompt or an image."),
+    "images": (None, "Repair unreadable images", "warning", "{n} images can't be decoded."),
+    "none": (None, "Nothing to clean up", "ready", "No rule found anything."),
+}
+RECOMMENDATION = ("operation string, title string, detail string, severity string, affected long, "
+                  "auto_applicable boolean")
+
+
+def recommend_cleanup(df: DataFrame, images: DataFrame | None = None) -> DataFrame:
+    """``(operation, title, detail, severity, affected, auto_applicable)`` from
+    whole-table evidence; with decoded ``images`` also about those.
 
     Two passes: one aggregate for every count and flag, one hash aggregate
     for duplicates.  The text rules are evaluated over every row (the
     reference looks at a 20-row sample; scanning all rows finds a superset).
     """
-    dup = duplicate_count(df).select("duplicate_count")
     roles = possible_fields(user_columns(df))
-    has_input = bool(roles["text"] or roles["prompt"] or roles["image"])
-    t = e = _evidence(df).first()
-    d = dup.first()
+    evidence = _evidence(df).first()
+    found: dict[str, int | None] = {"duplicates": duplicate_count(df).first()["duplicate_count"], "empty": evidence["empty"]}
+    found |= {flag: None for flag in ("spacing", "html", "urls", "control", "emails") if evidence[flag]}
+    found["long"] = evidence["longest"] if (evidence["longest"] or 0) > 16_000 else 0
+    found["small"] = evidence["rows"] if evidence["rows"] < 20 else 0
+    if not (roles["text"] or roles["prompt"] or roles["image"]):
+        found["fields"] = None
+    if images is not None:
+        found["images"] = images.agg(F.count_if(~(F.col("height") > 0))).first()[0]
+    names = [name for name, n in found.items() if n is None or n > 0] or ["none"]
     out: list[tuple[Any, ...]] = []
-    if d["duplicate_count"]:
-        out.append(RULES[0] + (int(d["duplicate_count"]),))
-    if t["empty"]:
-        out.append(RULES[1] + (int(t["empty"]),))
-    for flag, rule in zip(["spacing", "html", "urls", "control", "emails"], RULES[2:7]):
-        if e[flag]:
-            out.append(rule + (None,))
-    if (t["longest"] or 0) > 16_000:
-        out.append(RULES[7] + (int(t["longest"]),))
-    if t["rows"] and t["rows"] < 20:
-        out.append(RULES[8] + (int(t["rows"]),))
-    if not has_input:
-        out.append(RULES[9] + (None,))
-    if not out:
-        out.append(RULES[10] + (None,))
-    return df.sparkSession.createDataFrame(out, "operation string, title string, severity string, affected long")
+    for name in names:
+        operation, title, severity, detail = RULES[name]
+        n = found.get(name)
+        out.append((operation, title, detail.format(n=n), severity, n, operation is not None))
+    return df.sparkSession.createDataFrame(out, RECOMMENDATION)
+
+
+def suggested_fields(df: DataFrame) -> DataFrame:
+    """``(role, columns)``: the columns whose names suggest each role."""
+    rows = [(role, names) for role, names in possible_fields(user_columns(df)).items()]
+    return df.sparkSession.createDataFrame(rows, "role string, columns array<string>")

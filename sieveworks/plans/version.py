@@ -168,8 +168,10 @@ def save_version(spark: SparkSession, source: DataFrame, root: str, dataset: str
     numbered_src = O.with_source_number(source)
     rows = prepare_rows(numbered_src, operations, schema, mapping, template, shuffle, shuffle_seed, numbered=True,
                         keep_source=False)
-    rows = apply_limit(rows, limit, shuffle).persist(StorageLevel.MEMORY_AND_DISK)
+    # persisted before the limit's boundary is searched in several passes
+    stored = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        rows = apply_limit(stored, limit, shuffle)
         out_cols = O.user_columns(rows)
         errors = F.filter(F.col(FINDINGS), lambda f: f["severity"] == "error")
         valid = rows.filter(F.size(errors) == 0)
@@ -194,7 +196,7 @@ def save_version(spark: SparkSession, source: DataFrame, root: str, dataset: str
         remove_tree(path)  # a half-written version would block the next attempt
         raise
     finally:
-        rows.unpersist()
+        stored.unpersist()
     valid_n, invalid_n = int(stats["valid"]), int(stats["invalid"])
     status = "invalid" if invalid_n or not valid_n else ("warning" if valid_n < 5 else "valid")
     codes.update(size_codes(valid_n))

@@ -177,6 +177,13 @@ def q_write_invalid_rows(spark, sf):
     return back.select("row", F.col("findings")[0]["code"].alias("code"))
 
 
+@register("read_parquet", "SELECT p_partkey, p_name, p_size, p_retailprice FROM part")
+def q_read_parquet(spark, sf):
+    path = scratch_path(spark, "parquet")
+    table(spark, sf, "part").repartition(3).write.parquet(path)
+    return RD.read_parquet(spark, path).select("p_partkey", "p_name", "p_size", "p_retailprice")
+
+
 @register("export_csv", "SELECT text FROM (" + _FLAGSHIP_SQL + ")")
 def q_export_csv(spark, sf):
     path = scratch_path(spark, "export-csv")
@@ -195,14 +202,14 @@ def q_export_json(spark, sf):
     return spark.read.json(path)
 
 
-@register("export_txt", "SELECT count(*) AS records FROM (" + _FLAGSHIP_SQL + ")")
+@register("export_txt", "SELECT to_json({'text': text})::VARCHAR AS record FROM (" + _FLAGSHIP_SQL + ")")
 def q_export_txt(spark, sf):
     path = scratch_path(spark, "export-txt")
     rows = VS.prepare_rows(table(spark, sf, "documents"), _PRIVACY_OPS, "text_completion", {"text": "text"},
                            keep_source=False)
     W.export_txt(rows.select(F.to_json(F.struct("text")).alias("record")), path)
     back = spark.read.option("lineSep", "\n\n").text(path)
-    return back.agg(F.count_if(F.col("value") != "").alias("records"))
+    return back.filter("value <> ''").withColumnRenamed("value", "record")
 
 
 _PART_FILES = ("CASE p_size % 6 WHEN 0 THEN 'predictor.json' WHEN 1 THEN 'notes.txt' WHEN 2 THEN "

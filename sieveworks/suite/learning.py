@@ -53,7 +53,7 @@ def q_ngram_generate(spark, sf):
 
 _SAMPLE_SQL = sql(
     "WITH RECURSIVE " + _NGRAM_BASE[len("WITH "):] + ", "
-    "c AS (SELECT state, nxt, cnt, sum(cnt) OVER (PARTITION BY state ORDER BY sha256(nxt)) AS upto, "
+    "c AS (SELECT state, nxt, cnt, sum(cnt) OVER (PARTITION BY state ORDER BY first) AS upto, "
     "sum(cnt) OVER (PARTITION BY state) AS total FROM m), "
     "p AS (SELECT item_id, regexp_extract_all(lower(text), " + _TOK + ") AS tk FROM benchmark), "
     "u AS (SELECT item_id, step, ('0x' || substring(sha256('42:' || item_id || ':' || step), 1, 13))::BIGINT::DOUBLE "

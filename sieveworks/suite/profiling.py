@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..plans.profile import infer_types, profile_columns, profile_records, recommend_cleanup
+from ..plans.profile import RULES, infer_types, profile_columns, profile_records, recommend_cleanup
 from .common import sql, table
 from .registry import register
 
@@ -75,10 +75,12 @@ def q_profile_records(spark, sf):
                         "maximum_text_length", "average_text_length", "first_row")
 
 
-def _rule(operation: str | None, title: str, severity: str, found: str, affected: str = "CAST(NULL AS BIGINT)") -> str:
-    name = "CAST(NULL AS VARCHAR)" if operation is None else f"'{operation}'"
-    return (f"SELECT * FROM (SELECT {name} AS operation, '{title}' AS title, '{severity}' AS severity, "
-            f"CAST({affected} AS BIGINT) AS affected, {found} AS found FROM pages) WHERE found")
+def _rule(name: str, found: str, affected: str = "CAST(NULL AS BIGINT)", table: str = "pages") -> str:
+    operation, title, severity, detail = RULES[name]
+    text = detail.replace("'", "''").replace("{n}", "' || n || '")
+    return (f"SELECT operation, title, '{text}' AS detail, severity, n AS affected, operation IS NOT NULL AS auto_applicable "
+            f"FROM (SELECT {'NULL::VARCHAR' if operation is None else repr(operation)} AS operation, '{title}' AS title, "
+            f"'{severity}' AS severity, CAST({affected} AS BIGINT) AS n, {found} AS found FROM {table}) WHERE found")
 
 
 def _any(pattern: str) -> str:
@@ -92,34 +94,27 @@ _DUPLICATES = "count(*) - count(DISTINCT (page_id, url, html))"
 _LONGEST = "max(greatest(length(url), length(html)))"
 
 
-@register("recommend_cleanup", sql("SELECT operation, title, severity, affected FROM (" + " UNION ALL ".join([
-    _rule("remove_duplicates", "Remove duplicate examples", "warning", f"{_DUPLICATES} > 0", _DUPLICATES),
-    _rule("remove_empty_records", "Remove incomplete examples", "warning", f"{_EMPTY} > 0", _EMPTY),
-    _rule("trim_whitespace", "Normalize whitespace", "suggestion", _any("^[%SP%]|[%SP%]$|  ")),
-    _rule("remove_html", "Remove HTML markup", "suggestion", _any("<[^>]+>")),
-    _rule("remove_urls", "Review web addresses", "suggestion", _any("(?i)https?://|www\\.")),
-    _rule("remove_control_characters", "Remove control characters", "warning",
-          _any("[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]")),
-    _rule("redact_emails", "Review personal email addresses", "privacy",
-          _any("[%W%.+\\-]+@[%W%.\\-]+\\.[A-Za-z]{2,}")),
-    _rule(None, "Very long text detected", "warning", f"{_LONGEST} > 16000", _LONGEST),
-    _rule(None, "Small training set", "warning", "count(*) BETWEEN 1 AND 19", "count(*)"),
-    _rule(None, "Choose input fields manually", "warning", "count(*) >= 0"),
-]) + ")"))
+@register("recommend_cleanup", sql(" UNION ALL ".join([
+    _rule("duplicates", f"{_DUPLICATES} > 0", _DUPLICATES), _rule("empty", f"{_EMPTY} > 0", _EMPTY),
+    _rule("spacing", _any("^[%SP%]|[%SP%]$|  ")), _rule("html", _any("<[^>]+>")),
+    _rule("urls", _any("(?i)https?://|www\\.")), _rule("control", _any("[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]")),
+    _rule("emails", _any("[%W%.+\\-]+@[%W%.\\-]+\\.[A-Za-z]{2,}")), _rule("long", f"{_LONGEST} > 16000", _LONGEST),
+    _rule("small", "count(*) BETWEEN 1 AND 19", "count(*)"), _rule("fields", "count(*) >= 0"),
+])))
 def q_recommend_cleanup(spark, sf):
     return recommend_cleanup(table(spark, sf, "pages"))
 
 
-@register("recommend_cleanup_documents", sql(
-    "SELECT * FROM (SELECT 'remove_duplicates' AS operation, 'Remove duplicate examples' AS title, 'warning' AS severity,"
-    " count(*) - count(DISTINCT (doc_id, text, lang, source, n_chars)) AS affected FROM documents) WHERE affected > 0 "
-    "UNION ALL SELECT * FROM (SELECT 'trim_whitespace', 'Normalize whitespace', 'suggestion', CAST(NULL AS BIGINT) "
-    "FROM documents WHERE regexp_matches(text, '^[%SP%]|[%SP%]$') OR contains(text, '  ') OR "
-    "regexp_matches(lang, '^[%SP%]|[%SP%]$') OR regexp_matches(source, '^[%SP%]|[%SP%]$') LIMIT 1) "
-    "UNION ALL SELECT * FROM (SELECT 'redact_emails', 'Review personal email addresses', 'privacy', "
-    "CAST(NULL AS BIGINT) FROM documents WHERE regexp_matches(text, '[%W%.+\\-]+@[%W%.\\-]+\\.[A-Za-z]{2,}') LIMIT 1) "
-    "UNION ALL SELECT * FROM (SELECT NULL AS operation, 'Very long text detected' AS title, 'warning' AS severity, "
-    "max(length(text)) AS affected FROM documents) WHERE affected > 16000"))
+_SPACED = " OR ".join(f"regexp_matches({c}, '^[%SP%]|[%SP%]$') OR contains({c}, '  ')" for c in ("text", "lang", "source"))
+
+
+@register("recommend_cleanup_documents", sql(" UNION ALL ".join([
+    _rule("duplicates", "n > 0", "n", "(SELECT count(*) - count(DISTINCT (doc_id, text, lang, source, n_chars)) AS n "
+          "FROM documents)"),
+    _rule("spacing", f"bool_or({_SPACED})", table="documents"),
+    _rule("emails", "bool_or(regexp_matches(text, '[%W%.+\\-]+@[%W%.\\-]+\\.[A-Za-z]{2,}'))", table="documents"),
+    _rule("long", "max(length(text)) > 16000", "max(length(text))", "documents"),
+])))
 def q_recommend_cleanup_documents(spark, sf):
     return recommend_cleanup(table(spark, sf, "documents"))
 

@@ -175,6 +175,16 @@ def q_version_report(spark, sf):
     return version_report(rows, FINDINGS)
 
 
+@register("auto_prepare_report", "WITH r AS (SELECT " + strip_sql("prompt") + " AS prompt, " + strip_sql("response")
+          + " AS response FROM " + PAIRS_SQL + "), v AS (SELECT prompt, response, count(*) AS n FROM r WHERE prompt <> '' "
+          "AND response <> '' GROUP BY 1, 2) SELECT (SELECT count(*) FROM r) AS rows, (SELECT count(*) FROM r) - sum(n)::BIGINT "
+          "AS invalid, sum(n - 1)::BIGINT AS duplicates, count(*) AS kept FROM v")
+def q_auto_prepare_report(spark, sf):
+    from ..plans.prepare import auto_prepare_report
+
+    return auto_prepare_report(conversation_pairs(spark, sf).select("prompt", "response"), schema="prompt_response")
+
+
 @register("auto_prepare", "SELECT DISTINCT " + strip_sql("prompt") + " AS prompt, " + strip_sql("response")
           + " AS response FROM " + PAIRS_SQL + " WHERE " + strip_sql("prompt") + " <> '' AND "
           + strip_sql("response") + " <> ''")
@@ -290,3 +300,16 @@ def q_split_stratified(spark, sf):
 def q_top_n_recent(spark, sf):
     return O.top_n_recent(table(spark, sf, "events").select("event_id", "ts", "value"), "ts", 30,
                           tie="event_id").drop("ts")
+
+
+@register("top_k_ranked_lines", "SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ',' ORDER BY place) AS parts FROM (SELECT *, "
+          "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_partkey, l_suppkey) AS place "
+          "FROM lineitem) WHERE place <= 3 GROUP BY l_orderkey")
+def q_top_k_ranked_lines(spark, sf):
+    """The three lines of each order with the largest quantities; of equal ones
+    the earlier first."""
+    lines = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")))
+    scores = F.transform(lines, lambda x: F.struct(x["l_partkey"].alias("label"), x["l_quantity"].alias("score")))
+    orders = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(scores.alias("scores"))
+    top = O.top_k_ranked(F.col("scores"), 3)
+    return orders.select("l_orderkey", F.array_join(F.transform(top, lambda x: x["label"].cast("string")), ",").alias("parts"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sieveworks.plans import fingerprint as FP
 from sieveworks.plans.prepare import _first_rows, preview, preview_removed
-from sieveworks.plans.profile import infer_types, profile_columns, profile_records
+from sieveworks.plans.profile import infer_types, profile_columns, profile_records, recommend_cleanup, suggested_fields
 from sieveworks.sources.readers import read_records
 
 RECORDS = [{"a": 1, "b": None}, {"a": "t", "b": 1.5, "c": " "}, {"a": True}, {"a": 2 ** 70, "c": "é" * 4}, {"a": [1], "c": 1e300},
@@ -180,3 +180,17 @@ def test_bicubic_equals_a_double_loop(size):
     got = resize_bicubic(img.astype(np.uint8), width, height)
     for c in range(3):
         assert got[..., c].tolist() == looped_resize(img[..., c].tolist(), width, height)
+
+
+def test_recommendations_tell_what_they_found(spark):
+    df = spark.createDataFrame([("a <b>x</b>", 1), ("a <b>x</b>", 1), (None, 2)], "Story string, n int")
+    images = spark.createDataFrame([(3,), (-1,), (None,)], "height int")
+    got = {r["title"]: r for r in recommend_cleanup(df, images).collect()}
+    assert got["Remove duplicate examples"]["affected"] == 1 and got["Remove duplicate examples"]["auto_applicable"]
+    assert got["Strip markup"]["detail"] and got["Strip markup"]["affected"] is None
+    assert got["Repair unreadable images"]["affected"] == 1 and not got["Repair unreadable images"]["auto_applicable"]
+    assert got["Few rows"]["detail"].startswith("3 rows") and "Name the input columns" in got
+    clean = spark.range(25).select(F.concat(F.lit("t"), "id").alias("text"))
+    assert [r["title"] for r in recommend_cleanup(clean).collect()] == ["Nothing to clean up"]
+    roles = {r["role"]: r["columns"] for r in suggested_fields(df).collect()}
+    assert roles["response"] == ["Story"] and roles["text"] == []
