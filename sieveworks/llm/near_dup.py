@@ -15,10 +15,9 @@ empty slot get a longer one, so the horizon never changes a signature.
 
 **Candidates.**  Signatures are cut into bands; equal bands share a bucket.
 Equal texts are one node.  First every node of a bucket is compared with the
-bucket's smallest node (a star, never all pairs) and verified links are
-merged to components.  Large buckets that still hold several components get
-further stars around other centres, which soon merges a large group of near
-copies.  What is left are buckets with some nodes outside their largest
+bucket's smallest node (a star, never all pairs), in large buckets with two
+more centres, which merges most of a large group of near copies; verified
+links are merged to components.  What is left are buckets with some nodes outside their largest
 component: those nodes are compared with all nodes of the bucket, block
 against block of bounded size, by whole signatures in memory; pairs that agree
 in enough slots to reach the similarity (within five standard deviations) are
@@ -47,7 +46,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -59,8 +58,8 @@ BAND_ROWS, BANDS = 4, 24
 SLOTS = BAND_ROWS * BANDS
 BLOCK = 2048               # nodes compared in memory at once
 SPLITS = 2                 # further bands that split buckets with many components
-STARS = 2                  # further centres tried for large buckets
-LARGE = 256                # nodes of a bucket from which they are
+STARS = 2                  # further centres of large buckets, at most 3
+LARGE = 256                # nodes of a bucket from which they are taken
 BROADCAST_NODES = 2_000_000
 WORDS_REMEMBERED = 500_000
 
@@ -322,34 +321,32 @@ def _mixed(rows: DataFrame) -> DataFrame:
                                         F.col("top.label").alias("main")))
 
 
-def _labelled(placed: DataFrame, links: DataFrame) -> DataFrame:
-    """(key, node, label) under the components of the links so far."""
-    first = materialize(components(links), "near-components")
-    return (placed.select("key", "node").join(first, "node", "left")
-            .select("key", "node", F.coalesce("label", "node").alias("label")))
-
-
-def _further_stars(placed: DataFrame, nodes: DataFrame, links: DataFrame, texts: DataFrame,
-                   text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Links and labels after stars around other centres of large buckets.
-    The rounds move the rows of large buckets only."""
-    large_keys = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LARGE).select("key")
-    held = materialize(placed.select("key", "node").join(large_keys, "key"), "near-large")
-    for turn in range(STARS):
-        rows = materialize(_labelled(held, links), "near-large-rows")
-        large = rows.join(_mixed(rows).filter(F.col("n") > LARGE).select("key"), "key")
-        centre = large.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "key", "node").alias("o"),
-                                                         "node", "label")).alias("c"))
-        star = (large.join(centre, "key").filter(F.col("label") != F.col("c.label"))
-                .select(F.greatest("node", "c.node").alias("a"), F.least("node", "c.node").alias("b")).distinct())
-        star = materialize(star, "near-stars")
-        if star.isEmpty():
-            break
-        more = materialize(_verified(_likely(star, nodes), texts, text_col), "near-links")
-        if more.isEmpty():
-            break
-        links = materialize(links.unionAll(more), "near-links")
-    return links, materialize(_labelled(placed, links), "near-labelled")
+def _turned(node: Column, turn: int) -> Column:
+    """A digest with its first ``8 * turn`` digits behind the others."""
+    return F.concat(F.substring(node, 8 * turn + 1, 32 - 8 * turn), F.substring(node, 1, 8 * turn))
+
+
+def _stars(placed: DataFrame, centres: DataFrame) -> DataFrame:
+    """Pairs of each bucket's nodes with its centre, in large buckets with
+    further centres as well."""
+    of_bucket = placed.select("key", "node").join(centres, "key")
+    chosen = F.when(F.col("n") > LARGE, F.col("centres")).otherwise(F.slice("centres", 1, 1))
+    return (of_bucket.select("node", F.explode(F.array_distinct(chosen)).alias("centre")).filter("node <> centre")
+            .select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct())
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after further links: those between the components so far
+    make a small graph of labels, whose components rename them."""
+    for end in ("a", "b"):
+        of = labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}"))
+        links = links.join(of, end, "left")
+    ends = links.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+    renamed = materialize(components(ends), "near-renamed")
+    new = renamed.select(F.col("node").alias("label"), F.col("label").alias("now"))
+    kept = labels.join(new, "label", "left").select("node", F.coalesce("now", "label").alias("label"))
+    # nodes that had no component before
+    return kept.unionAll(renamed.join(labels, "node", "left_anti").select("node", "label"))
 
 
 def _left_over(placed: DataFrame, nodes: DataFrame, texts: DataFrame, text_col: str) -> DataFrame:
@@ -395,14 +392,18 @@ def _classified(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
                         "near-nodes")
 
     bands = nodes.select("node", F.explode("bands").alias("key"))
-    shared = (bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("centre"))
-              .filter("n > 1").select("key", "centre"))
-    placed = materialize(bands.join(shared, "key"), "near-buckets")
-    star = placed.filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    links = materialize(_verified(_likely(star, nodes), keyed, text_col), "near-links")
-    links, labelled = _further_stars(placed, nodes, links, keyed, text_col)
+    turned = [F.min(_turned(F.col("node"), turn)).alias(f"t{turn}") for turn in range(STARS + 1)]
+    centres = F.array(*[_turned(F.col(f"t{turn}"), 4 - turn) if turn else F.col("t0") for turn in range(STARS + 1)])
+    shared = (bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *turned).filter("n > 1")
+              .select("key", "n", centres.alias("centres")))
+    shared = materialize(shared, "near-centres")
+    placed = materialize(bands.join(shared.select("key"), "key"), "near-buckets")
+    links = materialize(_verified(_likely(_stars(placed, shared), nodes), keyed, text_col), "near-links")
+    first = materialize(components(links), "near-components")
+    labelled = materialize(placed.join(first, "node", "left")
+                           .select("key", "node", F.coalesce("label", "node").alias("label")), "near-labelled")
     more = materialize(_left_over(labelled, nodes, keyed, text_col), "near-links")
-    joined = components(links.unionAll(more))
+    joined = first if more.isEmpty() else _joined(first, more)
 
     # class of a node: its component, or itself; texts without words are one class
     of_node = (signed.groupBy("node").agg(F.min("id").alias("low_id"), F.max(F.col("bands").isNull()).alias("bare"))
