@@ -165,6 +165,29 @@ def linear_softmax_fit(df: DataFrame, vector: str, label: str, max_iter: int = 1
     return labels, model.coefficientMatrix.toArray(), model.interceptVector.toArray()
 
 
+def linear_softmax_gradient(df: DataFrame, vector: str, label: str, labels: list[str], weights: np.ndarray,
+                            intercept: np.ndarray, c: float = 1.0) -> np.ndarray:
+    """(classes, 1 + dimensions) gradient of the penalised mean loss at given
+    weights, intercepts first: all zero at the optimum, whoever found it."""
+    from .tabular import StoredBlocks, _gradients
+
+    k, d = len(labels), weights.shape[1] + 1
+    both = np.concatenate([intercept[:, None], weights], axis=1).T
+    if both.shape[1] == 1 and k == 2:
+        both = np.concatenate([-both, both], axis=1)
+    v = F.col(vector).cast("array<double>")
+    place = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(label).cast("string")) - 1
+    encoded = (df.select(F.concat(F.array(F.lit(1.0)), v).alias("x"), place.cast("double").alias("y"),
+                         F.lit(True).alias("fit")).filter("x IS NOT NULL AND y IS NOT NULL"))
+    with StoredBlocks(encoded, d) as blocks:
+        got = blocks.total(d * k + 2, _gradients([both], k))
+    n = got[-1]
+    gradient = got[:d * k].reshape(d, k) / n
+    if c:
+        gradient[1:] += both[1:] / (c * n)
+    return gradient.T
+
+
 def _label_order(text: str):
     """Numbers by value, then texts."""
     return (0, int(text), "") if text.lstrip("-").isdigit() else (1, 0, text)

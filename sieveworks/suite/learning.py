@@ -438,3 +438,15 @@ def q_linear_softmax_classify(spark, sf):
     scores = V.linear_scores(F.col("embedding").cast("array<double>"), labels, w, b)
     top = V.softmax_top_k(scores, 3)
     return emb.select("vec_id", top[0]["label"].alias("predicted"), F.round(top[0]["score"], 4).alias("score"))
+
+
+@register("linear_softmax_gradient", "SELECT CAST(label AS VARCHAR) AS label, CAST(0 AS DOUBLE) AS largest_gradient "
+          "FROM embeddings GROUP BY label")
+def q_linear_softmax_gradient(spark, sf):
+    """The fit's proof: at its weights no derivative of the penalised loss over
+    the whole table is left."""
+    emb = table(spark, sf, "embeddings")
+    labels, w, b = V.linear_softmax_fit(emb, "embedding", "label")
+    gradient = V.linear_softmax_gradient(emb, "embedding", "label", labels, w, b)
+    return spark.createDataFrame([(name, round(float(abs(g).max()), 3)) for name, g in zip(labels, gradient)],
+                                 "label string, largest_gradient double")

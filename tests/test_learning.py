@@ -190,3 +190,20 @@ def test_a_hot_state_is_never_one_row(spark):
     prompts = spark.range(50).select("id", F.lit("a b").alias("text"))
     got = N.ngram_sample(prompts, "text", "id", hot, max_new_tokens=3)
     assert got.filter("text RLIKE '^t[0-9]+$'").count() == 50
+
+
+def test_gradient_tells_the_optimum(spark):
+    from sieveworks.models import vectors as V
+
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(120, 3)), rng.integers(0, 3, 120)
+    df = spark.createDataFrame([(list(map(float, a)), int(b)) for a, b in zip(x, y)], "v array<double>, k int")
+    labels, w, b = V.linear_softmax_fit(df, "v", "k")
+    at = V.linear_softmax_gradient(df, "v", "k", labels, w, b)
+    assert at.shape == (3, 4) and abs(at).max() < 1e-3
+    p = np.exp(x @ w.T + b)
+    p /= p.sum(axis=1, keepdims=True)
+    p[np.arange(120), y] -= 1
+    want = np.concatenate([p.mean(axis=0)[:, None], p.T @ x / 120 + w / 120], axis=1)
+    assert np.allclose(at, want)
+    assert abs(V.linear_softmax_gradient(df, "v", "k", labels, w + 0.5, b)).max() > 1e-3
