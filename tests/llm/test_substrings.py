@@ -104,3 +104,28 @@ def test_query(session, small_dir):
     want = brute([r["text"] for r in docs], 400)
     assert got == {r["doc_id"]: (*w[:3], hashlib.sha256(w[3]).hexdigest()) for r, w in zip(docs, want, strict=True)}
     assert sum(w[1] for w in want) > 0
+
+
+def test_planted_passages_go_from_400_bytes_on(session):
+    """Repeated passages below the contract's 400 bytes stay whole, all others go
+    whole: the share caught is 0 below and 1 from there on."""
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyzäöüß "
+
+    def noise(n):
+        text = "".join(rng.choices(letters, k=n))
+        while len(text.encode()) > n:
+            text = text[:-1]
+        return text + "x" * (n - len(text.encode()))
+
+    sizes = [60, 250, 399, 400, 401, 700, 2500]
+    passages = [noise(n) for n in sizes]
+    rows = []
+    for i in range(30):
+        held = passages[i % len(sizes)]
+        # the bytes around a passage differ from copy to copy, so no copy grows beyond it
+        copy = i // len(sizes)
+        rows.append((i, f"{noise(150)}{'ABCDE'[copy]}{held}{'01234'[copy]}{noise(90)}"))
+    df = session.createDataFrame([(i, t, "x", 1) for i, t in rows], SCHEMA)
+    got = {r["doc_id"]: r["n_removed"] for r in substrings.remove_repeated_substrings(df, length=400).collect()}
+    assert got == {i: n if n >= 400 else 0 for i in got for n in [sizes[i % len(sizes)]]}
