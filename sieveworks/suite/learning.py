@@ -194,13 +194,13 @@ _NUMERIC = {"l_quantity", "l_discount", "l_tax"}
 _RIDGE = "WITH RECURSIVE " + _encoded_sql(_FEATURES, _NUMERIC, "l_extendedprice") + ", " + _ridge_sql("w", "xs")
 
 
-@register("ridge_fit", _RIDGE + " SELECT (i - 1)::INT AS idx, round(w[i], 1) AS weight FROM w, "
+@register("ridge_fit", _RIDGE + " SELECT (i - 1)::INT AS idx, round(w[i], 1) + 0.0::DOUBLE AS weight FROM w, "
                                 "range(1, len(w) + 1) t(i)")
 def q_ridge_fit(spark, sf):
     rows = _lineitem_rows(spark, sf)
     model = TB.fit_tabular(rows, _FEATURES, "l_extendedprice", "regression", id_col="rid")
     # the flags of a column add up to the intercept: only the penalty fixes their level, to a few digits
-    return spark.createDataFrame([(i, round(w, 1)) for i, w in enumerate(model["weights"])], "idx int, weight double")
+    return spark.createDataFrame([(i, round(w, 1) + 0.0) for i, w in enumerate(model["weights"])], "idx int, weight double")
 
 
 _ONE_FEATURE = ("WITH " + _SPLIT_CTE + ", s AS (SELECT avg(l_quantity) AS m, CASE WHEN stddev_pop(l_quantity) = 0 THEN 1 "
