@@ -40,7 +40,7 @@ def transitions(df: DataFrame, text: Column, doc: Column, order: int = 2, patter
     return w.select("doc", "pos", state.alias("state"), F.col(f"z.s{order}").alias("next"))
 
 
-_POS_SPAN = 2 ** 32  # a Spark string holds < 2^31 characters, so positions fit
+_POS_BITS = 32  # a Spark string holds < 2^31 characters, so positions fit
 
 
 def ngram_fit(df: DataFrame, text: Column, doc: Column, order: int = 2, pattern: str = R.TOKEN_PY,
@@ -48,15 +48,22 @@ def ngram_fit(df: DataFrame, text: Column, doc: Column, order: int = 2, pattern:
     """``(state, next, cnt, first_doc, first_pos)``.
 
     First occurrence is the minimum of the exact composite
-    ``doc · 2^32 + pos`` held as ``decimal(38,0)``: a fixed-width mutable
-    buffer, so the aggregate stays a hash aggregate with map-side partial
-    aggregation (a struct minimum would force a sort-based aggregate)."""
+    ``doc · 2^32 + pos``: a fixed-width mutable buffer, so the aggregate stays a
+    hash aggregate with map-side partial aggregation (a struct minimum would
+    force a sort-based aggregate).  The composite is a long where all document
+    numbers are below 2^31, which one look at that column tells, and a much
+    slower ``decimal(38,0)`` with the same result where they are not."""
     w = transitions(df, text, doc, order, pattern, lowercase)
-    composite = (F.col("doc").cast("decimal(38,0)") * F.lit(_POS_SPAN) + F.col("pos")).cast("decimal(38,0)")
+    ends = df.agg(F.min(doc).cast("decimal(38,0)"), F.max(doc).cast("decimal(38,0)")).first()
+    if ends[0] is None or (ends[0] >= 0 and ends[1] < 2 ** 31):
+        composite = F.shiftleft(F.col("doc").cast("long"), _POS_BITS) + F.col("pos")
+        of_doc, of_pos = F.shiftright("first", _POS_BITS), F.col("first").bitwiseAND(F.lit(2 ** _POS_BITS - 1))
+    else:
+        span = F.lit(2 ** _POS_BITS)
+        composite = (F.col("doc").cast("decimal(38,0)") * span + F.col("pos")).cast("decimal(38,0)")
+        of_doc, of_pos = F.floor(F.col("first") / span), F.col("first") % span
     agg = w.groupBy("state", "next").agg(F.count(F.lit(1)).alias("cnt"), F.min(composite).alias("first"))
-    return agg.select("state", "next", "cnt",
-                      F.floor(F.col("first") / F.lit(_POS_SPAN)).cast("long").alias("first_doc"),
-                      (F.col("first") % F.lit(_POS_SPAN)).cast("int").alias("first_pos"))
+    return agg.select("state", "next", "cnt", of_doc.cast("long").alias("first_doc"), of_pos.cast("int").alias("first_pos"))
 
 
 def ngram_next(model: DataFrame) -> DataFrame:

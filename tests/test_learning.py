@@ -207,3 +207,13 @@ def test_gradient_tells_the_optimum(spark):
     want = np.concatenate([p.mean(axis=0)[:, None], p.T @ x / 120 + w / 120], axis=1)
     assert np.allclose(at, want)
     assert abs(V.linear_softmax_gradient(df, "v", "k", labels, w + 0.5, b)).max() > 1e-3
+
+
+def test_large_document_numbers_fit_alike(spark):
+    texts = ["a b c a b d", "a b c", "x a b c"]
+    small = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    large = small.withColumn("id", F.col("id") + 2 ** 40)
+    got, far = (sorted(map(tuple, N.ngram_fit(df, F.col("text"), F.col("id")).collect())) for df in (small, large))
+    assert [(*r[:3], r[3] + 2 ** 40, r[4]) for r in got] == far
+    assert ("a\x1fb", "c", 3, 0, 0) in got and ("x\x1fa", "b", 1, 2, 0) in got
+    assert N.ngram_fit(small.limit(0), F.col("text"), F.col("id")).collect() == []
