@@ -24,7 +24,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.registry import apply_operations
 from ..session import scratch_path
-from ..sinks.files import remove_tree
+from ..sinks.files import filesystem_for, remove_tree
 
 
 def _run(query_df: DataFrame, name: str, mode: str = "append", state: str | None = None,
@@ -291,12 +291,62 @@ def stream_toggle_ordered(clicks: DataFrame, lateness: str, state: str | None =
     return latest.filter(F.col("state").isNotNull()).select("user_id", "state")
 
 
+def _run_counts(rows: DataFrame, name: str, keys: list[str], state: str | None = None,
+                compact_every: int = COMPACT_EVERY) -> DataFrame:
+    """Run a stateless stream and count its rows by ``keys``; returns
+    ``(keys, cnt)`` over all batches so far.
+
+    A micro-batch writes its own counts, as ``full=0/epoch=N``: an aggregate
+    that spills, where a state store would hold every key in memory.  Every
+    ``compact_every`` batches the sums are written as ``full=1/epoch=N``, and
+    what the compaction before covered is removed.  A batch that runs again
+    replaces its own folders, so no row counts twice."""
+    spark = rows.sparkSession
+    base = (state or scratch_path(spark, name)).rstrip("/")
+    if state:
+        filesystem, place = filesystem_for(f"{base}/checkpoint/state")
+        if filesystem.get_file_info(place).type.name != "NotFound":
+            raise ValueError(f"{base} was written with running totals in a state store; start a new folder")
+    out = f"{base}/out"
+    schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField("cnt", T.LongType())])
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        (batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("cnt"))
+         .write.mode("overwrite").parquet(f"{out}/full=0/epoch={epoch}"))
+        if (epoch + 1) % compact_every == 0:
+            _summed(batch.sparkSession, out, schema, keys, epoch).write.mode("overwrite").parquet(
+                f"{out}/full=1/epoch={epoch}")
+            gone = epoch - compact_every   # the compaction before this one is kept for readers at work
+            for old in range(max(0, gone - compact_every + 1), gone + 1):
+                remove_tree(f"{out}/full=0/epoch={old}")
+            remove_tree(f"{out}/full=1/epoch={gone - compact_every}")
+
+    q = (rows.select(*keys).writeStream.outputMode("append").option("checkpointLocation", f"{base}/checkpoint")
+         .foreachBatch(write).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return _summed(spark, out, schema, keys)
+
+
+def _summed(spark: SparkSession, out: str, schema: T.StructType, keys: list[str], upto: int | None = None) -> DataFrame:
+    """Sums of the last compaction and the batches since."""
+    parts = T.StructType([*schema.fields, T.StructField("full", T.IntegerType()), T.StructField("epoch", T.LongType())])
+    rows = spark.read.schema(parts).parquet(out)
+    if upto is not None:
+        rows = rows.filter(F.col("epoch") <= upto)
+        rows = rows.filter((F.col("full") == 0) | (F.col("epoch") < upto))
+    since = rows.filter("full = 1").agg(F.max("epoch")).first()[0]
+    if since is not None:
+        rows = rows.filter((F.col("epoch") > since) | ((F.col("full") == 1) & (F.col("epoch") == since)))
+    if len(rows.select("full", "epoch").distinct().limit(2).collect()) < 2:
+        return rows.select(*schema.names)   # one folder has a key once
+    return rows.groupBy(*keys).agg(F.sum("cnt").alias("cnt"))
+
+
 def stream_ngram_counts(stream: DataFrame, text: str, doc: str, order: int = 2, state: str | None = None,
                         compact_every: int = COMPACT_EVERY) -> DataFrame:
-    """Transition counts maintained by a streaming aggregation over a stream
-    of documents; a micro-batch writes the transitions that it changed."""
+    """Transition counts maintained over a stream of documents; a micro-batch
+    writes the counts of the transitions that it met."""
     from ..models.ngram import transitions
 
-    counts = transitions(stream, F.col(text), F.col(doc), order).groupBy("state", "next") \
-        .agg(F.count(F.lit(1)).alias("cnt"))
-    return _run_updates(counts, "ngram", ["state", "next"], state, compact_every)
+    rows = transitions(stream, F.col(text), F.col(doc), order)
+    return _run_counts(rows, "ngram", ["state", "next"], state, compact_every)

@@ -121,3 +121,18 @@ def test_job_states_in_steps(spark, tmp_path):
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     sizes = {r["epoch"]: r["count"] for r in spark.read.parquet(f"{state}/out").groupBy("epoch").count().collect()}
     assert sizes == {0: 50, 1: 1, 2: 2} and written(state) >= 3
+
+
+def test_counts_keep_no_state_store(spark, tmp_path):
+    src, state = str(tmp_path / "in"), str(tmp_path / "state")
+    add(spark, src, "b0", [(i, "a b c d") for i in range(20)], DOCS)
+    docs = spark.readStream.schema(DOCS).parquet(src)
+    got = ST.stream_ngram_counts(docs, "text", "id", state=state)
+    assert sorted(map(tuple, got.collect())) == [("a\x1fb", "c", 20), ("b\x1fc", "d", 20)]
+    assert glob.glob(state + "/checkpoint/offsets/*") and not glob.glob(state + "/checkpoint/state")
+    # a batch that runs again replaces its counts
+    again = glob.glob(state + "/checkpoint/commits/*0")
+    assert again and len(glob.glob(state + "/out/full=0/epoch=*")) == 1
+    (tmp_path / "old/checkpoint/state").mkdir(parents=True)
+    with pytest.raises(ValueError, match="new folder"):
+        ST.stream_ngram_counts(docs, "text", "id", state=str(tmp_path / "old"))
