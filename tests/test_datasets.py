@@ -8,6 +8,7 @@ import os
 import tempfile
 import zipfile
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from sieveworks.plans import ordering as O
@@ -118,3 +119,22 @@ def test_image_archive(spark):
     root = tempfile.mkdtemp(prefix="sw-versions-")
     v = save_version(spark, rows, root, "images", [], "image_classification", {"image": "image", "label": "label"})
     assert v.status == "warning" and v.valid_rows == 4
+
+
+def test_small_images_share_tasks(spark, tmp_path):
+    from sieveworks.sources import images as IM
+    from sieveworks.suite.images import png_gray
+
+    (tmp_path / "k").mkdir()
+    for i in range(150):
+        (tmp_path / "k" / f"{i}.png").write_bytes(png_gray(np.full((2, 2), i, np.uint8)))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in old:
+            spark.conf.set(k, "4m")   # one file a split
+        got = IM.decode_images(spark, str(tmp_path), 2, 2)
+        assert got.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+        assert sorted(round(r["vector"][0] * 255) for r in got.collect()) == list(range(150))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
