@@ -7,12 +7,17 @@ aggregation collapses frequent transitions before the shuffle.
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING, Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pyregex as R
 from ..functions.text import tokenize_regex
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 SEP = "\u001f"  # state tokens are joined with the unit separator
 
 
@@ -43,8 +48,34 @@ def transitions(df: DataFrame, text: Column, doc: Column, order: int = 2, patter
 _POS_BITS = 32  # a Spark string holds < 2^31 characters, so positions fit
 
 
+COMBINED_ROWS = 2 ** 20        # windows that a task counts together before they are shuffled by state
+COMBINED_BYTES = 64 * 1024 ** 2
+
+
+def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Equal windows of a run of batches become one row, so that a frequent
+    transition reaches its state's task once a run."""
+    import pyarrow as pa
+
+    def counted(held: list) -> list:
+        got = pa.Table.from_batches(held).group_by(["state", "next"]).aggregate([([], "count_all"), ("first", "min")])
+        return got.select(["state", "next", "count_all", "first_min"]).rename_columns(
+            ["state", "next", "cnt", "first"]).to_batches()
+
+    held: list = []
+    rows = size = 0
+    for batch in batches:
+        held.append(batch)
+        rows, size = rows + batch.num_rows, size + batch.nbytes
+        if rows >= COMBINED_ROWS or size >= COMBINED_BYTES:
+            yield from counted(held)
+            held, rows, size = [], 0, 0
+    if held:
+        yield from counted(held)
+
+
 def ngram_fit(df: DataFrame, text: Column, doc: Column, order: int = 2, pattern: str = R.TOKEN_PY,
-              lowercase: bool = True) -> DataFrame:
+              lowercase: bool = True, by_state: bool = False) -> DataFrame:
     """``(state, next, cnt, first_doc, first_pos)``.
 
     First occurrence is the minimum of the exact composite
@@ -52,7 +83,12 @@ def ngram_fit(df: DataFrame, text: Column, doc: Column, order: int = 2, pattern:
     hash aggregate with map-side partial aggregation (a struct minimum would
     force a sort-based aggregate).  The composite is a long where all document
     numbers are below 2^31, which one look at that column tells, and a much
-    slower ``decimal(38,0)`` with the same result where they are not."""
+    slower ``decimal(38,0)`` with the same result where they are not.
+
+    ``by_state`` gives the same rows dealt out by state: what then looks at
+    whole states (``ngram_next``) shuffles nothing again.  Spark would deal the
+    aggregate's partial rows out by state and token, so equal windows are
+    counted in Arrow batches before the one shuffle."""
     w = transitions(df, text, doc, order, pattern, lowercase)
     ends = df.agg(F.min(doc).cast("decimal(38,0)"), F.max(doc).cast("decimal(38,0)")).first()
     if ends[0] is None or (ends[0] >= 0 and ends[1] < 2 ** 31):
@@ -62,7 +98,13 @@ def ngram_fit(df: DataFrame, text: Column, doc: Column, order: int = 2, pattern:
         span = F.lit(2 ** _POS_BITS)
         composite = (F.col("doc").cast("decimal(38,0)") * span + F.col("pos")).cast("decimal(38,0)")
         of_doc, of_pos = F.floor(F.col("first") / span), F.col("first") % span
-    agg = w.groupBy("state", "next").agg(F.count(F.lit(1)).alias("cnt"), F.min(composite).alias("first"))
+    if by_state:
+        rows = w.select("state", "next", composite.alias("first"))
+        kind = rows.schema["first"].dataType.simpleString()
+        agg = (rows.mapInArrow(_combined, f"state string, next string, cnt long, first {kind}").repartition("state")
+               .groupBy("state", "next").agg(F.sum("cnt").alias("cnt"), F.min("first").alias("first")))
+    else:
+        agg = w.groupBy("state", "next").agg(F.count(F.lit(1)).alias("cnt"), F.min(composite).alias("first"))
     return agg.select("state", "next", "cnt", of_doc.cast("long").alias("first_doc"), of_pos.cast("int").alias("first_pos"))
 
 
@@ -79,7 +121,72 @@ def prompt_state(prompt: Column, order: int, pattern: str = R.TOKEN_PY, lowercas
     return F.when(F.size(t) >= order, F.array_join(F.slice(t, -order, order), SEP))
 
 
-MAX_BROADCAST_BYTES = 256 * 1024 ** 2  # of states and tokens that a broadcast may carry
+MAX_BROADCAST_BYTES = 8 * 1024 ** 2  # of states and tokens that a broadcast may carry; the driver holds many times that
+LOOKED_UP = 1024                     # distinct states that one look into a stored table may ask for
+
+
+def _place(state: Column, parts: int) -> Column:
+    return F.pmod(F.hash(state), F.lit(parts))
+
+
+PLACES = 1024   # folders of a table stored by state, at least
+
+
+def stored_by_state(table: DataFrame) -> tuple[DataFrame, int]:
+    """``table`` written in folders by a hash of the state, and their number,
+    for ``looked_up``.  The number is a multiple of the shuffle partitions, so
+    that a task of a table dealt out by state has all rows of its folders."""
+    from ..session import scratch_path
+
+    spark = table.sparkSession
+    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = shuffled * -(-PLACES // shuffled)
+    placed = table.withColumn("__sw_p", _place(F.col("state"), parts))
+    path = scratch_path(spark, "ngram-by-state")
+    placed.sortWithinPartitions("__sw_p").write.partitionBy("__sw_p").parquet(path)
+    return spark.read.schema(placed.schema).parquet(path), parts
+
+
+def looked_up(stored: DataFrame, states: list[tuple[int, str]]) -> DataFrame:
+    """The rows of the ``(folder, state)`` pairs; no other folder is read."""
+    if not states:
+        return stored.limit(0).drop("__sw_p")
+    return stored.filter(F.col("__sw_p").isin(sorted({p for p, _ in states}))
+                         & F.col("state").isin([s for _, s in states])).drop("__sw_p")
+
+
+def few_states(cur: DataFrame, state: str, parts: int, most: int) -> list[tuple[int, str]] | None:
+    """The distinct states of ``cur`` with their folders, or None when there
+    are more than ``most``."""
+    rows = (cur.filter(F.col(state).isNotNull()).select(_place(F.col(state), parts).alias("p"), F.col(state).alias("s"))
+            .distinct().limit(most + 1).collect())
+    return [(r["p"], r["s"]) for r in rows] if len(rows) <= most else None
+
+
+def reachable(stored: DataFrame, parts: int, starts: list[tuple[int, str]], order: int, steps: int,
+              most: int) -> DataFrame | None:
+    """The part of a stored best-next table that walks of ``steps`` steps from
+    ``starts`` can use: one look a step at the states that are new, none once
+    all walks have met known ones.  It holds at most ``most`` states a step;
+    None when a step would ask for more."""
+    shifted = F.array_join(F.slice(F.concat(F.split("state", SEP, -1), F.array("next")), 2, order), SEP)
+    seen, rows, asked = set(), [], starts
+    for _ in range(steps):
+        asked = [x for x in asked if x not in seen]
+        if not asked:
+            break
+        if len(asked) > most:
+            return None
+        seen.update(asked)
+        found = looked_up(stored, asked).select("state", "next", "cnt", _place(shifted, parts).alias("p"),
+                                                shifted.alias("s")).collect()
+        rows += [(r["state"], r["next"], r["cnt"]) for r in found]
+        asked = list({(r["p"], r["s"]) for r in found})
+    return stored.sparkSession.createDataFrame(rows, "state string, next string, cnt long")
+
+
+def _text_bytes(table: DataFrame) -> int:
+    return table.agg(F.sum(F.octet_length("state") + F.octet_length("next"))).first()[0] or 0
 
 
 def _sent_whole(table: DataFrame, size: Column, most: int) -> DataFrame:
@@ -124,10 +231,14 @@ def reached_jumps(table: DataFrame) -> DataFrame:
 
 def ngram_generate(prompts: DataFrame, prompt: str, key: str, best: DataFrame, order: int = 2,
                    max_new_tokens: int = 30, pattern: str = R.TOKEN_PY, lowercase: bool = True,
-                   max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+                   max_broadcast_bytes: int = MAX_BROADCAST_BYTES, most_looked_up: int = LOOKED_UP) -> DataFrame:
     """Greedy generation for every prompt: ``(key, text)``; prompts shorter
     than ``order`` tokens give a null text (the reference rejects them).
 
+    The best-next table is written once.  Where it is too large to broadcast
+    and the prompts stand at no more than ``most_looked_up`` states, it is first
+    cut to the states that their walks can reach (``reachable``).
+
     Pointer doubling: the prompts take one step, and then, for each binary
     digit of the steps that are left, one jump of that many.  Jump tables are
     doubled by a self-join, kept to the states that the prompts can stand at,
@@ -149,6 +260,11 @@ def ngram_generate(prompts: DataFrame, prompt: str, key: str, best: DataFrame, o
         return j.select("__sw_k", F.col("__sw_to").alias("__sw_state"), words.alias("__sw_out"), "__sw_ntok")
 
     if max_new_tokens > 0:
+        best, parts = stored_by_state(best.select("state", "next", "cnt"))
+        if _text_bytes(best) > max_broadcast_bytes:
+            starts = few_states(cur, "__sw_state", parts, most_looked_up)
+            near = None if starts is None else reachable(best, parts, starts, order, max_new_tokens, most_looked_up)
+            best = best if near is None else near
         table = single_jumps(best, order)
         cur, left = moved(cur, table), max_new_tokens - 1
         while left:
@@ -173,6 +289,7 @@ def uniform(seed: int, key: Column, step: Column) -> Column:
 
 INLINE_SUCCESSORS = 1024   # a state with more is split into buckets
 BUCKETS = 4096             # of a state at most
+LONGER_LISTS = 64          # times as many successors may stand in one row where only a step's states are prepared
 
 
 def ngram_sample_tables(model: DataFrame, inline: int = INLINE_SUCCESSORS) -> tuple[DataFrame, DataFrame]:
@@ -184,7 +301,8 @@ def ngram_sample_tables(model: DataFrame, inline: int = INLINE_SUCCESSORS) -> tu
     with more.  ``buckets`` has the options of the latter, one row per (state,
     bucket): consecutive successors, ``inline`` of them or a 4096th of all.
     Only successors of such states are ranked, by one range shuffle of them
-    all, so a hot state is never in one row, one window or one task."""
+    all, so a hot state is never in one row, one window or one task.  ``model``
+    is read several times."""
     from ..plans.ordering import with_global_position
     from ..session import materialize
 
@@ -193,8 +311,12 @@ def ngram_sample_tables(model: DataFrame, inline: int = INLINE_SUCCESSORS) -> tu
     known = model.select("state", "next", "cnt", "first_doc", "first_pos")
     option = F.struct("first_doc", "first_pos", "next", "cnt")
     options = F.transform(F.array_sort(F.collect_list(option)), lambda x: F.struct(x["next"], x["cnt"]))
-    whole = (known.join(hot, F.col("state") == F.col("hot"), "left_anti").groupBy("state")
+    split = not hot.isEmpty()
+    rest = known.join(hot, F.col("state") == F.col("hot"), "left_anti") if split else known
+    whole = (rest.groupBy("state")
              .agg(F.sum("cnt").alias("total"), options.alias("options")).withColumn("whole", F.lit(True)))
+    if not split:
+        return whole, known.select("state", F.lit("").alias("bucket"), F.array(F.struct("next", "cnt")).alias("options")).limit(0)
 
     large = known.join(hot, F.col("state") == F.col("hot"), "left_semi")
     placed = with_global_position(large, [F.col(c) for c in ("state", "first_doc", "first_pos")], "place")
@@ -227,14 +349,8 @@ def _drawn(options: Column, r: Column) -> Column:
 STEPS_A_PLAN = 10   # sampling steps before the prompts are written and read again
 
 
-def ngram_sample(prompts: DataFrame, prompt: str, key: str, model: DataFrame, order: int = 2,
-                 max_new_tokens: int = 30, seed: int = 42, pattern: str = R.TOKEN_PY, lowercase: bool = True,
-                 max_broadcast_bytes: int = MAX_BROADCAST_BYTES, inline: int = INLINE_SUCCESSORS) -> DataFrame:
-    """Count-weighted sampling of the next token: draw ``r = floor(u·total)``
-    with ``u = uniform(seed, key, step)`` and take the option whose cumulative
-    count exceeds ``r``, first among a state's buckets and then in the bucket
-    (see ``ngram_sample_tables``).  Each step joins the prompts to their states
-    and, only where some state has buckets, to those."""
+def _drawing_tables(model: DataFrame, inline: int, max_broadcast_bytes: int) -> tuple[DataFrame, DataFrame | None]:
+    """``ngram_sample_tables`` stored for joins; no buckets where no state has any."""
     from ..session import materialize
 
     states, buckets = ngram_sample_tables(model, inline)
@@ -242,22 +358,50 @@ def ngram_sample(prompts: DataFrame, prompt: str, key: str, model: DataFrame, or
                                        F.col("whole").alias("__sw_w"), F.col("options").alias("__sw_o")), "ngram-states")
     buckets = materialize(buckets.select(F.col("state").alias("__sw_s2"), F.col("bucket").alias("__sw_b"),
                                          F.col("options").alias("__sw_o2")), "ngram-large")
-    split = not buckets.isEmpty()
     held = F.aggregate(F.transform("__sw_o", lambda x: F.octet_length(x["next"]) + 12), F.lit(0), lambda a, v: a + v)
     states = _sent_whole(states, F.octet_length("__sw_s") + held, max_broadcast_bytes)
-    if split:
-        held = F.aggregate(F.transform("__sw_o2", lambda x: F.octet_length(x["next"]) + 12), F.lit(0),
-                           lambda a, v: a + v)
-        buckets = _sent_whole(buckets, F.octet_length("__sw_s2") + held, max_broadcast_bytes)
+    if buckets.isEmpty():
+        return states, None
+    held = F.aggregate(F.transform("__sw_o2", lambda x: F.octet_length(x["next"]) + 12), F.lit(0), lambda a, v: a + v)
+    return states, _sent_whole(buckets, F.octet_length("__sw_s2") + held, max_broadcast_bytes)
+
+
+def ngram_sample(prompts: DataFrame, prompt: str, key: str, model: DataFrame, order: int = 2,
+                 max_new_tokens: int = 30, seed: int = 42, pattern: str = R.TOKEN_PY, lowercase: bool = True,
+                 max_broadcast_bytes: int = MAX_BROADCAST_BYTES, inline: int = INLINE_SUCCESSORS,
+                 most_looked_up: int = LOOKED_UP) -> DataFrame:
+    """Count-weighted sampling of the next token: draw ``r = floor(u·total)``
+    with ``u = uniform(seed, key, step)`` and take the option whose cumulative
+    count exceeds ``r``, first among a state's buckets and then in the bucket
+    (see ``ngram_sample_tables``).  Each step joins the prompts to their states
+    and, only where some state has buckets, to those.
+
+    The model is written once.  Where it is too large to broadcast and the
+    prompts stand at no more than ``most_looked_up`` states, a step reads and
+    prepares these states only; else all states are prepared once."""
+    from ..session import materialize
+
+    model, parts = stored_by_state(model.select("state", "next", "cnt", "first_doc", "first_pos"))
+    large = _text_bytes(model) > max_broadcast_bytes
+    every: tuple[DataFrame, DataFrame | None] | None = None
     cur = prompts.select(F.col(key).alias("__sw_k"), prompt_state(F.col(prompt), order, pattern, lowercase)
                          .alias("__sw_state"), F.array().cast("array<string>").alias("__sw_out"),
                          F.size(tokens(F.col(prompt), pattern, lowercase)).alias("__sw_ntok"))
     for step in range(max_new_tokens):
+        asked = few_states(cur, "__sw_state", parts, most_looked_up) if large else None
+        if asked is not None:
+            if not asked:   # every walk has ended
+                break
+            near = materialize(looked_up(model, asked), "ngram-near")
+            states, buckets = _drawing_tables(near, inline * LONGER_LISTS, max_broadcast_bytes)
+        else:
+            every = every or _drawing_tables(model, inline, max_broadcast_bytes)
+            states, buckets = every
         j = cur.join(states, _spread_null(cur) == states["__sw_s"], "left")
         r = F.floor(uniform(seed, F.col("__sw_k"), F.lit(step)) * F.col("__sw_t"))
         j = j.withColumn("__sw_d", F.when(F.col("__sw_s").isNotNull(), _drawn(F.col("__sw_o"), r)))
         tok = F.col("__sw_d.next")
-        if split:
+        if buckets is not None:
             # a prompt at a state without buckets looks for none
             place = F.when(~F.col("__sw_w"), F.col("__sw_s"))
             j = j.join(buckets, (F.coalesce(place, F.concat(F.lit(SEP), F.xxhash64("__sw_k").cast("string")))
@@ -269,7 +413,7 @@ def ngram_sample(prompts: DataFrame, prompt: str, key: str, model: DataFrame, or
         cur = j.select("__sw_k", F.when(hit, nxt_state).alias("__sw_state"),
                        F.when(hit, F.concat("__sw_out", F.array("__sw_tok"))).otherwise(F.col("__sw_out"))
                        .alias("__sw_out"), "__sw_ntok")
-        if (step + 1) % STEPS_A_PLAN == 0 and step + 1 < max_new_tokens:
+        if step + 1 < max_new_tokens and (large or (step + 1) % STEPS_A_PLAN == 0):
             cur = materialize(cur, "ngram-drawn")
     return cur.select(F.col("__sw_k").alias(key),
                       F.when(F.col("__sw_ntok") >= order, F.array_join("__sw_out", " ")).alias("text"))
