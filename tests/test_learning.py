@@ -217,3 +217,84 @@ def test_large_document_numbers_fit_alike(spark):
     assert [(*r[:3], r[3] + 2 ** 40, r[4]) for r in got] == far
     assert ("a\x1fb", "c", 3, 0, 0) in got and ("x\x1fa", "b", 1, 2, 0) in got
     assert N.ngram_fit(small.limit(0), F.col("text"), F.col("id")).collect() == []
+
+
+def test_fit_by_state_is_the_same_in_one_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(N, "COMBINED_ROWS", 3)
+    texts = ["a b c a b d", "a b c", "x a b c", "a b c a b c", None, "a"]
+    for far in (0, 2 ** 40):
+        docs = spark.createDataFrame([(i + far, t) for i, t in enumerate(texts)], "id long, text string").repartition(3)
+        plain, dealt = (N.ngram_fit(docs, F.col("text"), F.col("id"), by_state=b) for b in (False, True))
+        assert plain.dtypes == dealt.dtypes
+        assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, dealt.collect())) != []
+        best = N.ngram_next(dealt)
+        assert sorted(map(tuple, best.collect())) == sorted(map(tuple, N.ngram_next(plain).collect()))
+    docs = spark.range(3).select("id", F.lit("a b c d").alias("text"))
+    plan = N.ngram_next(N.ngram_fit(docs, F.col("text"), F.col("id"), by_state=True))._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) == 1
+
+
+@pytest.mark.parametrize("most", [0, 3, 1024])
+def test_walks_read_the_states_they_reach(spark, model, most):
+    best = N.ngram_next(model)
+    table = {r["state"]: r["next"] for r in best.collect()}
+    prompts = ["a b", "x y", "y z", "q q", "nothing here", "short", "", "E F A B"]
+    df = spark.createDataFrame(list(enumerate(prompts)), "id long, text string")
+    got = N.ngram_generate(df, "text", "id", best, max_new_tokens=13, max_broadcast_bytes=0, most_looked_up=most)
+    assert {r["id"]: r["text"] for r in got.collect()} == {i: walked(table, p, 13) for i, p in enumerate(prompts)}
+    stored, parts = N.stored_by_state(best)
+    starts = N.few_states(df.select(N.prompt_state(F.col("text"), 2).alias("s")).filter("s = 'x\x1fy'"), "s", parts, 5)
+    near = N.reachable(stored, parts, starts, 2, 13, 5)
+    assert [r["state"] for r in near.collect()] == ["x\x1fy"] and best.count() > 5
+    assert N.reachable(stored, parts, starts, 2, 13, 0) is None
+    # one hash of many: the other folders are not opened
+    one = N.looked_up(stored, starts)
+    assert len({f for f in one.select("_metadata.file_path").distinct().collect()}) == 1
+
+
+def test_no_large_table_is_broadcast():
+    # the driver of the check has a heap of 750 MB, and holds a broadcast table several times over
+    assert N.MAX_BROADCAST_BYTES <= 16 * 1024 ** 2
+
+
+@pytest.mark.parametrize("inline, most", [(1, 0), (1, 1024), (1024, 2), (1024, 1024)])
+def test_sampling_from_states_looked_up(spark, model, inline, most):
+    table: dict = {}
+    for r in sorted(model.collect(), key=lambda r: (r["first_doc"], r["first_pos"])):
+        table.setdefault(r["state"], {})[r["next"]] = r["cnt"]
+    prompts = spark.createDataFrame([(k, "a b") for k in range(9)] + [(98, "x y"), (99, "b zzz"), (100, "a")],
+                                    "id long, text string")
+    got = N.ngram_sample(prompts, "text", "id", model, max_new_tokens=6, inline=inline, max_broadcast_bytes=0,
+                         most_looked_up=most).collect()
+    want = {k: " ".join(drawn(table, ["a", "b"], k, 6)) for k in range(9)}
+    assert {r["id"]: r["text"] for r in got} == want | {98: " ".join(drawn(table, ["x", "y"], 98, 6)), 99: "", 100: None}
+
+
+def test_ranked_scores_of_one_product(spark):
+    rng = np.random.default_rng(7)
+    x, w, labels = rng.normal(size=(50, 4)), rng.normal(size=(4, 3)), ["a", "b", "c"]
+    w[:, 2] = w[:, 1]   # b and c tie
+    df = spark.createDataFrame([(i, list(map(float, r))) for i, r in enumerate(x)] + [(50, None)], "i long, x array<double>")
+    got = df.select("i", TB.classify(F.col("x"), w, labels).alias("r"))
+    assert got.schema["r"].dataType.simpleString() == "array<struct<label:string,score:double>>"
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "zip_with" not in plan
+    for row in got.collect():
+        if row["i"] == 50:
+            assert row["r"] is None
+            continue
+        e = np.exp(x[row["i"]] @ w)
+        want = sorted(zip(labels, e / e.sum()), key=lambda t: -t[1])
+        assert [t["label"] for t in row["r"]] == [t[0] for t in want]
+        assert np.allclose([t["score"] for t in row["r"]], [t[1] for t in want])
+
+
+def test_stored_blocks_are_small(spark):
+    rows = [([float(i), 1.0, 2.0], float(i), i % 2 == 0) for i in range(5000)]
+    df = spark.createDataFrame(rows, "x array<double>, y double, fit boolean").repartition(2)
+    with TB.StoredBlocks(df, 3) as blocks:
+        assert blocks.rows.agg(F.max(F.octet_length("x"))).first()[0] <= TB.BLOCK_BYTES
+        got = blocks.total(4, lambda x, y, fit: np.array([x[:, 0].sum(), y[fit].sum(), len(y), x.shape[0] <= TB.BLOCK_ROWS]))
+    assert got[:3].tolist() == [sum(range(5000)), sum(range(0, 5000, 2)), 5000] and got[3] >= 2
+    with TB.StoredBlocks(df.limit(0), 3) as blocks:
+        assert blocks.total(1, lambda x, y, fit: np.ones(1)).tolist() == [0.0]
