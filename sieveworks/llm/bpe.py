@@ -23,11 +23,12 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -35,15 +36,18 @@ from pyspark.sql import types as T
 
 from .frames import arrow_append, slices, spark_schema_with
 
-#: What a task remembers between texts, in bytes: pieces, byte prefixes and token
-#: pairs (a pair is always the same size).  These bound memory only; a full table
-#: is emptied and results do not depend on it.  The tables end with the task.
+#: What a task remembers between texts: pieces in bytes, and token pairs and steps
+#: from byte to byte (always the same size).  These bound memory only; a full
+#: table is emptied and results do not depend on it.  The tables end with the task.
 PIECES_BYTES = 64 << 20
-PREFIXES_BYTES = 64 << 20
 PAIRS_REMEMBERED = 200_000
+STEPS_REMEMBERED = 200_000
 ENTRY_BYTES = 160   # of a dictionary entry and its two objects, besides their contents
 #: Longer pieces get a table of their own each time they occur.
 PIECE_TO_REMEMBER = 48
+#: Characters of texts whose new pieces are encoded together.
+TOGETHER = 1 << 20
+PIECES_AT_ONCE = 1 << 14   # whose tables are in memory together
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -65,7 +69,6 @@ class Vocabulary:
         self._pairs: dict[int, bool] = {}
         self.parts: dict[int, tuple[int, int] | None] = {}
         self.usable: dict[bytes, int] = {}
-        self.sizes_by_end: dict[bytes, tuple[int, ...]] = {}
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
             if len(token) == 1:
                 self.parts[rank] = None
@@ -75,22 +78,52 @@ class Vocabulary:
                     continue  # never the result of merging: only whole matches give it
                 self.parts[rank] = halves
             self.usable[token] = rank
-        # which token lengths end in these up to three bytes, longest first
-        sizes: dict[bytes, set[int]] = {}
-        for token in self.usable:
-            for end in {token[-3:], token[-2:], token[-1:]}:
-                sizes.setdefault(end, set()).add(len(token))
-        for end, found in sizes.items():
-            # a longer end lists the tokens shorter than itself as well
-            for n in range(1, len(end)):
-                if end[-n:] in self.usable:
-                    found.add(n)
-            self.sizes_by_end[end] = tuple(sorted(found, reverse=True))
         self.longest = max(map(len, self.usable))
         self._pairs.clear()
-        # ids as little-endian bytes: of the tokens that encode to themselves, and of the others
-        self.code_of = {token: rank.to_bytes(4, "little") for token, rank in self.usable.items()}
-        self.whole = {token: rank.to_bytes(4, "little") for token, rank in ranks.items() if token not in self.usable}
+        self._link()
+        self.tables = PrefixTables(self)
+
+    def _link(self) -> None:
+        """The tokens that end at a byte, for any text read from left to right.
+
+        A state is the longest end of the text read so far that some token
+        begins with; ``ending[state]`` has the size and rank of each token that
+        the text ends with there, longest first."""
+        self.steps: dict[int, int] = {}    # state << 8 | byte: of the tokens' own prefixes
+        at = {b"": 0}
+        nodes = [b""]
+        for token in self.usable:
+            for n in range(1, len(token) + 1):
+                prefix = token[:n]
+                if prefix not in at:
+                    at[prefix] = self.steps[at[prefix[:-1]] << 8 | prefix[-1]] = len(nodes)
+                    nodes.append(prefix)
+        self.shorter = [0] * len(nodes)    # the next shorter end that is a state
+        self.ending: list[tuple[tuple[int, int], ...]] = [()] * len(nodes)
+        for prefix in sorted(nodes, key=len):
+            state, rank = at[prefix], self.usable.get(prefix)
+            if len(prefix) > 1:
+                self.shorter[state] = self._walk(self.shorter[at[prefix[:-1]]], prefix[-1])
+            rest = self.ending[self.shorter[state]]
+            self.ending[state] = rest if rank is None else ((len(prefix), rank), *rest)
+        self.state_of = {token: at[token] for token in self.usable}
+        self._further: dict[int, int] = {}
+
+    def _walk(self, state: int, byte: int) -> int:
+        while True:
+            after = self.steps.get(state << 8 | byte)
+            if after is not None or not state:
+                return after or 0
+            state = self.shorter[state]
+
+    def step(self, key: int) -> int:
+        """The state after ``state << 8 | byte`` where no token goes on so."""
+        after = self._further.get(key)
+        if after is None:
+            if len(self._further) >= STEPS_REMEMBERED:
+                self._further.clear()
+            after = self._further[key] = self._walk(key >> 8, key & 255)
+        return after
 
     def _halves(self, token: bytes, rank: int) -> tuple[int, int] | None:
         """The pair that merges into ``token`` last, if its own bytes do."""
@@ -133,6 +166,7 @@ class Vocabulary:
     def forget(self) -> None:
         """Drop what was learned from texts."""
         self._pairs.clear()
+        self._further.clear()
 
     def pair(self, left: int, right: int) -> bool:
         key = left << 32 | right
@@ -151,6 +185,7 @@ class PrefixTable:
         self.vocabulary = vocabulary
         self.data = b""
         self.last: list[int] = [-1]
+        self.states: list[int] = [0]
         if data:
             self.append(data)
 
@@ -159,16 +194,18 @@ class PrefixTable:
         start = len(self.data)
         self.data += more
         self.last.extend([-1] * len(more))
+        self.states.extend([0] * len(more))
         self._fill(start + 1, len(self.data))
         return self
 
     def replace(self, start: int, stop: int, new: bytes) -> int:
         """Put ``new`` in place of ``data[start:stop]``; returns how many
         prefixes were computed anew."""
-        old_last, old_len = self.last, len(self.data)
+        old_last, old_states, old_len = self.last, self.states, len(self.data)
         shift = len(new) - (stop - start)
         self.data = self.data[:start] + new + self.data[stop:]
         self.last = old_last[:start + 1] + [-1] * (len(self.data) - start)
+        self.states = old_states[:start + 1] + [0] * (len(self.data) - start)
         agreed, i, n = 0, start + 1, len(self.data)
         while i <= n:
             self._fill(i, i)
@@ -179,31 +216,27 @@ class PrefixTable:
             if agreed >= self.vocabulary.longest:
                 # every later entry depends on these bytes and entries alone
                 self.last[i:] = old_last[i - shift:]
+                self.states[i:] = old_states[i - shift:]
                 break
         return i - 1 - start
 
     def _fill(self, first: int, end: int) -> None:
-        data, last, v = self.data, self.last, self.vocabulary
-        usable, sizes, pair, known = v.usable.get, v.sizes_by_end, v.pair, v._pairs.get
+        data, last, states, v = self.data, self.last, self.states, self.vocabulary
+        steps, step, ending, known, pair = v.steps.get, v.step, v.ending, v._pairs.get, v.pair
+        state = states[first - 1]
         for i in range(first, end + 1):
-            tail = data[i - 3 if i > 3 else 0:i]
-            while tail not in sizes:  # no token ends in all of these bytes
-                tail = tail[1:]
-            for size in sizes[tail]:
-                if size >= i:
-                    if size > i:
-                        continue
-                    token = usable(data[:i])
-                    if token is None:
-                        continue
+            key = state << 8 | data[i - 1]
+            state = steps(key)
+            if state is None:
+                state = step(key)
+            for size, token in ending[state]:
+                if size == i:
                     break
-                token = usable(data[i - size:i])
-                if token is not None:
-                    before = last[i - size]
-                    ok = known(before << 32 | token)
-                    if ok or (ok is None and pair(before, token)):
-                        break
-            last[i] = token
+                before = last[i - size]
+                ok = known(before << 32 | token)
+                if ok or (ok is None and pair(before, token)):
+                    break
+            states[i], last[i] = state, token
 
     def ids(self) -> list[int]:
         out, i = [], len(self.data)
@@ -216,6 +249,104 @@ class PrefixTable:
         return out
 
 
+class PrefixTables:
+    """The tables of many short pieces at once, byte by byte in arrays.
+
+    Tokens go by the state that they are (``Vocabulary._link``), 0 is none.
+    Pieces in byte order share the entries of the prefixes that they begin with
+    alike: only the first of them computes these."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        v = vocabulary
+        keys = np.fromiter(v.steps.keys(), np.int64, len(v.steps))
+        order = np.argsort(keys)
+        self.keys, self.after = keys[order], np.fromiter(v.steps.values(), np.int64, len(keys))[order]
+        self.shorter = np.array(v.shorter)
+        state_of = v.state_of
+        rank_at = {v.usable[token]: state for token, state in state_of.items()}
+        self.token = np.array([rank_at[ends[0][1]] if ends else 0 for ends in v.ending])
+        self.rest = self.token[self.shorter]   # of a token: the next shorter one
+        self.size, self.rank, self.left, self.right = np.zeros((4, len(v.ending)), np.int64)
+        for token, state in state_of.items():
+            self.size[state], self.rank[state] = len(token), v.usable[token]
+            if len(token) > 1:
+                self.left[state], self.right[state] = (rank_at[x] for x in v.parts[v.usable[token]])
+        joined = {}
+        for token, rank in v.ranks.items():
+            for cut in range(1, len(token)):
+                x, y = state_of.get(token[:cut]), state_of.get(token[cut:])
+                if x and y:
+                    joined[x << 32 | y] = rank
+        self.joined = np.sort(np.fromiter(joined, np.int64, len(joined)))
+        self.joined_rank = np.array([joined[k] for k in self.joined.tolist()], np.int64)
+
+    def _step(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        out, at = np.zeros_like(state), np.arange(len(state))
+        while len(at):
+            key = state << 8 | byte
+            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[place] == key
+            out[at[hit]] = self.after[place[hit]]
+            on = ~hit & (state > 0)
+            at, state, byte = at[on], self.shorter[state[on]], byte[on]
+        return out
+
+    def _apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """``Vocabulary._apart`` of many pairs."""
+        never = 1 << 60
+        out, at, until = np.zeros(len(x), bool), np.arange(len(x)), np.full(len(x), never)
+        while len(at):
+            alive = np.ones(len(x), bool)
+            if len(self.joined):
+                key = x << 32 | y
+                place = np.minimum(np.searchsorted(self.joined, key), len(self.joined) - 1)
+                alive = np.where(self.joined[place] == key, self.joined_rank[place], never) >= until
+            whole_x, whole_y = self.left[x] == 0, self.left[y] == 0
+            out[at[alive & whole_x & whole_y]] = True
+            on = alive & ~(whole_x & whole_y)
+            at, x, y, undo = at[on], x[on], y[on], whole_y[on] | (~whole_x[on] & (self.rank[x[on]] > self.rank[y[on]]))
+            until = np.where(undo, self.rank[x], self.rank[y] + 1)
+            x, y = np.where(undo, self.right[x], x), np.where(undo, y, self.left[y])
+        return out
+
+    def codes(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each of the pieces, which are in byte order and not
+        empty, as little-endian 32-bit numbers."""
+        n, sizes = len(pieces), np.array([len(x) for x in pieces])
+        width = sizes.max()
+        data = np.zeros((n, width), np.int64)
+        data[np.arange(width) < sizes[:, None]] = np.frombuffer(b"".join(pieces), np.uint8)
+        differs = data[1:] != data[:-1]
+        shared = np.where(differs.any(axis=1), differs.argmax(axis=1), width)
+        shared = np.concatenate([[0], np.minimum(shared, np.minimum(sizes[1:], sizes[:-1]))])
+        last, state = np.zeros((n, width + 1), np.int32), np.zeros(n, np.int64)
+        for i in range(1, width + 1):
+            first = shared < i
+            source = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+            rows = np.flatnonzero(first & (sizes >= i))
+            now = self._step(state[rows], data[rows, i - 1])
+            token = self.token[now]
+            open_ = np.flatnonzero(self.size[token] < i)
+            while len(open_):
+                tried = token[open_]
+                before = last[rows[open_], i - self.size[tried]].astype(np.int64)
+                open_ = open_[~self._apart(before, tried) & (self.rest[tried] > 0)]
+                token[open_] = self.rest[token[open_]]
+            state[rows], last[rows, i] = now, token
+            rows = np.flatnonzero(~first)
+            state[rows], last[rows, i] = state[source[rows]], last[source[rows], i]
+        ids, left, at, rows = np.zeros((n, width), "<i4"), sizes.copy(), np.full(n, width), np.arange(n)
+        while len(rows):
+            token = last[rows, left[rows]]
+            at[rows] -= 1
+            ids[rows, at[rows]] = self.rank[token]
+            left[rows] -= self.size[token]
+            rows = rows[left[rows] > 0]
+        flat = ids[np.arange(width) >= at[:, None]].tobytes()
+        ends = np.cumsum((width - at) * 4).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
+
 _CLASSES = (r"\p{L}", r"\p{N}", r"\s", r"\S")
 _BEYOND = re.compile("[\U00010000-\U0010ffff]")
 
@@ -260,93 +391,62 @@ def splitter(pattern: str):
     return split
 
 
-class SharedPrefixes:
-    """The prefix table of many short pieces at once: pieces that begin alike
-    share the entries of their common prefixes.  An entry holds the ids of its
-    prefix as little-endian 32-bit numbers; the last four bytes are the
-    prefix's last token."""
-
-    def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
-        self.code_of, self.whole = vocabulary.code_of, vocabulary.whole
-        self.known: dict[bytes, bytes] = {}
-        self.pairs: dict[bytes, bool] = {}
-        self.held = 0
-
-    def _pair(self, key: bytes) -> bool:
-        if len(self.pairs) >= PAIRS_REMEMBERED:
-            self.pairs.clear()
-        ok = self.pairs[key] = self.vocabulary._apart(int.from_bytes(key[:4], "little"),
-                                                      int.from_bytes(key[4:], "little"))
-        return ok
-
-    def code(self, piece: bytes) -> bytes:
-        if piece in self.whole:
-            return self.whole[piece]
-        known, tokens, sizes, pairs = self.known, self.code_of.get, self.vocabulary.sizes_by_end, self.pairs.get
-        if self.held > PREFIXES_BYTES:
-            known.clear()
-            self.held = 0
-        at = len(piece)
-        while at and piece[:at] not in known:
-            at -= 1
-        for i in range(at + 1, len(piece) + 1):
-            tail = piece[i - 3 if i > 3 else 0:i]
-            while tail not in sizes:
-                tail = tail[1:]
-            for size in sizes[tail]:
-                if size > i:
-                    continue
-                token = tokens(piece[i - size:i])
-                if token is None:
-                    continue
-                if size == i:
-                    break
-                before = known[piece[:i - size]]
-                key = before[-4:] + token
-                ok = pairs(key)
-                if ok or (ok is None and self._pair(key)):
-                    token = before + token
-                    break
-            known[piece[:i]] = token
-            self.held += ENTRY_BYTES + i + len(token)
-        return known[piece]
-
-
 class Codec:
     """Texts to ids and back for one vocabulary and one splitting pattern."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary = vocabulary
         self.split = splitter(pattern)
-        self.prefixes = SharedPrefixes(vocabulary)
         self._remembered: dict[str, bytes] = {}
         self._held = 0
 
-    def _long(self, piece: bytes) -> bytes:
-        whole = self.vocabulary.ranks.get(piece)
-        ids = [whole] if whole is not None else PrefixTable(self.vocabulary, piece).ids()
+    def _learn(self, pieces: Iterable[str]) -> None:
+        """Remember the ids of those pieces that are short or tokens."""
+        whole, found, rest = self.vocabulary.ranks, [], []
+        for data, piece in sorted((piece.encode("utf-8", "surrogatepass"), piece) for piece in pieces):
+            if data in whole:
+                found.append((piece, whole[data].to_bytes(4, "little")))
+            elif len(data) <= PIECE_TO_REMEMBER:
+                rest.append((data, piece))
+        for at in range(0, len(rest), PIECES_AT_ONCE):
+            part = rest[at:at + PIECES_AT_ONCE]
+            found += zip([piece for _, piece in part], self.vocabulary.tables.codes([data for data, _ in part]))
+        self._remembered.update(found)
+        self._held += sum(ENTRY_BYTES + 2 * len(piece) + len(code) for piece, code in found)
+
+    def _long(self, piece: str) -> bytes:
+        ids = PrefixTable(self.vocabulary, piece.encode("utf-8", "surrogatepass")).ids()
         return np.array(ids, dtype="<i4").tobytes()
 
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        split = [self.split(text) for text in texts]
+        if self._held > PIECES_BYTES:
+            self._remembered.clear()
+            self._held = 0
+        known = self._remembered
+        codes = [list(map(known.get, pieces)) for pieces in split]
+        gaps = [[at for at, code in enumerate(out) if code is None] for out in codes]
+        new = {pieces[at] for pieces, unknown in zip(split, gaps) for at in unknown}
+        self._learn(new)
+        for pieces, out, unknown in zip(split, codes, gaps):
+            for at in unknown:
+                code = known.get(pieces[at])
+                out[at] = self._long(pieces[at]) if code is None else code
+        return [np.frombuffer(b"".join(out), dtype="<i4") for out in codes]
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """The ids of each text, in order."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= TOGETHER:
+                yield from self._encode(held)
+                held, size = [], 0
+        yield from self._encode(held)
+
     def encode(self, text: str) -> np.ndarray:
-        known, pieces = self._remembered, self.split(text)
-        out = list(map(known.get, pieces))
-        if None in out:
-            for at in [i for i, code in enumerate(out) if code is None]:
-                piece = pieces[at]
-                code = known.get(piece)
-                if code is None:
-                    data = piece.encode("utf-8", "surrogatepass")
-                    if len(data) > PIECE_TO_REMEMBER:
-                        code = self._long(data)
-                    else:
-                        if self._held > PIECES_BYTES:
-                            known.clear()
-                            self._held = 0
-                        code = known[piece] = self.prefixes.code(data)
-                        self._held += ENTRY_BYTES + 2 * len(piece) + len(code)
-                out[at] = code
-        return np.frombuffer(b"".join(out), dtype="<i4")
+        return self._encode([text])[0]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.vocabulary.bytes_of.__getitem__, ids))
@@ -364,13 +464,34 @@ def _vocabulary(ranks: Broadcast) -> Vocabulary:
     return _WORKER["vocabulary"]
 
 
-def _bytes_of(ranks: Broadcast) -> dict[int, bytes]:
+def _bytes_of(ranks: Broadcast) -> tuple[np.ndarray, pa.Array]:
+    """The ranks in order and, at the same places, their bytes."""
     table = ranks.value
     if _WORKER.get("decoded") != table:
-        _WORKER.update(decoded=table, bytes_of={rank: token for token, rank in table.items()})
+        order = sorted(table, key=table.get)
+        _WORKER.update(decoded=table, bytes_of=(np.array([table[t] for t in order]), pa.array(order, pa.large_binary())))
     return _WORKER["bytes_of"]
 
 
+def _decoded(ids: pa.ListArray, known: np.ndarray, tokens: pa.Array) -> pa.Array:
+    """The bytes of each list: the tokens of all lists one behind the other
+    are the bytes of all results, cut where the lists end."""
+    wanted = ids.flatten()   # without null lists
+    if wanted.null_count:
+        raise KeyError(None)
+    wanted = wanted.to_numpy()
+    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    if (known[at] != wanted).any():
+        raise KeyError(int(wanted[known[at] != wanted][0]))
+    taken = tokens.take(pa.array(at))
+    sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    _, offsets, data = taken.buffers()
+    cuts = np.frombuffer(offsets, dtype=np.int64)[taken.offset:taken.offset + len(taken) + 1][ends]
+    whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(cuts), data])
+    return whole.cast(pa.binary())
+
+
 def share_ranks(spark: SparkSession, path: str) -> Broadcast:
     """The vocabulary for the executors.  Its size is that of the rank file
     (tens of thousands of tokens), never that of the data."""
@@ -390,7 +511,7 @@ def encode(df: DataFrame, ranks: Broadcast, pattern: str, text_col: str = "text"
         vocabulary = _vocabulary(ranks)
         codec = Codec(vocabulary, pattern)
         for batch in slices(batches):
-            codes = [codec.encode(t) if t else np.empty(0, "<i4") for t in batch.column(text_col).to_pylist()]
+            codes = list(codec.encode_all(t or "" for t in batch.column(text_col).to_pylist()))
             offsets = np.zeros(len(codes) + 1, dtype=np.int32)
             np.cumsum([len(c) for c in codes], out=offsets[1:])
             values = pa.array(np.concatenate(codes) if codes else np.empty(0, "<i4"))
@@ -403,9 +524,8 @@ def encode(df: DataFrame, ranks: Broadcast, pattern: str, text_col: str = "text"
 def decode(df: DataFrame, ranks: Broadcast, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Adds ``out_col`` (binary): the bytes that the ids stand for."""
     def run(batches):
-        bytes_of = _bytes_of(ranks).__getitem__
+        known, tokens = _bytes_of(ranks)
         for batch in slices(batches):
-            out = [b"".join(map(bytes_of, ids)) if ids else b"" for ids in batch.column(ids_col).to_pylist()]
-            yield arrow_append(batch, [(out_col, pa.array(out, pa.binary()))])
+            yield arrow_append(batch, [(out_col, _decoded(batch.column(ids_col), known, tokens))])
 
     return df.mapInArrow(run, spark_schema_with(df, [(out_col, T.BinaryType())]))

@@ -67,6 +67,24 @@ def test_every_character_splits_alike():
     assert bpe.splitter(r"(?i)\w+")("Ab c") == ["Ab", "c"]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.binary(min_size=1, max_size=48), st.text("abé \0", min_size=1, max_size=12).map(str.encode)),
+                min_size=1, max_size=40))
+def test_many_tables_at_once_equal_single_ones(pieces):
+    pieces = sorted(pieces)
+    want = [b"".join(i.to_bytes(4, "little") for i in bpe.PrefixTable(VOCABULARY, p).ids()) for p in pieces]
+    assert VOCABULARY.tables.codes(pieces) == want
+
+
+def test_texts_together_and_tables_emptied(monkeypatch):
+    texts = ["the quick brown fox", "", "quicker foxes jumped", "x" * 300 + " unbelievably", "der schnelle Fuchs", "the quick"] * 3
+    monkeypatch.setattr(bpe, "TOGETHER", 30)
+    monkeypatch.setattr(bpe, "PIECES_BYTES", 100)
+    monkeypatch.setattr(bpe, "PIECES_AT_ONCE", 2)
+    codec = bpe.Codec(VOCABULARY, public_tokenizers.PATTERN)
+    assert [ids.tolist() for ids in codec.encode_all(texts)] == [PEER.encode_ordinary(t) for t in texts]
+
+
 def test_missing_byte_is_an_error():
     with pytest.raises(ValueError):
         bpe.Vocabulary({b"a": 0})
