@@ -58,6 +58,10 @@ def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import pyarrow as pa
 
     def counted(held: list) -> list:
+        if "first" not in held[0].schema.names:   # sorted, as equal beginnings compress in the shuffle
+            got = pa.Table.from_batches(held).group_by(["state", "next"]).aggregate([([], "count_all")])
+            got = got.select(["state", "next", "count_all"]).rename_columns(["state", "next", "cnt"])
+            return got.sort_by([("state", "ascending"), ("next", "ascending")]).to_batches()
         got = pa.Table.from_batches(held).group_by(["state", "next"]).aggregate([([], "count_all"), ("first", "min")])
         return got.select(["state", "next", "count_all", "first_min"]).rename_columns(
             ["state", "next", "cnt", "first"]).to_batches()
@@ -75,7 +79,7 @@ def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def ngram_fit(df: DataFrame, text: Column, doc: Column, order: int = 2, pattern: str = R.TOKEN_PY,
-              lowercase: bool = True, by_state: bool = False) -> DataFrame:
+              lowercase: bool = True, by_state: bool = False, counts_only: bool = False) -> DataFrame:
     """``(state, next, cnt, first_doc, first_pos)``.
 
     First occurrence is the minimum of the exact composite
@@ -88,8 +92,13 @@ def ngram_fit(df: DataFrame, text: Column, doc: Column, order: int = 2, pattern:
     ``by_state`` gives the same rows dealt out by state: what then looks at
     whole states (``ngram_next``) shuffles nothing again.  Spark would deal the
     aggregate's partial rows out by state and token, so equal windows are
-    counted in Arrow batches before the one shuffle."""
+    counted in Arrow batches before the one shuffle.  ``counts_only`` does the
+    same without the first occurrences: the runs are bounded, where a partial
+    aggregate over a whole split spills."""
     w = transitions(df, text, doc, order, pattern, lowercase)
+    if counts_only:
+        return (w.select("state", "next").mapInArrow(_combined, "state string, next string, cnt long")
+                .repartition("state").groupBy("state", "next").agg(F.sum("cnt").alias("cnt")))
     ends = df.agg(F.min(doc).cast("decimal(38,0)"), F.max(doc).cast("decimal(38,0)")).first()
     if ends[0] is None or (ends[0] >= 0 and ends[1] < 2 ** 31):
         composite = F.shiftleft(F.col("doc").cast("long"), _POS_BITS) + F.col("pos")

@@ -298,3 +298,15 @@ def test_stored_blocks_are_small(spark):
     assert got[:3].tolist() == [sum(range(5000)), sum(range(0, 5000, 2)), 5000] and got[3] >= 2
     with TB.StoredBlocks(df.limit(0), 3) as blocks:
         assert blocks.total(1, lambda x, y, fit: np.ones(1)).tolist() == [0.0]
+
+
+def test_counts_only_are_the_same_in_bounded_runs(spark, monkeypatch):
+    monkeypatch.setattr(N, "COMBINED_ROWS", 3)
+    texts = ["a b c a b d", "a b c", "x a b c", "a b c a b c", None, "a", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    plain, counts = (N.ngram_fit(docs, F.col("text"), F.col("id"), counts_only=c) for c in (False, True))
+    plan = counts._jdf.queryExecution().executedPlan().toString()   # before it runs
+    assert counts.dtypes == plain.select("state", "next", "cnt").dtypes
+    assert sorted(map(tuple, counts.collect())) == sorted(tuple(r)[:3] for r in plain.collect()) != []
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) == 1
+    assert plan.index("Exchange hashpartitioning") < plan.index("MapInArrow")   # counted before the shuffle
